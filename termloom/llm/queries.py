@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_lines
+from . import q_licenses, q_lines, q_quality
 
-MODULES = (q_lines,)
+MODULES = (q_lines, q_quality, q_licenses)
 
 
 def queries() -> dict:
