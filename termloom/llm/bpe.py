@@ -173,19 +173,43 @@ def encode_batch(texts: list[str | None], table: Merges, pattern: str) -> Iterat
         yield row, ids
 
 
-def _encoded(path: str, pattern: str):
+def _joined(batch: Iterator[tuple[np.ndarray, list[list[int]]]]) -> Iterator[np.ndarray]:
+    """Each text's ids in one array."""
+    seen = None
+    for row, ids in batch:
+        if seen is not ids:  # once a batch
+            seen, flat = ids, np.fromiter((i for p in ids for i in p), np.int32)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            begins = np.cumsum(sizes) - sizes
+        take = sizes[row]
+        yield flat[np.repeat(begins[row] - np.cumsum(take) + take, take) + np.arange(int(take.sum()))]
+
+
+def encode(text: Column, path: str, pattern: str) -> Column:
+    """Token ids of text by the rank file at path (which every executor has); null and empty texts have none."""
+
     @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = merges(path)
         for texts in batches:
-            yield pd.Series([[i for k in row for i in ids[k]] for row, ids in encode_batch(texts.tolist(), table, pattern)], dtype=object)
+            yield pd.Series(list(_joined(encode_batch(texts.tolist(), table, pattern))), dtype=object)
 
-    return encode
+    return encoded(text)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Token ids of text by the rank file at path (a folder that every executor has); null and empty texts have none."""
-    return _encoded(path, pattern)(text)
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """Struct of token_ids and of round_trip: whether the ids decode to the text's bytes."""
+
+    @F.pandas_udf("token_ids array<int>, round_trip boolean")
+    def tripped(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = merges(path)
+        of = table.bytes_of
+        for texts in batches:
+            ids = list(_joined(encode_batch(texts.tolist(), table, pattern)))
+            same = [b"".join(map(of.__getitem__, i.tolist())) == (t or "").encode("utf-8", "surrogatepass") for t, i in zip(texts, ids, strict=True)]
+            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
+
+    return tripped(text)
 
 
 def decode(ids: Column, path: str) -> Column:

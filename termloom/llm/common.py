@@ -17,17 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the folder in spark.checkpoint.dir, which all executors share; its lineage ends there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share.
 
     Without that setting only a local session gets a folder of its own; a cluster raises an error, since a
     machine-local folder would be lost with its executor.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder; its lineage ends there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

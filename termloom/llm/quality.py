@@ -54,11 +54,16 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(n < 2, 0).otherwise(let(hashes, counted))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns added by a generator, so that the optimizer copies none of them into what uses them."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def base_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.col(text_col)
-    out = docs.withColumn("words", blank_words(text)).withColumn("n_words", F.size("words").cast("long"))
-    out = out.withColumns(measures(text))
+    out = computed(docs, words=blank_words(text))
+    out = computed(out, n_words=F.size("words").cast("long"), **measures(text))
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -132,7 +137,7 @@ def judge_quality(docs: DataFrame, text_col: str = "text", keep_above: float = 0
     """
     judged = base_figures(docs.drop("words", "quality_votes", "quality", "kept", *FIGURES), text_col)
     rules = votes(F.col(text_col))
-    judged = judged.withColumn("quality_votes", F.struct(*(v.cast("int").alias(r) for r, v in rules.items()))).drop("words")
+    judged = computed(judged, quality_votes=F.struct(*(v.cast("int").alias(r) for r, v in rules.items()))).drop("words")
     if not keep_text:
         judged = checkpointed(judged.drop(text_col))
     patterns = checkpointed(judged.groupBy("quality_votes").agg(F.count("*").alias("n")).select("quality_votes.*", "n"))
