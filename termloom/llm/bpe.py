@@ -23,6 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int32).max
+SHARD_CHARS = 12_000_000
 #: White space in which pre-tokens of single words can't be told from the words alone.
 LONG_BLANK = regex.compile(r"\s \s|\s \Z")
 
@@ -39,16 +40,16 @@ class Merges:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"ranks lack the bytes {missing[:5]}")
         self.ranks, self.bytes_of = ranks, {r: b for b, r in ranks.items()}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.keys, self.to = np.append(table[:, 0], np.iinfo(np.int64).max), np.append(table[:, 1], NONE).astype(np.int64)
+        self.keys, self.to = np.append(table[:, 0], np.iinfo(np.int64).max), np.append(table[:, 1], NONE).astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it can't merge."""
-        key = (left << 32) | right
+        key = (left.astype(np.int64) << 32) | right
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.to[at], NONE)
+        return np.where(self.keys[at] == key, self.to[at], np.int32(NONE))
 
     def slowly(self, word: bytes) -> list[int]:
         """One word by the plain rule: the lowest pair, the leftmost of equals, one at a time."""
@@ -71,12 +72,12 @@ class Merges:
         if not n:
             return [[] for _ in words]
         sym = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        word_of = np.repeat(np.arange(len(words)), sizes)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         filled = sizes > 0
         nxt[ends[filled] - 1] = -1
         prv[(ends - sizes)[filled]] = -1
-        pair = np.full(n, NONE, np.int64)
+        pair = np.full(n, NONE, np.int32)
         inner = np.flatnonzero(nxt >= 0)
         pair[inner] = self.rank(sym[inner], sym[inner + 1])
         live, odd = np.ones(n, bool), set()
@@ -145,26 +146,43 @@ class Numbered(defaultdict):
 
 
 def encode_batch(texts: list[str | None], table: Merges, pattern: str) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
-    """For each text the numbers of its pieces, and the pieces' token ids (one list for the batch).
+    """For each text the numbers of its pieces, and the pieces' token ids (one list for each shard of the batch).
 
     A piece is a word with the space before it, cut into pre-tokens once; texts with long runs of white space are
-    cut by the pattern as a whole, and their pieces are the pre-tokens.
+    cut by the pattern as a whole, and their pieces are the pre-tokens. A shard has at most SHARD_CHARS code points,
+    or one text, which bounds memory.
     """
+    for begin, end in shards(texts):
+        yield from _encode_shard(texts[begin:end], table, pattern)
+
+
+def shards(texts: list[str | None], chars: int = SHARD_CHARS) -> Iterator[tuple[int, int]]:
+    """[begin, end) of runs of texts with at most chars code points, or one text, each."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > chars:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t or "")
+    yield begin, len(texts)
+
+
+def _encode_shard(texts: list[str | None], table: Merges, pattern: str) -> Iterator[tuple[np.ndarray, list[list[int]]]]:
     cut = regex.compile(pattern)
     pieces = Numbered()
     rows = []
     for text in texts:
         if not text:
-            rows.append(np.empty(0, np.int64))
+            rows.append(np.empty(0, np.int32))
         elif LONG_BLANK.search(text):
             tokens = cut.findall(text)
-            rows.append(np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens)))
+            rows.append(np.fromiter(map(pieces.__getitem__, tokens), np.int32, len(tokens)))
         else:
             words = text.split(" ")
             words[1:] = [" " + w for w in words[1:]]
             if not words[0]:
                 del words[0]
-            rows.append(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words)))
+            rows.append(np.fromiter(map(pieces.__getitem__, words), np.int32, len(words)))
     pre = Numbered()
     parts = [[pre[t] for t in cut.findall(p)] for p in pieces]
     done = table.replay([t.encode("utf-8", "surrogatepass") for t in pre])
