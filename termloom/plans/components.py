@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     whether edges remain. Null ends are left out; loops give their node a component of its own.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    e, labels = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None
+    e, labels = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a"))
         p = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to"))
