@@ -112,8 +112,11 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, p
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)).select("a", "b")
+    near = checkpointed(near)
+    if near.isEmpty():
+        return near
     told = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
-    return near.join(told("a"), "a").join(told("b"), "b").where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b")
+    return checkpointed(near.join(told("a"), "a").join(told("b"), "b").where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -137,7 +140,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = posts.join(lists.select("coord", "value", salt(F.col("first")).alias("hub")), ["coord", "value"]).where("rep <> hub")
     pairs = star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     texts = texts.where("doc IS NOT NULL")
-    links = checkpointed(_links(pairs, classes, texts, width, percent))
+    links = _links(pairs, classes, texts, width, percent)
     label = connected_components(links, checkpointed)
     # lists whose members are still in different components
     labelled = posts.join(label, posts["rep"] == label["node"], "left").select("coord", "value", "rep", "n", F.coalesce("label", "rep").alias("label"))
