@@ -7,8 +7,10 @@ prefix is posted and the rest is skipped until collisions are counted on the who
 threshold are confirmed on the full shingle sets.
 
 A list of postings never becomes all its pairs: its members are paired with one of them, another in each coordinate,
-and what this links is one component. Only in lists whose members are still in different components, pairs across
-components follow. So no link between components is missed, and large groups of copies cost a row for each copy.
+and what this links is one component. Only lists whose members are then still in different components need more. Short
+ones give pairs across components. Long ones are dealt into blocks, and two blocks at a time are compared as matrices of
+shingles, which yields a spanning forest of their links and no pairs. So no link between components is missed, and a
+group of copies costs a row for each copy.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import checkpointed
 #: A pair of similarity 0.8 agrees in a coordinate with probability 0.8 ** ROWS, and in fewer than MATCHES of COORDS
 #: with a probability of about 1 in 100,000.
 COORDS, ROWS, MATCHES = 24, 3, 3
+#: Lists with more members than LONG_LIST are compared in blocks of about BLOCK_DOCS documents and BLOCK_SHINGLES shingles.
+LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES, SLAB = 48, 1024, 1_000_000, 2048
 _ODD = np.random.default_rng(20).integers(0, 2**63, (COORDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
 FEATURES = "n_shingles long, set_key binary, signature array<long>"
@@ -107,18 +111,88 @@ def confirmed(a: Column, b: Column, width: int, percent: int) -> Column:
     return linked(a, b)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree in MATCHES coordinates and whose sets confirm it."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)).select("a", "b")
-    near = checkpointed(near)
+def _confirm(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets confirm them."""
     if near.isEmpty():
         return near
     told = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
     return checkpointed(near.join(told("a"), "a").join(told("b"), "b").where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b"))
 
 
+def _colliding(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that agree in MATCHES coordinates and whose sets are near enough in size."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
+    return near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)).select("a", "b")
+
+
+def linked_forest(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members with different labels, from their sorted shingle hashes."""
+    shared, counts = np.unique(np.concatenate(sets), return_counts=True)
+    shared = shared[counts > 1]
+    rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    flat = np.concatenate(sets)
+    at = np.searchsorted(shared, flat)
+    ok = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == flat) if len(shared) else np.zeros(len(flat), bool)
+    rows, at = rows[ok], at[ok]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, len(shared), SLAB):  # bounded memory however many shingles
+        lo, hi = np.searchsorted(at, [k, k + SLAB])
+        part = np.zeros((len(sets), SLAB), np.float32)
+        part[rows[lo:hi], at[lo:hi] - k] = 1
+        both += part @ part.T
+    sizes = np.fromiter(map(len, sets), np.float32, len(sets))
+    link = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (labels[:, None] != labels[None, :])
+    left, out = np.ones(len(sets), bool), []
+    for start in np.flatnonzero(link.any(axis=1)).tolist():
+        front = [start] if left[start] else []
+        left[front] = False
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(link[x] & left).tolist()
+            left[new] = False
+            out += [(x, y) for y in new]
+            front += new
+    return out
+
+
+def _block_links(width: int, percent: int):
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rep")
+        known, ids = Numbered(), []
+        for text in rows["text"]:
+            w = words(text)
+            ids.append(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        found = linked_forest([shingle_hashes(hashes[i], width) for i in ids], rows["label"].to_numpy(), percent)
+        rep = rows["rep"].to_numpy()
+        return pd.DataFrame([(min(rep[x], rep[y]), max(rep[x], rep[y])) for x, y in found], columns=["a", "b"], dtype="int64")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the block pair that may go on in the next batch
+        for batch in batches:
+            for g, rows in batch.groupby("g", sort=False):
+                if held and held[0]["g"].iloc[0] != g:
+                    yield links(pd.concat(held))
+                    held = []
+                held.append(rows)
+        if held:
+            yield links(pd.concat(held))
+
+    return stream
+
+
+def _long_list_links(still: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate links (a, b) within long lists: every two of a list's blocks meet in one place."""
+    members = still.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = members.select("rep", "label", "coord", "value", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("rep", "label", F.xxhash64("coord", "value", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
+    told = met.join(texts.select(F.col("doc").alias("rep"), "text"), "rep").repartition("g").sortWithinPartitions("g")
+    return told.mapInPandas(_block_links(width, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs: doc, n_shingles and component_id, the smallest id that links reach.
 
@@ -140,15 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = posts.join(lists.select("coord", "value", salt(F.col("first")).alias("hub")), ["coord", "value"]).where("rep <> hub")
     pairs = star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     texts = texts.where("doc IS NOT NULL")
-    links = _links(pairs, classes, texts, width, percent)
+    links = _confirm(checkpointed(_colliding(pairs, classes, percent)), texts, width, percent)
     label = connected_components(links, checkpointed)
     # lists whose members are still in different components
     labelled = posts.join(label, posts["rep"] == label["node"], "left").select("coord", "value", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    open_lists = labelled.groupBy("coord", "value").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("coord", "value")
-    still = checkpointed(labelled.join(open_lists, ["coord", "value"]))
-    x, y = (still.select("coord", "value", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
+    open_lists = labelled.groupBy("coord", "value").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"), F.sum("n").alias("sum_n")).where("l0 <> l1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_DOCS, F.col("sum_n") / BLOCK_SHINGLES)).cast("int")
+    still = checkpointed(labelled.join(open_lists.select("coord", "value", "size", blocks.alias("blocks")), ["coord", "value"]))
+    short = still.where(F.col("size") <= LONG_LIST)
+    x, y = (short.select("coord", "value", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
     across = x.join(y, ["coord", "value"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    late = _links(across.select("a", "b").distinct(), classes, texts, width, percent)
+    late = _colliding(across.select("a", "b").distinct(), classes, percent).union(_long_list_links(still.where(F.col("size") > LONG_LIST), texts, width, percent))
+    late = _confirm(checkpointed(late.distinct()), texts, width, percent)
     label = connected_components(links.union(late), checkpointed)
     of = classes.join(label, classes["rep"] == label["node"], "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     out = own.join(of, "set_key", "left")
