@@ -33,6 +33,8 @@ from .common import checkpointed
 COORDS, ROWS, MATCHES = 24, 3, 3
 #: Lists with more members than LONG_LIST are compared in blocks of about BLOCK_DOCS documents and BLOCK_SHINGLES shingles.
 LONG_LIST, BLOCK_DOCS, BLOCK_SHINGLES, SLAB = 48, 1024, 1_000_000, 2048
+#: 64-bit words of the filter that keeps texts without candidates out of shuffles; it is broadcast.
+SIFT_WORDS = 1 << 17
 _ODD = np.random.default_rng(20).integers(0, 2**63, (COORDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
 FEATURES = "n_shingles long, set_key binary, signature array<long>"
@@ -111,10 +113,20 @@ def confirmed(a: Column, b: Column, width: int, percent: int) -> Column:
     return linked(a, b)
 
 
+def sifted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose doc may be in ids, found before any shuffle: ids mark bits of a filter that has at most
+    SIFT_WORDS words, whatever the number of ids. Some others get through."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIFT_WORDS))
+    marks = ids.select(bit(ids.columns[0]).alias("k")).groupBy(F.expr("k div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits"))
+    k = texts.withColumn("k", bit("doc"))
+    return k.join(F.broadcast(marks), F.expr("k div 64") == marks["word"]).where(F.getbit("bits", F.expr("cast(k % 64 as int)")) == 1).select(texts.columns)
+
+
 def _confirm(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets confirm them."""
     if near.isEmpty():
         return near
+    texts = sifted(texts, near.select("a").union(near.select("b")))
     told = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
     return checkpointed(near.join(told("a"), "a").join(told("b"), "b").where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b"))
 
@@ -185,11 +197,11 @@ def _block_links(width: int, percent: int):
 
 
 def _long_list_links(still: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidate links (a, b) within long lists: every two of a list's blocks meet in one place."""
+    """Links (a, b) within long lists: every two of a list's blocks meet in one place."""
     members = still.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = members.select("rep", "label", "coord", "value", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("rep", "label", F.xxhash64("coord", "value", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
-    told = met.join(texts.select(F.col("doc").alias("rep"), "text"), "rep").repartition("g").sortWithinPartitions("g")
+    told = met.join(sifted(texts, still.select("rep")).select(F.col("doc").alias("rep"), "text"), "rep").repartition("g").sortWithinPartitions("g")
     return told.mapInPandas(_block_links(width, percent), "a long, b long").distinct()
 
 
@@ -224,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = still.where(F.col("size") <= LONG_LIST)
     x, y = (short.select("coord", "value", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
     across = x.join(y, ["coord", "value"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    late = _colliding(across.select("a", "b").distinct(), classes, percent).union(_long_list_links(still.where(F.col("size") > LONG_LIST), texts, width, percent))
-    late = _confirm(checkpointed(late.distinct()), texts, width, percent)
+    late = _confirm(checkpointed(_colliding(across.select("a", "b").distinct(), classes, percent)), texts, width, percent)
+    late = late.union(checkpointed(_long_list_links(still.where(F.col("size") > LONG_LIST), texts, width, percent)))
     label = connected_components(links.union(late), checkpointed)
     of = classes.join(label, classes["rep"] == label["node"], "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     out = own.join(of, "set_key", "left")
