@@ -108,9 +108,9 @@ def delete_aggregates(concepts: DataFrame, edges: DataFrame, elements: DataFrame
     left = concepts.join(gone, "node", "left_anti").withColumn("labels", F.array_except("labels", F.array(*map(F.lit, labels))))
     touched = lambda df, *ends: _without(df, gone, ends)
     kept_edges, kept_elements = touched(edges, "src", "dst"), touched(elements, "aggregate", "element")
-    n = lambda df: df.agg(F.count("*").alias("n"))
-    total = n(edges).union(n(elements)).agg(F.sum("n").alias("before")).crossJoin(n(kept_edges).union(n(kept_elements)).agg(F.sum("n").alias("after")))  # one row each
-    counts = total.crossJoin(n(gone)).select(F.col("n").alias("num_nodes"), (F.col("before") - F.col("after")).alias("num_relationships"))
+    n = lambda df, nodes, sign: df.select(F.lit(nodes).alias("nodes"), F.lit(sign).alias("edges"))
+    every = n(gone, 1, 0).union(n(edges, 0, 1)).union(n(elements, 0, 1)).union(n(kept_edges, 0, -1)).union(n(kept_elements, 0, -1))
+    counts = every.agg(F.coalesce(F.sum("nodes"), F.lit(0)).cast("long").alias("num_nodes"), F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("num_relationships"))
     return left, kept_edges, kept_elements, counts
 
 
