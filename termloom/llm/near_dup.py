@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .bpe import Numbered
+from .bpe import Numbered, shards
 from .common import checkpointed
 
 #: A pair of similarity 0.8 agrees in a coordinate with probability 0.8 ** ROWS, and in fewer than MATCHES of COORDS
@@ -76,14 +76,16 @@ def features(text: Column, width: int) -> Column:
     @F.pandas_udf(FEATURES)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            known, rows, out = Numbered(), [], []
-            for text in texts:
-                w = words(text)
-                rows.append(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            for row in rows:
-                s = shingle_hashes(hashes[row], width)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s)) if len(s) else (0, None, None))
+            out, texts = [], texts.tolist()
+            for begin, end in shards(texts):  # each with word numbers of its own, which bounds memory
+                known, rows = Numbered(), []
+                for text in texts[begin:end]:
+                    w = words(text)
+                    rows.append(np.fromiter(map(known.__getitem__, w), np.int32, len(w)))
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+                for row in rows:
+                    s = shingle_hashes(hashes[row], width)
+                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s)) if len(s) else (0, None, None))
             yield pd.DataFrame(out, columns=["n_shingles", "set_key", "signature"])
 
     return of(text)
