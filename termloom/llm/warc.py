@@ -32,13 +32,15 @@ def record_text(uri: Column, payload: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
-    """Gzipped WARC files in the folder path, records in key order within a file."""
-    rows = pages.select(F.col(id_col).alias("key"), record_text(F.col(uri_col), F.col(payload_col)).alias("value"))
-    rows.repartitionByRange("key").sortWithinPartitions("key").select("value").write.option("compression", "gzip").option("lineSep", "").text(path)
+    """Gzipped WARC files in the folder path, records in key order within a file. The writer adds each record's last CRLF."""
+    record = F.expr("left(record, length(record) - 2)")
+    rows = pages.select(F.col(id_col).alias("key"), record_text(F.col(uri_col), F.col(payload_col)).alias("record")).select("key", record.alias("value"))
+    rows.repartitionByRange("key").sortWithinPartitions("key").select("value").write.option("compression", "gzip").option("lineSep", "\r\n").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """(uri, payload) of the records that write_warc has written. Records are cut where the next header begins."""
+    """(uri, payload) of the records that write_warc has written. Records are cut where a line WARC/1.0 begins the next
+    header, so a payload that holds such a line itself comes out shorter."""
     raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where("value <> ''")
     head = F.substring_index("value", "\r\n\r\n", 1)
     size = F.regexp_extract(head, "Content-Length: (\\d+)", 1).cast("int")
