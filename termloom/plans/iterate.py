@@ -21,14 +21,15 @@ def keep(df: DataFrame) -> DataFrame:
 
 def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(origin, node): start's rows and all that edges (src, dst) reach from them, each once; cycles end."""
-    seen = keep(start.select("origin", "node").distinct())
-    front = seen
-    for _ in range(max_rounds):
+    seen = front = keep(start.select("origin", "node").distinct())
+    for k in range(1, max_rounds + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("origin", F.col("dst").alias("node")).distinct()
         front = keep(step.join(seen, ["origin", "node"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = keep(seen.union(front))
+        seen = seen.union(front)
+        if k % 16 == 0:  # each front is written already; now and then they become one table
+            seen = keep(seen)
     raise RuntimeError(f"closure did not end within {max_rounds} rounds")
 
 
@@ -74,5 +75,7 @@ def heights(children: DataFrame, max_height: int = 256) -> DataFrame:
         front = keep(above.select(F.col("parent").alias("node")).distinct().withColumn("height", F.lit(k)))
         if front.isEmpty():
             return done
-        done = keep(done.join(front.select("node"), "node", "left_anti").union(front))
+        done = done.join(front.select("node"), "node", "left_anti").union(front)
+        if k % 8 == 0:
+            done = keep(done)
     raise RuntimeError(f"aggregates are nested more than {max_height} deep, or contain each other")
