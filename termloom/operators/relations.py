@@ -5,9 +5,10 @@ relation_docs: type, u, v (u <= v), doc, count. Edges are undirected; both direc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.iterate import keep
 from .paths import leaf_elements, with_top
 
 
@@ -21,16 +22,34 @@ def relation_pairs(relations: DataFrame) -> DataFrame:
     return both.withColumn("u", F.least("__x", "__y")).withColumn("v", F.greatest("__x", "__y")).drop("args", "__all", "__i", "__x", "__y")
 
 
-def argument_parts(arg: DataFrame, column: str = "arg", default_property: str = "originalId", default_source: str | None = None) -> DataFrame:
+def argument_parts(arg: DataFrame, column: str = "arg", default_property: str | Column = "originalId", default_source: str | Column | None = None) -> DataFrame:
     """arg with id_property, id and id_source of an argument (array of id and perhaps source). A prefix counts only if it
-    is one of the id properties; ids may hold colons."""
+    is one of the id properties; ids may hold colons. Defaults are values or columns."""
+    default = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     raw, source = F.get(column, F.lit(0)), F.get(column, F.lit(1))
     known = F.substring_index(raw, ":", 1).isin("id", "originalId", "sourceIds") & raw.contains(":")
-    return (
-        arg.withColumn("id_property", F.when(known, F.substring_index(raw, ":", 1)).otherwise(F.lit(default_property)))
-        .withColumn("id", F.when(known, F.expr(f"substring({column}[0], length(substring_index({column}[0], ':', 1)) + 2)")).otherwise(raw))
-        .withColumn("id_source", F.coalesce(source, F.lit(default_source).cast("string")))
-    )
+    return arg.select(
+        "*",
+        F.when(known, F.substring_index(raw, ":", 1)).otherwise(F.coalesce(default(default_property), F.lit("originalId"))).alias("__property"),
+        F.when(known, F.expr(f"substring({column}[0], length(substring_index({column}[0], ':', 1)) + 2)")).otherwise(raw).alias("__id"),
+        F.coalesce(source, default(default_source)).alias("__source"),
+    ).drop("id_property", "id", "id_source").withColumnsRenamed({"__property": "id_property", "__id": "id", "__source": "id_source"})
+
+
+def resolved_arguments(rows: DataFrame, concepts: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows of relation documents (id_property, id_source, args array<array<string>> and others) with args as nodes, null
+    where nobody has the id. An id alone finds a node by id; originalId and sourceIds heed the source if there is one."""
+    r = keep(rows.withColumn("__r", F.monotonically_increasing_id()))
+    one = r.select("__r", "id_property", "id_source", F.posexplode("args").alias("k", "arg"))
+    one = argument_parts(one, "arg", F.col("id_property"), F.col("id_source"))
+    by_id = concepts.select(F.lit("id").alias("id_property"), F.col("id"), F.lit(None).cast("string").alias("s"), "node")
+    by_original = concepts.select(F.lit("originalId"), F.col("original_id"), F.col("original_source"), "node")
+    by_source = sources.select(F.lit("sourceIds"), F.col("source_id"), F.col("source"), "node")
+    known = by_id.union(by_original).union(by_source).where("id IS NOT NULL").withColumnsRenamed({"id_property": "p", "id": "i"})
+    hit = one.join(known, (F.col("id_property") == F.col("p")) & (F.col("id") == F.col("i")) & ((F.col("p") == "id") | F.col("id_source").isNull() | (F.col("id_source") == F.col("s"))))
+    found = hit.groupBy("__r", "k").agg(F.min("node").alias("node"))
+    args = one.select("__r", "k").join(found, ["__r", "k"], "left").groupBy("__r").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("a"))
+    return r.drop("args").join(args.select("__r", F.col("a")["node"].alias("args")), "__r").drop("__r")
 
 
 def counted(pairs: DataFrame) -> DataFrame:
