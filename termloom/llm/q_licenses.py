@@ -1,16 +1,51 @@
-"""Query of the license scan. The base columns have SQL; merged diagonals and scores don't."""
+"""Query of the license scan, and the SQL that checks it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .licenses import scan_licenses
+from .licenses import COVER, SLACK, TEMPLATES, K, scan_licenses
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+VALUES = ", ".join(f"('{name}', '{label}', '{text}', {exact})" for name, (label, text, exact) in TEMPLATES.items())
+SQL = rf"""
+WITH templates AS (SELECT tpl, label, string_split(body, ' ') AS tw, exact FROM (VALUES {VALUES}) AS v(tpl, label, body, exact)),
+grams AS (
+  SELECT tpl, label, exact, len(tw) - {K - 1} AS n_grams, unnest(range(0, len(tw) - {K - 1})) AS tpos, unnest(tw[:-{K}]) AS w1, unnest(tw[{K}:]) AS w2
+  FROM templates),
+texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+pairs AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS i, unnest(w[:-{K}]) AS d1, unnest(w[{K}:]) AS d2 FROM texts WHERE len(w) >= {K}),
+hits AS (SELECT doc_id, i, tpl, label, exact, n_grams, tpos FROM pairs JOIN grams ON d1 = w1 AND d2 = w2),
+diagonals AS (
+  SELECT doc_id, tpl, label, exact, n_grams, i - tpos AS diag, list_distinct(list(tpos)) AS seen, min(i) AS first, max(i) + {K - 1} AS last
+  FROM hits GROUP BY ALL),
+compared AS (
+  SELECT *, diag - lag(diag) OVER w AS step, abs(first - lag(last) OVER w) AS gap
+  FROM diagonals WHERE NOT exact WINDOW w AS (PARTITION BY doc_id, tpl ORDER BY diag)),
+runs AS (
+  SELECT *, sum(CASE WHEN step IS NULL OR step > {SLACK} OR gap > 2 * n_grams THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS run
+  FROM compared),
+merged AS (
+  SELECT doc_id, tpl, label, n_grams, run, len(list_distinct(flatten(list(seen)))) / n_grams AS cover, min(first) AS first, max(last) AS last
+  FROM runs GROUP BY doc_id, tpl, label, n_grams, run),
+spans AS (
+  SELECT doc_id, label, true AS exact, first, 1.0::DOUBLE AS cover FROM diagonals WHERE exact AND len(seen) = n_grams
+  UNION ALL SELECT doc_id, label, false, first, cover FROM merged WHERE cover >= {COVER} AND last - first + 1 <= 1.5 * (n_grams + {K - 1})),
+found AS (
+  SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+  FROM spans GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM texts t LEFT JOIN found USING (doc_id)
+"""
+
 QUERIES = {"op10_license_scan": op10_license_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_license_scan": SQL}
