@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int32).max
-SHARD_CHARS = 12_000_000
+SHARD_CHARS = 4_000_000
 #: White space in which pre-tokens of single words can't be told from the words alone.
 LONG_BLANK = regex.compile(r"\s \s|\s \Z")
 
@@ -187,6 +187,7 @@ def _encode_shard(texts: list[str | None], table: Merges, pattern: str) -> Itera
     parts = [[pre[t] for t in cut.findall(p)] for p in pieces]
     done = table.replay([t.encode("utf-8", "surrogatepass") for t in pre])
     ids = [done[p[0]] if len(p) == 1 else [i for k in p for i in done[k]] for p in parts]
+    del pieces, pre, parts, done  # what is left lives until the last text is read
     for row in rows:
         yield row, ids
 
