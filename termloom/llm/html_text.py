@@ -33,12 +33,18 @@ BLOCK = frozenset(
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button label input fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
+#: Elements that are no wrappers of an article, whatever they hold.
+NEVER_WRAP = BOILERPLATE - {"form", "fieldset", "header"}
 #: An element whose class, id or role has one of these as a word, or as the start of one, isn't part of the article.
 BAD_NAMES = re.compile(
     r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|foot|footer\w*|side|sidebar\w*|aside|comment\w*|disqus\w*|replies|respond"
     r"|cookie\w*|consent\w*|gdpr\w*|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|subscri\w*|newsletter\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar\w*"
     r"|pagination|pager|copyright|legal|disclaimer|search\w*|form|contentinfo|navigation|complementary|skip\w*)(?![a-z])"
 )
+#: Names of text by others, or about other things: an element named so is no wrapper of an article either.
+NEVER_NAMES = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|comment\w*|disqus\w*|replies|respond|cookie\w*|consent\w*|gdpr\w*|related\w*|recommend\w*|newsletter\w*)(?![a-z])")
+#: A name with one of these parts says what a page has or how it looks (has-sidebar, social-enabled), not what the element is.
+STATES = re.compile(r"(?<![a-z])(?:has|no|non|not|with|without|enabled|disabled|layout)(?![a-z])")
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?:>|\Z)(?:.*?(?=</(?P=raw)[\s/>])|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -58,19 +64,28 @@ class Block:
     in_main: bool
     heading: bool
     section: int
+    wraps: tuple[int, ...] = ()  # elements around it that make its place bad, if not as wrappers of the article
     label: str = ""
     words: list[str] = field(default_factory=list)
 
 
-def _attrs_bad(attrs: str) -> bool:
-    return bool(attrs) and (any(BAD_NAMES.search(v.strip("\"'").lower()) for v in ATTRIBUTE.findall(attrs)) or bool(HIDDEN.search(attrs)))
+def _attrs_bad(attrs: str) -> tuple[bool, bool]:
+    """Whether an element stands for no part of the article, by its names or as it is hidden, and whether that can't be undone."""
+    if not attrs:
+        return False, False
+    names = [x for v in ATTRIBUTE.findall(attrs) for x in v.strip("\"'").lower().split() if BAD_NAMES.search(x) and not STATES.search(x)]
+    hidden = bool(HIDDEN.search(attrs))
+    return hidden or bool(names), hidden or any(map(NEVER_NAMES.search, names))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order. Inline tags don't end a block; br counts as white space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, in a bad place, in the article, section
-    bad, main, heading, section, sections = False, False, False, 0, 0
+    stack: list[tuple[str, bool, tuple[int, ...], bool, int]] = []  # tag, in a bad place for good, in perhaps bad elements, in the article, section
+    bad, wraps, main, heading, section, sections = False, (), False, False, 0, 0
+    forms: set[int] = set()
+    wrappers: set[int] = set()  # of main, and forms around an article
+    n_wraps = 0
     parts: list[str] = []
     link_words, link_depth = 0, 0
 
@@ -79,7 +94,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append(Block(text, link_words, bad, main, heading, section))
+            out.append(Block(text, link_words, bad or bool(wraps), main, heading, section, () if bad else wraps))
         link_words = 0
 
     def add(text: str) -> None:
@@ -115,9 +130,9 @@ def blocks_of(page: str) -> list[Block]:
         if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if not is_block and stack[k][1] != bad:
+                    if not is_block and stack[k][1:3] != (bad, wraps):
                         close_block()
-                    _, bad, main, section = stack[k]
+                    _, bad, wraps, main, section = stack[k]
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCK and not is_block:
@@ -129,7 +144,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         attrs = m["attrs"]
-        worse = not (tag in ("body", "html") or tag in MAIN) and (tag in BOILERPLATE and not (tag == "header" and main) or _attrs_bad(attrs))
+        worse, for_good = (False, False) if tag in ("body", "html") or tag in MAIN else _attrs_bad(attrs)
+        if tag in BOILERPLATE and tag not in MAIN and not (tag == "header" and main):
+            worse, for_good = True, for_good or tag in NEVER_WRAP
         if not is_block:
             if not worse:
                 continue
@@ -137,22 +154,64 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "p" or tag in HEADINGS or tag in ("li", "dd", "dt", "tr", "td", "th"):  # these end one of their kind that was left open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag or tag in HEADINGS and stack[k][0] == "p":
-                    _, bad, main, section = stack[k]
+                    _, bad, wraps, main, section = stack[k]
                     del stack[k:]
                     break
                 if stack[k][0] not in ("p", "b", "i", "span"):
                     break
-        stack.append((tag, bad, main, section))
-        bad, main = bad or worse, main or tag in MAIN
+        if tag == "main":
+            wrappers.update(wraps)
+        elif tag == "article":
+            wrappers.update(forms.intersection(wraps))
+        stack.append((tag, bad, wraps, main, section))
+        bad, main = bad or for_good, main or tag in MAIN
+        if worse and not for_good:
+            n_wraps += 1
+            wraps = (*wraps, n_wraps)
+            if tag in ("form", "fieldset"):
+                forms.add(n_wraps)
         heading = tag in HEADINGS or any(x[0] in HEADINGS for x in stack)
         if tag in MAIN or tag in BOILERPLATE or tag in ("section", "div", "body"):
             sections += 1
             section = sections
     add(page[at:])
     close_block()
+    if n_wraps:
+        unwrap(out, wrappers)
     return out
 
 
+def unwrap(found: list[Block], wrappers: set[int]) -> None:
+    """Takes blocks out of bad places that are wrappers of the article: those given, and elements that hold most of the
+    page's running text, in three blocks or more or with its article or first heading."""
+    mass: dict[int, int] = {}
+    count: dict[int, int] = {}
+    marked: set[int] = set()
+    total = 0
+    for b in found:
+        if b.bad_place and not b.wraps:
+            continue
+        if b.heading or b.in_main:
+            marked.update(b.wraps)
+        n = running_words(b)
+        total += n
+        for w in b.wraps if n else ():
+            mass[w], count[w] = mass.get(w, 0) + n, count.get(w, 0) + 1
+    free = wrappers | {w for w, n in mass.items() if 2 * n > total and (count[w] > 2 or w in marked)}
+    for b in found:
+        if b.wraps and free.issuperset(b.wraps):
+            b.bad_place = False
+
+
+def running_words(b: Block) -> int:
+    """A block's words if it reads like running text, else 0."""
+    words = b.text.split()
+    n = len(words)
+    if n < SHORT or b.links / n > 0.5:
+        return 0
+    return n if sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) / n >= 0.1 else 0
+
+
 def first_pass(b: Block, has_main: bool) -> str:
     """good or bad where place, links or stop words decide; short or unclear else."""
     b.words = b.text.split()

@@ -291,6 +291,19 @@ def test_html_without_article_by_density():
     assert html_text.main_text(page) == f"Short head\n{text}\nSo be it.\n{text}"
 
 
+def test_html_wrappers_of_the_article():
+    """Layout names, one form around the page and named wrappers don't take the article away; its comments and adverts go."""
+    text = "This is the text of the page and it has many of the words that are in such a text, as it was written for us by them."
+    article = f"<h1>Head of it</h1><p>{text}</p><div class=ad>Buy the best of all that is in the shop of the day</div><p>{text}</p>"
+    rest = f"<div id=comments><p>{text} I</p><p>{text} II</p><p>{text} III</p></div><aside><p>{text} IV</p></aside>"
+    for around in ("<div class='page has-sidebar'>", "<div class='no-sidebar with-comments social-enabled'>", "<form id=aspnetForm>", "<div class=sidebar-wrapper>", "<form><div class='header-wrap'>", "<header>"):
+        for inner in ("<article>", "<main>", "<div>"):
+            page = f"<nav>Menu of the site</nav>{around}{inner}{article}{'</' + inner[1:]}{rest}{''.join('</' + x.split()[0].strip('>') + '>' for x in around.split('<')[:0:-1])}<footer>x</footer>"
+            assert html_text.main_text(page) == f"Head of it\n{text}\n{text}", page
+    aside = f"<article><p>{text}</p><p>{text}</p></article><div class=sidebar><article><p>{text}</p></article></div><form><h2>Write to us</h2><p>{text}</p></form>"
+    assert html_text.main_text(aside) == f"{text}\n{text}"
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, None), (2, "<article>x" + " y" * 100_000), (3, "")], "page_id long, html string")
     assert [len(r.t) for r in d.select("page_id", html_text.extract(F.col("html")).alias("t")).orderBy("page_id").collect()] == [0, 200_001, 0]
