@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,6 +53,11 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?<![^\s"'/])(?:hidden(?=[\s/=]|\Z)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 SHORT, LONG = 8, 25
+#: So many code points are a long block in any script; scripts without spaces count two of their characters as a word.
+LONG_CHARS = 150
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Running text with a smaller share of stop words is in a language whose function words aren't in hand.
+KNOWN_SHARE = 0.15
 GOOD, BAD, SHORT_BLOCK, UNCLEAR = "good", "bad", "short", "unclear"
 
 
@@ -66,7 +71,13 @@ class Block:
     section: int
     wraps: tuple[int, ...] = ()  # elements around it that make its place bad, if not as wrappers of the article
     label: str = ""
-    words: list[str] = field(default_factory=list)
+    words: int = 0
+    stops: int = 0  # words that are stop words
+
+
+def size(text: str) -> int:
+    """Words of a text, by length where a script doesn't part them."""
+    return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)) // 2)
 
 
 def _attrs_bad(attrs: str) -> tuple[bool, bool]:
@@ -94,7 +105,8 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append(Block(text, link_words, bad or bool(wraps), main, heading, section, () if bad else wraps))
+            stops = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in text.split())
+            out.append(Block(text, link_words, bad or bool(wraps), main, heading, section, () if bad else wraps, words=size(text), stops=stops))
         link_words = 0
 
     def add(text: str) -> None:
@@ -102,7 +114,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             parts.append(text)
             if link_depth:
-                link_words += len(text.split())
+                link_words += size(html.unescape(text))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -188,12 +200,13 @@ def unwrap(found: list[Block], wrappers: set[int]) -> None:
     count: dict[int, int] = {}
     marked: set[int] = set()
     total = 0
+    known = is_known([b for b in found if b.wraps or not b.bad_place])
     for b in found:
         if b.bad_place and not b.wraps:
             continue
         if b.heading or b.in_main:
             marked.update(b.wraps)
-        n = running_words(b)
+        n = running_words(b, known)
         total += n
         for w in b.wraps if n else ():
             mass[w], count[w] = mass.get(w, 0) + n, count.get(w, 0) + 1
@@ -203,33 +216,43 @@ def unwrap(found: list[Block], wrappers: set[int]) -> None:
             b.bad_place = False
 
 
-def running_words(b: Block) -> int:
+def is_known(found: list[Block]) -> bool:
+    """Whether blocks that aren't links have the stop words of a language in hand."""
+    text = [b for b in found if 2 * b.links <= b.words]
+    return sum(b.stops for b in text) >= KNOWN_SHARE * sum(b.words for b in text)
+
+
+def running_words(b: Block, known: bool) -> int:
     """A block's words if it reads like running text, else 0."""
-    words = b.text.split()
-    n = len(words)
-    if n < SHORT or b.links / n > 0.5:
+    if b.words < SHORT or b.links / b.words > 0.5:
         return 0
-    return n if sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) / n >= 0.1 else 0
+    return b.words if b.stops / b.words >= 0.1 or not known and is_long(b) else 0
 
 
-def first_pass(b: Block, has_main: bool) -> str:
-    """good or bad where place, links or stop words decide; short or unclear else."""
-    b.words = b.text.split()
-    n = len(b.words)
+def is_long(b: Block) -> bool:
+    return b.words >= LONG or len(b.text) >= LONG_CHARS
+
+
+def first_pass(b: Block, has_main: bool, known: bool = True) -> str:
+    """good or bad where place, links, stop words or length decide; short or unclear else.
+
+    Stop words speak for a block. That it has none says little, as no language's words may be in hand: where that is
+    so of the page (not known), length and links decide.
+    """
+    n = b.words
     if b.bad_place:
         return BAD
     if b.links / n > 0.5 and not (b.in_main and n > SHORT):
         return BAD
-    stops = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in b.words) / n
+    stops = b.stops / n
+    good = is_long(b) and (n >= LONG and stops >= 0.15 or not known and b.links / n <= 0.25)
     if has_main and not b.in_main:
-        return BAD if n < LONG or stops < 0.1 else UNCLEAR
-    if n < SHORT:
+        return BAD if not is_long(b) or known and (n < LONG or stops < 0.1) else UNCLEAR
+    if n < SHORT and not (good and not b.heading):
         return SHORT_BLOCK
     if b.in_main:
-        return GOOD if stops >= 0.05 else UNCLEAR
-    if n >= LONG and stops >= 0.15:
-        return GOOD
-    return BAD if stops < 0.05 and not b.heading else UNCLEAR
+        return GOOD if stops >= 0.05 or good else UNCLEAR
+    return GOOD if good else UNCLEAR
 
 
 def second_pass(found: list[Block]) -> list[bool]:
@@ -261,8 +284,9 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks_of(page)
     has_main = any(b.in_main and not b.bad_place for b in found)
+    known = is_known([b for b in found if not b.bad_place])
     for b in found:
-        b.label = first_pass(b, has_main)
+        b.label = first_pass(b, has_main, known)
     return "\n".join(b.text for b, kept in zip(found, second_pass(found), strict=True) if kept)
 
 

@@ -304,6 +304,22 @@ def test_html_wrappers_of_the_article():
     assert html_text.main_text(aside) == f"{text}\n{text}"
 
 
+def test_html_in_languages_without_known_stop_words():
+    texts = {
+        "pl": "Wczoraj wieczorem mieszkańcy miasta spotkali się nad rzeką, żeby wspólnie obejrzeć pokaz świateł, który przygotowali uczniowie tamtejszej szkoły plastycznej razem ze swoimi nauczycielami i rodzicami.",
+        "ru": "Вчера вечером жители города собрались у реки, чтобы вместе посмотреть представление, которое подготовили ученики местной художественной школы вместе со своими учителями и родителями для всех гостей.",
+        "tr": "Dün akşam şehrin sakinleri nehir kıyısında buluşarak yerel sanat okulu öğrencilerinin öğretmenleri ve aileleriyle birlikte hazırladığı ışık gösterisini hep beraber büyük bir ilgiyle izlediler ve alkışladılar.",
+        "ja": "昨日の夕方、町の人々は川のほとりに集まり、地元の美術学校の生徒たちが先生や保護者と一緒に準備した光のショーを楽しみました。会場には多くの家族連れが訪れ、夜遅くまで笑い声が響いていました。",
+    }
+    for text in texts.values():
+        page = f"<div class=menu><a href=1>{text[:20]}</a></div><div><h2>{text[:12]}</h2><p>{text}</p><p>{text[:9]}</p><p>{text}!</p></div><div><a href=3>{text}</a></div><footer>{text}</footer>"
+        assert html_text.main_text(page) == f"{text[:12].strip()}\n{text}\n{text[:9].strip()}\n{text}!"
+        assert html_text.main_text(f"<form><article><p>{text}</p></article></form><form class=side><div><p>{text}</p></div></form>") == text
+    text = "This is the text of the page and it has many of the words that are in such a text, as it was written for us by them."
+    names = "Anna Bell, Carl Dorn, Ella Frey, Gus Hahn, Ida Jung, Kurt Lang, Mia Noll"
+    assert html_text.main_text(f"<div><p>{text}</p><p>{names}</p><p>{text}</p></div><footer>x</footer>") == f"{text}\n{names}\n{text}"
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, None), (2, "<article>x" + " y" * 100_000), (3, "")], "page_id long, html string")
     assert [len(r.t) for r in d.select("page_id", html_text.extract(F.col("html")).alias("t")).orderBy("page_id").collect()] == [0, 200_001, 0]
