@@ -258,18 +258,24 @@ def first_pass(b: Block, has_main: bool, known: bool = True) -> str:
 def second_pass(found: list[Block]) -> list[bool]:
     """Whether each block is kept: undecided ones take the label of the nearest decided block on either side.
 
-    Neighbours in the same section count before those of others; of two at odds, the nearer wins, then good. In an
-    article without any decided block, undecided ones are kept.
+    Neighbours in the same section count before those of others; of two at odds, the nearer wins, then good. Blocks that
+    are bad only by their place (an advert, a share bar) say nothing about the text around them. In an article without
+    any decided block, undecided ones are kept.
     """
-    decided = [k for k, b in enumerate(found) if b.label in (GOOD, BAD)]
+    votes = [b.label in (GOOD, BAD) and not b.bad_place for b in found]
+    before, after = [None] * len(found), [None] * len(found)  # the nearest block that votes, on either side
+    for side, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last = None
+        for k in order:
+            side[k] = last
+            last = k if votes[k] else last
     keep = []
     for k, b in enumerate(found):
         if b.label in (GOOD, BAD):
             keep.append(b.label == GOOD)
             continue
         same = lambda j: (found[j].section == b.section, found[j].in_main == b.in_main)  # noqa: B023, E731
-        near = [next((j for j in side if found[j].label in (GOOD, BAD)), None) for side in (range(k - 1, -1, -1), range(k + 1, len(found)))] if decided else []
-        near = [j for j in near if j is not None and (not b.in_main or found[j].in_main)]
+        near = [j for j in (before[k], after[k]) if j is not None and (not b.in_main or found[j].in_main)]
         if not near:
             keep.append(b.in_main)
             continue

@@ -320,6 +320,14 @@ def test_html_in_languages_without_known_stop_words():
     assert html_text.main_text(f"<div><p>{text}</p><p>{names}</p><p>{text}</p></div><footer>x</footer>") == f"{text}\n{names}\n{text}"
 
 
+def test_html_adverts_do_not_vote():
+    text = "This is the text of the page and it has many of the words that are in such a text, as it was written for us by them."
+    ad = "<div class=ad>Buy the best of all that is in the shop of the day</div>"
+    body = f"{ad}<div>Short head</div><div>By A. Writer</div><div class=share>Share it</div><div><p>{text}</p></div>{ad}<div>Last words</div>"
+    assert html_text.main_text(f"<article>{body}</article>") == f"Short head\nBy A. Writer\n{text}\nLast words"
+    assert html_text.main_text(f"<div>{body}</div>") == f"Short head\nBy A. Writer\n{text}\nLast words"
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(1, None), (2, "<article>x" + " y" * 100_000), (3, "")], "page_id long, html string")
     assert [len(r.t) for r in d.select("page_id", html_text.extract(F.col("html")).alias("t")).orderBy("page_id").collect()] == [0, 200_001, 0]
