@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
-from .warc import audit, manifest
+from .warc import audit_records, manifest
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = audit(checkpointed(manifest(pages)), checkpointed(manifest(damaged(pages))), checkpointed)
+    found = audit_records(checkpointed(manifest(pages)), checkpointed(manifest(damaged(pages))), checkpointed)
     return found.select(F.col("key").alias("page_id"), F.col("file").alias("file_no"), F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"), "digest", "found_digest", "damage")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 FANOUT = 16
 #: Records with so many consecutive keys share an archive file.
 FILE_KEYS = 1024
@@ -48,7 +50,17 @@ def read_warc(spark, path: str) -> DataFrame:
     return raw.select(F.regexp_extract(head, "WARC-Target-URI: ([^\\r]*)", 1).alias("uri"), F.decode(F.substring(F.encode(body, "UTF-8"), F.lit(1), size), "UTF-8").alias("payload"))
 
 
-def manifest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", file_keys: int = FILE_KEYS) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the sum of value over each group's rows up to each row, in the order of columns. Rows are dealt by ranges of
+    group and order, whose sums are added up first, so that a group may be larger than a task."""
+    ranged = keep(df.withColumn("__v", value).repartitionByRange(*group, *order).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p", *group).agg(F.sum("__v").alias("__s"))  # a row for each group of a range
+    sums = sums.withColumn("__o", F.coalesce(F.sum("__s").over(W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    here = F.sum("__v").over(W.partitionBy("__p", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return ranged.withColumn("__h", here).join(sums, ["__p", *group]).withColumn(out, F.col("__o") + F.col("__h")).drop("__p", "__v", "__o", "__h")
+
+
+def manifest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", file_keys: int = FILE_KEYS, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(key, file, begin, end, digest) of every record: its archive file, its byte range there and its SHA-256.
 
     Texts stay where they are; only digests and lengths move. Null keys are one key before all others. Repeated rows
@@ -56,9 +68,8 @@ def manifest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
     """
     rec = record_text(F.col(uri_col), F.col(payload_col))
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("key"), F.octet_length(rec).cast("long").alias("size"), F.sha2(rec.cast("binary"), 256).alias("digest"))
-    w = W.partitionBy("file").orderBy("key", "digest")
-    ends = rows.withColumn("file", F.expr(f"key div {file_keys}") - F.when(F.col("key") < 0, 1).otherwise(0))
-    ends = ends.withColumn("end", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("file", F.expr(f"key div {file_keys}") - F.when(F.col("key") < 0, 1).otherwise(0)).withColumn("tie", F.monotonically_increasing_id())
+    ends = running(rows, ["file"], ["key", "digest", "tie"], F.col("size"), "end", keep)
     return ends.select("key", "file", (F.col("end") - F.col("size")).alias("begin"), "end", "digest")
 
 
@@ -101,13 +112,8 @@ def tree(records: DataFrame, first_key: int, n_levels: int, keep: Callable[[Data
     return out
 
 
-def audit(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """Records of two manifests that differ: key, file, begin, end and digest by held and found_digest by other, and
-    damage: altered, missing (other lacks it) or extra (held lacks it).
-
-    Equal replicas, two empty ones included, give no rows. Of records that share a key, those whose digests both
-    replicas hold equally often are left out.
-    """
+def odd_keys(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """(key) whose records differ between two manifests, found from the roots down."""
     ends = held.select("key").union(other.select("key")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     lo, n = ends["lo"] or 0, levels((ends["hi"] or 0) - (ends["lo"] or 0) + 1, fanout)
     a, b = (tree(x, lo, n, keep, fanout) for x in (held, other))
@@ -120,7 +126,35 @@ def audit(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFra
         odd = keep(x.join(y, "node", "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("node"))
         if odd.isEmpty():
             break
-    keys = odd.select((F.col("node") + F.lit(lo)).alias("key")) if odd is not None else held.select("key").where("false")
+    return odd.select((F.col("node") + F.lit(lo)).alias("key")) if odd is not None else held.select("key").where("false")
+
+
+def audit_records(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """A row for each record in which two manifests differ: key, file, begin, end (by held; by other if extra), digest by held
+    and found_digest by other, and damage: altered, missing (other lacks it) or extra (held lacks it).
+
+    Records of a key have no order of their own; those whose digests both replicas hold are intact, as often as both hold
+    them, and of equal records the last are the ones too many. What is left of a key on both sides is paired in the order
+    of digests as altered, the rest is missing or extra. Equal replicas, two empty ones included, give no rows.
+    """
+    keys = odd_keys(held, other, keep, fanout)
+    sides = held.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1))).join(keys, "key", "left_semi")
+    sides = keep(sides.select("side", "key", "digest", "file", "begin", "end"))
+    is_held = F.lit(1) - 2 * F.col("side")
+    counts = sides.groupBy("key", "digest").agg(F.sum(is_held).alias("more"), F.sum((1 - F.col("side"))).alias("n_0"), F.sum("side").alias("n_1"))
+    both = sides.join(counts.where("more <> 0"), ["key", "digest"]).where((F.col("more") > 0) == (F.col("side") == 0))
+    nth = running(both, ["side", "key", "digest"], ["begin"], F.lit(1), "nth", keep).where(F.col("nth") > F.least("n_0", "n_1"))
+    left = running(nth.select("side", "key", "digest", "file", "begin", "end"), ["side", "key"], ["digest", "begin"], F.lit(1), "i", keep)
+    side = lambda k: left.where(F.col("side") == k).select("key", "i", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "file", "begin", "end")))
+    out = side(0).join(side(1), ["key", "i"], "full_outer")
+    damage = F.when(F.col("digest_1").isNull(), "missing").when(F.col("digest_0").isNull(), "extra").otherwise("altered")
+    return out.select("key", *(F.coalesce(f"{c}_0", f"{c}_1").alias(c) for c in ("file", "begin", "end")), F.col("digest_0").alias("digest"), F.col("digest_1").alias("found_digest"), damage.alias("damage"))
+
+
+def audit(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """A row for each key whose records differ, whatever their number, with the columns of audit_records: the smallest
+    differing digest of either side and the range from the first to the last differing record."""
+    keys = odd_keys(held, other, keep, fanout)
     count = lambda m, d: m.join(keys, "key", "left_semi").groupBy("key", "digest").agg(F.count("*").alias(f"n{d}"), F.min("file").alias(f"file{d}"), F.min("begin").alias(f"begin{d}"), F.min("end").alias(f"end{d}"))
     differ = count(held, "_a").join(count(other, "_b"), ["key", "digest"], "full_outer").where("NOT (n_a <=> n_b)")
     mine = differ.where("coalesce(n_a, 0) > coalesce(n_b, 0)").groupBy("key").agg(F.min("file_a").alias("file"), F.min("begin_a").alias("begin"), F.max("end_a").alias("end"), F.min("digest").alias("digest"))

@@ -383,6 +383,29 @@ def test_audit_finds_all_damage_and_nothing_else(spark):
     assert warc.audit(warc.manifest(a), warc.manifest(none), checkpointed).count() == 301
 
 
+def test_audit_gives_each_record_of_a_key(spark):
+    """A key with many records, null ids and equal records: as many rows as multisets of digests differ by."""
+    rows = [(k, f"http://x/{k}", "text") for k in range(40)] + [(7, f"http://y/{k}", "t" * k) for k in range(200)] + [(None, "n", "same")] * 50 + [(None, "m", "other")]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string")
+    changed = [(k, u, "altered" if u in ("http://y/3", "http://y/90") else h) for k, u, h in rows if u not in ("http://y/5", "http://x/20")]
+    changed = [x for x in changed if x[0] is not None] + [(None, "n", "same")] * 47 + [(None, "m", "other"), (900, "u", "new"), (900, "u", "new")]
+    b = spark.createDataFrame(changed, a.schema).repartition(5)
+    m = checkpointed(warc.manifest(a.repartition(3)))
+    for file in {r.file for r in m.select("file").distinct().collect()}:  # ranges of a file lie end to end
+        at = sorted((r.begin, r.end) for r in m.where(F.col("file") == file).collect())
+        assert at[0][0] == 0 and all(x[1] == y[0] for x, y in zip(at, at[1:], strict=False))
+    found = warc.audit_records(m, warc.manifest(b), checkpointed).collect()
+    none = -(2**62)
+    assert Counter((r.key, r.damage) for r in found) == Counter({(7, "altered"): 2, (7, "missing"): 1, (20, "missing"): 1, (none, "missing"): 3, (900, "extra"): 2})
+    assert len({(r.key, r.begin, r.end) for r in found}) == len(found)
+    ranges = {(r.key, r.begin, r.end, r.digest) for r in m.collect()}
+    assert all((r.key, r.begin, r.end, r.digest) in ranges for r in found if r.damage != "extra")
+    assert warc.audit_records(m, warc.manifest(a), checkpointed).count() == 0
+    empty = a.where("false")
+    assert warc.audit_records(m, warc.manifest(empty), checkpointed).count() == len(rows)
+    assert warc.audit_records(warc.manifest(empty), warc.manifest(empty), checkpointed).count() == 0
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     rows = [(k, f"http://x/{k}", None if k == 3 else f"<p>é\r\n\r\n {k}</p>\n") for k in range(20)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
