@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import keep
+from ..plans.iterate import closure, heights, keep
 from . import aggregates as A
 from . import exports as E
 from . import mappings as M
@@ -19,6 +19,9 @@ from . import variants as V
 from .graph import Graph, next_number, numbered
 
 NAME = {"preferredName": "pref_name", "id": "id", "originalId": "original_id", "originalSource": "original_source", "synonyms": "synonyms", "descriptions": "descriptions", "writingVariants": "writing_variants"}
+#: Properties that are columns of concepts; all others are in props.
+SCALARS = {p: NAME[p] for p in ("preferredName", "originalId", "originalSource")}
+LISTS = {p: NAME[p] for p in ("synonyms", "writingVariants", "descriptions")} | {"facets": "facets"}
 TOP_LABELS = ("AGGREGATE_GENEGROUP", "AGGREGATE_TOP_ORTHOLOGY")
 
 
@@ -145,25 +148,77 @@ def delete_aggregates(graph: Graph, aggregated_labels: list[str]) -> tuple[Graph
     return graph.with_(concepts=keep(concepts.select(graph.concepts.columns)), edges=keep(edges.select(graph.edges.columns)), elements=keep(elements)), counts
 
 
-def copy_aggregate_properties(graph: Graph, skip_existing_properties: bool = False) -> Graph:
-    """Aggregates take their elements' names, synonyms, variants, descriptions and facets; divergent names become synonyms."""
-    elements, c = keep(graph.elements), graph.concepts
-    names = c.where("pref_name IS NOT NULL").select("node", F.lit("pref_name").alias("property"), F.col("pref_name").alias("value"))
-    own = elements.select(F.col("aggregate").alias("node")).distinct()
-    existing = names.join(own, "node", "left_semi") if skip_existing_properties else None
-    up = A.rolled_up_nested(elements, names.join(own, "node", "left_anti"), existing)
-    leaves = P.leaf_elements(elements, own).select(F.col("node").alias("aggregate"), F.col("leaf").alias("element"))
-    out = c.join(up.select(F.col("aggregate").alias("node"), F.col("value").alias("new_name"), "divergent"), "node", "left")
-    for column in ("synonyms", "writing_variants", "descriptions", "facets"):
-        values = c.select("node", F.lit(column).alias("property"), F.posexplode(column).alias("ord", "value"))
-        got = A.unioned(leaves, values).select(F.col("aggregate").alias("node"), F.col("values").alias(f"new_{column}"))
-        out = out.join(got, "node", "left")
-    is_own = out.join(own.withColumn("own", F.lit(True)), "node", "left")
-    kept = lambda old, new: F.coalesce(old, new) if skip_existing_properties else F.coalesce(new, old)
-    fill = lambda column, new: F.when(F.col("own"), kept(F.col(column), new)).otherwise(F.col(column)).alias(column)
-    merged = A.merged_synonyms(F.col("new_synonyms"), F.col("divergent"))
-    new = {"pref_name": F.col("new_name"), "synonyms": F.when(F.size(merged) > 0, merged)} | {x: F.col(f"new_{x}") for x in ("writing_variants", "descriptions", "facets")}
-    return graph.with_(concepts=keep(is_own.select(*(fill(x, new[x]) if x in new else F.col(x) for x in c.columns))))
+def copy_aggregate_properties(graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,)) -> Graph:
+    """The graph of copied_aggregate_properties, without the counts."""
+    return copied_aggregate_properties(graph, skip_existing_properties, aggregated_labels)[0]
+
+
+def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,)) -> tuple[Graph, dict[str, int]]:
+    """(graph, counts): aggregates with any of the labels, and those below them first, take from their elements the properties
+    that their copy_properties list, columns and props alike; aggregates without such a list are left as they are.
+
+    Listed properties are cleared before, or left where set if existing ones are skipped. Of scalar values the most
+    frequent wins; the others go to props as <property>_divergentProperty, a JSON array, and divergent preferred names
+    to the synonyms too. counts: numAggregates, numElements and numProperties.
+    """
+    c, elements, div = graph.concepts, keep(graph.elements), "_divergentProperty"
+    aggregates = c.where(F.array_contains("labels", A.AGGREGATE)).select("node", "labels", "copy_properties")
+    chosen = aggregates.where(F.arrays_overlap("labels", F.array(*map(F.lit, aggregated_labels)))).select(F.lit(0).alias("origin"), "node")
+    nested = elements.join(aggregates.select(F.col("node").alias("element")), "element", "left_semi")
+    reached = closure(chosen, nested.select(F.col("aggregate").alias("src"), F.col("element").alias("dst"))).select("node")
+    listed = keep(aggregates.join(reached, "node", "left_semi").select(F.col("node").alias("aggregate"), F.explode(F.array_distinct("copy_properties")).alias("property")))
+
+    scalars = c.select("node", F.explode("props").alias("property", "value"))
+    for p, column in SCALARS.items():
+        scalars = scalars.unionByName(c.select("node", F.lit(p).alias("property"), F.col(column).alias("value")))
+    arrays = None
+    for p, column in LISTS.items():
+        x = c.select("node", F.lit(p).alias("property"), F.posexplode(column).alias("ord", "value"))
+        arrays = x if arrays is None else arrays.unionByName(x)
+    scalars, arrays = keep(scalars.where("value IS NOT NULL")), keep(arrays)
+    has = lambda: scalars.select("node", "property").union(arrays.select("node", "property")).distinct()
+    todo = keep(listed.join(has().withColumnRenamed("node", "aggregate"), ["aggregate", "property"], "left_anti")) if skip_existing_properties else listed
+    cleared = todo.withColumnRenamed("aggregate", "node")
+    old_synonyms = arrays.where("property = 'synonyms'")
+    scalars, arrays = (keep(x.join(cleared, ["node", "property"], "left_anti")) for x in (scalars, arrays))
+
+    level = keep(heights(elements.select(F.col("aggregate").alias("parent"), F.col("element").alias("child"))))
+    n_properties, won, united = 0, None, None
+    for h in range(1, (level.agg(F.max("height")).first()[0] or 0) + 1):
+        now = keep(todo.join(level.where(F.col("height") == h).select(F.col("node").alias("aggregate")), "aggregate", "left_semi"))
+        if now.isEmpty():
+            continue
+        own = elements.join(now.select("aggregate").distinct(), "aggregate", "left_semi")
+        n_properties += elements.join(now, "aggregate").join(has().withColumnRenamed("node", "element"), ["element", "property"], "left_semi").count()
+        s = keep(A.rolled_up(own, scalars).join(now, ["aggregate", "property"], "left_semi"))
+        a = A.unioned(own, arrays).join(now, ["aggregate", "property"], "left_semi")
+        names = s.where("property = 'preferredName' AND size(divergent) > 0").select("aggregate", "divergent")
+        kept = old_synonyms.withColumnRenamed("node", "aggregate").join(names, "aggregate", "left_semi").join(now, ["aggregate", "property"], "left_anti")
+        kept = kept.groupBy("aggregate").agg(F.sort_array(F.collect_list(F.struct("ord", "value")))["value"].alias("kept"))
+        synonyms = a.where("property = 'synonyms'").select("aggregate", "values").join(names, "aggregate", "full_outer").join(kept, "aggregate", "left")
+        synonyms = synonyms.select("aggregate", F.lit("synonyms").alias("property"), A.merged_synonyms(F.coalesce("values", "kept"), F.col("divergent")).alias("values"))
+        a = keep(a.where("property <> 'synonyms'").unionByName(synonyms))
+        won, united = (s if won is None else won.unionByName(s)), (a if united is None else united.unionByName(a))
+        made = a.select(F.col("aggregate").alias("node"), "property", F.posexplode("values").alias("ord", "value"))
+        scalars = keep(scalars.unionByName(s.select(F.col("aggregate").alias("node"), "property", "value")))
+        arrays = keep(arrays.join(made.select("node", "property").distinct(), ["node", "property"], "left_anti").unionByName(made))
+
+    counts = {"numAggregates": reached.count(), "numElements": elements.join(listed.select("aggregate").distinct(), "aggregate", "left_semi").count(), "numProperties": n_properties}
+    if won is None:
+        return graph, counts
+    as_map = lambda df, key, value, out: df.groupBy(F.col("aggregate").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(out))
+    odd = won.where("size(divergent) > 0").select("aggregate", F.concat("property", F.lit(div)).alias("property"), F.to_json("divergent").alias("value"))
+    free = won.where(~F.col("property").isin(list(SCALARS))).select("aggregate", "property", "value").unionByName(odd)
+    out = c.join(todo.groupBy(F.col("aggregate").alias("node")).agg(F.collect_set("property").alias("__todo")), "node", "left")
+    for df, value, name in ((won, "value", "__s"), (united, "values", "__a"), (free, "value", "__p")):
+        out = out.join(as_map(df, "property", value, name), "node", "left")
+    mine = lambda p: F.coalesce(F.array_contains("__todo", p), F.lit(False))
+    new = {column: F.when(mine(p), F.try_element_at("__s", F.lit(p))).otherwise(F.col(column)) for p, column in SCALARS.items()}
+    new |= {column: F.coalesce(F.try_element_at("__a", F.lit(p)), F.when(~mine(p), F.col(column))) for p, column in LISTS.items()}
+    none = F.create_map().cast("map<string,string>")
+    left = F.map_filter(F.coalesce("props", none), lambda k, _: ~F.array_contains("__todo", F.regexp_replace(k, div + "$", "")))
+    new["props"] = F.when(F.col("__todo").isNull() | F.col("props").isNull() & F.col("__p").isNull(), F.col("props")).otherwise(F.map_concat(left, F.coalesce("__p", none)))
+    return graph.with_(concepts=keep(out.select(*(new[x].alias(x) if x in new else F.col(x) for x in c.columns)))), counts
 
 
 def export_concept_id_mapping(graph: Graph, source_id_property: str = "sourceIds", target_id_property: str = "id", labels: tuple[str, ...] = ("CONCEPT",)) -> DataFrame:

@@ -61,3 +61,18 @@ def test_mapping_aggregates_and_terms(spark, graph):
     assert g.elements.count() == graph.elements.count() + 2
     v = spark.createDataFrame([("acronym", "tid0", "d", "PN1", 2, 0)], "kind string, concept string, doc string, name string, count int, ord int")
     assert ("PN1", "tid0") in got(S.export_dictionary(S.add_concept_terms(graph, v)))
+
+
+def test_aggregates_copy_what_they_list(spark):
+    c = "node long, id string, labels array<string>, pref_name string, synonyms array<string>, descriptions array<string>, copy_properties array<string>, props map<string,string>"
+    plain = [(k, f"tid{k}", ["CONCEPT"], n, [f"s{k}"], [f"d{k}"], None, {"color": x, "size": "1"}) for k, (n, x) in enumerate([("one", "red"), ("one", "red"), ("two", "blue")])]
+    groups = [(k, f"atid{k}", [x, "AGGREGATE"], None, None, None, p, {"own": "x"} if k == 3 else None) for k, x, p in ((3, "A", ["preferredName"]), (4, "A", ["color", "descriptions"]), (5, "B", None), (6, "C", ["color"]), (7, "A", ["descriptions", "preferredName", "synonyms"]))]
+    empty = Graph.empty(spark)
+    g = empty.with_(concepts=empty.concepts.unionByName(spark.createDataFrame(plain + groups, c), allowMissingColumns=True), elements=spark.createDataFrame([(a, e) for a in (3, 4, 5, 6) for e in (0, 1, 2)] + [(7, 4), (7, 0)], "aggregate long, element long"))
+    done, counts = S.copied_aggregate_properties(g, aggregated_labels=("A",))
+    r = {x.node: x for x in done.concepts.collect()}
+    assert counts == {"numAggregates": 3, "numElements": 11 - 3, "numProperties": 3 + 6 + 4}
+    assert (r[3].pref_name, r[3].synonyms, r[3].descriptions, r[3].props) == ("one", ["two"], None, {"own": "x", "preferredName_divergentProperty": '["two"]'})
+    assert (r[4].pref_name, r[4].synonyms, r[4].descriptions, r[4].props) == (None, None, ["d0", "d1", "d2"], {"color": "red", "color_divergentProperty": '["blue"]'})
+    assert (r[7].pref_name, r[7].synonyms, r[7].descriptions) == ("one", ["s0"], ["d0", "d1", "d2"])
+    assert all(r[k][1:] == tuple(x) for k in (0, 5, 6) for x in [[y for y in z][1:] for z in g.concepts.where(f"node = {k}").collect()])
