@@ -252,11 +252,45 @@ def export_concept_facet_map(graph: Graph) -> DataFrame:
     return E.concept_facet_map(graph.concepts.where("id IS NOT NULL").drop("node").withColumnRenamed("id", "node")).withColumnRenamed("node", "concept_id")
 
 
-def export_dictionary(graph: Graph, id_property: str = "id", exclusion_labels: list[str] | None = None, unique_keys: bool = False, label: str = "CONCEPT") -> DataFrame:
-    """(key, ids): names, synonyms and acronyms of concepts with their ids."""
+def export_dictionary(graph: Graph, id_property: str | list[str] = "id", exclusion_labels: list[str] | None = None, unique_keys: bool = False, label: str = "CONCEPT", add_source_prefix: bool = False) -> DataFrame:
+    """(key, ids): names, synonyms and acronyms of concepts with their ids.
+
+    Several id properties (a list, or parted by commas) are joined by ||; a source prefix is the id's source, or id for
+    the property id, and a colon. Aggregates without a property take the values of their elements; other concepts
+    without it raise an error, as arrays of unequal length do.
+    """
+    properties = id_property.split(",") if isinstance(id_property, str) else list(id_property)
     acronyms = graph.variants.where("kind = 'acronym'").groupBy(F.col("concept").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("acronyms"))
-    ids = graph.sources.groupBy("node").agg(F.array_sort(F.collect_set("source_id")).alias("sourceIds"))
-    c = graph.concepts.where("id IS NOT NULL").join(acronyms, "id", "left").join(ids, "node", "left")
-    c = c.drop("node").withColumn("node", F.col("id"))
-    lines = E.dictionary_lines(c, ["sourceIds" if id_property == "sourceIds" else NAME[id_property]], None, exclusion_labels, label)
+    c = graph.concepts.where("id IS NOT NULL AND pref_name IS NOT NULL").where(F.array_contains("labels", label))
+    if exclusion_labels:
+        c = c.where(~F.arrays_overlap("labels", F.array(*map(F.lit, exclusion_labels))))
+    c = c.join(acronyms, "id", "left")
+    for k, p in enumerate(properties):
+        source = F.lit("id") if p == "id" else F.col("original_source" if p == "originalId" else "source") if p in ("originalId", "sourceIds") else None
+        if source is None and add_source_prefix:
+            raise ValueError(f"the source property of {p} is unknown")
+        source = source if add_source_prefix else F.lit(None).cast("string")
+        pair = lambda x, s=source: F.struct(F.col(x).alias("id"), s.alias("source")) if isinstance(x, str) else F.struct(x.alias("id"), s.alias("source"))
+        if p == "sourceIds":
+            values = graph.sources.where("source_id IS NOT NULL").select("node", pair("source_id").alias("value")).distinct()
+        elif p not in NAME:
+            values = graph.concepts.select("node", pair(F.try_element_at("props", F.lit(p))).alias("value"))
+        elif dict(graph.concepts.dtypes)[NAME[p]].startswith("array"):
+            values = graph.concepts.select("node", F.posexplode(NAME[p])).select("node", F.struct("pos", F.col("col").alias("id"), source.alias("source")).alias("value"))
+        else:
+            values = graph.concepts.select("node", pair(NAME[p]).alias("value"))
+        values = values.where("value.id IS NOT NULL")
+        own = values.groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("__own"))
+        lacking = c.where(F.array_contains("labels", A.AGGREGATE)).join(own, "node", "left_anti").select(F.col("node").alias("aggregate"))
+        of_elements = A.element_values(graph.elements.join(lacking, "aggregate", "left_semi"), values.select("node", F.lit(p).alias("property"), F.struct("node", "value").alias("value")))  # in the order of elements
+        c = c.join(own, "node", "left").join(of_elements.select(F.col("aggregate").alias("node"), F.col("values")["value"].alias("__elements")), "node", "left")
+        kind = own.schema["__own"].dataType
+        error = lambda what, of=p, kind=kind: F.raise_error(F.concat(F.lit(f"no {what} of {of} at "), F.col("id"))).cast(kind)
+        c = c.withColumn("__found", F.coalesce("__own", "__elements", error("value")))
+        if add_source_prefix:
+            c = c.withColumn("__found", F.when(F.exists("__found", lambda x: x["source"].isNull()), error("source")).otherwise(F.col("__found")))
+        c = c.withColumns({f"__id{k}": F.col("__found")["id"], f"__source{k}": F.col("__found")["source"]}).drop("__own", "__elements", "__found")
+    names = [f"__id{k}" for k in range(len(properties))]
+    source_of = {x: f"__source{k}" for k, x in enumerate(names)} if add_source_prefix else None
+    lines = E.dictionary_lines(c.drop("node").withColumn("node", F.col("id")), names, source_of, exclusion_labels, label)
     return E.unique_keys(lines) if unique_keys else lines.select("key", "ids")

@@ -76,3 +76,23 @@ def test_aggregates_copy_what_they_list(spark):
     assert (r[4].pref_name, r[4].synonyms, r[4].descriptions, r[4].props) == (None, None, ["d0", "d1", "d2"], {"color": "red", "color_divergentProperty": '["blue"]'})
     assert (r[7].pref_name, r[7].synonyms, r[7].descriptions) == ("one", ["s0"], ["d0", "d1", "d2"])
     assert all(r[k][1:] == tuple(x) for k in (0, 5, 6) for x in [[y for y in z][1:] for z in g.concepts.where(f"node = {k}").collect()])
+
+
+def test_dictionary_ids_of_elements_and_prefixes(spark):
+    empty = Graph.empty(spark)
+    c = "node long, id string, labels array<string>, pref_name string, original_id string, original_source string"
+    concepts = spark.createDataFrame([(0, "tid0", ["CONCEPT"], "name one", "O9", "ORG"), (1, "tid1", ["CONCEPT"], "name two", "O1", "ORG"), (2, "atid0", ["SAME", "AGGREGATE"], "name all", None, None), (3, "tid3", ["BARE"], "name bare", "O3", None)], c)
+    g = empty.with_(
+        concepts=empty.concepts.unionByName(concepts, allowMissingColumns=True),
+        elements=spark.createDataFrame([(2, 0), (2, 1)], "aggregate long, element long"),
+        sources=spark.createDataFrame([(0, "S0", "SRC", True, 0), (1, "S1", "SRC", True, 0)], "node long, source_id string, source string, is_unique boolean, ord int"),
+    )
+    assert got(S.export_dictionary(g, "sourceIds", label="SAME")) == {("name all", "S0"), ("name all", "S1")}
+    assert got(S.export_dictionary(g, "sourceIds,originalId", label="SAME", add_source_prefix=True)) == {("name all", "SRC:S0||ORG:O9"), ("name all", "SRC:S1||ORG:O1")}
+    assert got(S.export_dictionary(g, ["id", "sourceIds"], add_source_prefix=True)) == {("name one", "id:tid0||SRC:S0"), ("name two", "id:tid1||SRC:S1")}
+    with pytest.raises(Exception, match="no value of sourceIds at tid3"):
+        S.export_dictionary(g, "sourceIds", label="BARE").collect()
+    with pytest.raises(Exception, match="no source of originalId at tid3"):
+        S.export_dictionary(g, "originalId", label="BARE", add_source_prefix=True).collect()
+    with pytest.raises(Exception, match="unequal length"):
+        S.export_dictionary(g, ["id", "sourceIds"], label="SAME").collect()
