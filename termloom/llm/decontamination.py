@@ -138,7 +138,7 @@ def match_shard(texts: list[str | None], test: TestSet) -> list[tuple]:
         length = np.bincount(run) - 1 + size[o][first]
         best = int(np.argmax(length))
         head = o[np.flatnonzero(first)[best]]
-        names = sorted({test.names[x] for x in np.unique(test.owners[w]).tolist()})
+        names = sorted({test.names[x] for x in np.unique(test.owners[w]).tolist()} - {None})
         out.append((n, int(covered.sum()), names, int(length[best]), test.names[test.owners[w[head]]], int(p[head]), edges.reshape(-1, 2).tolist()))
     return out
 
@@ -153,7 +153,7 @@ def _matches(text: Column, test) -> Column:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most block_chars code points, so that neither driver nor executor holds them all."""
+    """The items in blocks of at most block_chars code points. All blocks are broadcast and stay in each Python worker."""
     rows, size = [], 0
     for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         if rows and size + len(r.t or "") > block_chars:
@@ -170,7 +170,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     spans (hit words as [from, to) pairs).
 
     A window is 13 consecutive item words, or a whole shorter item. Null or empty texts have no words, null or empty
-    items no windows. Items that repeat an id count once. A column of docs called `out` is replaced. One block of items
+    items no windows. Items that repeat an id count once; one whose id is null hits words as others do, but isn't in items. A column of docs called `out` is replaced. One block of items
     needs no shuffle; more are matched one after another in the same rows.
     """
     sc = docs.sparkSession.sparkContext

@@ -167,6 +167,15 @@ def test_decontamination_matches_a_plain_version(spark, block):
     assert decontamination.decontaminate(docs(spark, texts).where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [10**9, 100])
+def test_decontamination_with_a_null_item_id(spark, block):
+    items = [(None, prose(1, 20)), (5, prose(2, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, [f"{items[0][1]} % {items[1][1]}", items[0][1]])
+    r = [x.contamination for x in decontamination.find_contamination(d, bench, block_chars=block).orderBy("doc_id").collect()]
+    assert [(x.n_words, x.n_hit, x["items"], x.longest) for x in r] == [(50, 50, ["5"], 30), (20, 20, [], 20)] and r[1].longest_item is None
+
+
 # tokens
 
 
