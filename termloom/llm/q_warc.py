@@ -30,10 +30,13 @@ SQL = r"""
 WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT *, left(md5(url), 1) AS kind FROM a),
 b AS (SELECT page_id, CASE kind WHEN '2' THEN url || '#x' ELSE url END AS url, CASE kind WHEN '0' THEN left(html, length(html) // 2) ELSE html END AS html FROM d WHERE kind <> '1'),
+sides AS (SELECT 'a' AS side, page_id, url, html FROM a UNION ALL SELECT 'b', page_id, url, html FROM b),
+h AS (SELECT *, md5(url || chr(10) || html) AS h, chr(13) || chr(10) AS nl FROM sides),
 r AS (
-  SELECT 'a' AS side, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM a
-  UNION ALL
-  SELECT 'b', page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) FROM b),
+  SELECT side, page_id, 'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'
+         || nl || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', ' ', 'g')
+         || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS rec
+  FROM h),
 m AS (
   SELECT side, page_id, page_id // 1024 AS file_no, sha256(rec) AS digest, strlen(rec) AS size,
          sum(strlen(rec)) OVER (PARTITION BY side, page_id // 1024 ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS end_byte
