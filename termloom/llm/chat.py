@@ -25,32 +25,47 @@ TURNS = "array<struct<role string, text string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where turns stand. listed: the path of a list with its role and text fields; fields: (role, path) one by one,
-    where a path may name several fields to be joined by a blank line. order: the list's field to sort turns by."""
+    """Where turns stand. fields: (role, paths) one by one, whose texts are joined by a blank line; listed: the path of a
+    list that follows, with its role and text fields. A text may be given in parts, by parts: the path of their texts and
+    of their kinds below the text field. order: the list's field to sort turns by. roles: usual names of the list's roles."""
 
     name: str
     listed: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     order: str | None = None
     optional: tuple[str, ...] = ()
-
-    def paths(self) -> frozenset[str]:
-        if self.listed:
-            path, role, text = self.listed
-            return frozenset(f"{path}[].{x}" for x in (role, text, self.order) if x)
-        return frozenset(p for _, ps in self.fields for p in ps)
+    parts: tuple[str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def paths(self) -> list[frozenset[str]]:
+        """The sets of field paths that this mapping reads: with and without optional fields, and with a list's texts plain,
+        in parts or both."""
+        whole = frozenset(p for _, ps in self.fields for p in ps)
+        out = [whole - {*left_out} for n in range(len(self.optional) + 1) for left_out in combinations(self.optional, n)]
+        if not self.listed:
+            return out
+        path, role, text = self.listed
+        fixed = frozenset(f"{path}[].{x}" for x in (role, self.order) if x)
+        plain, in_parts = frozenset([f"{path}[].{text}"]), frozenset(f"{path}[].{text}[].{x}" for x in self.parts or ())
+        return [o | fixed | t for o in out for t in ((plain, in_parts, plain | in_parts) if self.parts else (plain,))]
 
 
 # The common public layouts, and the roles they use under other names.
+SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("chatbot", "assistant"))
 MAPPINGS = (
-    Mapping("messages", listed=("messages", "role", "content")),
+    Mapping("messages", listed=("messages", "role", "content"), parts=("text", "type")),
+    Mapping("messages with system", fields=(("system", ("system",)),), listed=("messages", "role", "content"), parts=("text", "type")),
     Mapping("ordered turns", listed=("turns", "role", "text"), order="turn"),
-    Mapping("speakers", listed=("conversations", "from", "value")),
+    Mapping("speakers", fields=(("system", ("system",)),), listed=("conversations", "from", "value"), optional=("system",), roles=SPEAKERS),
     Mapping("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
     Mapping("prompt", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
-    Mapping("question", fields=(("user", ("question",)), ("assistant", ("answer",)))),
+    Mapping("question", fields=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
+SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+class Unfit(ValueError):
+    """A record whose values aren't what its layout's fields hold."""
 
 
 def field_paths(value, at: str = "") -> set[str]:
@@ -67,43 +82,69 @@ def fingerprint(paths) -> str:
 
 
 class Layouts:
-    """Mappings by fingerprint, one for each set of optional fields. Paths that no mapping names are metadata and
-    don't count towards a fingerprint."""
+    """Mappings by fingerprint. Paths that no mapping names are metadata and don't count towards a fingerprint."""
 
     def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
-        self.known = frozenset(p for m in mappings for p in m.paths())
+        self.known = frozenset(p for m in mappings for ps in m.paths() for p in ps)
         self.by_print: dict[str, Mapping] = {}
         for m in mappings:
-            for n in range(len(m.optional) + 1):
-                for left_out in combinations(m.optional, n):
-                    self.by_print.setdefault(fingerprint(m.paths() - {*left_out}), m)
+            for paths in m.paths():
+                self.by_print.setdefault(fingerprint(paths), m)
 
     def of(self, record) -> tuple[str, Mapping | None]:
         name = fingerprint(field_paths(record) & self.known)
         return name, self.by_print.get(name)
 
 
-def _at(record, path: str):
-    for k in path.split("."):
-        record = record.get(k) if isinstance(record, dict) else None
-    return record
-
-
-def canonical_turns(record, m: Mapping, roles: dict[str, str]) -> list[tuple[str, str]]:
-    """(role, text) in order. Null texts are empty; roles under other names get their usual one."""
+def _text(value, parts: tuple[str, str] | None = None) -> str:
+    """A text as given, null as empty, numbers as JSON writes them; texts in parts are joined by \\n."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return SURROGATE.sub("\ufffd", value)
+    if isinstance(value, (bool, int, float)):
+        return json.dumps(value)
+    if parts and isinstance(value, list):
+        text, kind = parts
+        if all(isinstance(x, str) or isinstance(x, dict) and x.get(kind, "text") == "text" and isinstance(x.get(text), str) for x in value):
+            return "\n".join(_text(x if isinstance(x, str) else x[text]) for x in value)
+    raise Unfit("no text")
+
+
+def canonical_turns(record, m: Mapping) -> list[tuple[str, str]]:
+    """(role, text) in order. Null texts are empty, a null or empty system text is no turn; roles under other names get
+    their usual one. Values of other kinds (parts that aren't text, places that aren't numbers) raise Unfit."""
+    turns = []
+    for role, paths in m.fields:
+        texts = [t for p in paths if (t := _text(record.get(p)))]
+        if texts or role != "system":
+            turns.append((role, "\n\n".join(texts)))
     if m.listed:
         path, role, text = m.listed
-        items = _at(record, path) or []
+        items, usual = record[path], dict(m.roles)
+        if not isinstance(items, list) or not all(isinstance(x, dict) and isinstance(x.get(role), str | None) for x in items):
+            raise Unfit("no list of turns")
         if m.order:
-            items = sorted(items, key=lambda x: (x.get(m.order) is None, x.get(m.order)))
-        turns = [(x.get(role), x.get(text)) for x in items]
-    else:
-        turns = []
-        for role, paths in m.fields:
-            texts = [t for p in paths if (t := _at(record, p))]
-            if texts or role != "system":
-                turns.append((role, "\n\n".join(map(str, texts))))
-    return [(roles.get(r, r) if r is not None else "", "" if t is None else str(t)) for r, t in turns]
+            if not all(type(x.get(m.order)) in (int, float, type(None)) for x in items):
+                raise Unfit("places of turns aren't numbers")
+            items = sorted(items, key=lambda x: (x.get(m.order) is None, x.get(m.order) or 0))
+        turns += [(usual.get(r, r), _text(x.get(text), m.parts)) for x in items for r in [_text(x.get(role))]]
+    return turns
+
+
+def formatted_record(record: str | None, layouts: Layouts) -> tuple:
+    """(fingerprint, layout, formatted, loss mask) of a JSON record; all that can't be read is null."""
+    try:
+        r = json.loads(record) if record is not None else None
+        if r is None:
+            return None, None, None, None
+        name, m = layouts.of(r)
+    except (ValueError, RecursionError):
+        return None, None, None, None
+    try:
+        return (name, m.name, *render(canonical_turns(r, m))) if m else (name, None, None, None)
+    except Unfit:
+        return name, None, None, None
 
 
 def escape(text: str) -> str:
@@ -144,25 +185,18 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def format_chat(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS, roles: dict[str, str] = ROLES) -> Column:
+def format_chat(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
     """Struct of fingerprint, layout, formatted and loss_mask (pairs of code points) of a JSON record.
 
-    Records of unknown layout, null records and broken JSON have null in layout and formatted.
+    Records of unknown layout (an empty list of turns included), those whose values don't fit their layout, null records
+    and broken JSON have null in layout and formatted, and no record ends the job. Lone surrogates become U+FFFD.
     """
 
     @F.pandas_udf("fingerprint string, layout string, formatted string, loss_mask array<array<int>>")
     def formatted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         layouts = Layouts(mappings)
         for records in batches:
-            out = []
-            for r in records:
-                try:
-                    r = json.loads(r) if r is not None else None
-                except ValueError:
-                    r = None
-                name, m = layouts.of(r) if r is not None else (None, None)
-                out.append((name, m.name, *render(canonical_turns(r, m, roles))) if m else (name, None, None, None))
-            done = pd.DataFrame(out, columns=["fingerprint", "layout", "formatted", "loss_mask"], dtype=object)
+            done = pd.DataFrame([formatted_record(r, layouts) for r in records], columns=["fingerprint", "layout", "formatted", "loss_mask"], dtype=object)
             done["loss_mask"] = done["loss_mask"].map(lambda x: None if x is None else [list(p) for p in x])
             yield done
 
