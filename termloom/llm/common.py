@@ -38,6 +38,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as make it no column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is computed once a row, however often body's lambdas look at it."""
     return F.transform(F.array(value), body).getItem(0)

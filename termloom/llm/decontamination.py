@@ -1,22 +1,29 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every Arrow batch of documents is a shard. Words that no benchmark item has end a run, as no match can cross them; the
-remaining runs get a suffix array, sorted by their first WINDOW words. Every suffix of every test item is looked up in
-it by binary search. Matches become hit words, items and the longest verbatim match of each document.
+Documents are taken in shards. Words that no benchmark item has end a run, as no match can cross them; the remaining runs
+get a suffix array, sorted by their first WINDOW words. Every suffix of every test item is looked up in it by binary
+search, once for all suffixes that begin with the same window. Matches become hit words, items and the longest verbatim
+match of each document. A large benchmark goes to the executors one block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import shards
+from .common import ascii_lower, checkpointed, free_name
+
 WINDOW = 13
+#: Between words.
+NOT_WORD = "[\\x00-/:-`\\x7B-\\x7F]+"
 #: Test items go to the executors in blocks of at most so many code points (or one item, if that is longer).
 BLOCK_CHARS = 8_000_000
 # All bytes but those of [^\x00-\x2F\x3A-\x60\x7B-\x7F] become blanks.
@@ -28,27 +35,92 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_WORDS).split()
 
 
+def ranked(ids: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each position by its first depth words; what lies beyond the end counts as 0."""
+    rank, have = ids, 1
+    while have < depth:  # ranks by the first `have` words, doubled till depth
+        step = min(have, depth - have)
+        joined = rank * (int(rank.max(initial=0)) + 1) + np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))
+        rank, have = np.unique(joined, return_inverse=True)[1].astype(np.int64), have + step
+    return rank
+
+
 class TestSet:
-    """Items as word numbers from 1 on, side by side, each followed by a 0; windows: where each window begins."""
+    """Items as word numbers from 1 on, side by side, each followed by a 0, and their distinct windows.
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    starts, lengths: a place of each distinct window and its size; places, cuts: where all its occurrences begin (only for
+    windows of full size, which may be parts of longer matches); sets: the numbers of the sets of items that hold it.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window, self.vocabulary, flat = window, {}, []
-        starts, lengths, owners = [], [], []
-        self.names = []
+        self.names: list[str | None] = []
+        begins, short = [], {}
+        full, owners = [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if not ids:
                 continue
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1):
-                starts.append(len(flat) + k)
-                lengths.append(size)
-                owners.append(len(self.names))
+            if len(ids) < window:
+                short.setdefault(tuple(ids), (len(flat), []))[1].append(len(self.names))
+            else:
+                full.append(np.arange(len(flat), len(flat) + len(ids) - window + 1))
+                owners.append(np.full(len(ids) - window + 1, len(self.names)))
+            begins.append(len(flat))
             self.names.append(name)
             flat += [*ids, 0]
-        self.flat = np.array(flat + [0] * window, np.int64)
-        self.starts, self.lengths, self.owners = (np.array(x, np.int64) for x in (starts, lengths, owners))
-        self.shortest = min(lengths, default=window)
+        self.flat, self.begins = np.array(flat + [0] * window, np.int64), np.array(begins, np.int64)
+        full, owners = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (full, owners))
+        which = ranked(self.flat, window)[full]
+        order = np.lexsort((full, which))
+        self.places, owners = full[order], owners[order]
+        heads = np.flatnonzero(np.append(True, np.diff(which[order]) != 0)) if len(full) else full
+        self.cuts = np.append(heads, len(full))
+        self.starts = np.append(self.places[heads], [at for at, _ in short.values()]).astype(np.int64)
+        self.lengths = np.append(np.full(len(heads), window), [len(x) for x in short]).astype(np.int64)
+        self.item_sets, known = [], {}
+
+        def number(of: np.ndarray) -> int:
+            key = of.tobytes()
+            if key not in known:
+                known[key] = len(self.item_sets)
+                self.item_sets.append(of)
+            return known[key]
+
+        of_full = [number(np.unique(owners[a:b])) for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)]
+        self.sets = np.array(of_full + [number(np.unique(np.array(x, np.int64))) for _, x in short.values()], np.int64)
+        self.shortest = int(self.lengths.min(initial=window))
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Names of the items that hold any of the windows, sorted; those without name are left out."""
+        held = [self.item_sets[k] for k in np.unique(self.sets[windows]).tolist()]
+        return sorted({self.names[x] for x in np.unique(np.concatenate(held)).tolist()} - {None})
+
+    def item_at(self, place: int) -> str | None:
+        return self.names[int(np.searchsorted(self.begins, place, side="right")) - 1]
+
+    def longest(self, windows: np.ndarray, at: np.ndarray) -> tuple[int, str | None, int]:
+        """(words, item, position) of the longest verbatim match from windows at ascending positions; of equals the first.
+        Windows that follow each other in an item and in the text are one longer match. Only the item places of two
+        positions are held at a time."""
+        best, item, where, last = 0, None, 0, -2
+        places = begun = np.empty(0, np.int64)  # item places of the last window, and where the matches there began
+        for w, p in zip(windows.tolist(), at.tolist(), strict=True):
+            if self.lengths[w] < self.window:
+                if self.lengths[w] > best:
+                    best, item, where = int(self.lengths[w]), self.item_at(int(self.starts[w])), p
+                continue
+            now = self.places[self.cuts[w] : self.cuts[w + 1]]
+            start = np.full(len(now), p)
+            if p == last + 1:
+                k = np.minimum(np.searchsorted(places, now - 1), len(places) - 1)
+                start = np.where(places[k] == now - 1, begun[k], p)
+            places, begun, last = now, start, p
+            first = int(np.argmin(start))
+            if p - start[first] + self.window > best:
+                best, where = int(p - start[first] + self.window), int(start[first])
+                item = self.item_at(int(now[first]))
+        return best, item, where
 
 
 class SuffixArray:
@@ -56,11 +128,7 @@ class SuffixArray:
 
     def __init__(self, ids: np.ndarray, at: np.ndarray, depth: int):
         self.text, self.depth = np.concatenate([ids, np.zeros(depth, np.int64)]), depth
-        rank, have = self.text, 1  # ranks of all positions by their first `have` words, doubled till depth
-        while have < depth:
-            step = min(have, depth - have)
-            joined = rank * (int(rank.max()) + 1) + np.append(rank[step:], np.zeros(step, np.int64))
-            rank, have = np.unique(joined, return_inverse=True)[1].astype(np.int64), have + step
+        rank = ranked(self.text, depth)
         self.order = at[np.argsort(rank[at], kind="stable")]
 
     def less(self, at: np.ndarray, patterns: np.ndarray, starts: np.ndarray, lengths: np.ndarray, or_equal: bool) -> np.ndarray:
@@ -111,9 +179,9 @@ def match_shard(texts: list[str | None], test: TestSet) -> list[tuple]:
     kept = np.flatnonzero(keep[:-1])
     array = SuffixArray(ids[kept], np.searchsorted(kept, at), test.window)
     which, where = array.find(test.flat, test.starts, test.lengths) if len(at) and len(test.starts) else (np.empty(0, np.int64),) * 2
-    where = kept[where] if len(kept) else where
+    where = kept[where] if len(kept) else where  # a position begins one window of each size at most
     doc = np.searchsorted(ends, where, side="right")
-    order = np.lexsort((test.starts[which], where, doc))
+    order = np.lexsort((where, doc))
     which, where, doc = which[order], where[order], doc[order]
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
@@ -124,22 +192,13 @@ def match_shard(texts: list[str | None], test: TestSet) -> list[tuple]:
             out.append((n, 0, [], 0, None, None, []))
             continue
         w, p = which[a:b], where[a:b] - begins[k]
-        size = test.lengths[w]
         delta = np.zeros(n + 1, np.int64)
         np.add.at(delta, p, 1)
-        np.add.at(delta, p + size, -1)
+        np.add.at(delta, p + test.lengths[w], -1)
         covered = np.cumsum(delta[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-        # windows that follow each other in the item and in the document are one longer match
-        diagonal = p - test.starts[w]
-        o = np.lexsort((p, diagonal))
-        first = np.append(True, (np.diff(diagonal[o]) != 0) | (np.diff(p[o]) != 1))
-        run = np.cumsum(first) - 1
-        length = np.bincount(run) - 1 + size[o][first]
-        best = int(np.argmax(length))
-        head = o[np.flatnonzero(first)[best]]
-        names = sorted({test.names[x] for x in np.unique(test.owners[w]).tolist()} - {None})
-        out.append((n, int(covered.sum()), names, int(length[best]), test.names[test.owners[w[head]]], int(p[head]), edges.reshape(-1, 2).tolist()))
+        length, item, first = test.longest(w, p)
+        out.append((n, int(covered.sum()), test.items_of(w), length, item, first, edges.reshape(-1, 2).tolist()))
     return out
 
 
@@ -147,13 +206,15 @@ def _matches(text: Column, test) -> Column:
     @F.pandas_udf(RESULT)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(match_shard(texts.tolist(), test.value), columns=[c.split()[0] for c in RESULT.split(", ")])
+            texts = texts.tolist()
+            rows = [row for begin, end in shards(texts) for row in match_shard(texts[begin:end], test.value)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return match(text)
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most block_chars code points. All blocks are broadcast and stay in each Python worker."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of at most block_chars code points (or one item), of which the driver holds one at a time."""
     rows, size = [], 0
     for r in items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         if rows and size + len(r.t or "") > block_chars:
@@ -164,31 +225,48 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOC
     yield rows
 
 
+def _all_blocks(docs: DataFrame, text: Column, tests: Iterator[TestSet], n_words: Column, out: str) -> DataFrame:
+    """docs with `out` from many blocks: each is broadcast alone, its matches are written by text, and given up."""
+    sc = docs.sparkSession.sparkContext
+    key, parts = F.sha2(text.cast("binary"), 256), []
+    for block in tests:
+        test = sc.broadcast(block)
+        hits = docs.select(key.alias("key"), _matches(text, test).alias("m")).where("m.n_hit > 0")
+        parts.append(checkpointed(hits.groupBy("key").agg(F.first("m").alias("m"))))
+        test.destroy()
+    whole = reduce(DataFrame.union, parts)
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("m.spans")), lambda s: F.sequence(s[0], s[1] - 1))))
+    best = F.max(F.struct(F.col("m.longest").alias("longest"), (-F.col("m.longest_at")).alias("at"), F.col("m.longest_item").alias("item")))
+    whole = whole.groupBy("key").agg(F.sort_array(covered).alias("covered"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("m.items")))).alias("items"), best.alias("best"))
+    # word positions back to [from, to) pairs
+    heads, tails = (F.array_except("covered", F.transform("covered", lambda x: x + step)) for step in (1, -1))  # noqa: B023
+    whole = whole.withColumn("spans", F.zip_with(heads, tails, lambda a, b: F.array(a, b + 1)))
+    found = F.struct(
+        F.col("n_words"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("best.longest", F.lit(0)).alias("longest"),
+        F.col("best.item").alias("longest_item"), (-F.col("best.at")).alias("longest_at"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
+    )
+    rows = docs.select(F.struct(docs.columns).alias("row"), key.alias("key"), n_words.alias("n_words"))
+    return rows.join(whole, "key", "left").select("row.*", F.when(F.lit(True), found).alias(out))
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "contamination", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the struct `out`: n_words, n_hit, items (ids of items with windows in the text, sorted as strings),
-    longest, longest_item, longest_at (the longest verbatim match in words, the item and the word it begins at) and
-    spans (hit words as [from, to) pairs).
+    longest, longest_item, longest_at (the longest verbatim match of a window or more in words, the item and the word it
+    begins at) and spans (hit words as [from, to) pairs).
 
     A window is 13 consecutive item words, or a whole shorter item. Null or empty texts have no words, null or empty
-    items no windows. Items that repeat an id count once; one whose id is null hits words as others do, but isn't in items. A column of docs called `out` is replaced. One block of items
-    needs no shuffle; more are matched one after another in the same rows.
+    items no windows. Items that repeat an id count once; one whose id is null hits words as others do, but isn't in
+    items. Repeated rows of docs each get their result, other columns stay, whatever their names; one called `out` is
+    replaced. Empty tables give empty results or no hits. One block of items needs no shuffle; of more, one at a time is
+    on the driver and in each worker, and documents meet their matches by a hash of the text.
     """
-    sc = docs.sparkSession.sparkContext
-    tests = [sc.broadcast(TestSet(b)) for b in blocks(items, item_id, item_text, block_chars)]
-    parts = [f"__{out}_{i}" for i in range(len(tests))]
-    found = docs.drop(out).withColumns({p: _matches(F.col(text_col), t) for p, t in zip(parts, tests, strict=True)})
-    if len(parts) == 1:
-        return found.withColumnRenamed(parts[0], out)
-    best = F.array_max(F.array(*(F.struct(F.col(p)["longest"].alias("longest"), (-F.col(p)["longest_at"]).alias("at"), F.col(p)["longest_item"].alias("item")) for p in parts)))
-    covered = F.sort_array(F.array_distinct(F.flatten(F.array(*(F.flatten(F.transform(F.col(p)["spans"], lambda s: F.sequence(s[0], s[1] - 1))) for p in parts)))))
-    # word positions back to [from, to) pairs
-    heads = lambda c: F.array_except(c, F.transform(c, lambda x: x + 1))
-    tails = lambda c: F.array_except(c, F.transform(c, lambda x: x - 1))
-    names = F.sort_array(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
-    found = found.withColumn("__covered", covered)
-    spans = F.zip_with(heads(F.col("__covered")), tails(F.col("__covered")), lambda a, b: F.array(a, b + 1))
-    whole = F.struct(F.col(parts[0])["n_words"].alias("n_words"), F.size("__covered").cast("long").alias("n_hit"), names.alias("items"), best["longest"].alias("longest"), best["item"].alias("longest_item"), (-best["at"]).alias("longest_at"), spans.alias("spans"))
-    return found.withColumn(out, whole).drop("__covered", *parts)
+    docs = docs.drop(out)
+    tests = map(TestSet, blocks(items, item_id, item_text, block_chars))
+    first, second = next(tests), next(tests, None)
+    if second is None:
+        return docs.withColumn(out, _matches(F.col(text_col), docs.sparkSession.sparkContext.broadcast(first)))
+    n_words = F.size(F.array_remove(F.split(ascii_lower(F.coalesce(text_col, F.lit(""))), NOT_WORD), "")).cast("long")
+    return _all_blocks(docs, F.col(text_col), chain([first, second], tests), n_words, out)
 
 
 def is_contaminated(found: Column) -> Column:
@@ -198,8 +276,9 @@ def is_contaminated(found: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, as they were."""
-    found = find_contamination(docs, items, text_col, out="__contamination")
-    return found.where(~is_contaminated(F.col("__contamination"))).drop("__contamination")
+    out = free_name(docs, "contamination")
+    found = find_contamination(docs, items, text_col, out=out)
+    return found.where(~is_contaminated(F.col(out))).drop(out)
 
 
 def items_digest(found: Column) -> Column:
