@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ STOP_WORDS = frozenset(
     " el y los del las por con no su para es lo como más pero sus al".split()
 )
 # Elements of HTML by what they do to text.
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template", "xmp", "svg", "math", "object", "select")
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template", "xmp", "svg", "annotation-xml", "annotation", "object", "select")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -37,17 +38,26 @@ MAIN = frozenset("article main".split())
 NEVER_WRAP = BOILERPLATE - {"form", "fieldset", "header"}
 #: An element whose class, id or role has one of these as a word, or as the start of one, isn't part of the article.
 BAD_NAMES = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|foot|footer\w*|side|sidebar\w*|aside|comment\w*|disqus\w*|replies|respond"
-    r"|cookie\w*|consent\w*|gdpr\w*|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|subscri\w*|newsletter\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar\w*"
-    r"|pagination|pager|copyright|legal|disclaimer|search\w*|form|contentinfo|navigation|complementary|skip\w*)(?![a-z])"
+    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|masthead|footer\w*|sidebar\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses"
+    r"|cookie\w*|consent\w*|gdpr\w*|popup\w*|modal\w*|subscri\w*|newsletter\w*|share|sharing|social\w*|related\w*|recommend\w*|widget\w*"
+    r"|pagination|pager|copyright|disclaimer|contentinfo|navigation|complementary)(?![a-z])"
 )
+#: These name such an element only where a name has no other parts than these and words for parts of a page; an article
+#: may have a header, a form or a notice of its own.
+WEAK_NAMES = frozenset("header head foot side aside notice notices alert alerts legal search searchbox form login signup overlay toolbar skip".split())
+PAGE_NAMES = WEAK_NAMES | frozenset("site page top main global web blog user box wrap wrapper container inner outer bar block area section left right bottom contact mail email feedback row col column panel".split())
 #: Names of text by others, or about other things: an element named so is no wrapper of an article either.
-NEVER_NAMES = re.compile(r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|comment\w*|disqus\w*|replies|respond|cookie\w*|consent\w*|gdpr\w*|related\w*|recommend\w*|newsletter\w*)(?![a-z])")
+NEVER_NAMES = re.compile(
+    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses|cookie\w*|consent\w*|gdpr\w*|related\w*|recommend\w*|newsletter\w*)(?![a-z])"
+)
 #: A name with one of these parts says what a page has or how it looks (has-sidebar, social-enabled), not what the element is.
-STATES = re.compile(r"(?<![a-z])(?:has|no|non|not|with|without|enabled|disabled|layout)(?![a-z])")
+STATES = re.compile(r"(?<![a-z])(?:has|no|non|not|with|without|enabled|disabled|open|closed|layout)(?![a-z])")
+PARTS = re.compile(r"[a-z]+")
+# The attributes of a tag: quotes count only where a value begins.
+_ATTRS = r"(?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>=]++|=)*+"
 TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?:>|\Z)(?:.*?(?=</(?P=raw)[\s/>])|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRS + r"(?:>|\Z)(?:.*?(?=</(?P=raw)[\s/>])|.*\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>" + _ATTRS + r")(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -61,6 +71,19 @@ KNOWN_SHARE = 0.15
 GOOD, BAD, SHORT_BLOCK, UNCLEAR = "good", "bad", "short", "unclear"
 
 
+@dataclass
+class Wrap:
+    """An element whose place is bad unless it turns out to be a wrapper of the article."""
+
+    outer: Wrap | None
+    is_form: bool
+    free: bool = False  # a wrapper of the article
+    words: int = 0  # running text inside
+    blocks: int = 0
+    marked: bool = False  # holds a heading, or the article
+    open: bool = False  # it and all around it are free
+
+
 @dataclass
 class Block:
     text: str
@@ -69,7 +92,7 @@ class Block:
     in_main: bool
     heading: bool
     section: int
-    wraps: tuple[int, ...] = ()  # elements around it that make its place bad, if not as wrappers of the article
+    wrap: Wrap | None = None  # the innermost element that makes its place bad, if not as a wrapper of the article
     label: str = ""
     words: int = 0
     stops: int = 0  # words that are stop words
@@ -80,41 +103,56 @@ def size(text: str) -> int:
     return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)) // 2)
 
 
+def _is_bad_name(name: str) -> bool:
+    if STATES.search(name):
+        return False
+    parts = PARTS.findall(name)
+    return bool(BAD_NAMES.search(name)) or not WEAK_NAMES.isdisjoint(parts) and PAGE_NAMES.issuperset(parts)
+
+
 def _attrs_bad(attrs: str) -> tuple[bool, bool]:
     """Whether an element stands for no part of the article, by its names or as it is hidden, and whether that can't be undone."""
     if not attrs:
         return False, False
-    names = [x for v in ATTRIBUTE.findall(attrs) for x in v.strip("\"'").lower().split() if BAD_NAMES.search(x) and not STATES.search(x)]
+    names = [x for v in ATTRIBUTE.findall(attrs) for x in v.strip("\"'").lower().split() if _is_bad_name(x)]
     hidden = bool(HIDDEN.search(attrs))
     return hidden or bool(names), hidden or any(map(NEVER_NAMES.search, names))
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order. Inline tags don't end a block; br counts as white space."""
+    """The page's blocks of text in order. Inline tags don't end a block; br counts as white space. Time is in proportion
+    to the page's length, however its elements are nested."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple[int, ...], bool, int]] = []  # tag, in a bad place for good, in perhaps bad elements, in the article, section
-    bad, wraps, main, heading, section, sections = False, (), False, False, 0, 0
-    forms: set[int] = set()
-    wrappers: set[int] = set()  # of main, and forms around an article
-    n_wraps = 0
+    # open elements: tag, and what holds around them: bad for good, perhaps bad, in the article, headings, section
+    stack: list[tuple[str, bool, Wrap | None, bool, int, int]] = []
+    n_open: Counter[str] = Counter()
+    bad, wrap, main, headings, section, sections = False, None, False, 0, 0, 0
+    wraps: list[Wrap] = []
     parts: list[str] = []
     link_words, link_depth = 0, 0
 
     def close_block() -> None:
         nonlocal link_words
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split()) if parts else ""
         parts.clear()
         if text:
             stops = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in text.split())
-            out.append(Block(text, link_words, bad or bool(wraps), main, heading, section, () if bad else wraps, words=size(text), stops=stops))
+            out.append(Block(text, link_words, bad or wrap is not None, main, headings > 0, section, None if bad else wrap, words=size(text), stops=stops))
         link_words = 0
 
     def add(text: str) -> None:
         nonlocal link_words
         if text:
+            text = html.unescape(text)
             parts.append(text)
             if link_depth:
-                link_words += size(html.unescape(text))
+                link_words += size(text)
+
+    def leave(k: int) -> None:
+        nonlocal bad, wrap, main, headings, section
+        _, bad, wrap, main, headings, section = stack[k]
+        n_open.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -122,8 +160,8 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"]
         if m["raw"]:
-            if m["raw"].lower() not in ("noscript", "svg", "math"):
-                close_block() if m["raw"].lower() in ("template", "iframe", "object", "select") else None
+            if m["raw"].lower() in ("template", "iframe", "object", "select"):
+                close_block()
             continue
         if not tag:
             continue
@@ -135,29 +173,28 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             link_depth = max(0, link_depth + (-1 if ends else 1))
         is_block = tag in BLOCK
-        if not is_block and (tag in VOID or ends and all(x[0] != tag for x in stack)):
+        if not is_block and (tag in VOID or ends and not n_open[tag]):
             continue
         if is_block:
             close_block()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if n_open[tag] else ():
                 if stack[k][0] == tag:
-                    if not is_block and stack[k][1:3] != (bad, wraps):
+                    if not is_block and (stack[k][1] != bad or stack[k][2] is not wrap):
                         close_block()
-                    _, bad, wraps, main, section = stack[k]
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] in BLOCK and not is_block:
                     break
-            heading = any(x[0] in HEADINGS for x in stack)
             if is_block:
                 link_depth = 0 if tag != "li" else link_depth
             continue
         if tag in VOID:
             continue
-        attrs = m["attrs"]
-        worse, for_good = (False, False) if tag in ("body", "html") or tag in MAIN else _attrs_bad(attrs)
-        if tag in BOILERPLATE and tag not in MAIN and not (tag == "header" and main):
+        worse, for_good = (False, False) if tag in ("body", "html", "main") else _attrs_bad(m["attrs"])
+        if tag == "article":  # named as someone's comment, an advert and the like; other names don't count
+            worse = for_good
+        if tag in BOILERPLATE and not (tag == "header" and main):
             worse, for_good = True, for_good or tag in NEVER_WRAP
         if not is_block:
             if not worse:
@@ -166,53 +203,52 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "p" or tag in HEADINGS or tag in ("li", "dd", "dt", "tr", "td", "th"):  # these end one of their kind that was left open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag or tag in HEADINGS and stack[k][0] == "p":
-                    _, bad, wraps, main, section = stack[k]
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] not in ("p", "b", "i", "span"):
                     break
-        if tag == "main":
-            wrappers.update(wraps)
-        elif tag == "article":
-            wrappers.update(forms.intersection(wraps))
-        stack.append((tag, bad, wraps, main, section))
-        bad, main = bad or for_good, main or tag in MAIN
+        if tag in MAIN and not worse:  # forms around an article are its wrappers, and so is all around main
+            w = wrap
+            while w is not None and not (w.marked and (w.free or tag == "article")):
+                w.free, w.marked, w = w.free or w.is_form or tag == "main", True, w.outer
+        stack.append((tag, bad, wrap, main, headings, section))
+        n_open[tag] += 1
+        bad, main = bad or for_good, main or tag in MAIN and not worse
         if worse and not for_good:
-            n_wraps += 1
-            wraps = (*wraps, n_wraps)
-            if tag in ("form", "fieldset"):
-                forms.add(n_wraps)
-        heading = tag in HEADINGS or any(x[0] in HEADINGS for x in stack)
+            wrap = Wrap(wrap, tag in ("form", "fieldset"))
+            wraps.append(wrap)
+        headings += tag in HEADINGS
         if tag in MAIN or tag in BOILERPLATE or tag in ("section", "div", "body"):
             sections += 1
             section = sections
     add(page[at:])
     close_block()
-    if n_wraps:
-        unwrap(out, wrappers)
+    if wraps:
+        unwrap(out, wraps)
     return out
 
 
-def unwrap(found: list[Block], wrappers: set[int]) -> None:
-    """Takes blocks out of bad places that are wrappers of the article: those given, and elements that hold most of the
-    page's running text, in three blocks or more or with its article or first heading."""
-    mass: dict[int, int] = {}
-    count: dict[int, int] = {}
-    marked: set[int] = set()
+def unwrap(found: list[Block], wraps: list[Wrap]) -> None:
+    """Takes blocks out of bad places that are wrappers of the article: those known as such, and elements that hold most of
+    the page's running text, in three blocks or more or with its article or first heading. wraps: outer ones first."""
     total = 0
-    known = is_known([b for b in found if b.wraps or not b.bad_place])
+    known = is_known([b for b in found if b.wrap or not b.bad_place])
     for b in found:
-        if b.bad_place and not b.wraps:
+        if b.bad_place and not b.wrap:
             continue
-        if b.heading or b.in_main:
-            marked.update(b.wraps)
         n = running_words(b, known)
         total += n
-        for w in b.wraps if n else ():
-            mass[w], count[w] = mass.get(w, 0) + n, count.get(w, 0) + 1
-    free = wrappers | {w for w, n in mass.items() if 2 * n > total and (count[w] > 2 or w in marked)}
+        if w := b.wrap:
+            w.marked = w.marked or b.heading or b.in_main
+            w.words, w.blocks = w.words + n, w.blocks + (n > 0)
+    for w in reversed(wraps):
+        if o := w.outer:
+            o.words, o.blocks, o.marked = o.words + w.words, o.blocks + w.blocks, o.marked or w.marked
+    for w in wraps:
+        w.free = w.free or 2 * w.words > total and (w.blocks > 2 or w.marked)
+        w.open = w.free and (w.outer is None or w.outer.open)
     for b in found:
-        if b.wraps and free.issuperset(b.wraps):
+        if b.wrap and b.wrap.open:
             b.bad_place = False
 
 
@@ -289,10 +325,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks_of(page)
-    has_main = any(b.in_main and not b.bad_place for b in found)
-    known = is_known([b for b in found if not b.bad_place])
+    placed = [b for b in found if not b.bad_place]
+    known = is_known(placed)
+    inside, outside = (sum(running_words(b, known) for b in placed if b.in_main == x) for x in (True, False))
+    has_main = any(b.in_main for b in placed)
+    article_only = has_main and 2 * inside >= outside  # else the article's element holds little of the page's text
     for b in found:
-        b.label = first_pass(b, has_main, known)
+        b.label = BAD if article_only and not b.in_main else first_pass(b, has_main, known)
     return "\n".join(b.text for b, kept in zip(found, second_pass(found), strict=True) if kept)
 
 
