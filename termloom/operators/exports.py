@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normalized_space
-from ..plans.iterate import closure
+from ..plans.iterate import closure, keep
 from .paths import ancestors
 
 
@@ -18,15 +18,16 @@ def id_mapping(concepts: DataFrame, source: str, target: str, labels: list[str])
     return per_label.select("t", F.explode("s").alias("source_id")).select("source_id", F.explode("t").alias("target_id")).where("source_id IS NOT NULL AND target_id IS NOT NULL")
 
 
-def hypernyms(edges: DataFrame, roots: DataFrame, concepts: DataFrame, facets: list[str] | None = None) -> DataFrame:
-    """(node, hypernyms): real nodes below the facets' roots with all real ancestors by these facets' edges, sorted and
-    joined by |. None or ["all"] takes every facet, by the general edges. Nodes without ancestors have no row."""
+def hypernyms(edges: DataFrame, roots: DataFrame, concepts: DataFrame, facets: list[str] | None = None, label: str | None = None) -> DataFrame:
+    """(node, hypernyms): real nodes (perhaps of a label) below the facets' roots with all real ancestors by these facets'
+    edges, sorted and joined by |. None or ["all"] takes every facet, by the general edges. Nodes without ancestors have no
+    row."""
     every = not facets or facets == ["all"]
     own = edges.where(F.col("facet").isNull() if every else F.col("facet").isin(facets)).select("src", "dst").distinct()
     start = (roots if every else roots.where(F.col("facet").isin(facets))).select(F.lit(0).alias("origin"), "node").distinct()
     below = closure(start, edges.where("facet IS NULL").select("src", "dst").distinct()).select("node")
-    real = concepts.where(~F.array_contains("labels", "HOLLOW")).select("node")
-    found = ancestors(own, concepts).join(below, "node", "left_semi").join(real, "node", "left_semi")
+    real = concepts.where(~F.array_contains("labels", "HOLLOW") & (F.array_contains("labels", label) if label else F.lit(True))).select("node")
+    found = ancestors(own, concepts, keep(below.join(real, "node", "left_semi")))
     return found.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("ancestor")), "|").alias("hypernyms"))
 
 

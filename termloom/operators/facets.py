@@ -34,12 +34,32 @@ def create_facet(graph: Graph, facet: dict) -> tuple[Graph, str]:
 
 
 def insert_facets(graph: Graph, facets: list[dict]) -> tuple[Graph, list[dict]]:
-    """(graph, [{name, id}]) in input order."""
-    out = []
+    """(graph, [{name, id}]) in input order: always new facets, all of them in one job. Each needs a facetGroup, as create_facet
+    says; groups that are there get new labels, others are made."""
+    asked: dict[tuple[str, bool], dict] = {}  # the groups named, with what is said of them first and all their labels
+    of = []
     for f in facets:
-        graph, fid = create_facet(graph, f)
-        out.append({"name": f.get("name"), "id": fid})
-    return graph, out
+        group = f.get("facetGroup")
+        group = {"name": group} if isinstance(group, str) else group
+        if not group or not group.get("name"):
+            raise ValueError("a facet needs a facet group")
+        key = (group["name"], bool(f.get("noFacet")))
+        first = asked.setdefault(key, {**group, "labels": []})
+        first["labels"] = list(dict.fromkeys([*first["labels"], *(group.get("labels") or [])]))
+        of.append(key)
+    spark = graph.groups.sparkSession
+    there = {(r["name"], bool(r["is_no_facet"])): r["grp"] for r in graph.groups.where(F.col("name").isin([n for n, _ in asked])).select("name", "is_no_facet", "grp").collect()}
+    start = next_number(graph.groups, "grp", "fgid")
+    made = {key: f"fgid{start + k}" for k, key in enumerate(key for key in asked if key not in there)}
+    rows = [(grp, key[0], asked[key].get("position"), asked[key].get("type"), asked[key]["labels"], key[1]) for key, grp in made.items()]
+    more = spark.createDataFrame([(grp, asked[key]["labels"]) for key, grp in there.items() if key in asked], "grp string, more array<string>")
+    none = F.array().cast("array<string>")
+    grown = graph.groups.join(F.broadcast(more), "grp", "left")  # no more rows than facets given
+    groups = grown.withColumn("labels", F.when(F.col("more").isNotNull(), F.array_union(F.coalesce("labels", none), "more")).otherwise(F.col("labels"))).select(graph.groups.columns)
+    grp_of, first_id = {**there, **made}, next_number(graph.facets, "facet", "fid")
+    new = [(f"fid{first_id + k}", f.get("name"), f.get("shortName"), f.get("customId"), f.get("labels") or [], f.get("sourceType") or HIERARCHICAL, grp_of[key], key[1]) for k, (f, key) in enumerate(zip(facets, of, strict=True))]
+    graph = graph.with_(groups=groups.unionByName(spark.createDataFrame(rows, SCHEMAS["groups"])), facets=graph.facets.unionByName(spark.createDataFrame(new, SCHEMAS["facets"])))
+    return graph, [{"name": f.get("name"), "id": row[0]} for f, row in zip(facets, new, strict=True)]
 
 
 def resolve_facet(graph: Graph, facet: dict | None) -> tuple[Graph, str | None]:

@@ -54,9 +54,10 @@ def with_top(df: DataFrame, tops: DataFrame, column: str, out: str) -> DataFrame
     return df.join(t, df[column] == F.col("__node"), "left").withColumn(out, F.coalesce("__top", column)).drop("__node", "__top")
 
 
-def ancestors(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(node, ancestor): all real nodes above each node, itself not; hollow ones are neither shown nor passed."""
+def ancestors(edges: DataFrame, concepts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor): all real nodes above each node (or each in of), itself not; hollow ones are neither shown nor passed."""
     real = concepts.where(~has_label(HOLLOW)).select(F.col("node").alias("src"))
     up = edges.join(real, "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    found = closure(up.select(F.col("src").alias("origin"), F.col("dst").alias("node")), up)
+    first = up if of is None else up.join(of.select(F.col("node").alias("src")), "src", "left_semi")
+    found = closure(first.select(F.col("src").alias("origin"), F.col("dst").alias("node")), up)
     return found.where("origin <> node").select(F.col("origin").alias("node"), F.col("node").alias("ancestor"))

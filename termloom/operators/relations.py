@@ -90,9 +90,10 @@ def _requested(ids: DataFrame, tops: DataFrame) -> DataFrame:
 def _seen_from(requested: DataFrame, relation_docs: DataFrame, elements: DataFrame, tops: DataFrame, types: list[str]) -> DataFrame:
     """(arg1, arg2, count): relations of the leaves below each requested top, once each, with the top at the other end."""
     leaves = leaf_elements(elements, requested).select(F.col("node").alias("arg1"), F.col("leaf").alias("u"))
-    edges = relation_docs.where(F.col("type").isin(types)).groupBy("type", "u", "v").agg(F.sum("count").alias("count"))
+    edges = relation_docs.where(F.col("type").isin(types))
     both = edges.select("u", "v", "count").union(edges.select("v", "u", "count").where("u <> v"))
-    found = both.join(leaves, "u").select("arg1", F.col("v").alias("other"), "count")
+    # few relations touch the leaves: only these are summed
+    found = both.join(leaves, "u").groupBy("arg1", F.col("v").alias("other")).agg(F.sum("count").alias("count"))
     return with_top(found, tops, "other", "arg2").select("arg1", "arg2", "count")
 
 

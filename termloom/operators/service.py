@@ -41,9 +41,23 @@ def get_children_of_concepts(graph: Graph, concept_ids: list[str], label: str |
     return _named(_named(found, graph, "parent", "parent_id"), graph, "child", "child_id").select("parent_id", "child_id", "types")
 
 
-def get_paths_to_facetroots(graph: Graph, concept_ids: list[str], return_id_property: str = "id", sort_result: bool = False, facet_id: str | None = None) -> DataFrame:
-    """(concept_id, path): paths from facet roots to each concept, as values of a property; perhaps shortest first."""
-    found = P.paths_from_roots(_ids(graph, concept_ids), graph.edges, graph.roots, graph.concepts, facet_id, NAME[return_id_property])
+def _nodes_with(graph: Graph, values: list[str], id_property: str) -> DataFrame:
+    """The nodes that bear the values in id_property; a value that no concept has is an error."""
+    asked = graph.concepts.sparkSession.createDataFrame([(v,) for v in values], "value string").distinct()
+    if id_property == "sourceIds":
+        known = graph.sources.select("node", F.col("source_id").alias("value"))
+    else:
+        known = graph.concepts.select("node", (F.col(NAME[id_property]) if id_property in NAME else F.try_element_at("props", F.lit(id_property))).alias("value"))
+    found = keep(asked.join(known, "value", "left").select("value", "node").distinct())
+    if row := found.where("node IS NULL").first():
+        raise ValueError(f"no concept with {id_property} {row['value']}")
+    return found.select("node").distinct()
+
+
+def get_paths_to_facetroots(graph: Graph, concept_ids: list[str], return_id_property: str = "id", sort_result: bool = False, facet_id: str | None = None, id_property: str = "id") -> DataFrame:
+    """(concept_id, path): paths from facet roots to each concept, as values of a property; perhaps shortest first. Concepts are
+    given by their values of id_property; an unknown one is an error."""
+    found = P.paths_from_roots(_nodes_with(graph, concept_ids, id_property), graph.edges, graph.roots, graph.concepts, facet_id, NAME[return_id_property])
     named = _named(found, graph, "node", "concept_id").select("concept_id", "path")
     return named.orderBy(F.size("path")) if sort_result else named
 
@@ -229,15 +243,15 @@ def export_concept_id_mapping(graph: Graph, source_id_property: str = "sourceIds
     return E.id_mapping(c, column(source_id_property), column(target_id_property), list(labels))
 
 
-def export_hypernyms(graph: Graph, facet_names: list[str] | None = None) -> DataFrame:
-    """(concept_id, hypernyms), hypernyms joined by |."""
+def export_hypernyms(graph: Graph, facet_names: list[str] | None = None, label: str | None = None) -> DataFrame:
+    """(concept_id, hypernyms) of concepts, perhaps of a label; hypernyms joined by |."""
     named = graph.concepts.where("id IS NOT NULL").withColumn("key", F.col("id"))
     at = named.select("node", "key")
     by_id = lambda df, *ends: _keyed(df, at, ends)
     facets = None
     if facet_names and facet_names != ["all"]:
         facets = [r.facet for r in graph.facets.where(F.col("name").isin(facet_names) & ~F.col("is_no_facet")).select("facet").collect()]
-    found = E.hypernyms(by_id(graph.edges, "src", "dst"), by_id(graph.roots, "node"), named.drop("node").withColumnRenamed("key", "node"), facets)
+    found = E.hypernyms(by_id(graph.edges, "src", "dst"), by_id(graph.roots, "node"), named.drop("node").withColumnRenamed("key", "node"), facets, label)
     return found.withColumnRenamed("node", "concept_id")
 
 
@@ -247,9 +261,10 @@ def _keyed(df: DataFrame, at: DataFrame, ends: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def export_concept_facet_map(graph: Graph) -> DataFrame:
-    """(concept_id, facets)."""
-    return E.concept_facet_map(graph.concepts.where("id IS NOT NULL").drop("node").withColumnRenamed("id", "node")).withColumnRenamed("node", "concept_id")
+def export_concept_facet_map(graph: Graph, label: str | None = None) -> DataFrame:
+    """(concept_id, facets) of concepts, perhaps of a label."""
+    concepts = graph.concepts.where(F.array_contains("labels", label)) if label else graph.concepts
+    return E.concept_facet_map(concepts.where("id IS NOT NULL").drop("node").withColumnRenamed("id", "node")).withColumnRenamed("node", "concept_id")
 
 
 def export_dictionary(graph: Graph, id_property: str | list[str] = "id", exclusion_labels: list[str] | None = None, unique_keys: bool = False, label: str = "CONCEPT", add_source_prefix: bool = False) -> DataFrame:

@@ -338,8 +338,7 @@ def concept_facet_map(g):
 )
 def variant_counts(g):
     words = g.table("documents").select(F.lit("writing_variant").alias("kind"), F.col("lang").alias("concept"), F.col("doc_id").alias("doc"), F.explode(F.split("text", "[ \\t\\n\\r\\f\\x0B]+")).alias("name")).where("name <> ''")
-    rows = words.groupBy("kind", "concept", "doc", "name").agg(F.count("*").alias("count"), F.lit(0).alias("ord"))
-    v = V.counted_variants(rows)
+    v = V.counted_variants(words.select("*", F.lit(1).alias("count"), F.lit(0).alias("ord")))
     return v.groupBy("concept", "norm").agg(F.min_by("name", F.struct("doc", "name")).alias("name"), F.count("*").alias("n_docs"), F.sum("count").alias("total"))
 
 

@@ -1,14 +1,21 @@
-"""Relations as a stream: JSON documents that arrive in a folder are merged into stored counts, batch by batch."""
+"""Relations as a stream: JSON documents that arrive in a folder are merged into stored tables, batch by batch."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relations import counted, relation_pairs, upsert_counts
+from ..operators.relations import counted, relation_pairs, upsert_counts, upsert_databases
 from ..sources.documents import RELATIONS, relation_rows
 
 STORED = "type string, u string, v string, doc string, count long"
+DATABASES = "type string, u string, v string, db_name string, method string"
+PLACES = "bucket int, version long"
+#: Keys are dealt to so many buckets; a batch rewrites only those that it touches.
+BUCKETS = 64
 
 
 def relation_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -16,24 +23,54 @@ def relation_stream(spark: SparkSession, folder: str, files_per_batch: int = 100
     return relation_rows(spark.readStream.schema(RELATIONS).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
-def version(path: str, n: int) -> str:
-    return f"{path}/version={n}"
+def _places(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(bucket, version): the version in which each bucket was last written, up to batch n. At most BUCKETS rows."""
+    try:
+        return spark.read.schema(PLACES).parquet(f"{path}/places/version={n}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PLACES)
+
+
+def _read(spark: SparkSession, path: str, n: int, schema: str, buckets: list[int] | None = None) -> DataFrame:
+    where = [f"{path}/rows/version={r.version}/bucket={r.bucket}" for r in _places(spark, path, n).collect() if buckets is None or r.bucket in buckets]
+    return spark.read.schema(schema).parquet(*where) if where else spark.createDataFrame([], schema)
 
 
 def read_version(spark: SparkSession, path: str, n: int) -> DataFrame:
     """relation_docs after batch n; before the first there are none."""
-    return spark.read.schema(STORED).parquet(version(path, n)) if n >= 0 else spark.createDataFrame([], STORED)
+    return _read(spark, path, n, STORED)
+
+
+def read_databases(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """relation_dbs after batch n."""
+    return _read(spark, f"{path}/databases", n, DATABASES)
+
+
+def _merge(path: str, n: int, schema: str, new: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Writes version n of the buckets that new touches, then where each bucket is. A batch that is run again does the same."""
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("type", "u", "v"), F.lit(BUCKETS)).cast("int")
+    touched = [r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect()]
+    merged = upsert(_read(spark, path, n - 1, schema, touched), new)
+    if touched:
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/version={n}")
+    places = _places(spark, path, n - 1).where(~F.col("bucket").isin(touched)) if touched else _places(spark, path, n - 1)
+    places = places.unionByName(spark.createDataFrame([(b, n) for b in touched], PLACES))
+    places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={n}")
 
 
 def start_import(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False):
-    """Starts the stream that merges rows' literature relations. Each batch writes version n from version n - 1, so a batch
-    that is run again after a failure gives the same version. Arguments are taken as resolved ids."""
+    """Starts the stream that merges rows' relations: those of literature into relation_docs, those of databases into
+    relation_dbs. Each batch makes version n from version n - 1, so a batch that is run again after a failure gives the
+    same version. Arguments are taken as resolved ids."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        ids = batch.where("NOT is_db").withColumn("args", F.transform("args", lambda a: F.get(a, F.lit(0))))
-        new = counted(relation_pairs(ids.select("type", "args", "doc", "entry", "count")))
-        upsert_counts(read_version(spark, path, n - 1), new).write.mode("overwrite").parquet(version(path, n))
+        pairs = relation_pairs(batch.withColumn("args", F.transform("args", lambda a: F.get(a, F.lit(0)))))
+        _merge(path, n, STORED, counted(pairs.where("NOT is_db").select("type", "u", "v", "doc", "entry", "count")), upsert_counts)
+        databases = pairs.where("is_db").select("type", "u", "v", F.col("doc").alias("db_name"), "method", F.col("entry").alias("ord"))
+        _merge(f"{path}/databases", n, DATABASES, databases, upsert_databases)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

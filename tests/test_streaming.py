@@ -19,3 +19,20 @@ def test_batches_merge_into_versions(spark, tmp_path):
     found = [tuple(r) for r in S.read_version(spark, out, 1).collect()]
     assert found == [("t", "a", "b", "d1", 5)] and S.read_version(spark, out, 0).first()["count"] == 2
     assert S.read_version(spark, out, -1).count() == 0
+
+
+def test_databases_and_untouched_buckets(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+
+    def add(name, *documents):
+        (tmp_path / "in" / name).write_text(json.dumps({"id_property": "id", "documents": list(documents)}))
+        S.start_import(S.relation_stream(spark, folder), out, state, available_now=True).awaitTermination(120)
+
+    relation = lambda a, b, **more: {"t": [{"count": 1, "args": [[a], [b]], **more}]}
+    add("1.json", *({"name": f"d{k}", "relations": relation(f"a{k}", f"b{k}")} for k in range(30)), {"name": "db1", "isDb": True, "relations": relation("x", "y", method="m")})
+    add("2.json", {"name": "d7", "relations": {"t": [{"count": 9, "args": [["a7"], ["b7"]]}]}}, {"name": "db1", "isDb": True, "relations": {"t": [{"count": 1, "args": [["x"], ["y"]], "method": "other"}, {"count": 1, "args": [["p"], ["q"]]}]}})
+    assert {tuple(r) for r in S.read_version(spark, out, 1).collect()} == {("t", f"a{k}", f"b{k}", f"d{k}", 9 if k == 7 else 1) for k in range(30)}
+    assert {tuple(r) for r in S.read_databases(spark, out, 1).collect()} == {("t", "x", "y", "db1", "m"), ("t", "p", "q", "db1", "<unknown>")}
+    assert {tuple(r) for r in S.read_databases(spark, out, 0).collect()} == {("t", "x", "y", "db1", "m")}
+    assert len(list((tmp_path / "out" / "rows" / "version=1").glob("bucket=*"))) == 1
