@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality import judge_quality
+from .quality import FIGURES, with_judgement
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    judged = with_judgement(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return judged.select("doc_id", *(f"judged.{c}" for c in (*FIGURES, "kept", "quality")))
 
 
 QUERIES = {"op9_quality_rules": op9_quality_rules}

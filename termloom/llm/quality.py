@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, checkpointed, let
+from .common import BLANKS, blank_words, checkpointed, free_name, let
 
 # Function words that running text of each language can't do without.
 STOP_WORDS = {
@@ -128,19 +128,32 @@ def fit(patterns: DataFrame, rules: list[str], rounds: int = 25, tolerance: floa
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def judge_quality(docs: DataFrame, text_col: str = "text", keep_above: float = 0.5, keep_text: bool = True) -> DataFrame:
-    """docs with the base figures, the struct quality_votes, quality (posterior, 0 to 1) and kept.
+def with_judgement(docs: DataFrame, text_col: str = "text", keep_above: float = 0.5, keep_text: bool = True, out: str = "judged") -> DataFrame:
+    """docs with the struct `out`: the base figures, votes (a struct of each rule's), quality (posterior, 0 to 1) and kept.
 
     kept is false where base_failed holds, else quality >= keep_above. Null and empty texts have no words and fail.
-    Columns of docs that bear one of these names are replaced. An empty table gives an empty result. With keep_text
-    the texts are measured twice, for the model and for the result; without, text_col goes and figures are kept instead.
+    Repeated rows each get their result and count each in the model. Columns of docs stay, whatever their names; one
+    called `out` is replaced. An empty table gives an empty result. Texts are measured once; docs is written with its
+    figures, as the model needs all votes before any verdict; without keep_text, text_col goes.
     """
-    judged = base_figures(docs.drop("words", "quality_votes", "quality", "kept", *FIGURES), text_col)
-    rules = votes(F.col(text_col))
-    judged = computed(judged, quality_votes=F.struct(*(v.cast("int").alias(r) for r, v in rules.items()))).drop("words")
-    if not keep_text:
-        judged = checkpointed(judged.drop(text_col))
-    patterns = checkpointed(judged.groupBy("quality_votes").agg(F.count("*").alias("n")).select("quality_votes.*", "n"))
-    of = patterns.withColumn("quality", _posterior(fit(patterns, list(rules)))).select(F.struct(*rules).alias("quality_votes"), "quality")
-    judged = judged.join(F.broadcast(of), "quality_votes", "left")  # at most 3 ** len(rules) rows
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_above))
+    docs = docs.drop(out)
+    rest = [c for c in docs.columns if keep_text or c != text_col]
+    judged = base_figures(docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text")), "text")
+    rules = votes(F.col("text"))
+    judged = computed(judged, votes=F.struct(*(v.cast("int").alias(r) for r, v in rules.items())))
+    judged = checkpointed(judged.select("row", *FIGURES, "votes"))
+    patterns = checkpointed(judged.groupBy("votes").agg(F.count("*").alias("n")).select("votes.*", "n"))
+    of = patterns.withColumn("quality", _posterior(fit(patterns, list(rules)))).select(F.struct(*rules).alias("votes"), "quality")
+    judged = judged.join(F.broadcast(of), "votes", "left")  # at most 3 ** len(rules) rows
+    kept = (~F.col("base_failed") & (F.col("quality") >= keep_above)).alias("kept")
+    return judged.select("row.*", F.struct(*FIGURES, "votes", "quality", kept).alias(out))
+
+
+def judge_quality(docs: DataFrame, text_col: str = "text", keep_above: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """with_judgement, but each field a column of its own (votes: quality_votes); columns of docs with these names are
+    replaced."""
+    names = {**{c: c for c in (*FIGURES, "quality", "kept")}, "votes": "quality_votes"}
+    out = free_name(docs, "judged")
+    judged = with_judgement(docs, text_col, keep_above, keep_text, out)
+    stay = [c for c in judged.columns if c not in {out, *names.values()}]
+    return judged.select(*stay, *(F.col(out)[a].alias(b) for a, b in names.items()))
