@@ -8,6 +8,7 @@ All of it is DataFrame expressions; what reaches the driver is one row of fixed
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,15 +96,13 @@ def votes(text: Column) -> dict[str, Column]:
     }
 
 
-def _chance(rule: str, rates: dict) -> Column:
-    """The rate at which rule votes as it did, under one class."""
-    r = rates[rule]
-    return F.when(F.col(rule) == GOOD, r[GOOD]).when(F.col(rule) == BAD, r[BAD]).otherwise(r[ABSTAIN])
-
-
 def _posterior(model: dict) -> Column:
-    log = {c: reduce(lambda a, b: a + b, (F.log(_chance(r, model[c])) for r in model[c]), F.lit(1.0) * F.log(F.lit(p))) for c, p in (("good", model["prior"]), ("bad", 1 - model["prior"]))}
-    return 1 / (1 + F.exp(log["bad"] - log["good"]))
+    """The probability that a document with these votes is good. Rates stand in arrays, which are data to the compiled code,
+    so that all rounds of fit share it."""
+    odds = {r: [math.log(model["good"][r][v] / model["bad"][r][v]) for v in (BAD, ABSTAIN, GOOD)] for r in model["good"]}
+    first = next(iter(odds))
+    odds[first] = [x + math.log(model["prior"] / (1 - model["prior"])) for x in odds[first]]
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (F.get(F.lit(odds[r]), F.col(r) + 1) for r in odds))))
 
 
 def fit(patterns: DataFrame, rules: list[str], rounds: int = 25, tolerance: float = 1e-4) -> dict:
@@ -142,7 +141,7 @@ def with_judgement(docs: DataFrame, text_col: str = "text", keep_above: float =
     rules = votes(F.col("text"))
     judged = computed(judged, votes=F.struct(*(v.cast("int").alias(r) for r, v in rules.items())))
     judged = checkpointed(judged.select("row", *FIGURES, "votes"))
-    patterns = checkpointed(judged.groupBy("votes").agg(F.count("*").alias("n")).select("votes.*", "n"))
+    patterns = checkpointed(judged.groupBy("votes").agg(F.count("*").alias("n")).select("votes.*", "n").coalesce(1))  # at most 3 ** len(rules) rows
     of = patterns.withColumn("quality", _posterior(fit(patterns, list(rules)))).select(F.struct(*rules).alias("votes"), "quality")
     judged = judged.join(F.broadcast(of), "votes", "left")  # at most 3 ** len(rules) rows
     kept = (~F.col("base_failed") & (F.col("quality") >= keep_above)).alias("kept")
