@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe
-from termloom.llm.common import checkpoint_folder, table
+from termloom.llm.common import checkpoint_folder, free_name, table
 from termloom.llm.decontamination import decontaminate
 from termloom.llm.line_dedup import deduplicate_lines
 from termloom.llm.near_dup import drop_near_duplicates
-from termloom.llm.quality import judge_quality
+from termloom.llm.quality import with_judgement
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the label model reject go."""
-    return judge_quality(docs).where("kept").select(docs.columns)
+    out = free_name(docs, "judged")
+    return with_judgement(docs, out=out).where(F.col(out)["kept"]).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
