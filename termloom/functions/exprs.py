@@ -56,6 +56,18 @@ def without(values: Column | str, value: Column | str) -> Column:
     return F.when(col(value).isNull(), col(values)).otherwise(F.array_remove(col(values), col(value)))
 
 
+def is_list(value: Column) -> Column:
+    """Whether a property's text is a JSON list."""
+    return F.coalesce(value.startswith("["), F.lit(False))
+
+
+def merged_lists(old: str, new: str) -> Column:
+    """Map old with what new adds: keys that it lacks, and elements that its lists (JSON text) lack. Other values stay."""
+    of = lambda x: F.from_json(x, "array<string>")
+    none = F.create_map().cast("map<string,string>")
+    return F.map_zip_with(F.coalesce(old, none), F.coalesce(new, none), lambda k, a, b: F.when(is_list(a) & is_list(b), F.to_json(F.array_union(of(a), of(b)))).otherwise(F.coalesce(a, b)))
+
+
 def merged_map(existing: Column | str, incoming: Column | str) -> Column:
     """A map whose existing keys keep their values."""
     a, b = (F.coalesce(col(c), F.create_map().cast("map<string,string>")) for c in (existing, incoming))

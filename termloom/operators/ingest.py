@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import blank_to_null, is_blank, merged_map, null_if_empty, ordered_union, without
+from ..functions.exprs import blank_to_null, is_blank, is_list, merged_lists, merged_map, null_if_empty, ordered_union, without
 from ..plans.iterate import keep
 from .facets import ensure_no_facet, resolve_facet
 from .graph import Graph, next_number, numbered
@@ -201,7 +201,8 @@ def _explicit(concepts: DataFrame, at: DataFrame) -> DataFrame:
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Edges after adding some: the same ends and type, and no property with two values, are one edge with all properties;
-    a property with another value makes another edge."""
+    a property with another value makes another edge. Lists (JSON text) are united; a list that meets a single value is an
+    error."""
     key = ["src", "dst", "type", "facet"]
     entries = lambda c: F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>"))
     new = incoming.select(*key, "props").withColumn("p", F.array_sort(entries("props"))).groupBy(*key, "p").agg(F.first("props").alias("new_props"))
@@ -210,10 +211,16 @@ def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(alias[k]))
-    agree = ~F.coalesce(F.exists(entries("new_props"), lambda e: F.coalesce(F.try_element_at("old_props", e["key"]) != e["value"], F.lit(False))), F.lit(False))
+
+    def differs(e: Column) -> Column:
+        old = F.try_element_at("old_props", e["key"])
+        mixed = F.raise_error(F.concat(F.lit("a list meets a single value in edge property "), e["key"])).cast("boolean")
+        return F.when(old.isNull() | (old == e["value"]), False).when(is_list(old) & is_list(e["value"]), False).when(is_list(old) | is_list(e["value"]), mixed).otherwise(True)
+
+    agree = ~F.coalesce(F.exists(entries("new_props"), differs), F.lit(False))
     met = new.join(s, same & agree, "left")
     added = met.where(F.col("__src").isNull()).select(*key, F.col("new_props").alias("props"))
-    grown = met.where(F.col("__src").isNotNull()).select(*(F.col(alias[k]).alias(k) for k in key), "old_props", merged_map("old_props", "new_props").alias("__grown")).groupBy(*key, F.array_sort(entries("old_props")).alias("p")).agg(F.first("__grown").alias("__grown"))
+    grown = met.where(F.col("__src").isNotNull()).select(*(F.col(alias[k]).alias(k) for k in key), "old_props", merged_lists("old_props", "new_props").alias("__grown")).groupBy(*key, F.array_sort(entries("old_props")).alias("p")).agg(F.first("__grown").alias("__grown"))
     st = stored.withColumn("p", F.array_sort(entries("props")))
     same2 = F.lit(True)
     for k in (*key, "p"):

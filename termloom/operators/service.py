@@ -140,6 +140,11 @@ def _with_aggregates(graph: Graph, elements: DataFrame, labels: list[str], copy_
     return graph.with_(concepts=keep(concepts), elements=keep(graph.elements.unionByName(linked)))
 
 
+def n_aggregates(graph: Graph, labels: list[str]) -> int:
+    """How many aggregates have any of the labels: after a build, how many it made."""
+    return graph.concepts.where(F.array_contains("labels", A.AGGREGATE) & F.arrays_overlap("labels", F.array(*map(F.lit, labels)))).count()
+
+
 def build_aggregates_by_preferred_name(graph: Graph, labels: list[str], aggregated_labels: list[str], copy_properties: list[str], name_property: str = "preferredName") -> Graph:
     elements = A.equal_name_elements(graph.concepts, labels, NAME[name_property])
     return _with_aggregates(graph, elements, aggregated_labels, copy_properties, [A.EQUAL_NAMES])

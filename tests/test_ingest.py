@@ -170,3 +170,25 @@ def test_document_file(spark, tmp_path):
 def test_numbers_are_dense(spark):
     n = numbered(spark.range(1000).withColumn("k", F.xxhash64("id")), ["k"], "n", 5)
     assert [r.n for r in n.orderBy("k").collect()] == list(range(5, 1005))
+
+
+def test_edge_properties_with_lists(spark):
+    from termloom.operators.ingest import upsert_edges
+
+    schema = "src long, dst long, type string, facet string, props map<string,string>"
+    stored = spark.createDataFrame([(1, 2, "t", None, {"a": '["x","y"]', "b": "1"}), (3, 4, "t", None, None)], schema)
+    new = spark.createDataFrame([(1, 2, "t", None, {"a": '["y","z"]', "c": "2"}), (3, 4, "t", None, {"a": '["q"]'})], schema)
+    got = {r.src: r.props for r in upsert_edges(stored, new).collect()}
+    assert got == {1: {"a": '["x","y","z"]', "b": "1", "c": "2"}, 3: {"a": '["q"]'}}
+    other = upsert_edges(stored, spark.createDataFrame([(1, 2, "t", None, {"a": '["z"]', "b": "2"})], schema)).collect()
+    assert sorted(r.props["b"] for r in other if r.src == 1) == ["1", "2"]
+    with pytest.raises(Exception, match="single value"):
+        upsert_edges(stored, spark.createDataFrame([(1, 2, "t", None, {"a": "x"})], schema)).collect()
+
+
+def test_paths_by_any_property(spark):
+    from termloom.operators import service as S
+    from termloom.operators.graph import Graph
+
+    with pytest.raises(ValueError, match="no concept with originalId"):
+        S.get_paths_to_facetroots(Graph.empty(spark), ["x"], id_property="originalId")
