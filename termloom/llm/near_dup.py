@@ -269,10 +269,12 @@ def _late_links(posts: DataFrame, classes: DataFrame, label: DataFrame, texts: D
     return [links, checkpointed(told.mapInPandas(_block_links(width, percent), "a long, b long").distinct())]
 
 
-def _same_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): the classes of each id whose rows have different texts, with that id."""
-    odd = some.groupBy("doc").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 <> k1").select("doc")
-    return some.select("doc", "set_key").join(odd, "doc", "left_semi").join(classes.select("set_key", "rep"), "set_key").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+def _same_ids(some: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """(a, b): the classes of each id whose rows have different texts, with that id; none if there are no such ids."""
+    odd = checkpointed(some.groupBy("doc").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 <> k1").select("doc"))
+    if odd.isEmpty():
+        return []
+    return [some.select("doc", "set_key").join(odd, "doc", "left_semi").join(classes.select("set_key", "rep"), "set_key").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -295,14 +297,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # in each coordinate another order of the ids, so that a group's members meet different ones of them
     salt = F.xxhash64("list.coord").bitwiseXOR
     lists = posts.groupBy("list").agg(F.count("*").alias("size"), F.min(salt(F.col("rep"))).alias("first")).where("size > 1")
-    lists = lists.select("list", "size", salt(F.col("first")).alias("hub"))
+    lists = checkpointed(lists.select("list", "size", salt(F.col("first")).alias("hub")))
     star = look_up(posts.select("list", "rep"), lists, "list", F.col("size") > HOT_SHARE * n_classes).where("rep <> hub")
     pairs = star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     texts = texts.where("doc IS NOT NULL")
-    links = _confirm(checkpointed(_colliding(pairs, classes, percent)), texts, width, percent).union(_same_ids(some, classes))
+    links = reduce(DataFrame.union, _same_ids(some, classes), _confirm(checkpointed(_colliding(pairs, classes, percent)), texts, width, percent))
     label = connected_components(links, checkpointed)
-    late = _late_links(posts, classes, label, texts, width, percent, n_classes)
-    label = connected_components(reduce(DataFrame.union, late, links), checkpointed)
+    late = [x for x in _late_links(posts, classes, label, texts, width, percent, n_classes) if not x.isEmpty()]
+    if late:
+        label = connected_components(reduce(DataFrame.union, late, links), checkpointed)
     of = classes.join(label, classes["rep"] == label["node"], "left").select("set_key", "copies", F.coalesce("label", "rep").alias("component"))
     alone = own.where("n_shingles = 0 OR doc IS NULL").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     found = look_up(some.select("doc", "n_shingles", "set_key"), of, "set_key", F.col("copies") > HOT_SHARE * n_rows)
