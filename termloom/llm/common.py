@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the checkpoint folder and reread. As after checkpointed() its lineage ends there; in addition
+    Spark knows its size, so it packs small files into few tasks and needs no shuffle to join small tables."""
+    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many _ before it as make it no column of df (in any case of letters)."""
     taken = {c.lower() for c in df.columns}
