@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_decontamination, q_html, q_licenses, q_lines, q_near_dup, q_phrases, q_quality, q_tokens, q_warc
+from . import q_chat, q_decontamination, q_html, q_licenses, q_lines, q_near_dup, q_phrases, q_quality, q_simhash, q_tokens, q_vector_codes, q_warc
 
-MODULES = (q_lines, q_quality, q_licenses, q_tokens, q_decontamination, q_near_dup, q_html, q_chat, q_warc, q_phrases)
+MODULES = (q_lines, q_quality, q_licenses, q_tokens, q_decontamination, q_near_dup, q_html, q_chat, q_warc, q_simhash, q_phrases, q_vector_codes)
 
 
 def queries() -> dict:

@@ -129,7 +129,7 @@ def test_quality_rules(spark, folder):
 
 
 def test_empty_tables(spark, tmp_path):
-    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id string, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id string, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert {name: len(f(spark, str(tmp_path)).collect()) for name, f in queries.queries().items()} == {name: int(name.startswith("op8")) for name in queries.queries()}
