@@ -56,16 +56,49 @@ def without(values: Column | str, value: Column | str) -> Column:
     return F.when(col(value).isNull(), col(values)).otherwise(F.array_remove(col(values), col(value)))
 
 
+def as_value(text: Column | str) -> Column:
+    """A text as the JSON text of a property's value."""
+    return F.when(col(text).isNotNull(), F.substring(F.to_json(F.array(col(text))), F.lit(2), F.length(F.to_json(F.array(col(text)))) - 2))
+
+
+def as_text(value: Column | str) -> Column:
+    """What a property's value (JSON text) shows: a text without its quotes, anything else as it is."""
+    v = col(value)
+    return F.when(v.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0))).otherwise(v)
+
+
 def is_list(value: Column) -> Column:
-    """Whether a property's text is a JSON list."""
+    """Whether a property's value is a list. A text that looks like one is not: its JSON text starts with a quote."""
     return F.coalesce(value.startswith("["), F.lit(False))
 
 
-def merged_lists(old: str, new: str) -> Column:
-    """Map old with what new adds: keys that it lacks, and elements that its lists (JSON text) lack. Other values stay."""
-    of = lambda x: F.from_json(x, "array<string>")
-    none = F.create_map().cast("map<string,string>")
-    return F.map_zip_with(F.coalesce(old, none), F.coalesce(new, none), lambda k, a, b: F.when(is_list(a) & is_list(b), F.to_json(F.array_union(of(a), of(b)))).otherwise(F.coalesce(a, b)))
+def list_values(value: Column) -> Column:
+    """The elements of a list value as JSON texts."""
+    return F.transform(F.from_json(value, "array<variant>"), lambda x: F.to_json(x))
+
+
+def list_of(values: Column) -> Column:
+    """A list value of elements given as JSON texts."""
+    return F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+
+
+def value_clash(old: Column, new: Column, key: Column) -> Column:
+    """Whether two values of an edge property make different edges: single values that differ do. Lists never do, as they
+    are united; a list that meets a single value is an error."""
+    mixed = F.raise_error(F.concat(F.lit("a list meets a single value in edge property "), key)).cast("boolean")
+    return F.when(old.isNull() | new.isNull() | (old == new) | is_list(old) & is_list(new), False).when(is_list(old) | is_list(new), mixed).otherwise(True)
+
+
+def merged_entries(old: Column, new: Column) -> Column:
+    """Entries (key, value) of edge properties: the old ones, lists united with the new, then keys that only new has."""
+    value_in = lambda entries, key: F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))["value"]
+
+    def grown(e: Column) -> Column:
+        other = value_in(new, e["key"])
+        united = list_of(F.array_union(list_values(e["value"]), list_values(other)))
+        return F.struct(e["key"].alias("key"), F.when(is_list(e["value"]) & is_list(other), united).otherwise(e["value"]).alias("value"))
+
+    return F.concat(F.transform(old, grown), F.filter(new, lambda e: ~F.exists(old, lambda o: o["key"] == e["key"])))
 
 
 def merged_map(existing: Column | str, incoming: Column | str) -> Column:

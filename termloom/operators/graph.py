@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,7 +14,7 @@ from ..plans.iterate import keep
 SCHEMAS = {
     "concepts": "node long, id string, labels array<string>, pref_name string, original_id string, original_source string, synonyms array<string>, writing_variants array<string>, descriptions array<string>, copy_properties array<string>, facets array<string>, mapping_type array<string>, props map<string,string>",
     "sources": "node long, source_id string, source string, is_unique boolean, ord int",
-    "edges": "src long, dst long, type string, facet string, props map<string,string>",
+    "edges": "src long, dst long, type string, facet string, props map<string,string>, nth int",
     "roots": "facet string, node long, is_no_facet boolean",
     "elements": "aggregate long, element long",
     "facets": "facet string, name string, short_name string, custom_id string, labels array<string>, source_type string, grp string, is_no_facet boolean",
@@ -22,7 +23,14 @@ SCHEMAS = {
     "relation_docs": "type string, u long, v long, doc string, count long",
     "relation_dbs": "type string, u long, v long, db_name string, method string",
     "variants": "kind string, concept string, norm string, name string, doc string, count long",
+    "sequences": "name string, next long",
 }
+#: The table, column and prefix of each sequence's numbers.
+SEQUENCES = {"node": ("concepts", "node", ""), "tid": ("concepts", "id", "tid"), "atid": ("concepts", "id", "atid"), "fid": ("facets", "facet", "fid"), "fgid": ("groups", "grp", "fgid")}
+#: Columns of each table that name nodes.
+NODE_COLUMNS = {"concepts": ("node",), "sources": ("node",), "edges": ("src", "dst"), "roots": ("node",), "elements": ("aggregate", "element"), "mappings": ("u", "v"), "relation_docs": ("u", "v"), "relation_dbs": ("u", "v")}
+#: What makes one relationship of a node, by table: all rows that agree in these columns. Source ids are properties.
+RELATIONSHIPS = {"edges": None, "roots": None, "elements": None, "mappings": None, "relation_docs": ("type", "u", "v"), "relation_dbs": ("type", "u", "v"), "variants": ("kind", "concept")}
 
 
 @dataclass(frozen=True)
@@ -38,6 +46,7 @@ class Graph:
     relation_docs: DataFrame
     relation_dbs: DataFrame
     variants: DataFrame
+    sequences: DataFrame
 
     @staticmethod
     def empty(spark: SparkSession) -> Graph:
@@ -49,8 +58,9 @@ class Graph:
 
     def write(self, path: str) -> None:
         """A new version; a folder that is there already raises an error, as tables being read are never overwritten."""
-        for f in fields(self):
-            getattr(self, f.name).write.parquet(f"{path}/{f.name}")
+        whole = with_marks(self)
+        for f in fields(whole):
+            getattr(whole, f.name).write.parquet(f"{path}/{f.name}")
 
     def with_(self, **tables: DataFrame) -> Graph:
         return replace(self, **tables)
@@ -66,9 +76,44 @@ def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataF
     return ranged.withColumn("__k", place).join(F.broadcast(offset), "__p").withColumn(out, F.lit(start - 1) + F.col("__o") + F.col("__k")).drop("__p", "__k", "__o")
 
 
-def next_number(df: DataFrame, column: str, prefix: str = "") -> int:
-    """One more than the largest number in column, after prefix; 0 if there is none."""
+def _numbers(graph: Graph, name: str) -> DataFrame:
+    """(name, next) of a sequence by what its table holds, and by the mark of what it has ever given; null if neither."""
+    table, column, prefix = SEQUENCES[name]
     text = F.col(column).cast("string")
     own = F.when(text.rlike(f"^{prefix}[0-9]+$"), F.substring(text, F.lit(len(prefix) + 1), F.lit(30)).cast("long"))
-    last = df.agg(F.max(own).alias("n")).first()["n"]
-    return 0 if last is None else last + 1
+    held = getattr(graph, table).agg((F.max(own) + 1).alias("next")).select(F.lit(name).alias("name"), "next")
+    return held.unionByName(graph.sequences.where(F.col("name") == name))
+
+
+def next_number(graph: Graph, name: str) -> int:
+    """The next number of a sequence: above all that it has given, also to what is gone since."""
+    return _numbers(graph, name).agg(F.coalesce(F.max("next"), F.lit(0)).alias("n")).first()["n"]
+
+
+def with_marks(graph: Graph) -> Graph:
+    """graph whose sequences stand where its tables are now, or higher. What takes rows away keeps the marks with this."""
+    every = reduce(DataFrame.unionByName, [_numbers(graph, name) for name in SEQUENCES])
+    return graph.with_(sequences=keep(every.where("next IS NOT NULL").groupBy("name").agg(F.max("next").alias("next"))))
+
+
+def without_nodes(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph, counts) without the nodes (gone: node) and all that hangs on them, in every table: source ids, edges, roots,
+    elements either way, mappings, relations and variants. Their numbers and ids are not given again. counts has one row:
+    num_nodes and num_relationships (what RELATIONSHIPS counts as one)."""
+    graph, gone = with_marks(graph), keep(gone.select("node").distinct())
+    kept, sizes = {}, [gone.agg(F.count("*").alias("nodes")).select("nodes", F.lit(0).cast("long").alias("edges"))]
+    ids = graph.concepts.join(gone, "node", "left_semi").where("id IS NOT NULL").select(F.col("id").alias("node"))
+    for name, columns in {**NODE_COLUMNS, "variants": ("concept",)}.items():
+        table, nodes, lost = getattr(graph, name), ids if name == "variants" else gone, F.lit(False)
+        hit = table
+        for c in columns:
+            mark = f"__gone_{c}"
+            hit = hit.join(nodes.select(F.col("node").alias(f"__{c}"), F.lit(True).alias(mark)), F.col(c) == F.col(f"__{c}"), "left")
+            lost = lost | F.col(mark).isNotNull()
+        hit = keep(hit.select(table.columns + [lost.alias("__lost")]))
+        kept[name] = hit.where("NOT __lost").drop("__lost")
+        if name in RELATIONSHIPS:
+            away = hit.where("__lost")
+            sizes.append((away.select(*RELATIONSHIPS[name]).distinct() if RELATIONSHIPS[name] else away).agg(F.lit(0).cast("long").alias("nodes"), F.count("*").alias("edges")))
+    counts = reduce(DataFrame.unionByName, sizes).agg(F.sum("nodes").alias("num_nodes"), F.sum("edges").alias("num_relationships"))
+    return graph.with_(**kept), counts

@@ -6,11 +6,12 @@ One import is one set-based job over all its concepts, whatever their number; a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import blank_to_null, is_blank, is_list, merged_lists, merged_map, null_if_empty, ordered_union, without
+from ..functions.exprs import blank_to_null, is_blank, merged_entries, merged_map, null_if_empty, ordered_union, value_clash, without
 from ..plans.iterate import keep
 from .facets import ensure_no_facet, resolve_facet
 from .graph import Graph, next_number, numbered
@@ -84,7 +85,7 @@ def insert_concepts(graph: Graph, concepts: DataFrame, facet: dict | None = None
     cut = F.col("given_id").isin(list(options.cut_parents)) if options.cut_parents else F.lit(False)
     makes = F.when(F.col("kind") == "concept", not options.merge).when(F.col("kind") == "parent", ~cut & (not options.do_not_create_hollow_parents)).when(F.col("kind") == "element", options.create_hollow_aggregate_elements).otherwise(True)
     per_group = refs.groupBy("group").agg(F.min("node").alias("node"), F.bool_or(makes).alias("makes"), F.min(F.when(F.col("kind") == "concept", F.col("ord"))).alias("first"), F.min("ord").alias("any_ord"))
-    fresh = numbered(per_group.where("node IS NULL AND makes").select("group", F.coalesce("first", "any_ord").alias("at")), ["at", "group"], "new_node", next_number(graph.concepts, "node"))
+    fresh = numbered(per_group.where("node IS NULL AND makes").select("group", F.coalesce("first", "any_ord").alias("at")), ["at", "group"], "new_node", next_number(graph, "node"))
     node_of = keep(per_group.join(fresh.select("group", "new_node"), "group", "left").select("group", F.coalesce("node", "new_node").alias("node"), F.col("node").isNotNull().alias("existed"), F.col("first").isNotNull().alias("imported"), "first"))
     at = keep(refs.drop("node").join(node_of, "group").where("node IS NOT NULL"))
 
@@ -104,7 +105,7 @@ def insert_concepts(graph: Graph, concepts: DataFrame, facet: dict | None = None
 
     # hollow nodes that now have a concept get the next ids, in input order
     to_fill = every.where(F.array_contains("labels", HOLLOW)).select("node").join(merged.select("node", "first", "is_aggregate"), "node")
-    ids = [numbered(to_fill.where(F.col("is_aggregate") == flag).select("node", "first"), ["first", "node"], "n", next_number(old, "id", prefix)).select("node", F.concat(F.lit(prefix), F.col("n").cast("string")).alias("new_id")) for flag, prefix in ((False, "tid"), (True, "atid"))]
+    ids = [numbered(to_fill.where(F.col("is_aggregate") == flag).select("node", "first"), ["first", "node"], "n", next_number(graph, prefix)).select("node", F.concat(F.lit(prefix), F.col("n").cast("string")).alias("new_id")) for flag, prefix in ((False, "tid"), (True, "atid"))]
     filled = keep(ids[0].union(ids[1]))
     result = keep(_merge_into(every, merged, filled, fid, options))
     sources = keep(_sources(graph, at, concepts, rows))
@@ -176,7 +177,8 @@ def _taxonomy(concepts: DataFrame, at: DataFrame, nodes: DataFrame, fid: str | N
     has_parents = F.coalesce(F.size("parentCoordinates"), F.lit(0)) > 0
     c = shown.join(own, "ord").select("ord", "child", has_parents.alias("has_parents"), F.coalesce("eligible_for_facet_root", F.lit(True)).alias("eligible"), "parentCoordinates")
     roots = c.where("NOT has_parents AND eligible").select(F.lit(fid).alias("facet"), F.col("child").alias("node"), F.lit(options.parentless_to_no_facet).alias("is_no_facet")).where("facet IS NOT NULL")
-    empty = concepts.sparkSession.createDataFrame([], "src long, dst long, type string, facet string, props map<string,string>")
+    at_first = F.struct(F.lit(0).cast("long").alias("ord"), F.lit(0).alias("k"))
+    empty = concepts.sparkSession.createDataFrame([], "src long, dst long, type string, facet string, props map<string,string>, at struct<ord long, k int>")
     if options.merge or fid is None:
         return empty, roots
     named = c.select("ord", "child", F.posexplode("parentCoordinates").alias("k", "p"))
@@ -187,7 +189,7 @@ def _taxonomy(concepts: DataFrame, at: DataFrame, nodes: DataFrame, fid: str | N
     p = keep(p.where(F.when(~F.col("cut") & wrong, F.raise_error(F.lit("a parent is an aggregate outside the hierarchy")).cast("boolean")).otherwise(True)))
     linked = p.where("NOT cut AND parent IS NOT NULL")
     edges = linked.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.explode(F.array(F.lit(None).cast("string"), F.lit(fid))).alias("facet")).distinct()
-    edges = edges.select("src", "dst", F.concat_ws("_", F.lit(BROADER), "facet").alias("type"), "facet", none.alias("props"))
+    edges = edges.select("src", "dst", F.concat_ws("_", F.lit(BROADER), "facet").alias("type"), "facet", none.alias("props"), at_first.alias("at"))
     root = lambda df, node: df.select(F.lit(fid).alias("facet"), F.col(node).alias("node"), F.lit(False).alias("is_no_facet"))
     roots = roots.unionByName(root(p.where("cut OR parent IS NULL"), "child")).unionByName(root(linked.where("NOT known"), "parent"))
     return edges, roots.distinct()
@@ -196,34 +198,43 @@ def _taxonomy(concepts: DataFrame, at: DataFrame, nodes: DataFrame, fid: str | N
 def _explicit(concepts: DataFrame, at: DataFrame) -> DataFrame:
     own = at.where("kind = 'concept'").select("ord", F.col("node").alias("src"))
     r = concepts.select("ord", F.posexplode("relationships").alias("k", "e")).join(own, "ord").join(at.where("kind = 'target'").select("ord", "k", F.col("node").alias("dst")), ["ord", "k"])
-    return r.select("src", "dst", F.col("e.type").alias("type"), F.lit(None).cast("string").alias("facet"), F.col("e.properties").alias("props"))
+    return r.select("src", "dst", F.col("e.type").alias("type"), F.lit(None).cast("string").alias("facet"), F.col("e.properties").alias("props"), F.struct("ord", "k").alias("at"))
+
+
+ENTRIES = "array<struct<key:string,value:string>>"
 
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Edges after adding some: the same ends and type, and no property with two values, are one edge with all properties;
-    a property with another value makes another edge. Lists (JSON text) are united; a list that meets a single value is an
-    error."""
+    """Edges after an import's edges (src, dst, type, facet, props, at: their order), taken one after another for each pair
+    of ends and type.
+
+    An edge is merged into the first of those there that no single value of its properties contradicts: it adds properties,
+    and elements to lists. If there is none, it becomes another edge, and the import's later ones of that key are taken as
+    the same and change nothing. Edges of a key are in the order in which they came (nth); values are JSON texts. A list that
+    meets a single value is an error. Keys that the import doesn't name stay as they are.
+    """
     key = ["src", "dst", "type", "facet"]
-    entries = lambda c: F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>"))
-    new = incoming.select(*key, "props").withColumn("p", F.array_sort(entries("props"))).groupBy(*key, "p").agg(F.first("props").alias("new_props"))
-    alias = {k: f"__{k}" for k in key}
-    s = stored.select(*(F.col(k).alias(alias[k]) for k in key), F.col("props").alias("old_props"))
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(alias[k]))
-
-    def differs(e: Column) -> Column:
-        old = F.try_element_at("old_props", e["key"])
-        mixed = F.raise_error(F.concat(F.lit("a list meets a single value in edge property "), e["key"])).cast("boolean")
-        return F.when(old.isNull() | (old == e["value"]), False).when(is_list(old) & is_list(e["value"]), False).when(is_list(old) | is_list(e["value"]), mixed).otherwise(True)
-
-    agree = ~F.coalesce(F.exists(entries("new_props"), differs), F.lit(False))
-    met = new.join(s, same & agree, "left")
-    added = met.where(F.col("__src").isNull()).select(*key, F.col("new_props").alias("props"))
-    grown = met.where(F.col("__src").isNotNull()).select(*(F.col(alias[k]).alias(k) for k in key), "old_props", merged_lists("old_props", "new_props").alias("__grown")).groupBy(*key, F.array_sort(entries("old_props")).alias("p")).agg(F.first("__grown").alias("__grown"))
-    st = stored.withColumn("p", F.array_sort(entries("props")))
-    same2 = F.lit(True)
-    for k in (*key, "p"):
-        same2 = same2 & st[k].eqNullSafe(grown[k])
-    out = st.join(grown, same2, "left").select(*(st[k] for k in key), F.when(F.size("__grown") > 0, F.col("__grown")).otherwise(F.col("props")).alias("props"))
-    return out.unionByName(added)
+    entries = lambda c: F.coalesce(F.array_sort(F.map_entries(c)), F.array().cast(ENTRIES))
+    new = incoming.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", entries("props").alias("p")))).alias("new"))
+    hit = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    there = stored.select(*(F.col(k).alias(f"__{k}") for k in key), "props", "nth")
+    touched = new.select(*key).join(there, reduce(Column.__and__, hit)).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("nth", entries("props").alias("p")))).alias("old"))
+    renamed = touched.select(*(F.col(k).alias(f"__{k}") for k in key), "old")
+    both = new.join(renamed, reduce(Column.__and__, hit), "left").select(*key, "new", F.coalesce(F.transform("old", lambda e: e["p"]), F.array().cast(f"array<{ENTRIES}>")).alias("old"))
+
+    def clash(a: Column, b: Column) -> Column:
+        return F.exists(b, lambda e: value_clash(F.get(F.filter(a, lambda o: o["key"] == e["key"]), F.lit(0))["value"], e["value"], e["key"]))
+
+    def step(state: Column, one: Column) -> Column:
+        fits = F.transform(state["edges"], lambda e: ~clash(e, one["p"]))
+        first = F.array_position(fits, F.lit(True)).cast("int")  # from 1, 0 if there is none
+        merged = F.transform(state["edges"], lambda e, i: F.when(i + 1 == first, merged_entries(e, one["p"])).otherwise(e))
+        found = F.struct(merged.alias("edges"), F.lit(False).alias("made"))
+        made = F.struct(F.array_append(state["edges"], one["p"]).alias("edges"), F.lit(True).alias("made"))
+        return F.when(state["made"], state).when(first > 0, found).otherwise(made)
+
+    start = F.struct(F.col("old").alias("edges"), F.lit(False).alias("made"))
+    folded = both.select(*key, F.posexplode(F.aggregate("new", start, step)["edges"]).alias("nth", "p"))
+    props = F.when(F.size("p") > 0, F.map_from_entries("p")).otherwise(F.lit(None).cast("map<string,string>"))
+    rest = stored.join(new.select(*(F.col(k).alias(f"__{k}") for k in key)), reduce(Column.__and__, hit), "left_anti")
+    return rest.select(*key, "props", "nth").unionByName(folded.select(*key, props.alias("props"), "nth"))

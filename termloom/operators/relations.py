@@ -38,25 +38,41 @@ def argument_parts(arg: DataFrame, column: str = "arg", default_property: str |
 
 def resolved_arguments(rows: DataFrame, concepts: DataFrame, sources: DataFrame) -> DataFrame:
     """rows of relation documents (id_property, id_source, args array<array<string>> and others) with args as nodes, null
-    where nobody has the id. An id alone finds a node by id; originalId and sourceIds heed the source if there is one."""
+    where nobody has the id. The property id finds a node by it alone; originalId and sourceIds need a source, the
+    argument's own or the document's: without one an argument stays unresolved. Several nodes of one pair raise an error.
+    """
     r = keep(rows.withColumn("__r", F.monotonically_increasing_id()))
     one = r.select("__r", "id_property", "id_source", F.posexplode("args").alias("k", "arg"))
     one = argument_parts(one, "arg", F.col("id_property"), F.col("id_source"))
-    by_id = concepts.select(F.lit("id").alias("id_property"), F.col("id"), F.lit(None).cast("string").alias("s"), "node")
+    # a source for ids, too, so that all three properties are looked up by equality
+    any_source = F.lit("")
+    one = one.withColumn("id_source", F.when(F.col("id_property") == "id", any_source).otherwise(F.col("id_source")))
+    by_id = concepts.select(F.lit("id").alias("p"), F.col("id").alias("i"), any_source.alias("s"), "node")
     by_original = concepts.select(F.lit("originalId"), F.col("original_id"), F.col("original_source"), "node")
     by_source = sources.select(F.lit("sourceIds"), F.col("source_id"), F.col("source"), "node")
-    known = by_id.union(by_original).union(by_source).where("id IS NOT NULL").withColumnsRenamed({"id_property": "p", "id": "i"})
-    hit = one.join(known, (F.col("id_property") == F.col("p")) & (F.col("id") == F.col("i")) & ((F.col("p") == "id") | F.col("id_source").isNull() | (F.col("id_source") == F.col("s"))))
-    found = hit.groupBy("__r", "k").agg(F.min("node").alias("node"))
+    known = by_id.union(by_original).union(by_source).where("i IS NOT NULL AND s IS NOT NULL").groupBy("p", "i", "s").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    several = F.raise_error(F.concat(F.lit("several nodes with "), "p", F.lit(" "), "i", F.lit(" of "), "s")).cast("boolean")
+    found = one.join(known, (F.col("id_property") == F.col("p")) & (F.col("id") == F.col("i")) & (F.col("id_source") == F.col("s")))
+    found = found.where(F.when(F.col("node") != F.col("last"), several).otherwise(True)).select("__r", "k", "node")
     args = one.select("__r", "k").join(found, ["__r", "k"], "left").groupBy("__r").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("a"))
     return r.drop("args").join(args.select("__r", F.col("a")["node"].alias("args")), "__r").drop("__r")
 
 
+def counted_at(pairs: DataFrame) -> DataFrame:
+    """(type, u, v, doc, count, at): within one entry of a document counts add up, of several entries the last one counts;
+    at is its place. pairs has type, u, v, doc, entry (anything that orders all entries) and count."""
+    per_entry = pairs.groupBy("type", "u", "v", "doc", "entry").agg(F.sum("count").cast("long").alias("count"))
+    return latest_counts(per_entry.withColumnRenamed("entry", "at"))
+
+
+def latest_counts(rows: DataFrame) -> DataFrame:
+    """Of rows (type, u, v, doc, count, at) the last of each relation and document."""
+    return rows.groupBy("type", "u", "v", "doc").agg(F.max_by("count", "at").alias("count"), F.max("at").alias("at"))
+
+
 def counted(pairs: DataFrame) -> DataFrame:
-    """(type, u, v, doc, count) of one import: within one entry of a document counts add up, of several entries the
-    last one counts. pairs has type, u, v, doc, entry (order of entries) and count."""
-    per_entry = pairs.groupBy("type", "u", "v", "doc", "entry").agg(F.sum("count").alias("count"))
-    return per_entry.groupBy("type", "u", "v", "doc").agg(F.max_by("count", "entry").cast("long").alias("count"))
+    """(type, u, v, doc, count) of one import, as counted_at says."""
+    return counted_at(pairs).drop("at")
 
 
 def upsert_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -75,11 +91,16 @@ def parallel_arrays(relation_docs: DataFrame) -> DataFrame:
     return relation_docs.groupBy("type", "u", "v").agg(F.sum("count").alias("total_count"), F.array_sort(F.collect_list(F.struct("doc", "count"))).alias("d")).select("type", "u", "v", "total_count", F.col("d")["doc"].alias("doc_ids"), F.col("d")["count"].alias("counts"))
 
 
+def first_methods(rows: DataFrame) -> DataFrame:
+    """(type, u, v, db_name, method, at): of rows of these columns the first of each database; a blank method is <unknown>."""
+    method = F.when(F.coalesce(F.btrim("method"), F.lit("")) == "", "<unknown>").otherwise(F.col("method"))
+    return rows.withColumn("method", method).groupBy("type", "u", "v", "db_name").agg(F.min_by("method", "at").alias("method"), F.min("at").alias("at"))
+
+
 def upsert_databases(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(type, u, v, db_name, method): each database's first method stays; a blank one is <unknown>. incoming has ord."""
+    """(type, u, v, db_name, method): each database's first method stays. incoming has ord, which orders its rows."""
     key = ["type", "u", "v", "db_name"]
-    method = F.when(F.coalesce(F.btrim("method"), F.lit("")) == "", "<unknown>").otherwise(F.col("method"))
-    new = incoming.withColumn("method", method).groupBy(*key).agg(F.min_by("method", "ord").alias("method"))
+    new = first_methods(incoming.withColumnRenamed("ord", "at")).drop("at")
     return stored.select(*key, "method").unionByName(new.join(stored.select(*key), key, "left_anti"))
 
 

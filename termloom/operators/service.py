@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import as_text, as_value, list_of
 from ..plans.iterate import closure, heights, keep
 from . import aggregates as A
 from . import exports as E
@@ -16,7 +17,7 @@ from . import paths as P
 from . import query as Q
 from . import relations as R
 from . import variants as V
-from .graph import Graph, next_number, numbered
+from .graph import Graph, next_number, numbered, without_nodes
 
 NAME = {"preferredName": "pref_name", "id": "id", "originalId": "original_id", "originalSource": "original_source", "synonyms": "synonyms", "descriptions": "descriptions", "writingVariants": "writing_variants"}
 #: Properties that are columns of concepts; all others are in props.
@@ -47,7 +48,7 @@ def _nodes_with(graph: Graph, values: list[str], id_property: str) -> DataFrame:
     if id_property == "sourceIds":
         known = graph.sources.select("node", F.col("source_id").alias("value"))
     else:
-        known = graph.concepts.select("node", (F.col(NAME[id_property]) if id_property in NAME else F.try_element_at("props", F.lit(id_property))).alias("value"))
+        known = graph.concepts.select("node", (F.col(NAME[id_property]) if id_property in NAME else as_text(F.try_element_at("props", F.lit(id_property)))).alias("value"))
     found = keep(asked.join(known, "value", "left").select("value", "node").distinct())
     if row := found.where("node IS NULL").first():
         raise ValueError(f"no concept with {id_property} {row['value']}")
@@ -132,7 +133,7 @@ def add_concept_terms(graph: Graph, rows: DataFrame) -> Graph:
 def _with_aggregates(graph: Graph, elements: DataFrame, labels: list[str], copy_properties: list[str], mapping_types: list[str]) -> Graph:
     """elements (aggregate: any name, element: node) as new aggregates with ids of their own."""
     elements = keep(elements.select(F.col("aggregate").cast("string").alias("key"), "element"))
-    start, first_id = next_number(graph.concepts, "node"), next_number(graph.concepts, "id", "atid")
+    start, first_id = next_number(graph, "node"), next_number(graph, "atid")
     keys = numbered(elements.select("key").distinct(), ["key"], "n")
     made = A.new_aggregates(keys.select(F.col("n").alias("aggregate")), labels, copy_properties, mapping_types).select((F.col("node") + start).alias("node"), F.concat(F.lit("atid"), (F.col("node") + first_id).cast("string")).alias("id"), "labels", "copy_properties", "mapping_type")
     concepts = graph.concepts.unionByName(made, allowMissingColumns=True)
@@ -162,9 +163,12 @@ def build_aggregates_by_mappings(graph: Graph, allowed_mapping_types: list[str],
 
 
 def delete_aggregates(graph: Graph, aggregated_labels: list[str]) -> tuple[Graph, DataFrame]:
-    """(graph, counts)."""
-    concepts, edges, elements, counts = A.delete_aggregates(graph.concepts, graph.edges, graph.elements, aggregated_labels)
-    return graph.with_(concepts=keep(concepts.select(graph.concepts.columns)), edges=keep(edges.select(graph.edges.columns)), elements=keep(elements)), counts
+    """(graph, counts): aggregates with any of the labels are gone with all that hangs on them, others only lose the label.
+    counts has one row: num_nodes and num_relationships."""
+    marked = F.arrays_overlap("labels", F.array(*map(F.lit, aggregated_labels)))
+    gone = graph.concepts.where(marked & F.array_contains("labels", A.AGGREGATE)).select("node")
+    graph, counts = without_nodes(graph, gone)
+    return graph.with_(concepts=graph.concepts.withColumn("labels", F.array_except("labels", F.array(*map(F.lit, aggregated_labels))))), counts
 
 
 def copy_aggregate_properties(graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,)) -> Graph:
@@ -226,7 +230,8 @@ def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = F
     if won is None:
         return graph, counts
     as_map = lambda df, key, value, out: df.groupBy(F.col("aggregate").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(out))
-    odd = won.where("size(divergent) > 0").select("aggregate", F.concat("property", F.lit(div)).alias("property"), F.to_json("divergent").alias("value"))
+    shown = F.when(F.col("property").isin(list(SCALARS)), F.transform("divergent", as_value)).otherwise(F.col("divergent"))  # values of props are JSON texts
+    odd = won.where("size(divergent) > 0").select("aggregate", F.concat("property", F.lit(div)).alias("property"), list_of(shown).alias("value"))
     free = won.where(~F.col("property").isin(list(SCALARS))).select("aggregate", "property", "value").unionByName(odd)
     out = c.join(todo.groupBy(F.col("aggregate").alias("node")).agg(F.collect_set("property").alias("__todo")), "node", "left")
     for df, value, name in ((won, "value", "__s"), (united, "values", "__a"), (free, "value", "__p")):
@@ -294,7 +299,7 @@ def export_dictionary(graph: Graph, id_property: str | list[str] = "id", exclusi
         if p == "sourceIds":
             values = graph.sources.where("source_id IS NOT NULL").select("node", pair("source_id").alias("value")).distinct()
         elif p not in NAME:
-            values = graph.concepts.select("node", pair(F.try_element_at("props", F.lit(p))).alias("value"))
+            values = graph.concepts.select("node", pair(as_text(F.try_element_at("props", F.lit(p)))).alias("value"))
         elif dict(graph.concepts.dtypes)[NAME[p]].startswith("array"):
             values = graph.concepts.select("node", F.posexplode(NAME[p])).select("node", F.struct("pos", F.col("col").alias("id"), source.alias("source")).alias("value"))
         else:

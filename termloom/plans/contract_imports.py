@@ -5,13 +5,18 @@ Nations and customers come in one document, each under its parent; regions are n
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators.graph import Graph
 from ..operators.ingest import Options, insert_concepts
-from ..sources.documents import CONCEPT
+from ..operators.service import build_aggregates_by_preferred_name
+from ..operators.service import delete_aggregates as service_delete
+from ..sources.documents import CONCEPT, read_concept_lines
+from .iterate import checkpoint_folder, remove_folder
 from .contract import query
 from .derived import DerivedGraph
 
@@ -132,8 +137,87 @@ def import_relationships(g):
         return documents(g, c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), to.alias("relationships")))
 
     graph = first_import(g)
-    for props in (F.create_map(F.lit("segment"), "c_mktsegment"), F.create_map(F.lit("segment"), "c_mktsegment", F.lit("since"), F.lit("1")), F.create_map(F.lit("segment"), F.lit("other"))):
+    segment, other = (F.create_map(F.lit("segment"), X.as_value(x)) for x in (F.col("c_mktsegment"), F.lit("other")))
+    for props in (segment, F.map_concat(segment, F.create_map(F.lit("since"), F.lit("1"))), other):
         graph = insert_concepts(graph, again(props), FACET)[0]
+    return lives_in(graph)
+
+
+def lives_in(graph: Graph) -> DataFrame:
+    """(src, dst, type, props) of edges LIVES_IN, with source ids and properties as text."""
     end = lambda c: ids_of(graph).select(F.col("node").alias(c), F.col("source_id").alias(f"{c}_id"))
-    shown = F.array_join(F.sort_array(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
-    return graph.edges.where("type = 'LIVES_IN'").join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "type", shown.alias("props"))
+    shown = F.array_join(F.sort_array(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], X.as_text(e["value"])))), "|")
+    named = graph.edges.where("type = 'LIVES_IN'").join(end("src"), "src").join(end("dst"), "dst")
+    return named.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "type", shown.alias("props"))
+
+
+@query(
+    "import_edge_fold",
+    r"""
+SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst, 'LIVES_IN' AS type,
+       'note=[' || c_mktsegment || '] draft|segment=' || c_mktsegment || '|since=1|tags=["a","b",1]' AS props FROM customer
+UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'LIVES_IN', 'note=other' FROM customer
+""",
+)
+def import_edge_fold(g):
+    """Several edges of one key in one import: those that fit what is stored add to it in their order, the first that doesn't
+    makes another edge, and those after it change nothing. A text in brackets stays a text, lists are united."""
+    c, kind = g.table("customer"), documents(g, g.spark.createDataFrame([], "ord long")).schema["relationships"].dataType
+    text = lambda x: X.as_value(x)
+    note = F.concat(F.lit("["), "c_mktsegment", F.lit("] draft"))
+    to = lambda **p: F.struct(coordinates("N", "c_nationkey", "NATIONS").alias("targetCoordinates"), F.lit("LIVES_IN").alias("type"), F.map_from_arrays(F.array(*map(F.lit, p)), F.array(*p.values())).alias("properties"))
+    first = [to(segment=text("c_mktsegment"), tags=F.lit('["a"]'))]
+    later = [to(note=text(note), segment=text("c_mktsegment")), to(since=F.lit("1"), tags=F.lit('["b","a",1]')), to(note=text(F.lit("other"))), to(note=text(F.lit("other")), lost=F.lit("true")), to(note=text(note), lost=F.lit("true"))]
+    graph = first_import(g)
+    for edges in (first, later):
+        named = c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), F.array(*edges).cast(kind).alias("relationships"))
+        graph = insert_concepts(graph, documents(g, named), FACET)[0]
+    return lives_in(graph)
+
+
+@query(
+    "import_lines",
+    "SELECT 'C' || c_custkey AS source_id, 'tid' || (row_number() OVER (ORDER BY c_custkey DESC) - 1) AS id, c_name AS pref_name FROM customer",
+)
+def import_lines(g):
+    """Concepts as JSON lines in several files, without numbers: ids follow the order of files and of lines in them."""
+    path = f"{checkpoint_folder(g.spark)}/lines-{uuid4()}"
+    rows = g.table("customer").select("c_custkey", F.struct(F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates")).alias("c"))
+    in_order = rows.repartitionByRange(4, F.col("c_custkey").desc()).sortWithinPartitions(F.col("c_custkey").desc())
+    in_order.select("c.*").write.json(path)
+    graph = insert_concepts(Graph.empty(g.spark), read_concept_lines(g.spark, path), FACET)[0]
+    remove_folder(g.spark, path)
+    return graph.concepts.join(ids_of(graph), "node").select("source_id", "id", "pref_name")
+
+
+@query(
+    "delete_then_build",
+    """SELECT 'atid' || (n + row_number() OVER (ORDER BY pref_name) - 1) AS id, NULL::VARCHAR AS source_id, 0::BIGINT AS n_left,
+       (SELECT count(*) FROM customer)::BIGINT + 5 * n AS n_deleted, n AS n_nodes FROM names, n""",
+    ctes="names AS (SELECT DISTINCT c_mktsegment AS pref_name FROM customer), n AS (SELECT count(*) AS n FROM names)",
+)
+def delete_then_build(g):
+    """Aggregates of customers by segment are deleted, with the source ids, roots, mappings, relations and edges that they have
+    got, and built again: the new ones get new numbers and ids, and nothing of the old ones."""
+    c = g.table("customer")
+    own = documents(g, c.select(F.col("c_custkey").cast("long").alias("ord"), F.col("c_mktsegment").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates")))
+    graph = insert_concepts(Graph.empty(g.spark), own, FACET)[0]
+    built = build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SEGMENT"], ["preferredName"])
+    a = built.concepts.where(F.array_contains("labels", "SEGMENT")).select("node", "id")
+    with_rows = lambda table, rows: {table: getattr(built, table).unionByName(rows, allowMissingColumns=True)}
+    hung = {
+        **with_rows("sources", a.select("node", F.concat(F.lit("S"), "id").alias("source_id"), F.lit("SEGMENTS").alias("source"), F.lit(True).alias("is_unique"), F.lit(0).alias("ord"))),
+        **with_rows("roots", a.select(F.lit("fid0").alias("facet"), "node", F.lit(False).alias("is_no_facet"))),
+        **with_rows("mappings", a.select(F.lit(0).cast("long").alias("u"), F.col("node").alias("v"), F.array(F.lit("EQUAL")).alias("mapping_types"))),
+        **with_rows("relation_docs", a.select(F.lit("t").alias("type"), F.lit(0).cast("long").alias("u"), F.col("node").alias("v"), F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("doc"), F.lit(1).cast("long").alias("count"))),
+        **with_rows("edges", a.select(F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), F.lit("x").alias("type"), F.lit(0).alias("nth"))),
+        **with_rows("variants", a.select(F.lit("acronym").alias("kind"), F.col("id").alias("concept"), F.lit("n").alias("norm"), F.lit("N").alias("name"), F.lit("d").alias("doc"), F.lit(1).cast("long").alias("count"))),
+    }
+    left, counts = service_delete(built.with_(**hung), ["SEGMENT"])
+    again = build_aggregates_by_preferred_name(left, ["CONCEPT"], ["SEGMENT"], ["preferredName"])
+    tables = (left.relation_docs, left.mappings, left.edges, left.elements, left.variants)
+    n_left = sum(t.count() for t in tables)
+    new = again.concepts.where(F.array_contains("labels", "SEGMENT")).join(again.sources.select("node", "source_id"), "node", "left")
+    total = counts.first()
+    numbers = {"n_left": n_left, "n_deleted": total["num_relationships"], "n_nodes": total["num_nodes"]}
+    return new.select("id", "source_id", *(F.lit(n).cast("long").alias(c) for c, n in numbers.items()))

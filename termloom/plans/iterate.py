@@ -4,21 +4,34 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir; its lineage ends there. Only a local session without that
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. Only a local session without that
     setting gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+    return sc.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder; its lineage ends there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the file system that path names, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(origin, node): start's rows and all that edges (src, dst) reach from them, each once; cycles end."""
     seen = front = keep(start.select("origin", "node").distinct())

@@ -1,4 +1,9 @@
-"""Relations as a stream: JSON documents that arrive in a folder are merged into stored tables, batch by batch."""
+"""Relations as a stream: JSON documents that arrive in a folder are merged into stored tables.
+
+Every row carries its place in all input (the file's time and path, and the position in it), and what counts of a relation
+is decided by these places alone. So the result doesn't depend on how files fall into batches, and a batch only appends its
+own rows; now and then all rows so far become one base table, which bounds what a reader merges.
+"""
 
 from __future__ import annotations
 
@@ -8,69 +13,90 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relations import counted, relation_pairs, upsert_counts, upsert_databases
-from ..sources.documents import RELATIONS, relation_rows
+from ..operators.relations import counted_at, first_methods, latest_counts, relation_pairs
+from ..plans.iterate import remove_folder
+from ..sources.documents import RELATIONS, relation_rows, timed
 
-STORED = "type string, u string, v string, doc string, count long"
-DATABASES = "type string, u string, v string, db_name string, method string"
-PLACES = "bucket int, version long"
-#: Keys are dealt to so many buckets; a batch rewrites only those that it touches.
-BUCKETS = 64
+AT = "at struct<time:timestamp,file:string,pos:int>"
+STORED = f"type string, u string, v string, doc string, count long, {AT}"
+DATABASES = f"type string, u string, v string, db_name string, method string, {AT}"
+#: After so many batches their rows become one base.
+COMPACT_EVERY = 16
 
 
 def relation_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Relation rows of JSON documents in folder, old and new ones."""
-    return relation_rows(spark.readStream.schema(RELATIONS).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(folder))
+    files = spark.readStream.schema(RELATIONS).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch)
+    return relation_rows(timed(files.json(folder)))
 
 
-def _places(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(bucket, version): the version in which each bucket was last written, up to batch n. At most BUCKETS rows."""
+def _versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows in path with their version; none if there is no such folder yet."""
     try:
-        return spark.read.schema(PLACES).parquet(f"{path}/places/version={n}")
+        return spark.read.schema(f"{schema}, version long").parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], PLACES)
+        return spark.createDataFrame([], f"{schema}, version long")
+
+
+def _base(spark: SparkSession, path: str, n: int) -> int:
+    """The last base up to batch n; -1 if there is none. Bases are marked once they are whole."""
+    marks = _versions(spark, f"{path}/marks", "base long").where(F.col("base") <= n)
+    return marks.agg(F.coalesce(F.max("base"), F.lit(-1)).alias("b")).first()["b"]
 
 
-def _read(spark: SparkSession, path: str, n: int, schema: str, buckets: list[int] | None = None) -> DataFrame:
-    where = [f"{path}/rows/version={r.version}/bucket={r.bucket}" for r in _places(spark, path, n).collect() if buckets is None or r.bucket in buckets]
-    return spark.read.schema(schema).parquet(*where) if where else spark.createDataFrame([], schema)
+def _read(spark: SparkSession, path: str, n: int, schema: str, merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    base = _base(spark, path, n)
+    late = _versions(spark, f"{path}/rows", schema).where((F.col("version") > base) & (F.col("version") <= n))
+    return merged(_versions(spark, f"{path}/base", schema).where(F.col("version") == base).unionByName(late).drop("version"))
 
 
 def read_version(spark: SparkSession, path: str, n: int) -> DataFrame:
     """relation_docs after batch n; before the first there are none."""
-    return _read(spark, path, n, STORED)
+    return _read(spark, path, n, STORED, latest_counts).drop("at")
 
 
 def read_databases(spark: SparkSession, path: str, n: int) -> DataFrame:
     """relation_dbs after batch n."""
-    return _read(spark, f"{path}/databases", n, DATABASES)
+    return _read(spark, f"{path}/databases", n, DATABASES, first_methods).drop("at")
 
 
-def _merge(path: str, n: int, schema: str, new: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Writes version n of the buckets that new touches, then where each bucket is. A batch that is run again does the same."""
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64("type", "u", "v"), F.lit(BUCKETS)).cast("int")
-    touched = [r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect()]
-    merged = upsert(_read(spark, path, n - 1, schema, touched), new)
-    if touched:
-        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/version={n}")
-    places = _places(spark, path, n - 1).where(~F.col("bucket").isin(touched)) if touched else _places(spark, path, n - 1)
-    places = places.unionByName(spark.createDataFrame([(b, n) for b in touched], PLACES))
-    places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/version={n}")
+def compact(spark: SparkSession, path: str, n: int, schema: str, merged: Callable[[DataFrame], DataFrame]) -> None:
+    """Writes all rows up to batch n as a base."""
+    if _base(spark, path, n) < n:
+        _read(spark, path, n, schema, merged).write.mode("overwrite").parquet(f"{path}/base/version={n}")
+        spark.createDataFrame([(n,)], "base long").coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/version={n}")
 
 
-def start_import(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+def expire(spark: SparkSession, path: str, n: int) -> None:
+    """Removes what only versions before n need: batches and bases that the last base up to n replaces."""
+    for at in (path, f"{path}/databases"):
+        base = _base(spark, at, n)
+        for part, schema in (("rows", "u string"), ("base", "u string"), ("marks", "base long")):
+            old = _versions(spark, f"{at}/{part}", schema).where(F.col("version") <= base - (part != "rows")).select("version").distinct()
+            for row in old.toLocalIterator():
+                remove_folder(spark, f"{at}/{part}/version={row['version']}")
+
+
+def start_import(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False, resolve: Callable[[DataFrame], DataFrame] | None = None):
     """Starts the stream that merges rows' relations: those of literature into relation_docs, those of databases into
-    relation_dbs. Each batch makes version n from version n - 1, so a batch that is run again after a failure gives the
-    same version. Arguments are taken as resolved ids."""
+    relation_dbs. Batch n makes version n, and the same if it is run again after a failure.
+
+    resolve turns a batch's arguments into nodes (resolved_arguments with a graph's tables); without it they are taken as
+    ids that are resolved already."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        pairs = relation_pairs(batch.withColumn("args", F.transform("args", lambda a: F.get(a, F.lit(0)))))
-        _merge(path, n, STORED, counted(pairs.where("NOT is_db").select("type", "u", "v", "doc", "entry", "count")), upsert_counts)
-        databases = pairs.where("is_db").select("type", "u", "v", F.col("doc").alias("db_name"), "method", F.col("entry").alias("ord"))
-        _merge(f"{path}/databases", n, DATABASES, databases, upsert_databases)
+        spark = batch.sparkSession
+        known = resolve(batch) if resolve else batch.withColumn("args", F.transform("args", lambda a: F.get(a, F.lit(0))))
+        pairs = relation_pairs(known)
+        counts = counted_at(pairs.where("NOT is_db"))
+        methods = first_methods(pairs.where("is_db").select("type", "u", "v", F.col("doc").alias("db_name"), "method", F.col("entry").alias("at")))
+        text = {c: F.col(c).cast("string") for c in ("u", "v")}
+        for at, part, schema, merged in ((path, counts, STORED, latest_counts), (f"{path}/databases", methods, DATABASES, first_methods)):
+            part.withColumns(text).write.mode("overwrite").parquet(f"{at}/rows/version={n}")
+            if n % COMPACT_EVERY == COMPACT_EVERY - 1:
+                compact(spark, at, n, schema, merged)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

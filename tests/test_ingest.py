@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators.graph import Graph, numbered
+from termloom.operators.graph import SCHEMAS, Graph, numbered
 from termloom.operators.ingest import Options, insert_concepts
 from termloom.sources import documents as D
 
@@ -24,9 +24,9 @@ def concept(k, *parents, **more):
 
 
 def rows(spark, concepts):
-    schema = "ord long, " + D.CONCEPT[len("struct<") : -1]
+    schema = "ord long, " + D.CONCEPT_JSON[len("struct<") : -1]
     text = spark.createDataFrame([(json.dumps(c | {"ord": i}),) for i, c in enumerate(concepts)], "j string")
-    return text.select(F.from_json("j", schema).alias("c")).select("c.*")
+    return text.select(D.typed_concept(F.from_json("j", schema)).alias("c")).select("c.*")
 
 
 def load(spark, concepts, graph=None, facet=FACET, **options):
@@ -99,7 +99,7 @@ def test_properties_merge(spark):
     g, _ = load(spark, [concept(1, synonyms=["a", "b"], labels=["L1"], additional_properties={"x": "1"})])
     g, _ = load(spark, [concept(1, synonyms=["b", "c"], labels=["L2"], additional_properties={"x": "2", "y": "3"}, preferredName="other")], g)
     n = g.concepts.first()
-    assert n.synonyms == ["a", "b", "c"] and n.props == {"x": "1", "y": "3"} and n.pref_name == "prefname1" and n.labels == ["CONCEPT", "L1", "L2"]
+    assert n.synonyms == ["a", "b", "c"] and n.props == {"x": '"1"', "y": '"3"'} and n.pref_name == "prefname1" and n.labels == ["CONCEPT", "L1", "L2"]
     g, _ = load(spark, [concept(1, preferredName="other")], g, override_preferred_name=True)
     assert g.concepts.first().pref_name == "other"
 
@@ -113,11 +113,11 @@ def test_merging_without_facet_skips_unknown_concepts(spark):
 def test_explicit_relationships(spark):
     rel = {"targetCoordinates": coords(7), "type": "HAS_SAME_NAMES", "properties": {"p": "1"}}
     g, _ = load(spark, [concept(1, relationships=[rel])])
-    assert [(e.type, e.props) for e in g.edges.collect()] == [("HAS_SAME_NAMES", {"p": "1"})]
+    assert [(e.type, e.props) for e in g.edges.collect()] == [("HAS_SAME_NAMES", {"p": '"1"'})]
     g, _ = load(spark, [concept(1, relationships=[rel | {"properties": {"q": "2"}}])], g)
-    assert [e.props for e in g.edges.collect()] == [{"p": "1", "q": "2"}]
+    assert [e.props for e in g.edges.collect()] == [{"p": '"1"', "q": '"2"'}]
     g, _ = load(spark, [concept(1, relationships=[rel | {"properties": {"p": "9"}}])], g)
-    assert sorted(e.props["p"] for e in g.edges.collect()) == ["1", "9"]
+    assert sorted(e.props["p"] for e in g.edges.collect()) == ['"1"', '"9"']
 
 
 def test_aggregates(spark):
@@ -173,17 +173,86 @@ def test_numbers_are_dense(spark):
 
 
 def test_edge_properties_with_lists(spark):
+    got = {s: p for s, p in folded(spark, [(1, {"a": ["x", "y"], "b": 1}), (3, None)], [(1, {"a": ["y", "z"], "c": 2}), (3, {"a": ["q"]})])}
+    assert got == {1: {"a": ["x", "y", "z"], "b": 1, "c": 2}, 3: {"a": ["q"]}}
+    other = folded(spark, [(1, {"a": ["x", "y"], "b": 1})], [(1, {"a": ["z"], "b": 2})])
+    assert sorted(p["b"] for _, p in other) == [1, 2]
+    with pytest.raises(Exception, match="single value"):
+        folded(spark, [(1, {"a": ["x"]})], [(1, {"a": "x"})])
+
+
+def folded(spark, stored, incoming):
+    """[(src, props)] after upsert_edges of edges src -> 0; props with JSON values."""
     from termloom.operators.ingest import upsert_edges
 
-    schema = "src long, dst long, type string, facet string, props map<string,string>"
-    stored = spark.createDataFrame([(1, 2, "t", None, {"a": '["x","y"]', "b": "1"}), (3, 4, "t", None, None)], schema)
-    new = spark.createDataFrame([(1, 2, "t", None, {"a": '["y","z"]', "c": "2"}), (3, 4, "t", None, {"a": '["q"]'})], schema)
-    got = {r.src: r.props for r in upsert_edges(stored, new).collect()}
-    assert got == {1: {"a": '["x","y","z"]', "b": "1", "c": "2"}, 3: {"a": '["q"]'}}
-    other = upsert_edges(stored, spark.createDataFrame([(1, 2, "t", None, {"a": '["z"]', "b": "2"})], schema)).collect()
-    assert sorted(r.props["b"] for r in other if r.src == 1) == ["1", "2"]
-    with pytest.raises(Exception, match="single value"):
-        upsert_edges(stored, spark.createDataFrame([(1, 2, "t", None, {"a": "x"})], schema)).collect()
+    text = lambda p: p and {k: json.dumps(v, separators=(",", ":"), ensure_ascii=False) for k, v in p.items()}
+    s = spark.createDataFrame([(x, 0, "t", None, text(p), k) for k, (x, p) in enumerate(stored)], SCHEMAS["edges"])
+    i = spark.createDataFrame([(x, 0, "t", None, text(p), (0, k)) for k, (x, p) in enumerate(incoming)], "src long, dst long, type string, facet string, props map<string,string>, at struct<ord:long,k:int>")
+    found = upsert_edges(s, i.repartition(3)).orderBy("src", "nth").collect()
+    return [(r.src, r.props and {k: json.loads(v) for k, v in r.props.items()}) for r in found]
+
+
+def test_edges_of_one_import_are_folded_in_order(spark):
+    both = [(1, {"x": 1, "a": 1}), (1, {"x": 1, "b": 2})]
+    assert folded(spark, [(1, {"x": 1})], both) == [(1, {"x": 1, "a": 1, "b": 2})]
+    assert folded(spark, [], both) == [(1, {"x": 1, "a": 1})]  # the first creation of an import stands for later ones
+    assert folded(spark, [(1, {"x": 1})], [(1, {"x": 2}), (1, {"x": 1, "c": 3})]) == [(1, {"x": 1}), (1, {"x": 2})]
+    # the first that fits takes it, in the order in which they came
+    assert folded(spark, [(1, {"x": 1}), (1, {"y": 1})], [(1, {"y": 2}), (1, {"y": 1, "x": 9})]) == [(1, {"x": 1, "y": 2}), (1, {"y": 1, "x": 9})]
+    assert folded(spark, [(2, None)], [(1, None), (1, None), (1, {"k": True})]) == [(1, None), (2, None)]
+
+
+def test_kinds_of_values_stay(spark):
+    """A text that looks like a list is a text; 5 and "5" are different values; lists of any elements are united."""
+    assert folded(spark, [(1, {"n": "[draft] note"})], [(1, {"n": "[final] note"})]) == [(1, {"n": "[draft] note"}), (1, {"n": "[final] note"})]
+    assert folded(spark, [(1, {"n": "[draft] note"})], [(1, {"n": "plain"})]) == [(1, {"n": "[draft] note"}), (1, {"n": "plain"})]
+    assert folded(spark, [(1, {"n": 5, "l": [1, "a", {"q": [2]}]})], [(1, {"n": 5, "l": ["a", 2, {"q": [2]}, True]})]) == [(1, {"n": 5, "l": [1, "a", {"q": [2]}, 2, True]})]
+    assert len(folded(spark, [(1, {"n": 5})], [(1, {"n": "5"})])) == 2
+    g, _ = load(spark, [concept(1, additional_properties={"t": "[draft] \"é\" note", "n": 5, "b": True, "l": ["a", 1], "o": {"k": [1]}, "none": None})])
+    got = {k: json.loads(v) for k, v in g.concepts.first().props.items()}
+    assert got == {"t": "[draft] \"é\" note", "n": 5, "b": True, "l": ["a", 1], "o": {"k": [1]}}
+
+
+def write_import(path, concepts, facet="f", **options):
+    path.write_text(json.dumps({"facet": {"name": facet, "facetGroup": "grp"}, "importOptions": {"merge": False, **options}, "concepts": concepts}))
+
+
+def test_several_files_are_one_import_in_order(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    given = [concept(1), concept(2, 1), concept(3, 2), concept(4, 1, synonyms=["s"])]
+    write_import(tmp_path / "many" / "a.json", given[:2])
+    write_import(tmp_path / "many" / "b.json", given[2:])
+    write_import(tmp_path / "one.json", given)
+    tables = []
+    for path in ("many", "one.json"):
+        facet, _, found = D.read_import(spark, str(tmp_path / path))
+        g, counts = insert_concepts(Graph.empty(spark), found, facet.first().asDict(True))
+        tables.append((counts, sorted(map(tuple, g.concepts.select("id", "pref_name", "node", "synonyms").collect()), key=repr), sorted(map(tuple, g.edges.select("src", "dst", "type").collect()))))
+    assert tables[0] == tables[1] and [r[:2] for r in tables[0][1]] == [(f"tid{k}", f"prefname{k + 1}") for k in range(4)]
+
+
+def test_files_of_several_imports(spark, tmp_path):
+    write_import(tmp_path / "a.json", [concept(1)], "f")
+    write_import(tmp_path / "b.json", [concept(2)], "g")
+    with pytest.raises(ValueError, match="several facets"):
+        D.read_import(spark, str(tmp_path))
+    g = Graph.empty(spark)
+    for facet, _, found in D.read_imports(spark, str(tmp_path)):
+        g, _ = insert_concepts(g, found, facet.first().asDict(True))
+    assert sorted((r.pref_name, r.id, r.facets) for r in g.concepts.collect()) == [("prefname1", "tid0", ["fid0"]), ("prefname2", "tid1", ["fid1"])]
+    write_import(tmp_path / "b.json", [concept(2)], "f", merge=True)
+    with pytest.raises(ValueError, match="several options"):
+        D.read_import(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("numbered_lines", [True, False])
+def test_lines_keep_their_order_with_and_without_numbers(spark, tmp_path, numbered_lines):
+    given = [concept(k) for k in (5, 3, 9, 1, 7)]
+    for name, part in (("a", given[:2]), ("b", given[2:])):
+        lines = [json.dumps(c | ({"ord": given.index(c)} if numbered_lines else {})) for c in part]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    g, counts = insert_concepts(Graph.empty(spark), D.read_concept_lines(spark, str(tmp_path)), FACET)
+    assert counts["concepts"] == 5 and sorted((r.id, r.pref_name) for r in g.concepts.collect()) == [(f"tid{i}", f"prefname{k}") for i, k in enumerate((5, 3, 9, 1, 7))]
 
 
 def test_paths_by_any_property(spark):

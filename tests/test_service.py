@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_ingest import FACET, concept, coords, rows
 
 from termloom.operators import service as S
-from termloom.operators.graph import Graph
+from termloom.operators.graph import NODE_COLUMNS, SCHEMAS, Graph, next_number
 from termloom.operators.ingest import insert_concepts
 from termloom.sources import documents as D
 
@@ -65,19 +65,51 @@ def test_mapping_aggregates_and_terms(spark, graph):
 
 def test_aggregates_copy_what_they_list(spark):
     c = "node long, id string, labels array<string>, pref_name string, synonyms array<string>, descriptions array<string>, copy_properties array<string>, props map<string,string>"
-    plain = [(k, f"tid{k}", ["CONCEPT"], n, [f"s{k}"], [f"d{k}"], None, {"color": x, "size": "1"}) for k, (n, x) in enumerate([("one", "red"), ("one", "red"), ("two", "blue")])]
-    groups = [(k, f"atid{k}", [x, "AGGREGATE"], None, None, None, p, {"own": "x"} if k == 3 else None) for k, x, p in ((3, "A", ["preferredName"]), (4, "A", ["color", "descriptions"]), (5, "B", None), (6, "C", ["color"]), (7, "A", ["descriptions", "preferredName", "synonyms"]))]
+    plain = [(k, f"tid{k}", ["CONCEPT"], n, [f"s{k}"], [f"d{k}"], None, {"color": f'"{x}"', "size": "1"}) for k, (n, x) in enumerate([("one", "red"), ("one", "red"), ("two", "blue")])]
+    groups = [(k, f"atid{k}", [x, "AGGREGATE"], None, None, None, p, {"own": '"x"'} if k == 3 else None) for k, x, p in ((3, "A", ["preferredName"]), (4, "A", ["color", "descriptions"]), (5, "B", None), (6, "C", ["color"]), (7, "A", ["descriptions", "preferredName", "synonyms"]))]
     empty = Graph.empty(spark)
     g = empty.with_(concepts=empty.concepts.unionByName(spark.createDataFrame(plain + groups, c), allowMissingColumns=True), elements=spark.createDataFrame([(a, e) for a in (3, 4, 5, 6) for e in (0, 1, 2)] + [(7, 4), (7, 0)], "aggregate long, element long"))
     done, counts = S.copied_aggregate_properties(g, aggregated_labels=("A",))
     r = {x.node: x for x in done.concepts.collect()}
     assert counts == {"numAggregates": 3, "numElements": 11 - 3, "numProperties": 3 + 6 + 4}
-    assert (r[3].pref_name, r[3].synonyms, r[3].descriptions, r[3].props) == ("one", ["two"], None, {"own": "x", "preferredName_divergentProperty": '["two"]'})
-    assert (r[4].pref_name, r[4].synonyms, r[4].descriptions, r[4].props) == (None, None, ["d0", "d1", "d2"], {"color": "red", "color_divergentProperty": '["blue"]'})
+    assert (r[3].pref_name, r[3].synonyms, r[3].descriptions, r[3].props) == ("one", ["two"], None, {"own": '"x"', "preferredName_divergentProperty": '["two"]'})
+    assert (r[4].pref_name, r[4].synonyms, r[4].descriptions, r[4].props) == (None, None, ["d0", "d1", "d2"], {"color": '"red"', "color_divergentProperty": '["blue"]'})
     assert (r[7].pref_name, r[7].synonyms, r[7].descriptions) == ("one", ["s0"], ["d0", "d1", "d2"])
     assert all(r[k][1:] == tuple(x) for k in (0, 5, 6) for x in [[y for y in z][1:] for z in g.concepts.where(f"node = {k}").collect()])
 
 
+def test_deleted_aggregates_take_all_that_hangs_on_them(spark, graph):
+    """Source ids, roots, mappings, relations and variants go and are counted; numbers and ids don't come back."""
+    g = S.build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SAME"], ["preferredName"])
+    node, gone = (g.concepts.where(F.array_contains("labels", "SAME")).first()[c] for c in ("node", "id"))
+    add = lambda table, *rows: getattr(g, table).unionByName(spark.createDataFrame(rows, SCHEMAS[table]))
+    g = g.with_(
+        sources=add("sources", (node, "agg1", "AGG", True, 0)),
+        roots=add("roots", ("fid0", node, False)),
+        edges=add("edges", (node, 0, "x", None, None, 0), (0, node, "x", None, None, 0), (node, node, "x", None, None, 0)),
+        mappings=add("mappings", (0, node, ["EQUAL"])),
+        relation_docs=add("relation_docs", ("t", 0, node, "d1", 1), ("t", 0, node, "d2", 1), ("t", 0, 1, "d2", 1)),
+        relation_dbs=add("relation_dbs", ("t", 0, node, "db", "m")),
+        variants=add("variants", ("acronym", gone, "a", "A", "d1", 1), ("acronym", gone, "b", "B", "d1", 1), ("acronym", "tid0", "a", "A", "d1", 1)),
+    )
+    left, counts = S.delete_aggregates(g, ["SAME"])
+    assert counts.first().asDict() == {"num_nodes": 1, "num_relationships": 2 + 1 + 3 + 1 + 1 + 1 + 1}
+    for table, columns in NODE_COLUMNS.items():
+        for c in columns:
+            assert getattr(left, table).where(F.col(c) == node).count() == 0, (table, c)
+    assert left.variants.count() == 1 and left.relation_docs.count() == 1 and left.concepts.count() == graph.concepts.count()
+    again = S.build_aggregates_by_preferred_name(left, ["CONCEPT"], ["SAME"], ["preferredName"])
+    new = again.concepts.where(F.array_contains("labels", "SAME")).first()
+    assert (new["node"], new["id"]) == (node + 1, f"atid{int(gone[4:]) + 1}") and again.sources.where(F.col("node") == new["node"]).count() == 0
+
+
+def test_marks_are_written_with_a_version(spark, graph, tmp_path):
+    g = S.build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SAME"], ["preferredName"])
+    S.delete_aggregates(g, ["SAME"])[0].write(str(tmp_path / "v"))
+    back = Graph.read(spark, str(tmp_path / "v"))
+    assert next_number(back, "atid") == next_number(g, "atid") > next_number(graph, "atid") and next_number(Graph.empty(spark), "fid") == 0
+
+
 def test_dictionary_ids_of_elements_and_prefixes(spark):
     empty = Graph.empty(spark)
     c = "node long, id string, labels array<string>, pref_name string, original_id string, original_source string"
