@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import checkpoint_folder, remove_folder
+
 #: The white space that separates words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,33 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share.
-
-    Without that setting only a local session gets a folder of its own; a cluster raises an error, since a
-    machine-local folder would be lost with its executor.
-    """
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        return folder
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder; its lineage ends there."""
+    """df written once to the checkpoint folder; its lineage ends there. Spark removes it when nothing refers to it any more,
+    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the checkpoint folder and reread. As after checkpointed() its lineage ends there; in addition
-    Spark knows its size, so it packs small files into few tasks and needs no shuffle to join small tables."""
-    spark, path = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables of one operator, as Parquet in a folder of their own in the checkpoint folder, which goes at the end.
+
+    Calling it writes a DataFrame there and rereads it. As after checkpointed() its lineage ends there; in addition Spark
+    knows its size, so it packs small files into few tasks and needs no shuffle to join small tables. What the operator
+    returns must not depend on the folder: it is checkpointed before the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4()}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4()}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove_folder(self.spark, self.folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -55,6 +56,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is computed once a row, however often body's lambdas look at it."""
     return F.transform(F.array(value), body).getItem(0)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import shards
-from .common import ascii_lower, checkpointed, free_name
+from .common import ascii_lower, checkpointed, free_name, quoted
 
 WINDOW = 13
 #: Between words.
@@ -245,7 +245,7 @@ def _all_blocks(docs: DataFrame, text: Column, tests: Iterator[TestSet], n_words
         F.col("n_words"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("best.longest", F.lit(0)).alias("longest"),
         F.col("best.item").alias("longest_item"), (-F.col("best.at")).alias("longest_at"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
     )
-    rows = docs.select(F.struct(docs.columns).alias("row"), key.alias("key"), n_words.alias("n_words"))
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), key.alias("key"), n_words.alias("n_words"))
     return rows.join(whole, "key", "left").select("row.*", F.when(F.lit(True), found).alias(out))
 
 

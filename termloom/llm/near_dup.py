@@ -24,10 +24,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.components import connected_components
 from .bpe import Numbered, shards
-from .common import written
+from .common import Scratch, checkpointed
 
 #: A pair of similarity 0.8 agrees in a coordinate with probability 0.8 ** ROWS, and in fewer than MATCHES of COORDS
 #: with a probability of about 1 in 80,000; one of 0.05 agrees in a coordinate once in 160,000 times.
@@ -135,7 +136,7 @@ def look_up(left: DataFrame, right: DataFrame, on: str, hot: Column) -> DataFram
     return left.join(few, on).unionByName(left.join(few.select(on), on, "left_anti").join(right.where(~hot), on))
 
 
-def _confirm(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(near: DataFrame, texts: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """The pairs (a, b) whose shingle sets confirm them. The texts of hot b, with which very many pairs are, go to as many
     slices of them."""
     if near.isEmpty():
@@ -147,14 +148,20 @@ def _confirm(near: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     told_a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     told_b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")).join(hot, "b", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
     both = near.join(told_a, "a").join(told_b.drop("slices"), ["b", "slice"])
-    return written(both.where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b"))
+    return keep(both.where(confirmed(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b"))
 
 
-def _colliding(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree in MATCHES coordinates and whose sets are near enough in size."""
+def _colliding(pairs: DataFrame, classes: DataFrame, percent: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) that agree in MATCHES coordinates and whose sets are near enough in size. What many pairs have as b
+    is broadcast."""
+    pairs = keep(pairs)
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"sig_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    return near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)).select("a", "b")
+    most = max(4096, int(HOT_SHARE * pairs.count()))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("__met")).where(F.col("__met") > most)
+    known = side("b").join(F.broadcast(hubs), "b", "left")
+    near = look_up(pairs.join(side("a"), "a"), keep(known), "b", F.col("__met").isNotNull())
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES)
+    return keep(near.where(alike).select("a", "b"))
 
 
 def numbered_shingles(texts: list[list[int]], width: int) -> list[np.ndarray]:
@@ -251,27 +258,27 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     return placed.select("list", "rep", "label", F.explode(meets).alias("m")).select("rep", "label", F.xxhash64("list", "m").alias("g"))
 
 
-def _late_links(posts: DataFrame, classes: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, n_classes: int) -> list[DataFrame]:
+def _late_links(posts: DataFrame, classes: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int, n_classes: int, keep: Scratch) -> list[DataFrame]:
     """Links (a, b) between members of a list that are still in different components."""
     labelled = posts.join(label, posts["rep"] == label["node"], "left").select("list", "rep", "n", F.coalesce("label", "rep").alias("label"))
     members = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")
     still = labelled.groupBy("list").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size"), members).where("l0 <> l1")
     still = still.groupBy("size", "members").agg(F.min("list").alias("list")).select("list", "size")  # lists of the same members count once
-    still = written(look_up(labelled, still, "list", F.col("size") > max(LONG_LIST, HOT_SHARE * n_classes)))
+    still = keep(look_up(labelled, still, "list", F.col("size") > max(LONG_LIST, HOT_SHARE * n_classes)))
     x, y = (still.where(F.col("size") <= LONG_LIST).select("list", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in ("a", "b"))
     across = x.join(y, "list").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    links = _confirm(written(_colliding(across.select("a", "b").distinct(), classes, percent)), texts, width, percent)
+    links = _confirm(_colliding(across.select("a", "b").distinct(), classes, percent, keep), texts, width, percent, keep)
     long = still.where(F.col("size") > LONG_LIST)
     if long.isEmpty():
         return [links]
     signed = sifted(texts, long.select("rep")).select(F.col("doc").alias("rep"), "text").join(classes.select("rep", "signature"), "rep")
     told = _block_pairs(long, percent).join(signed, "rep").repartition("g").sortWithinPartitions("g")
-    return [links, written(told.mapInPandas(_block_links(width, percent), "a long, b long").distinct())]
+    return [links, keep(told.mapInPandas(_block_links(width, percent), "a long, b long").distinct())]
 
 
-def _same_ids(some: DataFrame, classes: DataFrame) -> list[DataFrame]:
+def _same_ids(some: DataFrame, classes: DataFrame, keep: Scratch) -> list[DataFrame]:
     """(a, b): the classes of each id whose rows have different texts, with that id; none if there are no such ids."""
-    odd = written(some.groupBy("doc").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 <> k1").select("doc"))
+    odd = keep(some.groupBy("doc").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 <> k1").select("doc"))
     if odd.isEmpty():
         return []
     return [some.select("doc", "set_key").join(odd, "doc", "left_semi").join(classes.select("set_key", "rep"), "set_key").where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))]
@@ -282,30 +289,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are linked if their sets of width-word shingles overlap by percent of their union. Null, empty and blank
     texts are linked with nothing. Rows that repeat an id are one document: the links of each are the document's. A
-    row without id is linked with nothing and its component is null. Other columns of docs, whatever their names, don't
+    row without id is linked with nothing and its component is null. Ids of other types than whole numbers are an error. Other columns of docs, whatever their names, don't
     matter. An empty table gives an empty result. Texts of any length are taken whole.
     """
     if percent < 80:
         raise ValueError("the signature's size is set for 80 percent and more")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: number the documents first")
+    with Scratch(docs.sparkSession) as keep:
+        return checkpointed(_components(docs, id_col, text_col, width, percent, keep))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, keep: Scratch) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    own = written(texts.select("doc", features(F.col("text"), width).alias("f")).select("doc", "f.*"))
+    own = keep(texts.select("doc", features(F.col("text"), width).alias("f")).select("doc", "f.*"))
     some = own.where("n_shingles > 0 AND doc IS NOT NULL")
-    classes = written(some.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("copies")))
+    classes = keep(some.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("copies")))
     n_rows, n_classes = own.count(), classes.count()
     posts = classes.select("rep", "n", F.posexplode(F.slice("signature", 1, COORDS - MATCHES + 1)).alias("coord", "value"))
     posts = posts.select("rep", "n", F.struct("coord", "value").alias("list"))
     # in each coordinate another order of the ids, so that a group's members meet different ones of them
     salt = F.xxhash64("list.coord").bitwiseXOR
     lists = posts.groupBy("list").agg(F.count("*").alias("size"), F.min(salt(F.col("rep"))).alias("first")).where("size > 1")
-    lists = written(lists.select("list", "size", salt(F.col("first")).alias("hub")))
+    lists = keep(lists.select("list", "size", salt(F.col("first")).alias("hub")))
     star = look_up(posts.select("list", "rep"), lists, "list", F.col("size") > HOT_SHARE * n_classes).where("rep <> hub")
     pairs = star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     texts = texts.where("doc IS NOT NULL")
-    links = reduce(DataFrame.union, _same_ids(some, classes), _confirm(written(_colliding(pairs, classes, percent)), texts, width, percent))
-    label = connected_components(links, written)
-    late = [x for x in _late_links(posts, classes, label, texts, width, percent, n_classes) if not x.isEmpty()]
+    links = reduce(DataFrame.union, _same_ids(some, classes, keep), _confirm(_colliding(pairs, classes, percent, keep), texts, width, percent, keep))
+    label = connected_components(links, keep)
+    late = [x for x in _late_links(posts, classes, label, texts, width, percent, n_classes, keep) if not x.isEmpty()]
     if late:
-        label = connected_components(reduce(DataFrame.union, late, links), written)
+        label = connected_components(reduce(DataFrame.union, late, links), keep)
     of = classes.join(label, classes["rep"] == label["node"], "left").select("set_key", "copies", F.coalesce("label", "rep").alias("component"))
     alone = own.where("n_shingles = 0 OR doc IS NULL").select("doc", "n_shingles", F.col("doc").alias("component_id"))
     found = look_up(some.select("doc", "n_shingles", "set_key"), of, "set_key", F.col("copies") > HOT_SHARE * n_rows)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Numbered
-from .common import UPPER, written
+from .common import UPPER, Scratch, checkpointed
 
 DEPTH = 5
 #: Tokens of a shard, windows that a sweep gathers before it looks for a finished part, windows of a block.
@@ -335,8 +335,13 @@ def collocations(docs: DataFrame, text_col: str = "text", part_col: str | None =
     are there. An empty table gives an empty result. Other columns, whatever their names, don't matter.
     """
     part = F.coalesce(F.col(part_col).cast("string"), F.lit("und")) if part_col else F.lit("")
-    nodes = written(count_nodes(docs.select(part.alias("part"), F.col(text_col).alias("text")), least))
-    opened = written(nodes.where("open").groupBy("part", "phrase", "depth").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("depth") == 0)))
+    with Scratch(docs.sparkSession) as keep:
+        nodes = count_nodes(docs.select(part.alias("part"), F.col(text_col).alias("text")), least)
+        return checkpointed(_best(keep(nodes), least, top, keep))
+
+
+def _best(nodes: DataFrame, least: int, top: int, keep: Scratch) -> DataFrame:
+    opened = keep(nodes.where("open").groupBy("part", "phrase", "depth").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("depth") == 0)))
     n_of = opened.where("depth = 0").select("part", F.col("a").alias("n"))
     whole = nodes.where("NOT open AND depth > 0").select("part", "phrase", "depth", "a", "lefts")
     whole = whole.unionByName(opened.where("depth > 0").withColumn("lefts", F.lit(None).cast("array<long>")))
@@ -346,7 +351,7 @@ def collocations(docs: DataFrame, text_col: str = "text", part_col: str | None =
     links = whole.select("part", F.col("phrase").alias("right"), F.col("a").alias("r"))
     borders = opened.where("depth > 0").select("part", F.col("phrase").alias("left"), F.col("a").alias("summed"))
     found = found.join(links, ["part", "right"]).join(borders, ["part", "left"], "left").withColumn("l", F.coalesce("walked", "summed")).drop("walked", "summed")
-    cuts = written(found)
+    cuts = keep(found)
     same = cuts.where("k = depth - 1 AND k > 1 AND l = a").select("part", F.col("left").alias("phrase"))
     same = same.union(cuts.where("k = 1 AND depth > 2 AND r = a").select("part", F.col("right").alias("phrase"))).distinct()
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")

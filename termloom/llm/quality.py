@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, checkpointed, free_name, let
+from .common import BLANKS, blank_words, checkpointed, free_name, let, quoted
 
 # Function words that running text of each language can't do without.
 STOP_WORDS = {
@@ -136,7 +136,7 @@ def with_judgement(docs: DataFrame, text_col: str = "text", keep_above: float =
     figures, as the model needs all votes before any verdict; without keep_text, text_col goes.
     """
     docs = docs.drop(out)
-    rest = [c for c in docs.columns if keep_text or c != text_col]
+    rest = [x for c, x in zip(docs.columns, quoted(docs), strict=True) if keep_text or c != text_col]
     judged = base_figures(docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text")), "text")
     rules = votes(F.col("text"))
     judged = computed(judged, votes=F.struct(*(v.cast("int").alias(r) for r, v in rules.items())))
@@ -154,5 +154,5 @@ def judge_quality(docs: DataFrame, text_col: str = "text", keep_above: float = 0
     names = {**{c: c for c in (*FIGURES, "quality", "kept")}, "votes": "quality_votes"}
     out = free_name(docs, "judged")
     judged = with_judgement(docs, text_col, keep_above, keep_text, out)
-    stay = [c for c in judged.columns if c not in {out, *names.values()}]
+    stay = [x for c, x in zip(judged.columns, quoted(judged), strict=True) if c not in {out, *names.values()}]
     return judged.select(*stay, *(F.col(out)[a].alias(b) for a, b in names.items()))

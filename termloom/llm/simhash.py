@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import written
+from .common import Scratch, checkpointed
 from .near_dup import HOT_SHARE, look_up
 
 DISTANCE = 3
@@ -86,7 +86,7 @@ def segments(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.inline(pair))
 
 
-def postings(nodes: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame]:
+def postings(nodes: DataFrame, long_list: int, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame, DataFrame]:
     """(fp, key) of keys that few share, and (fp, key, value) of keys that many may share, where value is the other segment.
 
     Only values of a segment that more than half of long_list fingerprints have can make a key's list long; their places
@@ -95,7 +95,7 @@ def postings(nodes: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame]:
     many = cut.groupBy("seg", "value").agg(F.count("*").alias("size")).where(F.col("size") > long_list // 2)
     near = many.select("seg", "value", F.explode(variants(F.col("value"), SEGMENT)).alias("v"))
     both = near.select("seg", F.explode(F.array("v.rest", F.col("v.rest").bitwiseOR(F.expr("shiftleft(1L, v.place)")))).alias("value"), "v.place")
-    noted = written(both.groupBy("seg", "value").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("long_places")))
+    noted = keep(both.groupBy("seg", "value").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("long_places")))
     cut = cut.join(noted, ["seg", "value"], "left") if not noted.isEmpty() else cut.withColumn("long_places", F.lit(0).cast("long"))
     posts = cut.select("fp", "seg", F.coalesce("long_places", F.lit(0)).alias("long_places"), F.explode(variants(F.col("value"), SEGMENT)).alias("v"))
     key = F.shiftleft(F.col("v.rest"), 6).bitwiseOR(F.col("seg") * 32 + F.col("v.place"))
@@ -169,15 +169,15 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.append(fps[two], more[:, 0]).view(np.int64), "b": np.append(fps[two + 1], more[:, 1]).view(np.int64)})
 
 
-def fingerprint_links(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, long_list: int = LONG_LIST, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that connect all that DISTANCE or fewer bits link."""
-    few, many = postings(nodes, long_list)
+    few, many = postings(nodes, long_list, keep)
     links = few.repartition("key").sortWithinPartitions("key").mapInPandas(joined_links, "a long, b long")
     more = cut_further(many).repartition("key", "sub").sortWithinPartitions("key", "sub").mapInPandas(joined_links, "a long, b long")
     return links.unionByName(more)
 
 
-def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: Callable[[DataFrame], DataFrame] = written, long_list: int = LONG_LIST) -> DataFrame:
+def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, long_list: int = LONG_LIST) -> DataFrame:
     """(doc, fingerprint, component_id) for each row of docs: its SimHash over width-word shingles as 16 hex digits, and the
     smallest id that links of DISTANCE or fewer bits reach.
 
@@ -186,10 +186,15 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document's. A row without id links nothing and its component is null. Ids are of any type that has an order. Other
     columns, whatever their names, don't matter. An empty table gives an empty result. Texts are taken whole.
     """
+    with Scratch(docs.sparkSession) as keep:
+        return checkpointed(_components(docs, id_col, text_col, width, long_list, keep))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, long_list: int, keep: Scratch) -> DataFrame:
     own = keep(docs.select(F.col(id_col).alias("doc"), fingerprints(F.col(text_col), width).alias("fp")))
     some = own.where("doc IS NOT NULL")
     classes = keep(some.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))
-    links = [fingerprint_links(classes.select("fp"), long_list)]
+    links = [fingerprint_links(classes.select("fp"), long_list, keep)]
     repeated = keep(some.groupBy("doc").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc", "a"))
     if not repeated.isEmpty():
         links.append(some.join(repeated, "doc").where("fp <> a").select("a", F.col("fp").alias("b")))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, checkpointed
 from .near_dup import HOT_SHARE, look_up
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
@@ -28,7 +28,7 @@ SLAB = 8192
 LIMIT = 1 << 24
 
 
-def kept(vector: Column) -> Column:
+def is_kept(vector: Column) -> Column:
     """Whether a vector is there and all of its components are finite numbers."""
     x = vector.cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -170,8 +170,13 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     another length than the smallest id's can't be compared with it and are left out. A component of 2**16 or more is an
     error. Other columns, whatever their names, don't matter. An empty table gives an empty result.
     """
+    with Scratch(rows.sparkSession) as keep:
+        return checkpointed(_compressed(rows, id_col, vector_col, label_col, keep))
+
+
+def _compressed(rows: DataFrame, id_col: str, vector_col: str, label_col: str, keep: Scratch) -> DataFrame:
     vector = F.col(vector_col)
-    own = written(rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("v")).where(kept(F.col("v"))).select("id", "label", integers(F.col("v")).alias("x")))
+    own = keep(rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("v")).where(is_kept(F.col("v"))).select("id", "label", integers(F.col("v")).alias("x")))
     least = own.orderBy(F.col("id").asc_nulls_last(), "x").select(F.size("x").alias("n")).first()
     dims = least["n"] if least else 0
     if dims % PARTS:
@@ -183,7 +188,7 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         books = first_books(own)
         for _ in range(ROUNDS):
             books = refined(own, books)
-    done = written(own.select("id", F.struct("label").alias("of"), codes(F.col("x"), books).alias("c")).select("id", "of", "c.*"))
-    sums = written(done.groupBy("of").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")))
+    done = keep(own.select("id", F.struct("label").alias("of"), codes(F.col("x"), books).alias("c")).select("id", "of", "c.*"))
+    sums = keep(done.groupBy("of").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")))
     found = look_up(done, sums, "of", F.col("n") > HOT_SHARE * done.count())
     return found.select("id", "code", "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
