@@ -35,6 +35,7 @@ class Mapping:
     order: str | None = None
     optional: tuple[str, ...] = ()
     parts: tuple[str, str] | None = None
+    calls: str | None = None
     roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> list[frozenset[str]]:
@@ -47,19 +48,30 @@ class Mapping:
         path, role, text = self.listed
         fixed = frozenset(f"{path}[].{x}" for x in (role, self.order) if x)
         plain, in_parts = frozenset([f"{path}[].{text}"]), frozenset(f"{path}[].{text}[].{x}" for x in self.parts or ())
-        return [o | fixed | t for o in out for t in ((plain, in_parts, plain | in_parts) if self.parts else (plain,))]
+        texts = (plain, in_parts, plain | in_parts) if self.parts else (plain,)
+        calls = (frozenset(), frozenset([f"{path}[].{self.calls}"])) if self.calls else (frozenset(),)
+        return [o | fixed | t | c for o in out for t in texts for c in calls]
 
 
 # The common public layouts, and the roles they use under other names.
 SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("chatbot", "assistant"))
 MAPPINGS = (
-    Mapping("messages", listed=("messages", "role", "content"), parts=("text", "type")),
-    Mapping("messages with system", fields=(("system", ("system",)),), listed=("messages", "role", "content"), parts=("text", "type")),
+    Mapping("messages", listed=("messages", "role", "content"), parts=("text", "type"), calls="tool_calls"),
+    Mapping("messages with system", fields=(("system", ("system",)),), listed=("messages", "role", "content"), parts=("text", "type"), calls="tool_calls"),
     Mapping("ordered turns", listed=("turns", "role", "text"), order="turn"),
     Mapping("speakers", fields=(("system", ("system",)),), listed=("conversations", "from", "value"), optional=("system",), roles=SPEAKERS),
     Mapping("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
+    Mapping("instruction with context", fields=(("system", ("system",)), ("user", ("instruction", "context")), ("assistant", ("response",))), optional=("system", "context")),
     Mapping("prompt", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
+    Mapping("prompt with response", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
     Mapping("question", fields=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
+    Mapping("question with context", fields=(("system", ("system",)), ("user", ("context", "question")), ("assistant", ("answer",))), optional=("system",)),
+)
+# Fields about a record, whatever they hold; they are left out of the text. All other fields that hold text
+# and that the record's mapping doesn't name make its layout unknown.
+METADATA = frozenset(
+    "id ids uuid conv_id conversation_id dialog_id message_id messages[].id messages[].name messages[].tool_call_id conversations[].id turns[].id"
+    " source sources dataset split license lang language url category tags topic model score rating created created_at timestamp date hash meta metadata".split()
 )
 SURROGATE = re.compile("[\ud800-\udfff]")
 
@@ -68,31 +80,47 @@ class Unfit(ValueError):
     """A record whose values aren't what its layout's fields hold."""
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    """Paths of all leaves; list elements share the path with []. Nulls and empty lists count as leaves."""
+def field_paths(value, at: str = "", whole: frozenset[str] = frozenset()) -> set[str]:
+    """Paths of all leaves; list elements share the path with []. Nulls and empty lists count as leaves, and so does what
+    stands at a path in whole."""
+    if at in whole:
+        return {at}
     if isinstance(value, dict) and value:
-        return {p for k, v in value.items() for p in field_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for p in field_paths(v, f"{at}.{k}" if at else k, whole)}
     if isinstance(value, list) and value:
-        return {p for v in value for p in field_paths(v, f"{at}[]")}
+        return {p for v in value for p in field_paths(v, f"{at}[]", whole)}
     return {at}
 
 
+def text_paths(value, at: str = "", whole: frozenset[str] = METADATA) -> set[str]:
+    """Paths at which text stands that isn't empty, but for those in whole."""
+    if at in whole:
+        return set()
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for p in text_paths(v, f"{at}.{k}" if at else k, whole)}
+    if isinstance(value, list):
+        return {p for v in value for p in text_paths(v, f"{at}[]", whole)}
+    return {at} if isinstance(value, str) and value else set()
+
+
 def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
 class Layouts:
-    """Mappings by fingerprint. Paths that no mapping names are metadata and don't count towards a fingerprint."""
+    """Mappings by fingerprint. Paths that no mapping names count towards it where they hold text, but for METADATA."""
 
     def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
         self.known = frozenset(p for m in mappings for ps in m.paths() for p in ps)
+        self.calls = frozenset(f"{m.listed[0]}[].{m.calls}" for m in mappings if m.listed and m.calls)
         self.by_print: dict[str, Mapping] = {}
         for m in mappings:
             for paths in m.paths():
                 self.by_print.setdefault(fingerprint(paths), m)
 
     def of(self, record) -> tuple[str, Mapping | None]:
-        name = fingerprint(field_paths(record) & self.known)
+        paths = field_paths(record, whole=self.calls) & self.known
+        name = fingerprint(paths | text_paths(record, whole=METADATA | self.calls))
         return name, self.by_print.get(name)
 
 
@@ -128,7 +156,12 @@ def canonical_turns(record, m: Mapping) -> list[tuple[str, str]]:
             if not all(type(x.get(m.order)) in (int, float, type(None)) for x in items):
                 raise Unfit("places of turns aren't numbers")
             items = sorted(items, key=lambda x: (x.get(m.order) is None, x.get(m.order) or 0))
-        turns += [(usual.get(r, r), _text(x.get(text), m.parts)) for x in items for r in [_text(x.get(role))]]
+        for x in items:
+            said = [_text(x.get(text), m.parts)]
+            if m.calls and x.get(m.calls):
+                said.append(SURROGATE.sub("\ufffd", json.dumps(x[m.calls], ensure_ascii=False)))
+            r = _text(x.get(role))
+            turns.append((usual.get(r, r), "\n\n".join(t for t in said if t)))
     return turns
 
 

@@ -34,22 +34,30 @@ BLOCK = frozenset(
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button label input fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
+TEXT_LEVEL = HEADINGS | frozenset("p blockquote pre dd figcaption".split())
 #: Elements that are no wrappers of an article, whatever they hold.
 NEVER_WRAP = BOILERPLATE - {"form", "fieldset", "header"}
 #: An element whose class, id or role has one of these as a word, or as the start of one, isn't part of the article.
 BAD_NAMES = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|masthead|footer\w*|sidebar\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses"
-    r"|cookie\w*|consent\w*|gdpr\w*|popup\w*|modal\w*|subscri\w*|newsletter\w*|share|sharing|social\w*|related\w*|recommend\w*|widget\w*"
+    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adsby\w*|adslot\w*|adunit\w*|banner\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|masthead|footer\w*|sidebar\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses"
+    r"|cookie\w*|consent\w*|gdpr\w*|popup\w*|modal\w*|newsletter\w*|share|sharing|social\w*|widget\w*"
     r"|pagination|pager|copyright|disclaimer|contentinfo|navigation|complementary)(?![a-z])"
 )
 #: These name such an element only where a name has no other parts than these and words for parts of a page; an article
 #: may have a header, a form or a notice of its own.
 WEAK_NAMES = frozenset("header head foot side aside notice notices alert alerts legal search searchbox form login signup overlay toolbar skip".split())
 PAGE_NAMES = WEAK_NAMES | frozenset("site page top main global web blog user box wrap wrapper container inner outer bar block area section left right bottom contact mail email feedback row col column panel".split())
+#: These name such an element only beside words for parts of a page and for lists of other texts; related work, a subscript or
+#: someone promoted are what an article may be about.
+LIST_NAMES = frozenset("related recommend recommended recommendation recommendations".split())
+SOFT_NAMES = LIST_NAMES | frozenset("promo promos promotion promotions subscribe subscriber subscription subscriptions".split())
+OTHER_TEXTS = frozenset("posts post articles article stories story links link content contents items item news list lists products product topics reading videos video more you your also slider carousel grid".split())
 #: Names of text by others, or about other things: an element named so is no wrapper of an article either.
 NEVER_NAMES = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses|cookie\w*|consent\w*|gdpr\w*|related\w*|recommend\w*|newsletter\w*)(?![a-z])"
+    r"(?<![a-z])(?:ad|ads|adv|advert\w*|adsense|adsby\w*|sponsor\w*|comments?(?:list|area|body|section|form|er|ers)?|disqus\w*|replies|respond|responses|cookie\w*|consent\w*|gdpr\w*|newsletter\w*)(?![a-z])"
 )
+#: The only names that count on elements inside a line of text.
+AD_NAMES = re.compile(r"(?:ad|ads|advert\w*|adsense|adsby\w*|sponsored)")
 #: A name with one of these parts says what a page has or how it looks (has-sidebar, social-enabled), not what the element is.
 STATES = re.compile(r"(?<![a-z])(?:has|no|non|not|with|without|enabled|disabled|open|closed|layout)(?![a-z])")
 PARTS = re.compile(r"[a-z]+")
@@ -77,6 +85,7 @@ class Wrap:
 
     outer: Wrap | None
     is_form: bool
+    is_text: bool = False  # a paragraph and the like: its name is one sign beside what its text says
     free: bool = False  # a wrapper of the article
     words: int = 0  # running text inside
     blocks: int = 0
@@ -103,20 +112,31 @@ def size(text: str) -> int:
     return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)) // 2)
 
 
+def _is_soft_name(parts: list[str], names: frozenset[str]) -> bool:
+    return not names.isdisjoint(parts) and all(p in SOFT_NAMES or p in PAGE_NAMES or p in OTHER_TEXTS for p in parts)
+
+
 def _is_bad_name(name: str) -> bool:
     if STATES.search(name):
         return False
     parts = PARTS.findall(name)
-    return bool(BAD_NAMES.search(name)) or not WEAK_NAMES.isdisjoint(parts) and PAGE_NAMES.issuperset(parts)
+    weak = not WEAK_NAMES.isdisjoint(parts) and PAGE_NAMES.issuperset(parts)
+    return bool(BAD_NAMES.search(name)) or weak or _is_soft_name(parts, SOFT_NAMES)
 
 
-def _attrs_bad(attrs: str) -> tuple[bool, bool]:
-    """Whether an element stands for no part of the article, by its names or as it is hidden, and whether that can't be undone."""
+def _attrs_bad(attrs: str, is_block: bool = True) -> tuple[bool, bool]:
+    """Whether an element stands for no part of the article, by its names or as it is hidden, and whether that can't be undone.
+    Inside a line of text only names of adverts count."""
     if not attrs:
         return False, False
-    names = [x for v in ATTRIBUTE.findall(attrs) for x in v.strip("\"'").lower().split() if _is_bad_name(x)]
+    given = [x for v in ATTRIBUTE.findall(attrs) for x in v.strip("\"'").lower().split()]
     hidden = bool(HIDDEN.search(attrs))
-    return hidden or bool(names), hidden or any(map(NEVER_NAMES.search, names))
+    if not is_block:
+        bad = hidden or any(map(AD_NAMES.fullmatch, given))
+        return bad, bad
+    names = [x for x in given if _is_bad_name(x)]
+    never = any(NEVER_NAMES.search(x) or _is_soft_name(PARTS.findall(x), LIST_NAMES) for x in names)
+    return hidden or bool(names), hidden or never
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -191,7 +211,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        worse, for_good = (False, False) if tag in ("body", "html", "main") else _attrs_bad(m["attrs"])
+        worse, for_good = (False, False) if tag in ("body", "html", "main") else _attrs_bad(m["attrs"], is_block)
         if tag == "article":  # named as someone's comment, an advert and the like; other names don't count
             worse = for_good
         if tag in BOILERPLATE and not (tag == "header" and main):
@@ -215,7 +235,7 @@ def blocks_of(page: str) -> list[Block]:
         n_open[tag] += 1
         bad, main = bad or for_good, main or tag in MAIN and not worse
         if worse and not for_good:
-            wrap = Wrap(wrap, tag in ("form", "fieldset"))
+            wrap = Wrap(wrap, tag in ("form", "fieldset"), tag in TEXT_LEVEL)
             wraps.append(wrap)
         headings += tag in HEADINGS
         if tag in MAIN or tag in BOILERPLATE or tag in ("section", "div", "body"):
@@ -230,7 +250,8 @@ def blocks_of(page: str) -> list[Block]:
 
 def unwrap(found: list[Block], wraps: list[Wrap]) -> None:
     """Takes blocks out of bad places that are wrappers of the article: those known as such, and elements that hold most of
-    the page's running text, in three blocks or more or with its article or first heading. wraps: outer ones first."""
+    the page's running text, in three blocks or more or with its article or first heading; paragraphs of long running text,
+    whatever their names. wraps: outer ones first."""
     total = 0
     known = is_known([b for b in found if b.wrap or not b.bad_place])
     for b in found:
@@ -245,7 +266,7 @@ def unwrap(found: list[Block], wraps: list[Wrap]) -> None:
         if o := w.outer:
             o.words, o.blocks, o.marked = o.words + w.words, o.blocks + w.blocks, o.marked or w.marked
     for w in wraps:
-        w.free = w.free or 2 * w.words > total and (w.blocks > 2 or w.marked)
+        w.free = w.free or 2 * w.words > total and (w.blocks > 2 or w.marked) or w.is_text and w.words >= LONG
         w.open = w.free and (w.outer is None or w.outer.open)
     for b in found:
         if b.wrap and b.wrap.open:
@@ -295,9 +316,10 @@ def second_pass(found: list[Block]) -> list[bool]:
     """Whether each block is kept: undecided ones take the label of the nearest decided block on either side.
 
     Neighbours in the same section count before those of others; of two at odds, the nearer wins, then good. Blocks that
-    are bad only by their place (an advert, a share bar) say nothing about the text around them. In an article without
-    any decided block, undecided ones are kept.
+    are bad only by their place (an advert, a share bar) say nothing about the text around them. Where no block is good,
+    and in an article without any decided block, undecided ones are kept.
     """
+    none_good = not any(b.label == GOOD for b in found)
     votes = [b.label in (GOOD, BAD) and not b.bad_place for b in found]
     before, after = [None] * len(found), [None] * len(found)  # the nearest block that votes, on either side
     for side, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
@@ -312,8 +334,8 @@ def second_pass(found: list[Block]) -> list[bool]:
             continue
         same = lambda j: (found[j].section == b.section, found[j].in_main == b.in_main)  # noqa: B023, E731
         near = [j for j in (before[k], after[k]) if j is not None and (not b.in_main or found[j].in_main)]
-        if not near:
-            keep.append(b.in_main)
+        if none_good or not near:
+            keep.append(none_good or b.in_main)
             continue
         best = max(near, key=lambda j: (same(j), -abs(j - k), found[j].label == GOOD))
         keep.append(found[best].label == GOOD)
@@ -329,9 +351,16 @@ def main_text(page: str | None) -> str:
     known = is_known(placed)
     inside, outside = (sum(running_words(b, known) for b in placed if b.in_main == x) for x in (True, False))
     has_main = any(b.in_main for b in placed)
-    article_only = has_main and 2 * inside >= outside  # else the article's element holds little of the page's text
+    article_only = has_main and 2 * inside >= outside
+    if has_main and not article_only:  # the article's element holds little of the page's text, such as a teaser
+        for b in found:
+            b.in_main = False
     for b in found:
-        b.label = BAD if article_only and not b.in_main else first_pass(b, has_main, known)
+        b.label = BAD if article_only and not b.in_main else first_pass(b, article_only, known)
+    if not any(b.label == GOOD for b in found):  # paragraphs are all short: what reads like running text is good
+        for b in found:
+            if b.label == UNCLEAR and (running_words(b, known) or not known and b.links / b.words <= 0.25):
+                b.label = GOOD
     return "\n".join(b.text for b, kept in zip(found, second_pass(found), strict=True) if kept)
 
 

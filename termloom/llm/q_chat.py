@@ -33,9 +33,12 @@ def in_layouts(turns: Column, pick: Column) -> Column:
     lines = lambda t: F.transform(F.split(t, "\n", -1), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
     plain = lambda t: t
     return (
-        F.when(single & (pick % 3 == 0), json(system=system, prompt=asked, completion=answer))
-        .when(single & (pick % 3 == 1), json(system=system, instruction=head, input=tail, output=answer))
-        .when(single, json(system=system, question=asked, answer=answer))
+        F.when(single & (pick % 5 == 0), json(system=system, prompt=asked, completion=answer))
+        .when(single & (pick % 5 == 1), json(system=system, instruction=head, input=tail, output=answer))
+        .when(single & (pick % 5 == 2) & (pick % 3 != 1) & split, json(system=system, context=head, question=tail, answer=answer))
+        .when(single & (pick % 5 == 2), json(system=system, question=asked, answer=answer))
+        .when(single & (pick % 5 == 3), json(system=system, instruction=head, context=tail, response=answer))
+        .when(single, json(system=system, prompt=asked, response=answer))
         .when(pick % 5 == 0, json(messages=listed(turns, "role", plain)))
         .when((pick % 5 == 1) & ~renamed, json(conversations=speaker))
         .when(pick % 5 == 2, json(messages=listed(turns, "role", lines)))

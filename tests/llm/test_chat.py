@@ -70,10 +70,58 @@ def test_layouts_with_parts_system_and_odd_values(spark):
     assert all(r.f.fingerprint for r in d)
 
 
+def test_no_text_is_dropped_in_silence():
+    """Each text of a formatted record is in the output, or stands in a field about the record."""
+    r, layouts, n = random.Random(3), chat.Layouts(), 0
+    more = ["id", "source", "meta", "context", "response", "notes", "rejected", "category", "answer2", "system"]
+    for k in range(8000):
+        record = near_record(r) if k % 3 else r.choice([{"question": "q", "answer": "a"}, {"instruction": "i", "response": "r"}, {"prompt": "p", "response": "r"}])
+        for name in r.sample(more, r.randint(0, 3)):
+            record[name] = r.choice([f"text {k}", "", None, 4, {"in": f"deep {k}"}, [f"list {k}"]])
+        if isinstance(record.get("messages"), list) and r.random() < 0.5:
+            for x in record["messages"]:
+                if isinstance(x, dict) and r.random() < 0.5:
+                    x[r.choice(["tool_calls", "name", "note"])] = r.choice([f"call {k}", [{"function": {"name": "f", "arguments": f"arg {k}"}}]])
+        _, layout, text, _ = chat.formatted_record(json.dumps(record), layouts)
+        if not layout:
+            continue
+        n += 1
+        whole = "\n".join(f"{a}\n{b}" for a, b in chat.read_back(text))
+        roles = {"user", "assistant", "human", "gpt", "bot", "model", "chatbot", "text", ""}
+
+        def check(value, at):
+            if at in chat.METADATA:
+                return
+            if isinstance(value, dict):
+                for a, b in value.items():
+                    check(b, f"{at}.{a}" if at else a)
+            elif isinstance(value, list):
+                for x in value:
+                    check(x, f"{at}[]")
+            elif isinstance(value, str) and value not in roles:
+                assert value in whole or chat.SURROGATE.sub("\ufffd", value) in whole, (record, at)  # noqa: B023
+
+        check(record, "")
+    assert n > 1500
+
+
+def test_context_response_and_tool_calls():
+    layouts = chat.Layouts()
+    read = lambda record: (lambda f: f[1] and (f[1], chat.read_back(f[2])))(chat.formatted_record(json.dumps(record), layouts))
+    assert read({"question": "q", "context": "c", "answer": "a", "id": "x"}) == ("question with context", [("user", "c\n\nq"), ("assistant", "a")])
+    assert read({"instruction": "i", "context": "c", "response": "r", "category": "k"}) == ("instruction with context", [("user", "i\n\nc"), ("assistant", "r")])
+    assert read({"prompt": "p", "response": "r"}) == ("prompt with response", [("user", "p"), ("assistant", "r")])
+    calls = [{"id": "1", "function": {"name": "f", "arguments": "{\"x\": 1}"}}]
+    said = {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": None, "tool_calls": calls}, {"role": "tool", "content": "4", "tool_call_id": "1"}]}
+    assert read(said) == ("messages", [("user", "u"), ("assistant", json.dumps(calls)), ("tool", "4")])
+    assert read({"prompt": "p", "completion": "c", "rejected": "worse"}) is None  # not named, so the layout is unknown
+    assert read({"prompt": "p", "completion": "c", "n": 3, "flags": [True]})[0] == "prompt"
+
+
 def test_query_uses_every_layout_and_matches_a_plain_version(spark, tmp_path):
     r = random.Random(7)
     rows = []
-    for c in [None, *range(90)]:
+    for c in [None, *range(500)]:
         n = r.randint(1, 5)
         roles = r.choice([["user", "assistant"], ["system", "user", "assistant"], [r.choice(["user", "assistant", "system", "tool", "bot"]) for _ in range(n)]])
         rows += [(c, r.choice([k, k, 0]), x if r.random() < 0.97 else None, r.choice([None, "", "hi", "one\n\ntwo\n", "\n\nx", "x\n\n", "<|im_start|>\\<\\|é", "l1\nl2\r\n"])) for k, x in enumerate(roles)]

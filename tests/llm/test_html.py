@@ -87,3 +87,42 @@ def test_query_on_nulls_repeated_rows_clashing_and_empty_tables(spark, tmp_path)
     assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(0, None, "", 0), (2, None, "", 0)], key=str)
     d.where("false").write.parquet(str(tmp_path / "e" / "pages.parquet"))
     assert op1_html_extraction(spark, str(tmp_path / "e")).count() == 0
+
+
+P1 = "The mayor of the town opened the new bridge on Monday, and many people came to see it with their children."
+P2 = "It was built in two years by a firm from the coast that had made the old one, which stood for over a century."
+P3 = "The work was paid for by the state and by the town, as the council said when it met in the hall last week."
+LONG_P = f"{P1} {P2} {P3}"
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li><li><a href=/c>Contact us</a></li></ul>"
+#: (page, lines of its article): layouts without an article element, or with one that isn't the article.
+LAYOUTS = [
+    ("<h1>News</h1><p>The mayor opened the new bridge on Monday.</p><p>It was built in two years by a firm.</p>", ["News", "The mayor opened the new bridge on Monday.", "It was built in two years by a firm."]),
+    (f"<div>{MENU}</div><h1>News</h1><p>The mayor opened the new bridge on Monday.</p><p>It was built in two years by a firm.</p>", ["News", "The mayor opened the new bridge on Monday.", "It was built in two years by a firm."]),
+    (f"<article><p>Read this teaser text now</p></article><p>{LONG_P}</p><p>{LONG_P}</p><p>{LONG_P}</p>", [None, LONG_P, LONG_P, LONG_P]),
+    (f"<p>{LONG_P}</p><p>Water is H<sub class=subscript>2</sub>O, as the book says of it in a part.</p><p>{LONG_P}</p>", [LONG_P, "Water is H2O, as the book says of it in a part.", LONG_P]),
+    (f"<p>{LONG_P}</p><p class=promoted-by>{LONG_P}</p>", [LONG_P, LONG_P]),
+    (f"<h1>A study</h1><p>{LONG_P}</p><section class=related-work><h2>Related work</h2><p>{LONG_P}</p></section>", ["A study", LONG_P, "Related work", LONG_P]),
+    (f"<div class=content><p>{LONG_P}</p></div><div class=related-posts><a href=x>Another text</a></div>", [LONG_P]),
+    (f"<div><p>{LONG_P}</p><ins class=adsbygoogle>Buy this now</ins></div>", [LONG_P]),
+    (f"<div id=content><h1>The bridge</h1><p>{P1}</p><p>{P2}</p></div><div id=sidebar><p>{P3}</p></div>", ["The bridge", P1, P2]),
+    (f"<table><tr><td>{MENU}</td><td><h1>The bridge</h1><p>{LONG_P}</p></td></tr></table>", ["The bridge", LONG_P]),
+    (f"<body class=has-sidebar><div class=page><p>{LONG_P}</p><blockquote><p>{P2}</p></blockquote><p>{LONG_P}</p></div>", [LONG_P, P2, LONG_P]),
+    (f"<div class=post><h2>One</h2><p>{LONG_P}</p><h2>Two</h2><p>{LONG_P}</p></div><div id=comments><p>{LONG_P}</p></div>", ["One", LONG_P, "Two", LONG_P]),
+    (f"<div class=cookie-notice><p>{P1}</p></div><div><p>{LONG_P}</p></div>", [LONG_P]),
+    (f"<div role=navigation>{MENU}</div><div role=main><p>{LONG_P}</p></div><div role=contentinfo><p>All rights are with us.</p></div>", [LONG_P]),
+    (f"<form><h1>The bridge</h1><p>{LONG_P}</p><p>{LONG_P}</p></form>", ["The bridge", LONG_P, LONG_P]),
+    (f"<div class=header><a href=/>The Site</a></div><div class=body><p>{LONG_P}</p><ul><li>{P1}</li><li>{P2}</li></ul><p>{LONG_P}</p></div>", [LONG_P, P1, P2, LONG_P]),
+    (f"<font size=2>{LONG_P}<br><br>{P1}</font>", [f"{LONG_P} {P1}"]),
+    (f"<div>{LONG_P}</div><div style='display:none'>{LONG_P}</div><div aria-hidden=true>{P1}</div>", [LONG_P]),
+    (f"<div class=story><p>{LONG_P}</p><div class=share>Share this with friends</div><p>{LONG_P}</p></div>", [LONG_P, LONG_P]),
+    (f"<main><p>{LONG_P}</p></main><footer><p>{P1}</p></footer>", [LONG_P]),
+    (f"<p class=copyright>The rights are with us.</p><p>{LONG_P}</p>", [LONG_P]),
+    ("<h1>Un pont</h1><p>Le maire a ouvert le pont de la ville.</p><p>Il est fait par une firme de la cote.</p>", ["Un pont", "Le maire a ouvert le pont de la ville.", "Il est fait par une firme de la cote."]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LAYOUTS)))
+def test_layouts_without_an_article_element(k):
+    page, lines = LAYOUTS[k]
+    got = ht.main_text(page).split("\n")
+    assert got == [x for x in lines if x is not None] or lines[0] is None and got[-len(lines) + 1 :] == lines[1:]
