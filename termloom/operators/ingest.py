@@ -120,9 +120,11 @@ def insert_concepts(graph: Graph, concepts: DataFrame, facet: dict | None = None
     all_roots = keep(roots_left.unionByName(roots).distinct())
     elements = at.where("kind = 'element'").select("ord", F.col("node").alias("element")).join(rows.where("aggregate").select("ord", F.col("node").alias("aggregate")), "ord").select("aggregate", "element")
     all_elements = keep(graph.elements.unionByName(elements).distinct())
-    grown = lambda a, b: a.count() - b.count()
-    relationships = grown(all_edges, graph.edges) + all_roots.join(graph.roots, ["facet", "node", "is_no_facet"], "left_anti").count() + grown(all_elements, graph.elements)
-    counts = {"concepts": new_rows.count(), "relationships": relationships, "facet": fid}
+    new_roots = all_roots.join(graph.roots, ["facet", "node", "is_no_facet"], "left_anti")
+    signs = ((all_edges, 0, 1), (graph.edges, 0, -1), (all_elements, 0, 1), (graph.elements, 0, -1), (new_roots, 0, 1), (new_rows, 1, 0))
+    sizes = [df.agg(F.count("*").alias("n")).select((F.col("n") * nodes).alias("concepts"), (F.col("n") * rel).alias("relationships")) for df, nodes, rel in signs]
+    made = reduce(DataFrame.unionByName, sizes).agg(F.sum("concepts").alias("concepts"), F.sum("relationships").alias("relationships")).first()
+    counts = {"concepts": made["concepts"], "relationships": made["relationships"], "facet": fid}
     return graph.with_(edges=all_edges, roots=all_roots, elements=all_elements), counts
 
 
