@@ -3,7 +3,8 @@
 Documents are taken in shards. Words that no benchmark item has end a run, as no match can cross them; the remaining runs
 get a suffix array, sorted by their first WINDOW words. Every suffix of every test item is looked up in it by binary
 search, once for all suffixes that begin with the same window. Matches become hit words, items and the longest verbatim
-match of each document. A large benchmark goes to the executors one block at a time.
+match of each document. A large benchmark goes to the executors one block at a time, and then only documents that share
+window hashes with it are searched.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import shards
-from .common import ascii_lower, checkpointed, free_name, quoted
+from .common import Scratch, ascii_lower, checkpointed, free_name, quoted
+from .near_dup import shingle_hashes, sifted
 
 WINDOW = 13
 #: Between words.
@@ -225,15 +228,49 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOC
     yield rows
 
 
-def _all_blocks(docs: DataFrame, text: Column, tests: Iterator[TestSet], n_words: Column, out: str) -> DataFrame:
-    """docs with `out` from many blocks: each is broadcast alone, its matches are written by text, and given up."""
+def window_hashes(text: Column, sizes: list[int] | None = None) -> Column:
+    """64-bit hashes of a text's windows of each of sizes; without sizes, of an item's windows: WINDOW words, or all if fewer."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                w = words(t)
+                ids = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+                of = [shingle_hashes(ids, n) for n in sizes if n <= len(ids)] if sizes else [shingle_hashes(ids, WINDOW)]
+                out.append(np.unique(np.concatenate([np.empty(0, np.uint64), *of])).view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    return hashes(text)
+
+
+def documents_hit(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_text: str, keep: Scratch) -> DataFrame:
+    """(key, text) of each distinct text that holds a window of an item, by one shuffle of window hashes, and perhaps a few others.
+
+    Hashes of texts that no item has are sifted out before, as far as a filter of bounded size can tell."""
+    own = items.select(window_hashes(F.col(item_text)).alias("h"), F.least(F.size(_words(F.col(item_text))), F.lit(WINDOW)).alias("n"))
+    sizes = [r["n"] for r in own.where("n > 0").select("n").distinct().collect()]  # at most WINDOW
+    asked = keep(own.select(F.explode("h").alias("doc")).distinct())
+    texts = docs.select(key.alias("key"), text.alias("text"))
+    held = texts.select("key", F.explode(window_hashes(F.col("text"), sizes)).alias("doc"))
+    met = sifted(held, asked).join(asked, "doc", "left_semi").select("key").distinct()
+    return keep(texts.join(keep(met), "key", "left_semi").dropDuplicates(["key"]))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+
+
+def _all_blocks(docs: DataFrame, text: Column, near: DataFrame, tests: Iterator[TestSet], out: str, keep: Scratch) -> DataFrame:
+    """docs with `out` from many blocks: each is broadcast alone, its matches in the texts near are written, and given up."""
     sc = docs.sparkSession.sparkContext
     key, parts = F.sha2(text.cast("binary"), 256), []
     for block in tests:
         test = sc.broadcast(block)
-        hits = docs.select(key.alias("key"), _matches(text, test).alias("m")).where("m.n_hit > 0")
-        parts.append(checkpointed(hits.groupBy("key").agg(F.first("m").alias("m"))))
+        parts.append(keep(near.select("key", _matches(F.col("text"), test).alias("m")).where("m.n_hit > 0")))
         test.destroy()
+    n_words = F.size(_words(text)).cast("long")
     whole = reduce(DataFrame.union, parts)
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("m.spans")), lambda s: F.sequence(s[0], s[1] - 1))))
     best = F.max(F.struct(F.col("m.longest").alias("longest"), (-F.col("m.longest_at")).alias("at"), F.col("m.longest_item").alias("item")))
@@ -257,16 +294,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     A window is 13 consecutive item words, or a whole shorter item. Null or empty texts have no words, null or empty
     items no windows. Items that repeat an id count once; one whose id is null hits words as others do, but isn't in
     items. Repeated rows of docs each get their result, other columns stay, whatever their names; one called `out` is
-    replaced. Empty tables give empty results or no hits. One block of items needs no shuffle; of more, one at a time is
-    on the driver and in each worker, and documents meet their matches by a hash of the text.
+    replaced. Empty tables give empty results or no hits. One block of items needs no shuffle. For more, window hashes of
+    items and texts are joined once, and only texts that hold one are searched, with one block at a time on the driver and
+    in each worker; so the corpus is read three times at most, however large the benchmark.
     """
     docs = docs.drop(out)
     tests = map(TestSet, blocks(items, item_id, item_text, block_chars))
     first, second = next(tests), next(tests, None)
     if second is None:
         return docs.withColumn(out, _matches(F.col(text_col), docs.sparkSession.sparkContext.broadcast(first)))
-    n_words = F.size(F.array_remove(F.split(ascii_lower(F.coalesce(text_col, F.lit(""))), NOT_WORD), "")).cast("long")
-    return _all_blocks(docs, F.col(text_col), chain([first, second], tests), n_words, out)
+    text = F.col(text_col)
+    with Scratch(docs.sparkSession) as keep:
+        near = documents_hit(docs, F.sha2(text.cast("binary"), 256), text, items, item_text, keep)
+        return checkpointed(_all_blocks(docs, text, near, chain([first, second], tests), out, keep))
 
 
 def is_contaminated(found: Column) -> Column:

@@ -58,7 +58,7 @@ def test_repeated_rows_ids_and_clashing_columns(spark, block):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1))
     texts = [prose(1, 20) + " " + prose(2, 20)] * 2 + [prose(3, 20), None, None, ""]
     rows = [(7 if k < 2 else None if k == 3 else k, t, "old", 5, "k", "m", "s") for k, t in enumerate(texts)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, contamination string, n_words int, key string, m string, spans string")
+    d = spark.createDataFrame(rows, "doc_id long, text string, contamination string, n_words int, key string, m string, spans string").withColumn("a.b", F.lit("dot"))
     out = dec.find_contamination(d, bench, out="found", block_chars=block)
     assert out.columns == [*d.columns, "found"]
     got = sorted((r.found.n_words, r.found.n_hit, tuple(r.found["items"]), r.found.longest, r.contamination, r.key) for r in out.collect())
@@ -76,3 +76,19 @@ def test_query_matches_a_plain_version(spark, tmp_path):
     for r, (n, hit, names) in zip(got, plain_hits(texts, items), strict=True):
         digest = hashlib.sha256(",".join(names).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), digest, hit > 0 and 20 * hit >= n)
+
+
+def test_many_blocks_equal_one(spark):
+    """Items of all lengths in blocks of their own, with texts that hold windows, parts of windows or nothing of them."""
+    r = random.Random(8)
+    items = [(str(k), prose(300 + k, r.choice([1, 2, 5, 12, 13, 14, 40]))) for k in range(40)] + [(None, prose(7, 20)), ("e", "")]
+    texts = [" ".join([prose(500 + k, 30), *(" ".join(t.split()[: r.randint(1, 40)]) for _, t in r.sample(items, 3)), prose(900 + k, r.choice([0, 30]))]) for k in range(60)] + [None, "", texts_of(items)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one, many = (sorted(dec.find_contamination(d, bench, block_chars=n).collect(), key=lambda x: x.doc_id) for n in (10**9, 200))
+    assert [x.contamination[:4] for x in one] == [x.contamination[:4] for x in many] and [x.contamination.spans for x in one] == [x.contamination.spans for x in many]
+    assert 5 < sum(x.contamination.n_hit > 0 for x in one) < len(texts)
+
+
+def texts_of(items):
+    return " . ".join(t for _, t in items)
