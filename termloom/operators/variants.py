@@ -11,8 +11,11 @@ from ..functions.exprs import normalized_variant
 def counted_variants(rows: DataFrame) -> DataFrame:
     """(kind, concept, norm, name, doc, count) from rows (kind, concept, doc, name, count, ord): what is equal after
     normalisation adds up within a document and keeps its first surface form."""
-    r = rows.withColumn("norm", normalized_variant("name"))
-    return r.groupBy("kind", "concept", "norm", "doc").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.sum("count").cast("long").alias("count")).select("kind", "concept", "norm", "name", "doc", "count")
+    # names of a document first: sums and places are kept by hash, and each distinct name is normalised once
+    names = rows.groupBy("kind", "concept", "doc", "name").agg(F.sum("count").alias("count"), F.min("ord").alias("ord"))
+    r = names.withColumn("norm", normalized_variant("name"))
+    merged = r.groupBy("kind", "concept", "norm", "doc").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.sum("count").cast("long").alias("count"))
+    return merged.select("kind", "concept", "norm", "name", "doc", "count")
 
 
 def upsert_variants(stored: DataFrame, incoming: DataFrame, concepts: DataFrame) -> DataFrame:
