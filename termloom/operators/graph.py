@@ -29,6 +29,8 @@ SCHEMAS = {
 SEQUENCES = {"node": ("concepts", "node", ""), "tid": ("concepts", "id", "tid"), "atid": ("concepts", "id", "atid"), "fid": ("facets", "facet", "fid"), "fgid": ("groups", "grp", "fgid")}
 #: Columns of each table that name nodes.
 NODE_COLUMNS = {"concepts": ("node",), "sources": ("node",), "edges": ("src", "dst"), "roots": ("node",), "elements": ("aggregate", "element"), "mappings": ("u", "v"), "relation_docs": ("u", "v"), "relation_dbs": ("u", "v")}
+#: The column by which saved tables are dealt to buckets.
+KEYED = {"concepts": "node", "sources": "node", "edges": "src", "elements": "aggregate", "roots": "node"}
 #: What makes one relationship of a node, by table: all rows that agree in these columns. Source ids are properties.
 RELATIONSHIPS = {"edges": None, "roots": None, "elements": None, "mappings": None, "relation_docs": ("type", "u", "v"), "relation_dbs": ("type", "u", "v"), "variants": ("kind", "concept")}
 
@@ -62,6 +64,20 @@ class Graph:
         for f in fields(whole):
             getattr(whole, f.name).write.parquet(f"{path}/{f.name}")
 
+    def save(self, name: str, buckets: int = 64) -> None:
+        """The graph as tables name_concepts, name_edges ... of the session's catalog. Those of KEYED are dealt to buckets by
+        their key, so that what is joined on it again and again, such as edges in each round of a closure, isn't shuffled."""
+        whole = with_marks(self)
+        for f in fields(whole):
+            rows, key = getattr(whole, f.name), KEYED.get(f.name)
+            writer = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key) if key else rows.write
+            writer.mode("errorifexists").format("parquet").saveAsTable(f"{name}_{f.name}")
+
+    @staticmethod
+    def load(spark: SparkSession, name: str) -> Graph:
+        """The tables that save has made."""
+        return Graph(**{f.name: spark.table(f"{name}_{f.name}") for f in fields(Graph)})
+
     def with_(self, **tables: DataFrame) -> Graph:
         return replace(self, **tables)
 

@@ -16,6 +16,7 @@ from . import mappings as M
 from . import paths as P
 from . import query as Q
 from . import relations as R
+from . import traversal as T
 from . import variants as V
 from .graph import Graph, next_number, numbered, without_nodes
 
@@ -83,6 +84,40 @@ def get_facets(graph: Graph, return_hollow_facets: bool = False) -> DataFrame:
     return Q.facets_by_group(graph.facets.where("NOT is_no_facet"), graph.roots, graph.concepts, return_hollow_facets)
 
 
+def get_all_facets(graph: Graph, key: str = T.ANY, value: str = T.ANY) -> DataFrame:
+    """(facet, name, grp): facets one of whose properties (key, or any) equals value or holds it; ANY value asks only whether
+    the property is there. Facets of the no-facet groups come too, as they stand below groups of their own."""
+    named = graph.facets.withColumn("node", F.col("facet"))
+    fits = T.by_property(named, key, value).where("emit").select(F.col("node").alias("facet")).distinct()
+    return graph.facets.join(fits, "facet", "left_semi").select("facet", "name", "grp", "is_no_facet")
+
+
+def get_morphology(graph: Graph, concept_ids: list[str], kind: str, label: str | None = None) -> DataFrame:
+    """(concept_id, name, doc, count): variants of a kind (acronym, writing_variant) of concepts, perhaps only of those that bear a
+    label."""
+    asked = graph.concepts.where(F.col("id").isin(concept_ids))
+    some = (Q.scan(asked, label) if label else asked).select(F.col("id").alias("concept"))
+    own = graph.variants.where(F.col("kind") == kind).join(some, "concept", "left_semi")
+    return own.select(F.col("concept").alias("concept_id"), "name", "doc", "count")
+
+
+def node_maps(graph: Graph, concept_ids: list[str] | None = None) -> DataFrame:
+    """(node, json): all properties of each concept (or of those given) and its labels as one nested JSON object: texts, numbers,
+    booleans, lists and objects keep their kind; what a concept hasn't is left out."""
+    c = graph.concepts if concept_ids is None else graph.concepts.where(F.col("id").isin(concept_ids))
+    first = graph.sources.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("ord", "source_id", "source", "is_unique"))).alias("s"))
+    c = c.join(first, "node", "left")
+    listed = lambda x: F.when(F.size(x) > 0, F.to_json(x))
+    shown = {p: as_value(NAME[p]) for p in ("id", "preferredName", "originalId", "originalSource")}
+    shown |= {p: listed(F.col(x)) for p, x in {**LISTS, "copyProperties": "copy_properties", "mappingType": "mapping_type", "labels": "labels"}.items()}
+    shown |= {p: listed(F.col("s")[f]) for p, f in (("sourceIds", "source_id"), ("sources", "source"), ("uniqueSourceIds", "is_unique"))}
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    own = F.filter(F.array(*(entry(F.lit(p), v) for p, v in shown.items())), lambda e: e["value"].isNotNull())
+    free = F.filter(F.coalesce(F.map_entries("props"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"]))
+    pairs = F.transform(F.concat(own, free), lambda e: F.concat(as_value(e["key"]), F.lit(":"), e["value"]))
+    return c.select("node", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("json"))
+
+
 def get_facet_size(graph: Graph) -> DataFrame:
     """(facet, n)."""
     return P.facet_sizes(graph.roots.where("NOT is_no_facet").withColumn("node", F.col("node").cast("string")), graph.edges.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string")))

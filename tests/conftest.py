@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -22,6 +23,7 @@ def spark():
         .config("spark.sql.adaptive.enabled", "false")  # tiny tables: planning each stage anew costs more than it saves
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )

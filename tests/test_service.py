@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from test_ingest import FACET, concept, coords, rows
@@ -128,3 +130,45 @@ def test_dictionary_ids_of_elements_and_prefixes(spark):
         S.export_dictionary(g, "originalId", label="BARE", add_source_prefix=True).collect()
     with pytest.raises(Exception, match="unequal length"):
         S.export_dictionary(g, ["id", "sourceIds"], label="SAME").collect()
+
+
+def test_facets_by_property_and_morphology(spark, graph):
+    assert {r.facet for r in S.get_all_facets(graph).collect()} == {"fid0"}
+    assert S.get_all_facets(graph, "name", "testfacet1").count() == 1 and S.get_all_facets(graph, "name", "other").count() == 0
+    assert S.get_all_facets(graph, "labels", "hidden").count() == 1 and S.get_all_facets(graph, "custom_id").count() == 0 and S.get_all_facets(graph, value="hidden").count() == 1
+    rows = [("acronym", c, "pn", "PN", "d", 2) for c in ("tid0", "tid1", "atid0")] + [("writing_variant", "tid0", "x", "X", "d", 1)]
+    g = graph.with_(variants=spark.createDataFrame(rows, SCHEMAS["variants"]))
+    assert got(S.get_morphology(g, ["tid0", "atid0"], "acronym")) == {("tid0", "PN", "d", 2), ("atid0", "PN", "d", 2)}
+    assert got(S.get_morphology(g, ["tid0", "atid0"], "acronym", "AGGREGATE_GENEGROUP")) == {("atid0", "PN", "d", 2)}
+
+
+def test_node_maps(spark):
+    given = [concept(1, synonyms=['s "q"'], additional_properties={"n": 5, "t": "[x]", "l": ["a", 1], "o": {"k": [True]}, "preferredName": "no"}), concept(2)]
+    g = insert_concepts(Graph.empty(spark), rows(spark, given), FACET)[0]
+    found = {json.loads(r["json"])["preferredName"]: json.loads(r["json"]) for r in S.node_maps(g).collect()}
+    one = found["prefname1"]
+    assert one["synonyms"] == ['s "q"'] and (one["n"], one["t"], one["l"], one["o"]) == (5, "[x]", ["a", 1], {"k": [True]}) and one["labels"] == ["CONCEPT"]
+    assert one["sourceIds"] == ["CONCEPT1"] and one["uniqueSourceIds"] == [False] and one["facets"] == ["fid0"] and "writingVariants" not in found["prefname2"]
+    assert S.node_maps(g, ["tid1"]).count() == 1
+
+
+def test_saved_tables_are_joined_without_a_shuffle_of_edges(spark, graph):
+    from termloom.plans.iterate import closure
+
+    name = f"saved_{id(graph)}"
+    graph.save(name, buckets=4)
+    back = Graph.load(spark, name)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        front = spark.createDataFrame([(0, 0)], "origin long, node long")
+        step = front.join(back.edges.select("src", "dst").distinct(), F.col("node") == F.col("src"))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan, plan
+        reach = lambda g: got(closure(g.roots.select(F.lit(0).alias("origin"), "node"), g.edges))
+        assert reach(back) == reach(graph)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got(S.export_hypernyms(back)) == got(S.export_hypernyms(graph))
+    for table in SCHEMAS:
+        spark.sql(f"DROP TABLE {name}_{table}")
