@@ -86,9 +86,22 @@ NOTICES = (
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"),
+    ("cc-by-sa-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    ("cc-by-nc-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License"),
+    ("cc-by-nc-sa-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License"),
+    ("lgpl-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 )
 
+# Identifiers of licenses in source files, and their labels; they stand for those with a suffix (-only, -or-later), too.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2.0", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "ISC": "isc", "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "Unlicense": "unlicense",
+    "GPL-2.0": "gpl-2.0", "GPL-3.0": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "LGPL-3.0": "lgpl-3.0", "AGPL-3.0": "agpl-3.0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CC0-1.0": "cc0-1.0",
+}
+NOTICES += tuple((label, f"SPDX-License-Identifier: {name}") for name, label in SPDX.items())
+
 
 def spelt(text: str) -> str:
     """A text's words, lower-cased, with one blank between them."""

@@ -89,3 +89,18 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert lic.scan_licenses(d.where("false")).count() == 0
     with pytest.raises(ValueError):
         lic.template_grams(spark, {"x": ("x", "one", True)})
+
+
+def test_identifiers_and_further_notices(spark):
+    from termloom.llm.license_texts import NOTICES, SPDX
+
+    texts = [f"// SPDX-License-Identifier: {name}\nint main" for name in SPDX]
+    texts += ["# SPDX-License-Identifier: GPL-3.0-only", "/* SPDX-License-Identifier: GPL-2.0-or-later */", "spdx license identifier of another kind"]
+    short = [(label, text) for label, text in NOTICES if label in ("cc-by-3.0", "cc-by-sa-3.0", "cc-by-nc-3.0", "cc-by-nc-sa-3.0", "lgpl-3.0", "agpl-3.0") and "SPDX" not in text]
+    texts += [f"Some words before. {text}. Some words after." for _, text in short]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [set(filter(None, r["labels"].split(","))) for r in lic.scan_licenses(d).orderBy("doc_id").collect()]
+    n = len(SPDX)
+    assert [x - {"cc-by"} for x in got[: n + 3]] == [*({label} for label in SPDX.values()), {"gpl-3.0"}, {"gpl-2.0"}, set()]
+    assert all(label in x for (label, _), x in zip(short, got[n + 3 :], strict=True)) and len(short) == 6
+    assert all(not any(y.endswith("4.0") for y in x) for x in got[n + 3 :])
