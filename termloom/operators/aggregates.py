@@ -18,7 +18,9 @@ EQUAL_NAMES = "AGGREGATE_EQUAL_NAMES"
 def equal_name_elements(concepts: DataFrame, labels: list[str], name: str = "pref_name") -> DataFrame:
     """(aggregate, element): nodes with any of labels that share an exact name with another; the aggregate is named
     by the name. A node that has several of the labels counts once, aggregates never."""
-    some = concepts.where(F.arrays_overlap("labels", F.array(*map(F.lit, labels))) & ~F.array_contains("labels", AGGREGATE)).select(F.col(name).alias("aggregate"), F.col("node").alias("element"))
+    some = concepts.where(
+        F.arrays_overlap("labels", F.array(*map(F.lit, labels))) & ~F.array_contains("labels", AGGREGATE)
+    ).select(F.col(name).alias("aggregate"), F.col("node").alias("element"))
     some = some.where("aggregate IS NOT NULL").distinct()
     shared = some.groupBy("aggregate").agg(F.count("*").alias("n")).where("n > 1").select("aggregate")
     return some.join(shared, "aggregate", "left_semi")
@@ -42,7 +44,10 @@ def mapping_elements(mappings: DataFrame, concepts: DataFrame, types: list[str],
 def new_aggregates(elements: DataFrame, labels: list[str], copy_properties: list[str], mapping_types: list[str]) -> DataFrame:
     """A row for each aggregate: node, labels, copy_properties, mapping_type."""
     const = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    return elements.select(F.col("aggregate").alias("node")).distinct().select("node", const([*labels, AGGREGATE]).alias("labels"), const(copy_properties).alias("copy_properties"), const(mapping_types).alias("mapping_type"))
+    return elements.select(F.col("aggregate").alias("node")).distinct().select(
+        "node", const([*labels, AGGREGATE]).alias("labels"), const(copy_properties).alias("copy_properties"),
+        const(mapping_types).alias("mapping_type"),
+    )
 
 
 def matching_aggregates(aggregates: DataFrame, types: list[str], label: str) -> DataFrame:
@@ -57,7 +62,9 @@ def rolled_up(elements: DataFrame, values: DataFrame) -> DataFrame:
     The value most elements have wins, of equally frequent ones the smallest; the others are divergent, sorted.
     """
     counts = elements.join(values, elements["element"] == values["node"]).groupBy("aggregate", "property", "value").agg(F.count("*").alias("n"))
-    won = counts.groupBy("aggregate", "property").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), F.array_sort(F.collect_set("value")).alias("all"))
+    won = counts.groupBy("aggregate", "property").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"), F.array_sort(F.collect_set("value")).alias("all"),
+    )
     return won.select("aggregate", "property", "value", F.array_remove("all", F.col("value")).alias("divergent"))
 
 
@@ -65,7 +72,9 @@ def unioned(elements: DataFrame, values: DataFrame) -> DataFrame:
     """(aggregate, property, values) of array properties, from values (node, property, ord, value): each value once, by
     the order of elements and then of values."""
     firsts = elements.join(values, elements["element"] == values["node"]).groupBy("aggregate", "property", "value").agg(F.min(F.struct("element", "ord")).alias("at"))
-    return firsts.groupBy("aggregate", "property").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("s")).select("aggregate", "property", F.col("s")["value"].alias("values"))
+    return firsts.groupBy("aggregate", "property").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("s")).select(
+        "aggregate", "property", F.col("s")["value"].alias("values"),
+    )
 
 
 def merged_synonyms(synonyms: Column, divergent_names: Column) -> Column:
@@ -110,7 +119,10 @@ def delete_aggregates(concepts: DataFrame, edges: DataFrame, elements: DataFrame
     kept_edges, kept_elements = touched(edges, "src", "dst"), touched(elements, "aggregate", "element")
     n = lambda df, nodes, sign: df.select(F.lit(nodes).alias("nodes"), F.lit(sign).alias("edges"))
     every = n(gone, 1, 0).union(n(edges, 0, 1)).union(n(elements, 0, 1)).union(n(kept_edges, 0, -1)).union(n(kept_elements, 0, -1))
-    counts = every.agg(F.coalesce(F.sum("nodes"), F.lit(0)).cast("long").alias("num_nodes"), F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("num_relationships"))
+    counts = every.agg(
+        F.coalesce(F.sum("nodes"), F.lit(0)).cast("long").alias("num_nodes"),
+        F.coalesce(F.sum("edges"), F.lit(0)).cast("long").alias("num_relationships"),
+    )
     return left, kept_edges, kept_elements, counts
 
 

@@ -14,7 +14,10 @@ def id_mapping(concepts: DataFrame, source: str, target: str, labels: list[str])
     """(source_id, target_id): for each label's nodes every source value with every target value; strings count as
     arrays of one. A node with two of the labels is given twice, one without either property not at all."""
     arr = lambda c: F.col(c) if dict(concepts.dtypes)[c].startswith("array") else F.array(c)
-    per_label = concepts.select(arr(source).alias("s"), arr(target).alias("t"), F.explode(F.array_intersect("labels", F.array(*map(F.lit, dict.fromkeys(labels))))).alias("label"))
+    per_label = concepts.select(
+        arr(source).alias("s"), arr(target).alias("t"),
+        F.explode(F.array_intersect("labels", F.array(*map(F.lit, dict.fromkeys(labels))))).alias("label"),
+    )
     return per_label.select("t", F.explode("s").alias("source_id")).select("source_id", F.explode("t").alias("target_id")).where("source_id IS NOT NULL AND target_id IS NOT NULL")
 
 
@@ -31,7 +34,10 @@ def hypernyms(edges: DataFrame, roots: DataFrame, concepts: DataFrame, facets: l
     return found.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("ancestor")), "|").alias("hypernyms"))
 
 
-def dictionary_lines(concepts: DataFrame, properties: list[str], source_of: dict[str, str] | None = None, exclude: list[str] | None = None, label: str | None = None) -> DataFrame:
+def dictionary_lines(
+    concepts: DataFrame, properties: list[str], source_of: dict[str, str] | None = None, exclude: list[str] | None = None,
+    label: str | None = None,
+) -> DataFrame:
     """(key, ids, node, value_ord, name_ord): a line for each name of each node and each index of its id arrays.
 
     A name is the preferred name, a synonym or an acronym, with single spaces and more than two characters. Several
@@ -53,8 +59,13 @@ def dictionary_lines(concepts: DataFrame, properties: list[str], source_of: dict
 
     ids = [prefixed(p) for p in properties]
     sizes = F.array_distinct(F.array(*(F.size(i) for i in ids)))
-    c = c.withColumn("__zip", F.arrays_zip(*(i.alias(f"p{k}") for k, i in enumerate(ids)))).withColumn("__ok", F.when(F.size(sizes) > 1, F.raise_error(F.concat(F.lit("id arrays of unequal length at "), F.col("node")))).otherwise(F.lit(None).cast("void")))
-    names = F.array_distinct(F.concat(F.array("pref_name"), *(F.coalesce(F.col(x), F.array().cast("array<string>")) for x in ("synonyms", "acronyms") if x in c.columns)))
+    c = c.withColumn("__zip", F.arrays_zip(*(i.alias(f"p{k}") for k, i in enumerate(ids)))).withColumn(
+        "__ok",
+        F.when(F.size(sizes) > 1, F.raise_error(F.concat(F.lit("id arrays of unequal length at "), F.col("node")))).otherwise(F.lit(None).cast("void")),
+    )
+    names = F.array_distinct(F.concat(
+        F.array("pref_name"), *(F.coalesce(F.col(x), F.array().cast("array<string>")) for x in ("synonyms", "acronyms") if x in c.columns),
+    ))
     lines = c.select("node", "__zip", "__ok", F.posexplode(names).alias("name_ord", "name"))
     lines = lines.select("node", "name_ord", normalized_space("name").alias("key"), "__ok", F.posexplode("__zip").alias("value_ord", "z"))
     joined = F.concat_ws("||", *(F.col("z")[f"p{k}"] for k in range(len(properties))))

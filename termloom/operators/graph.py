@@ -26,13 +26,22 @@ SCHEMAS = {
     "sequences": "name string, next long",
 }
 #: The table, column and prefix of each sequence's numbers.
-SEQUENCES = {"node": ("concepts", "node", ""), "tid": ("concepts", "id", "tid"), "atid": ("concepts", "id", "atid"), "fid": ("facets", "facet", "fid"), "fgid": ("groups", "grp", "fgid")}
+SEQUENCES = {
+    "node": ("concepts", "node", ""), "tid": ("concepts", "id", "tid"), "atid": ("concepts", "id", "atid"),
+    "fid": ("facets", "facet", "fid"), "fgid": ("groups", "grp", "fgid"),
+}
 #: Columns of each table that name nodes.
-NODE_COLUMNS = {"concepts": ("node",), "sources": ("node",), "edges": ("src", "dst"), "roots": ("node",), "elements": ("aggregate", "element"), "mappings": ("u", "v"), "relation_docs": ("u", "v"), "relation_dbs": ("u", "v")}
+NODE_COLUMNS = {
+    "concepts": ("node",), "sources": ("node",), "edges": ("src", "dst"), "roots": ("node",), "elements": ("aggregate", "element"),
+    "mappings": ("u", "v"), "relation_docs": ("u", "v"), "relation_dbs": ("u", "v"),
+}
 #: The column by which saved tables are dealt to buckets.
 KEYED = {"concepts": "node", "sources": "node", "edges": "src", "elements": "aggregate", "roots": "node"}
 #: What makes one relationship of a node, by table: all rows that agree in these columns. Source ids are properties.
-RELATIONSHIPS = {"edges": None, "roots": None, "elements": None, "mappings": None, "relation_docs": ("type", "u", "v"), "relation_dbs": ("type", "u", "v"), "variants": ("kind", "concept")}
+RELATIONSHIPS = {
+    "edges": None, "roots": None, "elements": None, "mappings": None, "relation_docs": ("type", "u", "v"),
+    "relation_dbs": ("type", "u", "v"), "variants": ("kind", "concept"),
+}
 
 
 @dataclass(frozen=True)
@@ -130,6 +139,8 @@ def without_nodes(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
         kept[name] = hit.where("NOT __lost").drop("__lost")
         if name in RELATIONSHIPS:
             away = hit.where("__lost")
-            sizes.append((away.select(*RELATIONSHIPS[name]).distinct() if RELATIONSHIPS[name] else away).agg(F.lit(0).cast("long").alias("nodes"), F.count("*").alias("edges")))
+            sizes.append((
+                away.select(*RELATIONSHIPS[name]).distinct() if RELATIONSHIPS[name] else away
+            ).agg(F.lit(0).cast("long").alias("nodes"), F.count("*").alias("edges")))
     counts = reduce(DataFrame.unionByName, sizes).agg(F.sum("nodes").alias("num_nodes"), F.sum("edges").alias("num_relationships"))
     return graph.with_(**kept), counts

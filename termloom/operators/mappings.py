@@ -16,7 +16,9 @@ def insert_mappings(mappings: DataFrame, nodes: DataFrame, stored: DataFrame | N
     """
     blank = is_blank("id1") | is_blank("id2") | is_blank("mapping_type")
     m = mappings.where(F.when(blank, F.raise_error(F.lit("a mapping lacks an id or its type")).cast("boolean")).otherwise(True))
-    side = lambda k: nodes.select(F.col("id").alias(f"id{k}"), F.col("node").alias(f"n{k}"), F.coalesce("facets", F.array().cast("array<string>")).alias(f"f{k}"))
+    side = lambda k: nodes.select(
+        F.col("id").alias(f"id{k}"), F.col("node").alias(f"n{k}"), F.coalesce("facets", F.array().cast("array<string>")).alias(f"f{k}"),
+    )
     m = m.join(side(1), "id1").join(side(2), "id2").where("n1 <> n2")
     m = m.where(~((F.upper("mapping_type") == "LOOM") & F.arrays_overlap("f1", "f2")))
     pairs = m.select(F.least("n1", "n2").alias("u"), F.greatest("n1", "n2").alias("v"), "mapping_type")

@@ -9,7 +9,10 @@ from ..plans.iterate import all_paths, closure, ends_of_chains
 from .query import HOLLOW, has_label
 
 
-def paths_from_roots(starts: DataFrame, edges: DataFrame, roots: DataFrame, concepts: DataFrame | None = None, facet: str | None = None, return_column: str | None = None) -> DataFrame:
+def paths_from_roots(
+    starts: DataFrame, edges: DataFrame, roots: DataFrame, concepts: DataFrame | None = None, facet: str | None = None,
+    return_column: str | None = None,
+) -> DataFrame:
     """(node, path): for each start (column node) all paths from a facet root down to it, the start's own included if
     it is a root. Going up doesn't stop at roots. With facet only its edges count, and the root must be a member of it
     (concepts' column facets). return_column of concepts replaces the nodes; a path that lacks it anywhere goes."""
@@ -21,7 +24,9 @@ def paths_from_roots(starts: DataFrame, edges: DataFrame, roots: DataFrame, conc
     found = found.select(F.col("origin").alias("node"), F.reverse("path").alias("path"))
     if return_column is None:
         return found
-    steps = found.select("node", "path", F.posexplode("path").alias("pos", "step")).join(concepts.select(F.col("node").alias("step"), F.col(return_column).alias("shown")), "step", "left")
+    steps = found.select("node", "path", F.posexplode("path").alias("pos", "step")).join(
+        concepts.select(F.col("node").alias("step"), F.col(return_column).alias("shown")), "step", "left",
+    )
     named = steps.groupBy("node", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("s"))
     return named.where(F.forall("s", lambda x: x["shown"].isNotNull())).select("node", F.col("s")["shown"].alias("path"))
 

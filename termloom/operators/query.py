@@ -25,13 +25,17 @@ def lookup(nodes: DataFrame, column: str, keys: DataFrame, key: str) -> DataFram
     """Rows of nodes whose column equals a key; a key with several rows raises an error when it is read."""
     hits = nodes.join(keys.select(F.col(key).alias("__key")).distinct(), nodes[column] == F.col("__key"), "left_semi")
     many = hits.groupBy(column).agg(F.count("*").alias("__n"))
-    return hits.join(many, column).where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one node for "), F.col(column).cast("string"))).isNull()).otherwise(True)).drop("__n")
+    return hits.join(many, column).where(F.when(
+        F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one node for "), F.col(column).cast("string"))).isNull(),
+    ).otherwise(True)).drop("__n")
 
 
 def expand(edges: DataFrame, nodes: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """(node, other, type): edges of the given types that leave, reach or touch nodes."""
     e = edges.where(F.col("type").isin(types)) if types else edges
-    out, into = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type"), e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type")
+    out, into = e.select(
+        F.col("src").alias("node"), F.col("dst").alias("other"), "type",
+    ), e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type")
     both = {"out": out, "in": into, "both": out.unionByName(into.where("node <> other"))}[direction]
     return both.join(nodes.select("node").distinct(), "node", "left_semi")
 
@@ -72,7 +76,10 @@ def facets_by_group(facets: DataFrame, roots: DataFrame, concepts: DataFrame, re
     others are always there. Groups without facets have no row."""
     of = roots.join(concepts.select("node", has_label(HOLLOW).alias("hollow")), "node", "left")
     some = of.groupBy("facet").agg(F.bool_or(~F.coalesce("hollow", F.lit(False))).alias("real"))
-    shown = facets.join(some, "facet", "left").where((F.col("source_type") != "hierarchical") | F.when(F.lit(return_hollow), F.col("real").isNotNull()).otherwise(F.coalesce("real", F.lit(False))))
+    shown = facets.join(some, "facet", "left").where(
+        (F.col("source_type") != "hierarchical")
+        | F.when(F.lit(return_hollow), F.col("real").isNotNull()).otherwise(F.coalesce("real", F.lit(False)))
+    )
     return shown.groupBy("grp").agg(F.array_sort(F.collect_list("facet")).alias("facets"))
 
 

@@ -88,7 +88,9 @@ def totals(relation_docs: DataFrame) -> DataFrame:
 
 def parallel_arrays(relation_docs: DataFrame) -> DataFrame:
     """(type, u, v, total_count, doc_ids, counts) with documents sorted."""
-    return relation_docs.groupBy("type", "u", "v").agg(F.sum("count").alias("total_count"), F.array_sort(F.collect_list(F.struct("doc", "count"))).alias("d")).select("type", "u", "v", "total_count", F.col("d")["doc"].alias("doc_ids"), F.col("d")["count"].alias("counts"))
+    return relation_docs.groupBy("type", "u", "v").agg(F.sum("count").alias("total_count"), F.array_sort(F.collect_list(F.struct("doc", "count"))).alias("d")).select(
+        "type", "u", "v", "total_count", F.col("d")["doc"].alias("doc_ids"), F.col("d")["count"].alias("counts"),
+    )
 
 
 def first_methods(rows: DataFrame) -> DataFrame:
@@ -126,7 +128,10 @@ def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
     return out.select(F.col("arg1").alias("arg1_id"), "arg1_name", F.col("arg2").alias("arg2_id"), "arg2_name", "count")
 
 
-def one_sided(ids: DataFrame, relation_docs: DataFrame, elements: DataFrame, tops: DataFrame, names: DataFrame, types: list[str], inter_input: bool = False) -> DataFrame:
+def one_sided(
+    ids: DataFrame, relation_docs: DataFrame, elements: DataFrame, tops: DataFrame, names: DataFrame, types: list[str],
+    inter_input: bool = False,
+) -> DataFrame:
     """All relations of the requested concepts (ids: node), summed between top aggregates. Relations among the
     requested themselves only with inter_input. Each relation counts once a direction, however many ids share a top."""
     asked = _requested(ids, tops)

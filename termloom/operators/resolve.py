@@ -42,18 +42,35 @@ def lookup_coordinates(requests: DataFrame, coords: DataFrame, sources: DataFram
     same = (F.col("source_id") == F.col("sid")) & ((F.col("source") == F.col("src")) | (F.coalesce(F.col("unique_source_id"), F.lit(False)) & F.col("uq")))
     hits = r.join(s, same).select("__r", F.col("node"), "original_id", "original_source")
     hits = hits.join(coords.select("node", F.col("original_id").alias("oid"), F.col("original_source").alias("os")), "node", "left")
-    clash = F.col("original_id").isNotNull() & F.col("original_source").isNotNull() & F.col("oid").isNotNull() & F.col("os").isNotNull() & ~((F.col("original_id") == F.col("oid")) & (F.col("original_source") == F.col("os")))
+    clash = F.col("original_id").isNotNull() & F.col("original_source").isNotNull() & F.col("oid").isNotNull() & F.col("os").isNotNull() & ~(
+        (F.col("original_id") == F.col("oid")) & (F.col("original_source") == F.col("os"))
+    )
     hits = hits.join(by_original.select("__r"), "__r", "left_anti")
-    hits = hits.withColumn("n", F.when(clash, F.raise_error(F.concat(F.lit("inconsistent data: another original id at "), F.col("node").cast("string"))).cast("string")).otherwise(F.col("node").cast("string")))
+    hits = hits.withColumn(
+        "n",
+        F.when(
+            clash, F.raise_error(F.concat(F.lit("inconsistent data: another original id at "), F.col("node").cast("string"))).cast("string"),
+        ).otherwise(F.col("node").cast("string")),
+    )
     both = by_original.select("__r", F.col("n").cast("string").alias("n")).unionByName(hits.select("__r", "n")).groupBy("__r").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one = both.select("__r", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("several nodes: "), "lo", F.lit(", "), "hi")).cast("string")).otherwise(F.col("lo")).alias("node"))
+    one = both.select(
+        "__r",
+        F.when(
+            F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("several nodes: "), "lo", F.lit(", "), "hi")).cast("string"),
+        ).otherwise(F.col("lo")).alias("node"),
+    )
     return r.join(one, "__r", "left").drop("__r")
 
 
 def nodes_by_source_id(ids: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, node) at any position, from any source; an id with several nodes raises an error."""
     hit = sources.select("source_id", "node").join(ids.select("source_id").distinct(), "source_id").groupBy("source_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    return hit.select("source_id", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("several nodes with source id "), "source_id")).cast("string")).otherwise(F.col("lo").cast("string")).alias("node"))
+    return hit.select(
+        "source_id",
+        F.when(
+            F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("several nodes with source id "), "source_id")).cast("string"),
+        ).otherwise(F.col("lo").cast("string")).alias("node"),
+    )
 
 
 def unite_batch(rows: DataFrame, unite_unique: bool = True) -> DataFrame:
@@ -61,15 +78,26 @@ def unite_batch(rows: DataFrame, unite_unique: bool = True) -> DataFrame:
     rows that share an original pair, a source pair or (unite_unique) a unique source id are one concept, named by its
     smallest ord. A group with two original pairs raises an error. Rows without a complete pair stand alone."""
     key = lambda tag, *xs: F.when(F.concat(*xs).isNotNull(), F.concat_ws("\x1f", F.lit(tag), *xs))
-    keys = F.array(key("o", "original_id", "original_source"), key("s", "source_id", "source"), *([F.when(F.coalesce("unique_source_id", F.lit(False)), key("u", "source_id"))] if unite_unique else []))
+    keys = F.array(
+        key("o", "original_id", "original_source"), key("s", "source_id", "source"),
+        *([F.when(F.coalesce("unique_source_id", F.lit(False)), key("u", "source_id"))] if unite_unique else []),
+    )
     k = keep(rows.select("ord", "original_id", "original_source", F.explode_outer(F.array_compact(keys)).alias("key")))
     first = k.where("key IS NOT NULL").groupBy("key").agg(F.min("ord").alias("b"))
     edges = k.join(first, "key").select(F.col("ord").alias("a"), "b")
     of = connected_components(edges, keep)
-    grouped = k.select("ord", "original_id", "original_source").distinct().join(of, F.col("ord") == of["node"], "left").select("ord", F.coalesce("label", "ord").alias("group"), "original_id", "original_source")
+    grouped = k.select("ord", "original_id", "original_source").distinct().join(of, F.col("ord") == of["node"], "left").select(
+        "ord", F.coalesce("label", "ord").alias("group"), "original_id", "original_source",
+    )
     pair = F.when(F.concat("original_id", "original_source").isNotNull(), F.concat_ws("\x1f", "original_id", "original_source"))
     bad = grouped.groupBy("group").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi"))
-    checked = bad.select("group", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.concat(F.lit("inconsistent data: two original ids in "), F.col("group").cast("string"))).cast("boolean")).otherwise(F.lit(True)).alias("ok"))
+    checked = bad.select(
+        "group",
+        F.when(
+            F.col("lo") != F.col("hi"),
+            F.raise_error(F.concat(F.lit("inconsistent data: two original ids in "), F.col("group").cast("string"))).cast("boolean"),
+        ).otherwise(F.lit(True)).alias("ok"),
+    )
     return grouped.join(checked, "group").where("ok").select("ord", "group")
 
 

@@ -20,7 +20,10 @@ from . import traversal as T
 from . import variants as V
 from .graph import Graph, next_number, numbered, without_nodes
 
-NAME = {"preferredName": "pref_name", "id": "id", "originalId": "original_id", "originalSource": "original_source", "synonyms": "synonyms", "descriptions": "descriptions", "writingVariants": "writing_variants"}
+NAME = {
+    "preferredName": "pref_name", "id": "id", "originalId": "original_id", "originalSource": "original_source", "synonyms": "synonyms",
+    "descriptions": "descriptions", "writingVariants": "writing_variants",
+}
 #: Properties that are columns of concepts; all others are in props.
 SCALARS = {p: NAME[p] for p in ("preferredName", "originalId", "originalSource")}
 LISTS = {p: NAME[p] for p in ("synonyms", "writingVariants", "descriptions")} | {"facets": "facets"}
@@ -49,14 +52,20 @@ def _nodes_with(graph: Graph, values: list[str], id_property: str) -> DataFrame:
     if id_property == "sourceIds":
         known = graph.sources.select("node", F.col("source_id").alias("value"))
     else:
-        known = graph.concepts.select("node", (F.col(NAME[id_property]) if id_property in NAME else as_text(F.try_element_at("props", F.lit(id_property)))).alias("value"))
+        known = graph.concepts.select(
+            "node",
+            (F.col(NAME[id_property]) if id_property in NAME else as_text(F.try_element_at("props", F.lit(id_property)))).alias("value"),
+        )
     found = keep(asked.join(known, "value", "left").select("value", "node").distinct())
     if row := found.where("node IS NULL").first():
         raise ValueError(f"no concept with {id_property} {row['value']}")
     return found.select("node").distinct()
 
 
-def get_paths_to_facetroots(graph: Graph, concept_ids: list[str], return_id_property: str = "id", sort_result: bool = False, facet_id: str | None = None, id_property: str = "id") -> DataFrame:
+def get_paths_to_facetroots(
+    graph: Graph, concept_ids: list[str], return_id_property: str = "id", sort_result: bool = False, facet_id: str | None = None,
+    id_property: str = "id",
+) -> DataFrame:
     """(concept_id, path): paths from facet roots to each concept, as values of a property; perhaps shortest first. Concepts are
     given by their values of id_property; an unknown one is an error."""
     found = P.paths_from_roots(_nodes_with(graph, concept_ids, id_property), graph.edges, graph.roots, graph.concepts, facet_id, NAME[return_id_property])
@@ -113,14 +122,20 @@ def node_maps(graph: Graph, concept_ids: list[str] | None = None) -> DataFrame:
     shown |= {p: listed(F.col("s")[f]) for p, f in (("sourceIds", "source_id"), ("sources", "source"), ("uniqueSourceIds", "is_unique"))}
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     own = F.filter(F.array(*(entry(F.lit(p), v) for p, v in shown.items())), lambda e: e["value"].isNotNull())
-    free = F.filter(F.coalesce(F.map_entries("props"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: ~F.exists(own, lambda o: o["key"] == e["key"]))
+    free = F.filter(
+        F.coalesce(F.map_entries("props"), F.array().cast("array<struct<key:string,value:string>>")),
+        lambda e: ~F.exists(own, lambda o: o["key"] == e["key"]),
+    )
     pairs = F.transform(F.concat(own, free), lambda e: F.concat(as_value(e["key"]), F.lit(":"), e["value"]))
     return c.select("node", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("json"))
 
 
 def get_facet_size(graph: Graph) -> DataFrame:
     """(facet, n)."""
-    return P.facet_sizes(graph.roots.where("NOT is_no_facet").withColumn("node", F.col("node").cast("string")), graph.edges.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string")))
+    return P.facet_sizes(
+        graph.roots.where("NOT is_no_facet").withColumn("node", F.col("node").cast("string")),
+        graph.edges.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string")),
+    )
 
 
 def insert_mappings(graph: Graph, mappings: DataFrame) -> tuple[Graph, int]:
@@ -153,10 +168,14 @@ def retrieve_ie_relations(graph: Graph, request: dict) -> DataFrame:
     tops = P.top_aggregates(graph.elements, by.where(F.arrays_overlap("labels", F.array(*map(F.lit, TOP_LABELS)))))
     args = (graph.relation_docs, graph.elements, tops, by.select("node", "name"), request["relationTypes"])
     b = request.get("b_list") or {}
-    found = R.two_sided(nodes(request["a_list"]), nodes(b), *args) if b.get("ids") else R.one_sided(nodes(request["a_list"]), *args, bool(request.get("enable_inter_input_relation_retrieval")))
+    found = R.two_sided(nodes(request["a_list"]), nodes(b), *args) if b.get("ids") else R.one_sided(
+        nodes(request["a_list"]), *args, bool(request.get("enable_inter_input_relation_retrieval")),
+    )
     shown = request["a_list"]["id_property"]
     side = lambda k: by.select(F.col("node").alias(f"arg{k}_id"), F.col(shown).alias(f"id{k}"))
-    return found.join(side(1), "arg1_id").join(side(2), "arg2_id").select(F.col("id1").alias("arg1_id"), "arg1_name", F.col("id2").alias("arg2_id"), "arg2_name", "count")
+    return found.join(side(1), "arg1_id").join(side(2), "arg2_id").select(
+        F.col("id1").alias("arg1_id"), "arg1_name", F.col("id2").alias("arg2_id"), "arg2_name", "count",
+    )
 
 
 def add_concept_terms(graph: Graph, rows: DataFrame) -> Graph:
@@ -170,30 +189,49 @@ def _with_aggregates(graph: Graph, elements: DataFrame, labels: list[str], copy_
     elements = keep(elements.select(F.col("aggregate").cast("string").alias("key"), "element"))
     start, first_id = next_number(graph, "node"), next_number(graph, "atid")
     keys = numbered(elements.select("key").distinct(), ["key"], "n")
-    made = A.new_aggregates(keys.select(F.col("n").alias("aggregate")), labels, copy_properties, mapping_types).select((F.col("node") + start).alias("node"), F.concat(F.lit("atid"), (F.col("node") + first_id).cast("string")).alias("id"), "labels", "copy_properties", "mapping_type")
+    made = A.new_aggregates(keys.select(F.col("n").alias("aggregate")), labels, copy_properties, mapping_types).select(
+        (F.col("node") + start).alias("node"), F.concat(F.lit("atid"), (F.col("node") + first_id).cast("string")).alias("id"), "labels",
+        "copy_properties", "mapping_type",
+    )
     concepts = graph.concepts.unionByName(made, allowMissingColumns=True)
     linked = elements.join(keys, "key").select((F.col("n") + start).alias("aggregate"), "element")
     return graph.with_(concepts=keep(concepts), elements=keep(graph.elements.unionByName(linked)))
 
 
 def n_aggregates(graph: Graph, labels: list[str]) -> int:
-    """How many aggregates have any of the labels: after a build, how many it made."""
-    return graph.concepts.where(F.array_contains("labels", A.AGGREGATE) & F.arrays_overlap("labels", F.array(*map(F.lit, labels)))).count()
+    """How many aggregates have any of the labels, whenever they were built."""
+    marked = F.array_contains("labels", A.AGGREGATE) & F.arrays_overlap("labels", F.array(*map(F.lit, labels)))
+    return graph.concepts.where(marked).count()
 
 
-def build_aggregates_by_preferred_name(graph: Graph, labels: list[str], aggregated_labels: list[str], copy_properties: list[str], name_property: str = "preferredName") -> Graph:
+def n_built(before: Graph, after: Graph) -> int:
+    """How many aggregates a build has made: those with numbers that weren't given before it."""
+    new = F.col("node") >= next_number(before, "node")
+    return after.concepts.where(F.array_contains("labels", A.AGGREGATE) & new).count()
+
+
+def build_aggregates_by_preferred_name(
+    graph: Graph, labels: list[str], aggregated_labels: list[str], copy_properties: list[str], name_property: str = "preferredName",
+) -> Graph:
     elements = A.equal_name_elements(graph.concepts, labels, NAME[name_property])
     return _with_aggregates(graph, elements, aggregated_labels, copy_properties, [A.EQUAL_NAMES])
 
 
-def build_aggregates_by_mappings(graph: Graph, allowed_mapping_types: list[str], aggregated_label: str, label: str | None = None, copy_properties: tuple[str, ...] = ("preferredName", "synonyms", "writingVariants", "descriptions", "facets")) -> Graph:
+def build_aggregates_by_mappings(
+    graph: Graph, allowed_mapping_types: list[str], aggregated_label: str, label: str | None = None,
+    copy_properties: tuple[str, ...] = ("preferredName", "synonyms", "writingVariants", "descriptions", "facets"),
+) -> Graph:
     """Aggregates of mapped concepts, after those of the label before are gone; concepts without mappings get the label, but not
     other aggregates, which would be deleted with those of the label."""
     graph = delete_aggregates(graph, [aggregated_label])[0]
     elements = keep(A.mapping_elements(graph.mappings, graph.concepts, allowed_mapping_types, label))
     plain = graph.concepts.where(~F.array_contains("labels", A.AGGREGATE))
-    alone = (plain.where(F.array_contains("labels", label)) if label else plain).join(elements.select(F.col("element").alias("node")), "node", "left_anti").select("node", F.lit(True).alias("alone"))
-    marked = graph.concepts.join(alone, "node", "left").withColumn("labels", F.when(F.col("alone"), F.array_union("labels", F.array(F.lit(aggregated_label)))).otherwise(F.col("labels"))).drop("alone")
+    alone = (plain.where(F.array_contains("labels", label)) if label else plain).join(
+        elements.select(F.col("element").alias("node")), "node", "left_anti",
+    ).select("node", F.lit(True).alias("alone"))
+    marked = graph.concepts.join(alone, "node", "left").withColumn(
+        "labels", F.when(F.col("alone"), F.array_union("labels", F.array(F.lit(aggregated_label)))).otherwise(F.col("labels")),
+    ).drop("alone")
     return _with_aggregates(graph.with_(concepts=keep(marked)), elements, [aggregated_label], list(copy_properties), allowed_mapping_types)
 
 
@@ -211,7 +249,9 @@ def copy_aggregate_properties(graph: Graph, skip_existing_properties: bool = Fal
     return copied_aggregate_properties(graph, skip_existing_properties, aggregated_labels)[0]
 
 
-def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,)) -> tuple[Graph, dict[str, int]]:
+def copied_aggregate_properties(
+    graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,),
+) -> tuple[Graph, dict[str, int]]:
     """(graph, counts): aggregates with any of the labels, and those below them first, take from their elements the properties
     that their copy_properties list, columns and props alike; aggregates without such a list are left as they are.
 
@@ -224,7 +264,9 @@ def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = F
     chosen = aggregates.where(F.arrays_overlap("labels", F.array(*map(F.lit, aggregated_labels)))).select(F.lit(0).alias("origin"), "node")
     nested = elements.join(aggregates.select(F.col("node").alias("element")), "element", "left_semi")
     reached = closure(chosen, nested.select(F.col("aggregate").alias("src"), F.col("element").alias("dst"))).select("node")
-    listed = keep(aggregates.join(reached, "node", "left_semi").select(F.col("node").alias("aggregate"), F.explode(F.array_distinct("copy_properties")).alias("property")))
+    listed = keep(aggregates.join(reached, "node", "left_semi").select(
+        F.col("node").alias("aggregate"), F.explode(F.array_distinct("copy_properties")).alias("property"),
+    ))
 
     scalars = c.select("node", F.explode("props").alias("property", "value"))
     for p, column in SCALARS.items():
@@ -254,14 +296,20 @@ def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = F
         kept = old_synonyms.withColumnRenamed("node", "aggregate").join(names, "aggregate", "left_semi").join(now, ["aggregate", "property"], "left_anti")
         kept = kept.groupBy("aggregate").agg(F.sort_array(F.collect_list(F.struct("ord", "value")))["value"].alias("kept"))
         synonyms = a.where("property = 'synonyms'").select("aggregate", "values").join(names, "aggregate", "full_outer").join(kept, "aggregate", "left")
-        synonyms = synonyms.select("aggregate", F.lit("synonyms").alias("property"), A.merged_synonyms(F.coalesce("values", "kept"), F.col("divergent")).alias("values"))
+        synonyms = synonyms.select(
+            "aggregate", F.lit("synonyms").alias("property"),
+            A.merged_synonyms(F.coalesce("values", "kept"), F.col("divergent")).alias("values"),
+        )
         a = keep(a.where("property <> 'synonyms'").unionByName(synonyms))
         won, united = (s if won is None else won.unionByName(s)), (a if united is None else united.unionByName(a))
         made = a.select(F.col("aggregate").alias("node"), "property", F.posexplode("values").alias("ord", "value"))
         scalars = keep(scalars.unionByName(s.select(F.col("aggregate").alias("node"), "property", "value")))
         arrays = keep(arrays.join(made.select("node", "property").distinct(), ["node", "property"], "left_anti").unionByName(made))
 
-    counts = {"numAggregates": reached.count(), "numElements": elements.join(listed.select("aggregate").distinct(), "aggregate", "left_semi").count(), "numProperties": n_properties}
+    counts = {
+        "numAggregates": reached.count(),
+        "numElements": elements.join(listed.select("aggregate").distinct(), "aggregate", "left_semi").count(), "numProperties": n_properties,
+    }
     if won is None:
         return graph, counts
     as_map = lambda df, key, value, out: df.groupBy(F.col("aggregate").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(out))
@@ -276,11 +324,15 @@ def copied_aggregate_properties(graph: Graph, skip_existing_properties: bool = F
     new |= {column: F.coalesce(F.try_element_at("__a", F.lit(p)), F.when(~mine(p), F.col(column))) for p, column in LISTS.items()}
     none = F.create_map().cast("map<string,string>")
     left = F.map_filter(F.coalesce("props", none), lambda k, _: ~F.array_contains("__todo", F.regexp_replace(k, div + "$", "")))
-    new["props"] = F.when(F.col("__todo").isNull() | F.col("props").isNull() & F.col("__p").isNull(), F.col("props")).otherwise(F.map_concat(left, F.coalesce("__p", none)))
+    new["props"] = F.when(
+        F.col("__todo").isNull() | F.col("props").isNull() & F.col("__p").isNull(), F.col("props"),
+    ).otherwise(F.map_concat(left, F.coalesce("__p", none)))
     return graph.with_(concepts=keep(out.select(*(new[x].alias(x) if x in new else F.col(x) for x in c.columns)))), counts
 
 
-def export_concept_id_mapping(graph: Graph, source_id_property: str = "sourceIds", target_id_property: str = "id", labels: tuple[str, ...] = ("CONCEPT",)) -> DataFrame:
+def export_concept_id_mapping(
+    graph: Graph, source_id_property: str = "sourceIds", target_id_property: str = "id", labels: tuple[str, ...] = ("CONCEPT",),
+) -> DataFrame:
     """(source_id, target_id); sourceIds are all of a concept's source ids."""
     ids = graph.sources.groupBy("node").agg(F.array_sort(F.collect_set("source_id")).alias("sourceIds"))
     c = graph.concepts.join(ids, "node", "left")
@@ -312,7 +364,10 @@ def export_concept_facet_map(graph: Graph, label: str | None = None) -> DataFram
     return E.concept_facet_map(concepts.where("id IS NOT NULL").drop("node").withColumnRenamed("id", "node")).withColumnRenamed("node", "concept_id")
 
 
-def export_dictionary(graph: Graph, id_property: str | list[str] = "id", exclusion_labels: list[str] | None = None, unique_keys: bool = False, label: str = "CONCEPT", add_source_prefix: bool = False) -> DataFrame:
+def export_dictionary(
+    graph: Graph, id_property: str | list[str] = "id", exclusion_labels: list[str] | None = None, unique_keys: bool = False,
+    label: str = "CONCEPT", add_source_prefix: bool = False,
+) -> DataFrame:
     """(key, ids): names, synonyms and acronyms of concepts with their ids.
 
     Several id properties (a list, or parted by commas) are joined by ||; a source prefix is the id's source, or id for
@@ -336,13 +391,18 @@ def export_dictionary(graph: Graph, id_property: str | list[str] = "id", exclusi
         elif p not in NAME:
             values = graph.concepts.select("node", pair(as_text(F.try_element_at("props", F.lit(p)))).alias("value"))
         elif dict(graph.concepts.dtypes)[NAME[p]].startswith("array"):
-            values = graph.concepts.select("node", F.posexplode(NAME[p])).select("node", F.struct("pos", F.col("col").alias("id"), source.alias("source")).alias("value"))
+            values = graph.concepts.select("node", F.posexplode(NAME[p])).select(
+                "node", F.struct("pos", F.col("col").alias("id"), source.alias("source")).alias("value"),
+            )
         else:
             values = graph.concepts.select("node", pair(NAME[p]).alias("value"))
         values = values.where("value.id IS NOT NULL")
         own = values.groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("__own"))
         lacking = c.where(F.array_contains("labels", A.AGGREGATE)).join(own, "node", "left_anti").select(F.col("node").alias("aggregate"))
-        of_elements = A.element_values(graph.elements.join(lacking, "aggregate", "left_semi"), values.select("node", F.lit(p).alias("property"), F.struct("node", "value").alias("value")))  # in the order of elements
+        of_elements = A.element_values(
+            graph.elements.join(lacking, "aggregate", "left_semi"),
+            values.select("node", F.lit(p).alias("property"), F.struct("node", "value").alias("value")),
+        )  # in the order of elements
         c = c.join(own, "node", "left").join(of_elements.select(F.col("aggregate").alias("node"), F.col("values")["value"].alias("__elements")), "node", "left")
         kind = own.schema["__own"].dataType
         error = lambda what, of=p, kind=kind: F.raise_error(F.concat(F.lit(f"no {what} of {of} at "), F.col("id"))).cast(kind)

@@ -54,7 +54,9 @@ def find_phrase(index: DataFrame, phrase: str) -> DataFrame:
     for k, w in enumerate(words):
         places.setdefault(w, []).append(k)
     # the buckets as values, so that Spark reads no other folders
-    asked = spark.createDataFrame([(w, ks) for w, ks in places.items()], "token string, places array<int>").withColumn("bucket", _bucket(F.col("token"))).collect()
+    asked = spark.createDataFrame(
+        [(w, ks) for w, ks in places.items()], "token string, places array<int>",
+    ).withColumn("bucket", _bucket(F.col("token"))).collect()
     some = index.where(F.col("bucket").isin(sorted({r["bucket"] for r in asked})) & F.col("token").isin(list(places)))
     at = F.create_map(*(x for w, ks in places.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))))
     starts = F.flatten(F.transform(at[F.col("token")], lambda k: F.transform("positions", lambda p: p - k)))

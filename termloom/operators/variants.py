@@ -14,7 +14,9 @@ def counted_variants(rows: DataFrame) -> DataFrame:
     # names of a document first: sums and places are kept by hash, and each distinct name is normalised once
     names = rows.groupBy("kind", "concept", "doc", "name").agg(F.sum("count").alias("count"), F.min("ord").alias("ord"))
     r = names.withColumn("norm", normalized_variant("name"))
-    merged = r.groupBy("kind", "concept", "norm", "doc").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.sum("count").cast("long").alias("count"))
+    merged = r.groupBy("kind", "concept", "norm", "doc").agg(
+        F.min_by("name", F.struct("ord", "name")).alias("name"), F.sum("count").cast("long").alias("count"),
+    )
     return merged.select("kind", "concept", "norm", "name", "doc", "count")
 
 
@@ -31,7 +33,9 @@ def upsert_variants(stored: DataFrame, incoming: DataFrame, concepts: DataFrame)
 
 def variants_of(variants: DataFrame, kind: str, concept: str) -> DataFrame:
     """(norm, name, documents, counts): a concept's variants of a kind, documents sorted."""
-    v = variants.where((F.col("kind") == kind) & (F.col("concept") == concept)).groupBy("norm").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("doc", "count"))).alias("d"))
+    v = variants.where((F.col("kind") == kind) & (F.col("concept") == concept)).groupBy("norm").agg(
+        F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("doc", "count"))).alias("d"),
+    )
     return v.select("norm", "name", F.col("d")["doc"].alias("documents"), F.col("d")["count"].alias("counts"))
 
 

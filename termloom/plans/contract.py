@@ -157,13 +157,20 @@ def mapping_components(g):
     return A.mapping_components(g.mappings, ["EQUAL"])
 
 
-@query("mapping_aggregates", "SELECT component AS aggregate, count(*)::BIGINT AS n, string_agg(node, '|' ORDER BY node) AS elements FROM comp GROUP BY component HAVING count(*) > 1", COMPONENTS, True)
+@query(
+    "mapping_aggregates",
+    "SELECT component AS aggregate, count(*)::BIGINT AS n, string_agg(node, '|' ORDER BY node) AS elements FROM comp GROUP BY component HAVING count(*) > 1",
+    COMPONENTS, True,
+)
 def mapping_aggregates(g):
     e = A.mapping_elements(g.mappings, g.concepts, ["EQUAL"], "part")
     return e.groupBy("aggregate").agg(F.count("*").alias("n"), X.listed(F.collect_list("element")).alias("elements"))
 
 
-@query("equal_name_aggregates", "SELECT p_name AS aggregate, 'P' || p_partkey AS element FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)")
+@query(
+    "equal_name_aggregates",
+    "SELECT p_name AS aggregate, 'P' || p_partkey AS element FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)",
+)
 def equal_name_aggregates(g):
     return A.equal_name_elements(g.concepts, ["part"])
 
@@ -183,7 +190,10 @@ def aggregate_rollup_majority(g):
     "SELECT aggregate, string_agg(p_type, '|' ORDER BY first) AS types FROM (SELECT p_name AS aggregate, p_type, min('P' || p_partkey) AS first FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1) GROUP BY ALL) GROUP BY aggregate",
 )
 def aggregate_rollup_arrays(g):
-    values = g.table("part").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.lit("types").alias("property"), F.lit(0).alias("ord"), F.col("p_type").alias("value"))
+    values = g.table("part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("node"), F.lit("types").alias("property"), F.lit(0).alias("ord"),
+        F.col("p_type").alias("value"),
+    )
     return A.unioned(A.equal_name_elements(g.concepts, ["part"]), values).select("aggregate", F.array_join("values", "|").alias("types"))
 
 
@@ -199,7 +209,10 @@ def aggregate_rollup_nested(g):
 
 @query("delete_aggregates", "SELECT count(DISTINCT aggregate)::BIGINT AS num_nodes, (count(*))::BIGINT AS num_relationships FROM elements")
 def delete_aggregates(g):
-    aggs = g.elements.select(F.col("aggregate").alias("node")).distinct().select("node", F.lit(None).cast("string").alias("pref_name"), F.array(F.lit("AGGREGATE"), F.lit("GROUPS")).alias("labels"), F.array().cast("array<string>").alias("facets"))
+    aggs = g.elements.select(F.col("aggregate").alias("node")).distinct().select(
+        "node", F.lit(None).cast("string").alias("pref_name"), F.array(F.lit("AGGREGATE"), F.lit("GROUPS")).alias("labels"),
+        F.array().cast("array<string>").alias("facets"),
+    )
     return A.delete_aggregates(g.concepts.unionByName(aggs), g.edges, g.elements, ["GROUPS"])[3]
 
 
@@ -226,7 +239,10 @@ def relation_upsert(g):
     stored = docs_of(g)
     again = stored.where("cast(doc AS long) % 3 = 0").withColumn("count", F.lit(5).cast("long"))
     out = R.parallel_arrays(R.upsert_counts(stored, again))
-    return out.select("type", "u", "v", "total_count", F.array_join(F.zip_with("doc_ids", "counts", lambda d, n: F.concat_ws(":", d, n.cast("string"))), "|").alias("docs"))
+    return out.select(
+        "type", "u", "v", "total_count",
+        F.array_join(F.zip_with("doc_ids", "counts", lambda d, n: F.concat_ws(":", d, n.cast("string"))), "|").alias("docs"),
+    )
 
 
 @query(
@@ -234,7 +250,11 @@ def relation_upsert(g):
     "SELECT type, u, v, 'flag' AS db_name, coalesce(nullif(trim(arg_min(method, doc)), ''), '<unknown>') AS method FROM (SELECT type, u, v, doc, CASE WHEN doc::BIGINT % 2 = 0 THEN ' ' ELSE 'order' || doc END AS method FROM pairs) GROUP BY ALL",
 )
 def relation_databases(g):
-    incoming = docs_of(g).select("type", "u", "v", F.lit("flag").alias("db_name"), F.when(F.col("doc").cast("long") % 2 == 0, " ").otherwise(F.concat(F.lit("order"), "doc")).alias("method"), F.col("doc").alias("ord"))
+    incoming = docs_of(g).select(
+        "type", "u", "v", F.lit("flag").alias("db_name"),
+        F.when(F.col("doc").cast("long") % 2 == 0, " ").otherwise(F.concat(F.lit("order"), "doc")).alias("method"),
+        F.col("doc").alias("ord"),
+    )
     return R.upsert_databases(incoming.select("type", "u", "v", "db_name", "method").where("false"), incoming)
 
 
@@ -258,7 +278,10 @@ def relations_one_sided_inter(g):
 
 @query("relations_two_sided", "SELECT * FROM lines WHERE arg1_id IN (SELECT top FROM asked) AND arg2_id IN (SELECT top FROM others)", SIDES)
 def relations_two_sided(g):
-    return R.two_sided(_asked(g, "p_size <= 5", F.min), _asked(g, "p_size >= 45", F.max), docs_of(g), g.elements, P.top_aggregates(g.elements), g.names, ["A", "R"])
+    return R.two_sided(
+        _asked(g, "p_size <= 5", F.min), _asked(g, "p_size >= 45", F.max), docs_of(g), g.elements, P.top_aggregates(g.elements), g.names,
+        ["A", "R"],
+    )
 
 
 @query(
@@ -267,7 +290,9 @@ def relations_two_sided(g):
 )
 def mapping_insert_loom(g):
     """Chains of parts, whose LOOM mappings lie within a facet and go, and parts to suppliers, whose facets differ."""
-    across = g.table("lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("id1"), F.concat(F.lit("S"), "l_suppkey").alias("id2"), F.lit("loom").alias("mapping_type")).distinct()
+    across = g.table("lineitem").select(
+        F.concat(F.lit("P"), "l_partkey").alias("id1"), F.concat(F.lit("S"), "l_suppkey").alias("id2"), F.lit("loom").alias("mapping_type"),
+    ).distinct()
     across = across.withColumn("mapping_type", F.upper("mapping_type"))
     given = g.mappings.select(F.col("u").alias("id1"), F.col("v").alias("id2"), F.col("mapping_types")[0].alias("mapping_type")).unionByName(across)
     nodes = g.concepts.select(F.col("node").alias("id"), "node", "facets")
@@ -281,23 +306,43 @@ def mapping_insert_loom(g):
 def coordinate_lookup(g):
     """Parts by their original pair, suppliers by their source pair, and customers that nobody knows."""
     part, none = g.table("part"), F.lit(None).cast("string")
-    coords = part.select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_partkey").cast("string").alias("original_id"), F.lit("PARTS").alias("original_source"))
-    sources = g.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node"), F.col("s_name").alias("source_id"), F.lit("SUPPLIERS").alias("source"), F.lit(False).alias("is_unique"), F.lit(0).alias("ord"))
+    coords = part.select(
+        F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_partkey").cast("string").alias("original_id"),
+        F.lit("PARTS").alias("original_source"),
+    )
+    sources = g.table("supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("node"), F.col("s_name").alias("source_id"), F.lit("SUPPLIERS").alias("source"),
+        F.lit(False).alias("is_unique"), F.lit(0).alias("ord"),
+    )
     flag = F.lit(False).alias("unique_source_id")
     asked = g.table("lineitem").select(F.col("l_partkey").cast("string").alias("original_id")).distinct()
-    asked = asked.select(F.col("original_id").alias("request"), "original_id", F.lit("PARTS").alias("original_source"), none.alias("source_id"), none.alias("source"), flag)
-    by_source = lambda t, name: g.table(t).select(F.col(name).alias("request"), none.alias("original_id"), none.alias("original_source"), F.col(name).alias("source_id"), F.lit("SUPPLIERS").alias("source"), flag)
-    return C.lookup_coordinates(asked.unionByName(by_source("supplier", "s_name")).unionByName(by_source("customer", "c_name")), coords, sources).select("request", "node")
+    asked = asked.select(
+        F.col("original_id").alias("request"), "original_id", F.lit("PARTS").alias("original_source"), none.alias("source_id"),
+        none.alias("source"), flag,
+    )
+    by_source = lambda t, name: g.table(t).select(
+        F.col(name).alias("request"), none.alias("original_id"), none.alias("original_source"), F.col(name).alias("source_id"),
+        F.lit("SUPPLIERS").alias("source"), flag,
+    )
+    return C.lookup_coordinates(
+        asked.unionByName(by_source("supplier", "s_name")).unionByName(by_source("customer", "c_name")), coords, sources,
+    ).select("request", "node")
 
 
-@query("scalar_keep_first", "SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+@query(
+    "scalar_keep_first",
+    "SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id",
+)
 def scalar_keep_first(g):
     """The first value stays; with override the last one does."""
     e = g.table("events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("a"), F.max_by("event_type", "event_id").alias("b"))
     return e.select("user_id", X.overridden("a", "b", False).alias("first_type"), X.overridden("a", "b", True).alias("last_type"))
 
 
-@query("array_merge", "SELECT user_id, string_agg(event_type, '|' ORDER BY first) AS types FROM (SELECT user_id, event_type, min((value >= 50, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id")
+@query(
+    "array_merge",
+    "SELECT user_id, string_agg(event_type, '|' ORDER BY first) AS types FROM (SELECT user_id, event_type, min((value >= 50, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id",
+)
 def array_merge(g):
     """Event types of low values are there already, those of high values come in; each once, by order of appearance."""
     e = g.table("events").withColumn("late", F.coalesce(F.col("value") >= 50, F.lit(False)))
@@ -311,7 +356,10 @@ def array_merge(g):
     "SELECT 'P' || l_partkey AS node, l_suppkey::VARCHAR AS source_id, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS sources FROM lineitem GROUP BY ALL",
 )
 def source_id_merge(g):
-    li = g.table("lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("node"), F.col("l_suppkey").cast("string").alias("source_id"), F.col("l_returnflag").alias("source"), F.lit(False).alias("is_unique"), F.col("l_orderkey").alias("ord"))
+    li = g.table("lineitem").select(
+        F.concat(F.lit("P"), "l_partkey").alias("node"), F.col("l_suppkey").cast("string").alias("source_id"),
+        F.col("l_returnflag").alias("source"), F.lit(False).alias("is_unique"), F.col("l_orderkey").alias("ord"),
+    )
     old, new = li.where("source = 'A'").drop("ord").distinct(), li
     return C.source_arrays(C.merged_sources(old, new)).select("node", "source_id", F.array_join("sources", "|").alias("sources"))
 
@@ -321,7 +369,10 @@ def id_mapping(g):
     return E.id_mapping(g.concepts, "node", "facets", ["nation", "supplier"])
 
 
-@query("dictionary_unique", "SELECT regexp_replace(trim(pref_name), '\\s+', ' ', 'g') AS key, 'fid0:' || min(node) AS ids FROM concepts WHERE facet = 'fid0' AND label <> 'region' AND length(pref_name) > 2 GROUP BY 1")
+@query(
+    "dictionary_unique",
+    "SELECT regexp_replace(trim(pref_name), '\\s+', ' ', 'g') AS key, 'fid0:' || min(node) AS ids FROM concepts WHERE facet = 'fid0' AND label <> 'region' AND length(pref_name) > 2 GROUP BY 1",
+)
 def dictionary_unique(g):
     own = g.concepts.where("facets[0] = 'fid0'").withColumn("own_id", F.array("node"))
     return E.unique_keys(E.dictionary_lines(own, ["own_id"], {"own_id": "facets"}, ["region"], "CONCEPT"))
@@ -337,18 +388,29 @@ def concept_facet_map(g):
     r"SELECT concept, lower(w) AS norm, arg_min(w, (doc_id, w)) AS name, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS total FROM (SELECT lang AS concept, doc_id, unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2",
 )
 def variant_counts(g):
-    words = g.table("documents").select(F.lit("writing_variant").alias("kind"), F.col("lang").alias("concept"), F.col("doc_id").alias("doc"), F.explode(F.split("text", "[ \\t\\n\\r\\f\\x0B]+")).alias("name")).where("name <> ''")
+    words = g.table("documents").select(
+        F.lit("writing_variant").alias("kind"), F.col("lang").alias("concept"), F.col("doc_id").alias("doc"),
+        F.explode(F.split("text", "[ \\t\\n\\r\\f\\x0B]+")).alias("name"),
+    ).where("name <> ''")
     v = V.counted_variants(words.select("*", F.lit(1).alias("count"), F.lit(0).alias("ord")))
-    return v.groupBy("concept", "norm").agg(F.min_by("name", F.struct("doc", "name")).alias("name"), F.count("*").alias("n_docs"), F.sum("count").alias("total"))
+    return v.groupBy("concept", "norm").agg(
+        F.min_by("name", F.struct("doc", "name")).alias("name"), F.count("*").alias("n_docs"), F.sum("count").alias("total"),
+    )
 
 
-@query("text_phrase", r"SELECT 'P' || p_partkey AS node FROM part WHERE contains(' ' || trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ', ' ' || (SELECT lower(string_split(min(p_name), ' ')[1]) FROM part) || ' ')")
+@query(
+    "text_phrase",
+    r"SELECT 'P' || p_partkey AS node FROM part WHERE contains(' ' || trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ', ' ' || (SELECT lower(string_split(min(p_name), ' ')[1]) FROM part) || ' ')",
+)
 def text_phrase(g):
     first = g.table("part").agg(F.lower(F.element_at(F.split(F.min("p_name"), " "), 1)).alias("w")).first()["w"] or ""
     return g.table("part").where(V.has_phrase(F.col("p_name"), first)).select(F.concat(F.lit("P"), "p_partkey").alias("node"))
 
 
-@query("json_properties", "SELECT event_id, json_extract_string(props, '$.' || (SELECT min(k) FROM (SELECT unnest(json_keys(props)) AS k FROM events))) AS value FROM events")
+@query(
+    "json_properties",
+    "SELECT event_id, json_extract_string(props, '$.' || (SELECT min(k) FROM (SELECT unnest(json_keys(props)) AS k FROM events))) AS value FROM events",
+)
 def json_properties(g):
     """A free property from JSON text, under the smallest key that any row has."""
     e = g.table("events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))

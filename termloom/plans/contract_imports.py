@@ -25,7 +25,10 @@ FACET = {"name": "places", "facetGroup": {"name": "geography", "position": 1}}
 
 def coordinates(prefix: str, key: str, source: str) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("sourceId"), F.lit(source).alias("source"), none.alias("originalId"), none.alias("originalSource"), F.lit(False).alias("uniqueSourceId"))
+    return F.struct(
+        F.concat(F.lit(prefix), F.col(key).cast("string")).alias("sourceId"), F.lit(source).alias("source"), none.alias("originalId"),
+        none.alias("originalSource"), F.lit(False).alias("uniqueSourceId"),
+    )
 
 
 def documents(g: DerivedGraph, rows: DataFrame) -> DataFrame:
@@ -35,14 +38,28 @@ def documents(g: DerivedGraph, rows: DataFrame) -> DataFrame:
 
 def nations_and_customers(g: DerivedGraph) -> DataFrame:
     n, c = g.table("nation"), g.table("customer")
-    nations = n.select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("preferredName"), coordinates("N", "n_nationkey", "NATIONS").alias("coordinates"), F.array(coordinates("R", "n_regionkey", "REGIONS")).alias("parentCoordinates"))
-    customers = c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), F.array(coordinates("N", "c_nationkey", "NATIONS")).alias("parentCoordinates"))
+    nations = n.select(
+        F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("preferredName"),
+        coordinates("N", "n_nationkey", "NATIONS").alias("coordinates"),
+        F.array(coordinates("R", "n_regionkey", "REGIONS")).alias("parentCoordinates"),
+    )
+    customers = c.select(
+        (F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"),
+        coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"),
+        F.array(coordinates("N", "c_nationkey", "NATIONS")).alias("parentCoordinates"),
+    )
     return documents(g, nations.unionByName(customers))
 
 
 def regions(g: DerivedGraph) -> DataFrame:
     r = g.table("region")
-    return documents(g, r.select(F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("preferredName"), coordinates("R", "r_regionkey", "REGIONS").alias("coordinates")))
+    return documents(
+        g,
+        r.select(
+            F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("preferredName"),
+            coordinates("R", "r_regionkey", "REGIONS").alias("coordinates"),
+        ),
+    )
 
 
 def first_import(g: DerivedGraph) -> Graph:
@@ -101,12 +118,17 @@ def import_merge(g):
     """Without a facet an import merges into what is there: known customers get synonyms and a further source of their id,
     but neither a new name nor their own name as a synonym; suppliers, whom nobody knows, are skipped."""
     c, s = g.table("customer"), g.table("supplier")
-    row = lambda t, key, prefix, source, syn: t.select(F.col(key).cast("long").alias("ord"), F.lit("other").alias("preferredName"), coordinates(prefix, key, source).alias("coordinates"), syn.alias("synonyms"), F.array(coordinates(prefix, key, "SEGMENTS")).alias("additional_coordinates"))
+    row = lambda t, key, prefix, source, syn: t.select(
+        F.col(key).cast("long").alias("ord"), F.lit("other").alias("preferredName"), coordinates(prefix, key, source).alias("coordinates"),
+        syn.alias("synonyms"), F.array(coordinates(prefix, key, "SEGMENTS")).alias("additional_coordinates"),
+    )
     known = row(c, "c_custkey", "C", "CUSTOMERS", F.array("c_mktsegment", F.lit("x"), "c_name", "c_mktsegment"))
     unknown = row(s, "s_suppkey", "S", "SUPPLIERS", F.array("s_name")).withColumn("ord", F.col("ord") + 10_000_000)
     graph = insert_concepts(first_import(g), documents(g, known.unionByName(unknown)), None, Options(merge=True))[0]
     sources = graph.sources.groupBy("node", "source_id").agg(X.listed(F.collect_list("source")).alias("sources"))
-    return graph.concepts.join(sources, "node").where("source_id LIKE 'C%' OR source_id LIKE 'S%'").select("source_id", "pref_name", F.array_join("synonyms", "|").alias("synonyms"), "sources")
+    return graph.concepts.join(sources, "node").where("source_id LIKE 'C%' OR source_id LIKE 'S%'").select(
+        "source_id", "pref_name", F.array_join("synonyms", "|").alias("synonyms"), "sources",
+    )
 
 
 @query(
@@ -116,12 +138,22 @@ def import_merge(g):
 def import_aggregates(g):
     """Aggregates name their elements, which come after them in the document."""
     c = g.table("customer")
-    by = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(coordinates("C", "c_custkey", "CUSTOMERS"))).alias("elementCoordinates")).join(g.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    aggregates = by.select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("preferredName"), coordinates("A", "n_nationkey", "GROUPS").alias("coordinates"), "elementCoordinates", F.lit(True).alias("aggregate"))
-    customers = c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"))
+    by = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(coordinates("C", "c_custkey", "CUSTOMERS"))).alias("elementCoordinates")).join(
+        g.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"),
+    )
+    aggregates = by.select(
+        F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("preferredName"),
+        coordinates("A", "n_nationkey", "GROUPS").alias("coordinates"), "elementCoordinates", F.lit(True).alias("aggregate"),
+    )
+    customers = c.select(
+        (F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"),
+        coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"),
+    )
     graph = insert_concepts(Graph.empty(g.spark), documents(g, aggregates.unionByName(customers, allowMissingColumns=True)), FACET)[0]
     names = graph.concepts.select(F.col("node").alias("aggregate"), "pref_name")
-    return graph.elements.join(names, "aggregate").join(ids_of(graph).withColumnRenamed("node", "element"), "element").select(F.col("pref_name").alias("aggregate"), F.col("source_id").alias("element"))
+    return graph.elements.join(names, "aggregate").join(ids_of(graph).withColumnRenamed("node", "element"), "element").select(
+        F.col("pref_name").alias("aggregate"), F.col("source_id").alias("element"),
+    )
 
 
 @query(
@@ -133,8 +165,17 @@ def import_relationships(g):
     c, kind = g.table("customer"), "array<struct<targetCoordinates struct<sourceId string, source string, originalId string, originalSource string, uniqueSourceId boolean>, type string, properties map<string,string>>>"
 
     def again(props: Column) -> DataFrame:
-        to = F.array(F.struct(coordinates("N", "c_nationkey", "NATIONS").alias("targetCoordinates"), F.lit("LIVES_IN").alias("type"), props.alias("properties"))).cast(kind)
-        return documents(g, c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), to.alias("relationships")))
+        to = F.array(F.struct(
+            coordinates("N", "c_nationkey", "NATIONS").alias("targetCoordinates"), F.lit("LIVES_IN").alias("type"),
+            props.alias("properties"),
+        )).cast(kind)
+        return documents(
+            g,
+            c.select(
+                (F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"),
+                coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), to.alias("relationships"),
+            ),
+        )
 
     graph = first_import(g)
     segment, other = (F.create_map(F.lit("segment"), X.as_value(x)) for x in (F.col("c_mktsegment"), F.lit("other")))
@@ -165,12 +206,21 @@ def import_edge_fold(g):
     c, kind = g.table("customer"), documents(g, g.spark.createDataFrame([], "ord long")).schema["relationships"].dataType
     text = lambda x: X.as_value(x)
     note = F.concat(F.lit("["), "c_mktsegment", F.lit("] draft"))
-    to = lambda **p: F.struct(coordinates("N", "c_nationkey", "NATIONS").alias("targetCoordinates"), F.lit("LIVES_IN").alias("type"), F.map_from_arrays(F.array(*map(F.lit, p)), F.array(*p.values())).alias("properties"))
+    to = lambda **p: F.struct(
+        coordinates("N", "c_nationkey", "NATIONS").alias("targetCoordinates"), F.lit("LIVES_IN").alias("type"),
+        F.map_from_arrays(F.array(*map(F.lit, p)), F.array(*p.values())).alias("properties"),
+    )
     first = [to(segment=text("c_mktsegment"), tags=F.lit('["a"]'))]
-    later = [to(note=text(note), segment=text("c_mktsegment")), to(since=F.lit("1"), tags=F.lit('["b","a",1]')), to(note=text(F.lit("other"))), to(note=text(F.lit("other")), lost=F.lit("true")), to(note=text(note), lost=F.lit("true"))]
+    later = [
+        to(note=text(note), segment=text("c_mktsegment")), to(since=F.lit("1"), tags=F.lit('["b","a",1]')), to(note=text(F.lit("other"))),
+        to(note=text(F.lit("other")), lost=F.lit("true")), to(note=text(note), lost=F.lit("true")),
+    ]
     graph = first_import(g)
     for edges in (first, later):
-        named = c.select((F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), F.array(*edges).cast(kind).alias("relationships"))
+        named = c.select(
+            (F.col("c_custkey") + 1000).cast("long").alias("ord"), F.col("c_name").alias("preferredName"),
+            coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"), F.array(*edges).cast(kind).alias("relationships"),
+        )
         graph = insert_concepts(graph, documents(g, named), FACET)[0]
     return lives_in(graph)
 
@@ -182,7 +232,10 @@ def import_edge_fold(g):
 def import_lines(g):
     """Concepts as JSON lines in several files, without numbers: ids follow the order of files and of lines in them."""
     path = f"{checkpoint_folder(g.spark)}/lines-{uuid4()}"
-    rows = g.table("customer").select("c_custkey", F.struct(F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates")).alias("c"))
+    rows = g.table("customer").select(
+        "c_custkey",
+        F.struct(F.col("c_name").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates")).alias("c"),
+    )
     in_order = rows.repartitionByRange(4, F.col("c_custkey").desc()).sortWithinPartitions(F.col("c_custkey").desc())
     in_order.select("c.*").write.json(path)
     graph = insert_concepts(Graph.empty(g.spark), read_concept_lines(g.spark, path), FACET)[0]
@@ -200,18 +253,42 @@ def delete_then_build(g):
     """Aggregates of customers by segment are deleted, with the source ids, roots, mappings, relations and edges that they have
     got, and built again: the new ones get new numbers and ids, and nothing of the old ones."""
     c = g.table("customer")
-    own = documents(g, c.select(F.col("c_custkey").cast("long").alias("ord"), F.col("c_mktsegment").alias("preferredName"), coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates")))
+    own = documents(
+        g,
+        c.select(
+            F.col("c_custkey").cast("long").alias("ord"), F.col("c_mktsegment").alias("preferredName"),
+            coordinates("C", "c_custkey", "CUSTOMERS").alias("coordinates"),
+        ),
+    )
     graph = insert_concepts(Graph.empty(g.spark), own, FACET)[0]
     built = build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SEGMENT"], ["preferredName"])
     a = built.concepts.where(F.array_contains("labels", "SEGMENT")).select("node", "id")
     with_rows = lambda table, rows: {table: getattr(built, table).unionByName(rows, allowMissingColumns=True)}
     hung = {
-        **with_rows("sources", a.select("node", F.concat(F.lit("S"), "id").alias("source_id"), F.lit("SEGMENTS").alias("source"), F.lit(True).alias("is_unique"), F.lit(0).alias("ord"))),
+        **with_rows(
+            "sources",
+            a.select(
+                "node", F.concat(F.lit("S"), "id").alias("source_id"), F.lit("SEGMENTS").alias("source"), F.lit(True).alias("is_unique"),
+                F.lit(0).alias("ord"),
+            ),
+        ),
         **with_rows("roots", a.select(F.lit("fid0").alias("facet"), "node", F.lit(False).alias("is_no_facet"))),
         **with_rows("mappings", a.select(F.lit(0).cast("long").alias("u"), F.col("node").alias("v"), F.array(F.lit("EQUAL")).alias("mapping_types"))),
-        **with_rows("relation_docs", a.select(F.lit("t").alias("type"), F.lit(0).cast("long").alias("u"), F.col("node").alias("v"), F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("doc"), F.lit(1).cast("long").alias("count"))),
+        **with_rows(
+            "relation_docs",
+            a.select(
+                F.lit("t").alias("type"), F.lit(0).cast("long").alias("u"), F.col("node").alias("v"),
+                F.explode(F.array(F.lit("d1"), F.lit("d2"))).alias("doc"), F.lit(1).cast("long").alias("count"),
+            ),
+        ),
         **with_rows("edges", a.select(F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), F.lit("x").alias("type"), F.lit(0).alias("nth"))),
-        **with_rows("variants", a.select(F.lit("acronym").alias("kind"), F.col("id").alias("concept"), F.lit("n").alias("norm"), F.lit("N").alias("name"), F.lit("d").alias("doc"), F.lit(1).cast("long").alias("count"))),
+        **with_rows(
+            "variants",
+            a.select(
+                F.lit("acronym").alias("kind"), F.col("id").alias("concept"), F.lit("n").alias("norm"), F.lit("N").alias("name"),
+                F.lit("d").alias("doc"), F.lit(1).cast("long").alias("count"),
+            ),
+        ),
     }
     left, counts = service_delete(built.with_(**hung), ["SEGMENT"])
     again = build_aggregates_by_preferred_name(left, ["CONCEPT"], ["SEGMENT"], ["preferredName"])

@@ -34,7 +34,11 @@ class DerivedGraph:
             t = self.table(table).select(_id(prefix, key).alias("node"), F.col(name).alias("pref_name")).distinct()
             return t.select("node", "pref_name", F.array(F.lit("CONCEPT"), F.lit(table)).alias("labels"), F.array(F.lit(facet)).alias("facets"))
 
-        kinds = [("region", "R", "r_regionkey", "r_name", "fid0"), ("nation", "N", "n_nationkey", "n_name", "fid0"), ("customer", "C", "c_custkey", "c_name", "fid0"), ("supplier", "S", "s_suppkey", "s_name", "fid0"), ("part", "P", "p_partkey", "p_name", "fid1")]
+        kinds = [
+            ("region", "R", "r_regionkey", "r_name", "fid0"), ("nation", "N", "n_nationkey", "n_name", "fid0"),
+            ("customer", "C", "c_custkey", "c_name", "fid0"), ("supplier", "S", "s_suppkey", "s_name", "fid0"),
+            ("part", "P", "p_partkey", "p_name", "fid1"),
+        ]
         part = self.table("part")
         extra = [part.select(_id(p, c).alias("node"), F.col(c).alias("pref_name")).distinct().select("node", "pref_name", F.array(F.lit("CONCEPT"), F.lit(c)).alias("labels"), F.array(F.lit("fid1")).alias("facets")) for p, c in (("T", "p_type"), ("B", "p_brand"))]
         return reduce(DataFrame.unionByName, [*(of(*k) for k in kinds), *extra])
@@ -57,18 +61,27 @@ class DerivedGraph:
     @cached_property
     def roots(self) -> DataFrame:
         part = self.table("part")
-        rows = [self.table("region").select(F.lit("fid0").alias("facet"), _id("R", "r_regionkey").alias("node")), part.select(F.lit("fid1"), _id("T", "p_type")), part.select(F.lit("fid1"), _id("B", "p_brand"))]
+        rows = [
+            self.table("region").select(F.lit("fid0").alias("facet"), _id("R", "r_regionkey").alias("node")),
+            part.select(F.lit("fid1"), _id("T", "p_type")), part.select(F.lit("fid1"), _id("B", "p_brand")),
+        ]
         return reduce(DataFrame.union, rows).distinct()
 
     @cached_property
     def facets(self) -> DataFrame:
-        rows = [("fid0", "places", "g0", "hierarchical"), ("fid1", "goods", "g0", "hierarchical"), ("fid2", "empty", "g1", "hierarchical"), ("fid3", "terms", "g1", "flat")]
+        rows = [
+            ("fid0", "places", "g0", "hierarchical"), ("fid1", "goods", "g0", "hierarchical"), ("fid2", "empty", "g1", "hierarchical"),
+            ("fid3", "terms", "g1", "flat"),
+        ]
         return self.spark.createDataFrame(rows, "facet string, name string, grp string, source_type string")
 
     @cached_property
     def elements(self) -> DataFrame:
         """aggregate, element: type over type and brand over part."""
-        p = self.table("part").select(F.concat(F.lit("AT:"), "p_type").alias("top"), F.concat_ws(":", F.lit("AG"), "p_type", "p_brand").alias("grp"), _id("P", "p_partkey").alias("part"))
+        p = self.table("part").select(
+            F.concat(F.lit("AT:"), "p_type").alias("top"), F.concat_ws(":", F.lit("AG"), "p_type", "p_brand").alias("grp"),
+            _id("P", "p_partkey").alias("part"),
+        )
         return p.select(F.col("top").alias("aggregate"), F.col("grp").alias("element")).distinct().union(p.select("grp", "part"))
 
     @cached_property
@@ -90,4 +103,7 @@ class DerivedGraph:
     def order_relations(self) -> DataFrame:
         """doc, type, args, count, entry: the distinct parts of an order's lines with one return flag."""
         li = self.table("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set(_id("P", "l_partkey"))).alias("args"))
-        return li.select(F.col("l_orderkey").cast("string").alias("doc"), F.col("l_returnflag").alias("type"), "args", F.lit(1).alias("count"), F.lit(0).alias("entry"))
+        return li.select(
+            F.col("l_orderkey").cast("string").alias("doc"), F.col("l_returnflag").alias("type"), "args", F.lit(1).alias("count"),
+            F.lit(0).alias("entry"),
+        )

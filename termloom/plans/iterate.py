@@ -70,7 +70,9 @@ def ends_of_chains(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     at = keep(parents.select("node", F.col("parent").alias("top")))
     for _ in range(max_rounds):
         nxt = at.select(F.col("node").alias("mid"), F.col("top").alias("next"))
-        moved = keep(at.join(nxt, at["top"] == nxt["mid"], "left").select("node", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved")))
+        moved = keep(at.join(nxt, at["top"] == nxt["mid"], "left").select(
+            "node", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved"),
+        ))
         at = moved.select("node", "top")
         if moved.where("moved").isEmpty():
             return at

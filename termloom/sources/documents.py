@@ -53,7 +53,10 @@ def in_files(df: DataFrame) -> DataFrame:
 def with_group(facet: DataFrame) -> DataFrame:
     """Facets whose group is a struct; one given as a bare string is a group of that name."""
     group, name = F.from_json("facetGroup", GROUP), F.col("facetGroup").alias("name")
-    bare = F.struct(name, F.lit(None).cast("int").alias("position"), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("type"))
+    bare = F.struct(
+        name, F.lit(None).cast("int").alias("position"), F.lit(None).cast("array<string>").alias("labels"),
+        F.lit(None).cast("string").alias("type"),
+    )
     return facet.withColumn("facetGroup", F.when(F.col("facetGroup").startswith("{"), group).otherwise(bare))
 
 
@@ -95,7 +98,10 @@ def read_concept_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Concepts as JSON lines, for inputs too large for one document. Their order is that of a field ord, then of files and
     lines; without it, of files and lines alone."""
     rows = spark.read.schema("ord long, " + CONCEPT_JSON[len("struct<") : -1]).json(path)
-    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    at = rows.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"),
+    )
     at = at.withColumn("__given", F.coalesce("ord", F.lit(2**62)))
     named = at.select("__given", "__file", "__block", "__line", typed_concept(F.struct(*rows.drop("ord").columns)).alias("c"))
     return numbered(named, ["__given", "__file", "__block", "__line"], "ord").select("ord", "c.*")
@@ -119,7 +125,9 @@ def relation_rows(doc: DataFrame) -> DataFrame:
     d = d.select("id_property", "id_source", F.struct("time", "file", "pos").alias("entry"), "d")
     is_db = F.coalesce("d.db", "d.isDb", F.lit(False)).alias("is_db")
     r = d.select("id_property", "id_source", "entry", F.col("d.name").alias("doc"), is_db, F.explode("d.relations").alias("type", "rs"))
-    return r.select("id_property", "id_source", "entry", "doc", "is_db", "type", F.explode("rs").alias("r")).select("id_property", "id_source", "entry", "doc", "is_db", "type", "r.*")
+    return r.select(
+        "id_property", "id_source", "entry", "doc", "is_db", "type", F.explode("rs").alias("r"),
+    ).select("id_property", "id_source", "entry", "doc", "is_db", "type", "r.*")
 
 
 def timed(df: DataFrame) -> DataFrame:
@@ -134,7 +142,9 @@ def read_relations(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def variant_rows(doc: DataFrame) -> DataFrame:
     """(kind, concept, doc, name, count, ord) of documents whose fields conceptTerms and conceptAcronyms hold JSON text."""
     inner = "map<string, map<string, map<string, int>>>"
-    kinds = doc.select(F.explode(F.create_map(F.lit("writing_variant"), F.from_json("conceptTerms", inner), F.lit("acronym"), F.from_json("conceptAcronyms", inner))).alias("kind", "m"))
+    kinds = doc.select(F.explode(F.create_map(
+        F.lit("writing_variant"), F.from_json("conceptTerms", inner), F.lit("acronym"), F.from_json("conceptAcronyms", inner),
+    )).alias("kind", "m"))
     docs = kinds.select("kind", F.explode("m").alias("concept", "m")).select("kind", "concept", F.explode("m").alias("doc", "m"))
     return docs.select("kind", "concept", "doc", F.posexplode("m").alias("ord", "name", "count"))
 

@@ -102,6 +102,7 @@ def test_deleted_aggregates_take_all_that_hangs_on_them(spark, graph):
     assert left.variants.count() == 1 and left.relation_docs.count() == 1 and left.concepts.count() == graph.concepts.count()
     again = S.build_aggregates_by_preferred_name(left, ["CONCEPT"], ["SAME"], ["preferredName"])
     new = again.concepts.where(F.array_contains("labels", "SAME")).first()
+    assert S.n_built(left, again) == 1 and S.n_built(graph, g) == 1 and S.n_aggregates(again, ["SAME"]) == 1 and S.n_built(again, again) == 0
     assert (new["node"], new["id"]) == (node + 1, f"atid{int(gone[4:]) + 1}") and again.sources.where(F.col("node") == new["node"]).count() == 0
 
 
