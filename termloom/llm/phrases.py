@@ -17,6 +17,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -267,17 +268,19 @@ def sweep(least: int):
 
 
 def sampled(steps: dict[str, int], every: int):
-    """mapInPandas function: windows at even steps of the texts' bytes, to deal out the ranges."""
+    """mapInPandas function: windows at even steps of the texts' bytes, to deal out the ranges. Tasks begin at places of their
+    own, so that many small tasks give as many windows as few large ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: dict[str, int] = {}
+        place = crc32(str(TaskContext.get().partitionId()).encode())
         for batch in batches:
             rows = []
             for part, text in zip(batch["part"], batch["text"], strict=True):
                 if not (step := steps.get(part)):
                     continue
                 raw = (text or "").encode("utf-8", "surrogatepass").translate(ORDER)
-                at = rest.get(part, step // 2)
+                at = rest.get(part, place % step)
                 while at < len(raw):
                     words = _words(raw[at : at + every])[1:-1]
                     words = words[: words.index(END)] if END in words else words
