@@ -14,7 +14,7 @@ from test_text import prose  # noqa: E402
 
 SHARED = "\n".join(prose(k, 12) for k in range(40))
 ONE_WORD = "x" * 1_000_000
-LONG = SHARED + "\n" + "\n".join(prose(1000 + k, 1500) for k in range(110)) + " cc by"
+LONG = SHARED + "\n" + "\n".join(prose(1000 + k, 1500) for k in range(150)) + " cc by"
 
 
 @pytest.fixture(scope="module")
