@@ -6,6 +6,7 @@ coords: node, original_id, original_source; sources: node, source_id, source, is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to_null
@@ -112,3 +113,30 @@ def source_arrays(sources: DataFrame) -> DataFrame:
     """(node, source_id, sources, unique): for each id its sources, sorted, and their flags side by side."""
     s = sources.groupBy("node", "source_id").agg(F.array_sort(F.collect_set(F.struct("source", "is_unique"))).alias("s"))
     return s.select("node", "source_id", F.col("s")["source"].alias("sources"), F.col("s")["is_unique"].alias("unique"))
+
+
+def _sources_by_id(sources: DataFrame) -> DataFrame:
+    """(node, source_id, position, s): a node's ids with their places, from 0, and each id's sources with their flags, sorted."""
+    s = sources.groupBy("node", "source_id").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set(F.struct("source", "is_unique"))).alias("s"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("ord", "source_id")) - 1
+    return s.select("node", "source_id", place.alias("position"), "s")
+
+
+def source_access(sources: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (node, source_id, source) with position (the id's place among the node's ids, -1 if it isn't one), sources and
+    unique_sources (all of the id, and those that call it unique) and is_unique (what the source asked for says)."""
+    few = sources.join(asked.select("node").distinct(), "node", "left_semi")
+    found = asked.join(_sources_by_id(few), ["node", "source_id"], "left")
+    shown = F.coalesce("s", F.array().cast("array<struct<source:string,is_unique:boolean>>"))
+    unique = F.filter(shown, lambda x: F.coalesce(x["is_unique"], F.lit(False)))["source"]
+    return found.select(
+        "node", "source_id", "source", F.coalesce("position", F.lit(-1)).alias("position"), shown["source"].alias("sources"),
+        unique.alias("unique_sources"), F.coalesce(F.array_contains(unique, F.col("source")), F.lit(False)).alias("is_unique"),
+    )
+
+
+def source_lists(sources: DataFrame) -> DataFrame:
+    """(node, source_ids, sources, n): each node's ids in their order, the sources of all of them one after the other, and how
+    many ids it has."""
+    s = _sources_by_id(sources).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("position", "source_id", "s"))).alias("a"))
+    return s.select("node", F.col("a")["source_id"].alias("source_ids"), F.flatten(F.transform("a", lambda x: x["s"]["source"])).alias("sources"), F.size("a").alias("n"))

@@ -101,10 +101,10 @@ def get_all_facets(graph: Graph, key: str = T.ANY, value: str = T.ANY) -> DataFr
     return graph.facets.join(fits, "facet", "left_semi").select("facet", "name", "grp", "is_no_facet")
 
 
-def get_morphology(graph: Graph, concept_ids: list[str], kind: str, label: str | None = None) -> DataFrame:
-    """(concept_id, name, doc, count): variants of a kind (acronym, writing_variant) of concepts, perhaps only of those that bear a
-    label."""
-    asked = graph.concepts.where(F.col("id").isin(concept_ids))
+def get_morphology(graph: Graph, concept_ids: list[str] | None, kind: str, label: str | None = None) -> DataFrame:
+    """(concept_id, name, doc, count): variants of a kind (acronym, writing_variant) of concepts (None: of all), perhaps only of
+    those that bear a label."""
+    asked = graph.concepts if concept_ids is None else graph.concepts.where(F.col("id").isin(concept_ids))
     some = (Q.scan(asked, label) if label else asked).select(F.col("id").alias("concept"))
     own = graph.variants.where(F.col("kind") == kind).join(some, "concept", "left_semi")
     return own.select(F.col("concept").alias("concept_id"), "name", "doc", "count")

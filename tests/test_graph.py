@@ -160,3 +160,22 @@ def test_contract_queries(spark, name):
     names = [c[0] for c in r.description]
     expected = sorted((tuple(x) for x in r.fetchall()), key=repr)
     assert sorted((tuple(x[n] for n in names) for x in contract.QUERIES[name](spark, SF).collect()), key=repr) == expected
+
+
+def test_source_accessors(spark):
+    """Places follow the order of ids; ids and nodes that aren't there, null sources and empty tables have defined answers."""
+    from termloom.operators import resolve as C
+
+    schema = "node long, source_id string, source string, is_unique boolean, ord int"
+    rows = [(1, "b", "s1", False, 0), (1, "a", "s2", True, 1), (1, "a", "s1", False, 1), (1, "c", None, None, 2), (2, "b", "s9", True, 0)]
+    sources = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([(1, "a", "s2"), (1, "a", "s1"), (1, "c", None), (1, "x", "s1"), (3, "a", "s2"), (2, "b", "s9")], "node long, source_id string, source string")
+    found = {(r.node, r.source_id, r.source): (r.position, r.sources, r.unique_sources, r.is_unique) for r in C.source_access(sources, asked).collect()}
+    assert found == {
+        (1, "a", "s2"): (1, ["s1", "s2"], ["s2"], True), (1, "a", "s1"): (1, ["s1", "s2"], ["s2"], False), (1, "c", None): (2, [None], [], False),
+        (1, "x", "s1"): (-1, [], [], False), (3, "a", "s2"): (-1, [], [], False), (2, "b", "s9"): (0, ["s9"], ["s9"], True),
+    }
+    lists = {r.node: (r.source_ids, r.sources, r.n) for r in C.source_lists(sources).collect()}
+    assert lists == {1: (["b", "a", "c"], ["s1", "s1", "s2", None], 3), 2: (["b"], ["s9"], 1)}
+    none = spark.createDataFrame([], schema)
+    assert C.source_lists(none).count() == 0 and C.source_access(none, asked).where("position <> -1").count() == 0
