@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import Scratch, checkpointed, table
 from .warc import audit_records, manifest
 
 
@@ -22,8 +22,13 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = audit_records(checkpointed(manifest(pages)), checkpointed(manifest(damaged(pages))), checkpointed)
-    return found.select(F.col("key").alias("page_id"), F.col("file").alias("file_no"), F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"), "digest", "found_digest", "damage")
+    with Scratch(spark) as keep:
+        held, other = (keep(manifest(x, keep=keep)) for x in (pages, damaged(pages)))
+        found = checkpointed(audit_records(held, other, keep))
+    return found.select(
+        F.col("key").alias("page_id"), F.col("file").alias("file_no"), F.col("begin").alias("begin_byte"), F.col("end").alias("end_byte"),
+        "digest", "found_digest", "damage",
+    )
 
 
 SQL = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Children of a node, as a power of 2.
-FANOUT_BITS = 4
+FANOUT_BITS = 8
 #: Leading hex digits of a digest that name its bucket, and how many buckets that makes.
 BUCKET_DIGITS, BUCKETS = 4, 16**4
 #: Records with so many consecutive keys share an archive file.
@@ -194,7 +194,7 @@ def manifest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
     rec = record_text(F.col(uri_col), F.col(payload_col))
     rows = pages.select(_integral(pages, id_col).alias("key"), F.octet_length(rec).cast("long").alias("size"), F.sha2(rec.cast("binary"), 256).alias("digest"))
     file = F.expr(f"CASE WHEN key < 0 THEN -((-(key + 1)) div {file_keys}) - 1 ELSE key div {file_keys} END")
-    rows = rows.withColumn("file", file).withColumn("tie", F.monotonically_increasing_id())
+    rows = keep(rows.withColumn("file", file).withColumn("tie", F.monotonically_increasing_id()))  # texts are read and hashed once
     ends = running(rows, ["file"], ["key", "digest", "tie"], F.col("size"), "end", keep)
     return ends.select("key", "file", (F.col("end") - F.col("size")).alias("begin"), "end", "digest")
 
@@ -212,20 +212,27 @@ def addressed(records: DataFrame) -> DataFrame:
     return records.withColumns({"no_key": F.col("key").isNull(), "node": F.coalesce("key", F.lit(0).cast("long")), "bucket": F.substring("digest", 1, BUCKET_DIGITS)})
 
 
-def tree(records: DataFrame, n_levels: int, keep: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+def tree(records: DataFrame, n_levels: int, keep: Callable[[DataFrame], DataFrame], by: tuple[str, ...] = ()) -> list[DataFrame]:
     """Level by level, leaves first and root last: (place columns, hash, n records, n_bytes). Null keys stay a node of their
-    own up to the root."""
-    one = addressed(records).groupBy("no_key", "node", "bucket", "digest", (F.col("end") - F.col("begin")).alias("size")).agg(F.count("*").alias("n"))
+    own up to the root. Records that differ in the columns by are in trees of their own, which are built side by side; one
+    without records has no rows."""
+    size = (F.col("end") - F.col("begin")).alias("size")
+    one = addressed(records).groupBy(*by, "no_key", "node", "bucket", "digest", size).agg(F.count("*").alias("n"))
     totals = (F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
     line = F.concat_ws(":", "digest", "size", "n")
-    out = [keep(one.withColumn("n_bytes", F.col("n") * F.col("size")).groupBy("no_key", "node", "bucket").agg(_hash_of(line).alias("hash"), *totals))]
-    out.append(keep(out[0].groupBy("no_key", "node").agg(_hash_of(F.concat_ws(":", "bucket", "n_bytes", "hash")).alias("hash"), *totals)))
+    one = one.withColumn("n_bytes", F.col("n") * F.col("size"))
+    out = [keep(one.groupBy(*by, "no_key", "node", "bucket").agg(_hash_of(line).alias("hash"), *totals))]
+    line = F.concat_ws(":", "bucket", "n_bytes", "hash")
+    out.append(keep(out[0].groupBy(*by, "no_key", "node").agg(_hash_of(line).alias("hash"), *totals)))
     slot = F.lpad(F.hex(F.col("node").bitwiseAND(F.lit((1 << FANOUT_BITS) - 1))), 2, "0")
+    line = F.concat_ws(":", slot, "n_bytes", "hash")
     for _ in range(n_levels):
-        up = out[-1].withColumn("line", F.concat_ws(":", slot, "n_bytes", "hash"))
-        out.append(keep(up.groupBy("no_key", F.shiftright("node", FANOUT_BITS).alias("node")).agg(_hash_of(F.col("line")).alias("hash"), *totals)))
-    top = out[-1].select(F.concat_ws(":", F.col("no_key").cast("int"), "node", "n_bytes", "hash").alias("line"), "n", "n_bytes")
-    out.append(keep(top.agg(_hash_of(F.col("line")).alias("hash"), *totals)))
+        up = out[-1].withColumn("line", line)
+        above = F.shiftright("node", FANOUT_BITS).alias("node")
+        out.append(keep(up.groupBy(*by, "no_key", above).agg(_hash_of(F.col("line")).alias("hash"), *totals)))
+    line = F.concat_ws(":", F.col("no_key").cast("int"), "node", "n_bytes", "hash")
+    top = out[-1].select(*by, line.alias("line"), "n", "n_bytes")
+    out.append(keep(top.groupBy(*by).agg(_hash_of(F.col("line")).alias("hash"), *totals)))
     return out
 
 
@@ -239,9 +246,9 @@ def levels(low: int | None, high: int | None) -> int:
     return k
 
 
-def _span(*records: DataFrame) -> int:
-    ends = [r.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first() for r in records]
-    return levels(min((e["lo"] for e in ends if e["lo"] is not None), default=None), max((e["hi"] for e in ends if e["hi"] is not None), default=None))
+def _span(records: DataFrame) -> int:
+    ends = records.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    return levels(ends["lo"], ends["hi"])
 
 
 def root(records: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -250,21 +257,25 @@ def root(records: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFram
 
 
 def odd_buckets(held: DataFrame, other: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(no_key, node, bucket): the buckets of keys whose records differ between two manifests, found from the roots down."""
-    n = _span(held, other)
-    a, b = (tree(x, n, keep) for x in (held, other))
-    none = a[0].select("no_key", "node", "bucket").where("false")
-    if a[-1].first()["hash"] == b[-1].first()["hash"]:
+    """(no_key, node, bucket): the buckets of keys whose records differ between two manifests, found from the roots down.
+    Both trees are built in the same jobs, a level in each."""
+    sides = [t.select("key", "begin", "end", "digest", F.lit(k).alias("side")) for k, t in enumerate((held, other))]
+    both = sides[0].unionByName(sides[1])
+    n = _span(both)
+    whole = tree(both, n, keep, ("side",))
+    none = whole[0].select("no_key", "node", "bucket").where("false")
+    tops = {r["side"]: r["hash"] for r in whole[-1].select("side", "hash").collect()}  # two rows at most
+    if tops.get(0) == tops.get(1):
         return none
     odd, height = None, n
-    for mine, theirs in zip(a[-2::-1], b[-2::-1], strict=True):
-        at = [c for c in ("no_key", "node", "bucket") if c in mine.columns]
-        x, y = (t.select(*at, F.col("hash").alias(h)) for t, h in ((mine, "ha"), (theirs, "hb")))
+    for level in whole[-2::-1]:
+        at = [c for c in ("no_key", "node", "bucket") if c in level.columns]
         if odd is not None:  # only below nodes that differ
             bits = FANOUT_BITS if height >= 0 else 0
             up = odd.select(F.col("no_key").alias("k"), F.col("node").alias("up"))
-            x, y = (t.join(up, (t["no_key"] == up["k"]) & (F.shiftright(t["node"], bits) == up["up"]), "left_semi") for t in (x, y))
-        odd = keep(x.join(y, at, "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb"))).select(*at))
+            level = level.join(up, (level["no_key"] == up["k"]) & (F.shiftright(level["node"], bits) == up["up"]), "left_semi")
+        seen = level.groupBy(*at).agg(F.count("*").alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+        odd = keep(seen.where("n < 2 OR lo <> hi").select(*at))
         height -= 1
         if odd.isEmpty():
             return none
