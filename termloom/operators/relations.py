@@ -51,9 +51,10 @@ def resolved_arguments(rows: DataFrame, concepts: DataFrame, sources: DataFrame)
     by_original = concepts.select(F.lit("originalId"), F.col("original_id"), F.col("original_source"), "node")
     by_source = sources.select(F.lit("sourceIds"), F.col("source_id"), F.col("source"), "node")
     known = by_id.union(by_original).union(by_source).where("i IS NOT NULL AND s IS NOT NULL").groupBy("p", "i", "s").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    several = F.raise_error(F.concat(F.lit("several nodes with "), "p", F.lit(" "), "i", F.lit(" of "), "s")).cast("boolean")
+    several = F.raise_error(F.concat(F.lit("several nodes with "), "p", F.lit(" "), "i", F.lit(" of "), "s")).cast(known.schema["node"].dataType)
     found = one.join(known, (F.col("id_property") == F.col("p")) & (F.col("id") == F.col("i")) & (F.col("id_source") == F.col("s")))
-    found = found.where(F.when(F.col("node") != F.col("last"), several).otherwise(True)).select("__r", "k", "node")
+    # not as a condition, which would be moved below the join and raised for pairs that nobody asks for
+    found = found.select("__r", "k", F.when(F.col("node") != F.col("last"), several).otherwise(F.col("node")).alias("node"))
     args = one.select("__r", "k").join(found, ["__r", "k"], "left").groupBy("__r").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("a"))
     return r.drop("args").join(args.select("__r", F.col("a")["node"].alias("args")), "__r").drop("__r")
 

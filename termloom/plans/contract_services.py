@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import aggregates as A
 from ..operators import query as Q
+from ..operators import relations as R
 from ..operators import resolve as C
 from ..operators import service as S
 from ..operators import traversal as T
@@ -388,3 +389,25 @@ def unique_lookup(g):
     """Concepts by name, which must be unique."""
     keys = g.table("orders").select(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
     return Q.lookup(places(g).concepts, "pref_name", keys, "name").select("node", "pref_name")
+
+
+@query(
+    "relation_arguments",
+    """SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 2 = 0 THEN node ELSE '-' END, node, node, '-', '-', node) AS args
+FROM (SELECT o_orderkey, coalesce((1000000 + c_custkey)::VARCHAR, '-') AS node FROM orders LEFT JOIN customer ON c_custkey = o_custkey)""",
+)
+def relation_arguments(g):
+    """Arguments of relations as nodes: by the document's property and source (every other document has no source), by a source
+    of their own, by id, by source id from a source that doesn't know it, by an id nobody has, and by source id."""
+    own = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    node_id = F.concat(F.lit("id:tid"), (F.col("o_custkey") + 10**6).cast("string"))
+    by_source = F.concat(F.lit("sourceIds:"), own)
+    asked = [[own], [own, F.lit("CUSTOMER")], [node_id], [by_source, F.lit("OTHER")], [F.lit("X"), F.lit("CUSTOMER")], [by_source, F.lit("CUSTOMER")]]
+    rows = g.table("orders").select(
+        "o_orderkey", F.lit("originalId").alias("id_property"), F.when(F.col("o_orderkey") % 2 == 0, "CUSTOMER").alias("id_source"),
+        F.array(*(F.array(*a) for a in asked)).alias("args"),
+    )
+    graph = places(g)
+    found = R.resolved_arguments(rows, graph.concepts, graph.sources)
+    shown = F.transform("args", lambda a: F.coalesce(a.cast("string"), F.lit("-")))
+    return found.select("o_orderkey", F.array_join(shown, "|").alias("args"))

@@ -96,3 +96,13 @@ def test_relation_and_variant_documents(spark, tmp_path):
     p.write_text(json.dumps({"conceptTerms": json.dumps({"tid0": {"doc1": {"var1": 1, "var 2": 2}}}), "conceptAcronyms": json.dumps({"tid0": {"doc1": {"V": 4}}})}))
     v = D.read_variants(spark, str(p)).select("kind", "concept", "doc", "name", F.col("count").alias("n")).collect()
     assert sorted((x.kind, x.name, x.n) for x in v) == [("acronym", "V", 4), ("writing_variant", "var 2", 2), ("writing_variant", "var1", 1)]
+
+
+def test_pairs_of_several_nodes_are_an_error_only_where_they_are_asked_for(spark):
+    concepts = spark.createDataFrame([(1, "tid1", "a", "A"), (2, "tid2", "b", "A")], "node long, id string, original_id string, original_source string")
+    sources = spark.createDataFrame([(1, "s", "S"), (2, "s", "S"), (2, "t", "S")], "node long, source_id string, source string")
+    ask = lambda *args: spark.createDataFrame([("originalId", "A", [list(a) for a in args])], "id_property string, id_source string, args array<array<string>>")
+    found = R.resolved_arguments(ask(["a"], ["sourceIds:t", "S"], ["sourceIds:s", "T"], ["id:tid2"]), concepts, sources).first()
+    assert found.args == [1, 2, None, 2]
+    with pytest.raises(Exception, match="several nodes with sourceIds s of S"):
+        R.resolved_arguments(ask(["sourceIds:s", "S"]), concepts, sources).collect()
