@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
         both = e.union(e.select("b", "a"))
         p = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to"))
         for _ in range(2):
-            q = p.select(F.col("node").alias("mid"), F.col("to").alias("next"))
+            q = p.select(F.col("node").alias("mid"), F.col("to").alias("next")).hint("merge")  # as large as p: never through the driver
             p = p.join(q, p["to"] == q["mid"], "left").select("node", F.coalesce("next", "to").alias("to"))
         p = keep(p)
         labels = p.withColumnRenamed("to", "label") if labels is None else labels.join(p, labels["label"] == p["node"], "left").select(labels["node"], F.coalesce("to", "label").alias("label"))

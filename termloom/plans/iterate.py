@@ -21,9 +21,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder; its lineage ends there."""
+    """df written to the checkpoint folder; its lineage ends there.
+
+    Joins with it are merge joins unless the other side is broadcast by hand: Spark guesses its size from compressed files, and
+    tables that grow with the input would be broadcast through the driver."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).hint("merge")
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

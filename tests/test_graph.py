@@ -179,3 +179,14 @@ def test_source_accessors(spark):
     assert lists == {1: (["b", "a", "c"], ["s1", "s1", "s2", None], 3), 2: (["b"], ["s9"], 1)}
     none = spark.createDataFrame([], schema)
     assert C.source_lists(none).count() == 0 and C.source_access(none, asked).where("position <> -1").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_tables_are_not_broadcast(spark):
+    a, b = (keep(spark.range(50).select(F.col("id").alias("node"))) for _ in range(2))
+    for joined in (a.join(b.where("node > 3").distinct(), "node"), a.join(spark.range(9).withColumnRenamed("id", "node"), "node", "left_anti")):
+        assert "BroadcastHashJoin" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined)
+    assert "BroadcastHashJoin" in plan_of(a.join(F.broadcast(b), "node"))  # by hand it still is
