@@ -38,7 +38,7 @@ def mapping_elements(mappings: DataFrame, concepts: DataFrame, types: list[str],
     if label:
         of = of.join(concepts.where(F.array_contains("labels", label)).select("node"), "node", "left_semi")
     large = of.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return of.join(large, "component", "left_semi").select(F.col("component").alias("aggregate"), F.col("node").alias("element"))
+    return of.join(large.hint("merge"), "component", "left_semi").select(F.col("component").alias("aggregate"), F.col("node").alias("element"))
 
 
 def new_aggregates(elements: DataFrame, labels: list[str], copy_properties: list[str], mapping_types: list[str]) -> DataFrame:

@@ -218,7 +218,7 @@ def service_mapping_build(g):
     """Each customer with the first of its aggregate; those without mappings have none but bear the aggregates' label."""
     built = S.build_aggregates_by_mappings(places(g), ["EQUAL"], "MAPPED", "customer")
     first = built.elements.groupBy("aggregate").agg(F.min("element").alias("first"))
-    of = built.elements.join(first, "aggregate").select(F.col("element").alias("node"), F.col("first").cast("string").alias("first"))
+    of = built.elements.join(first.hint("merge"), "aggregate").select(F.col("element").alias("node"), F.col("first").cast("string").alias("first"))
     plain = built.concepts.where(F.array_contains("labels", "MAPPED") & ~F.array_contains("labels", A.AGGREGATE))
     return of.unionByName(plain.select("node", F.lit(None).cast("string").alias("first")))
 

@@ -190,3 +190,10 @@ def test_kept_tables_are_not_broadcast(spark):
     for joined in (a.join(b.where("node > 3").distinct(), "node"), a.join(spark.range(9).withColumnRenamed("id", "node"), "node", "left_anti")):
         assert "BroadcastHashJoin" not in plan_of(joined) and "SortMergeJoin" in plan_of(joined)
     assert "BroadcastHashJoin" in plan_of(a.join(F.broadcast(b), "node"))  # by hand it still is
+
+
+def test_mapping_elements_broadcast_no_table(spark):
+    links = spark.createDataFrame([(1, 2, ["EQUAL"]), (3, 4, ["EQUAL"]), (4, 5, ["LOOM"])], "u long, v long, mapping_types array<string>")
+    concepts = spark.createDataFrame([(k, ["CONCEPT"] if k != 3 else []) for k in range(1, 6)], "node long, labels array<string>")
+    found = A.mapping_elements(links, concepts, ["EQUAL"], "CONCEPT")
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2)] and "Broadcast" not in plan_of(found)
