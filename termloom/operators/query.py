@@ -7,6 +7,7 @@ roots: facet, node; facets: facet, name, grp, source_type.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOLLOW = "HOLLOW"
@@ -23,9 +24,9 @@ def scan(concepts: DataFrame, label: str) -> DataFrame:
 
 def lookup(nodes: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows of nodes whose column equals a key; a key with several rows raises an error when it is read."""
-    hits = nodes.join(keys.select(F.col(key).alias("__key")).distinct(), nodes[column] == F.col("__key"), "left_semi")
-    many = hits.groupBy(column).agg(F.count("*").alias("__n"))
-    return hits.join(many, column).where(F.when(
+    hits = nodes.join(keys.select(F.col(key).alias("__key")).distinct().hint("merge"), nodes[column] == F.col("__key"), "left_semi")
+    # the join has dealt and sorted the rows by column, so they are counted as they come
+    return hits.withColumn("__n", F.count("*").over(W.partitionBy(column))).where(F.when(
         F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one node for "), F.col(column).cast("string"))).isNull(),
     ).otherwise(True)).drop("__n")
 

@@ -197,3 +197,12 @@ def test_mapping_elements_broadcast_no_table(spark):
     concepts = spark.createDataFrame([(k, ["CONCEPT"] if k != 3 else []) for k in range(1, 6)], "node long, labels array<string>")
     found = A.mapping_elements(links, concepts, ["EQUAL"], "CONCEPT")
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2)] and "Broadcast" not in plan_of(found)
+
+
+def test_lookup_joins_once(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "node long, name string")
+    keys = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "k string")
+    found = Q.lookup(nodes, "name", keys, "k")
+    assert list(map(tuple, found.collect())) == [(1, "a")] and found.columns == ["node", "name"] and plan_of(found).count("Join") == 1
+    with pytest.raises(Exception, match="more than one node for b"):
+        Q.lookup(nodes, "name", nodes.select(F.col("name").alias("k")), "k").collect()
