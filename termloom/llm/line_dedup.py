@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, checkpointed, free_name
+from .common import BLANKS, Scratch, ascii_lower, checkpointed, free_name
 
 #: Ranges that the line hashes are cut into, as a power of 2.
 RANGE_BITS = 14
@@ -87,5 +87,8 @@ def kept_text(text: Column, keep_col: str = KEEP) -> Column:
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with repeated lines cut from text_col; all rows, columns and other values stay. A null text stays null."""
     keep_col = free_name(docs, "keep_words")
-    cut = with_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col, keep_col)
+    # the lines' hashes stand as Parquet and are gone before texts are shuffled
+    with Scratch(docs.sparkSession) as scratch:
+        bitmaps = checkpointed(keep_bitmaps(docs, id_col, text_col, min_chars, scratch))
+    cut = with_bitmaps(docs, bitmaps, id_col, text_col, keep_col)
     return cut.withColumn(text_col, F.when(F.col(text_col).isNotNull(), kept_text(F.col(text_col), keep_col))).drop(keep_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import os
 import re
 from collections import Counter
 
@@ -420,3 +421,17 @@ def test_warc_files_round_trip(spark, tmp_path):
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     warc.write_warc(d, str(tmp_path / "w"))
     assert sorted(map(tuple, warc.read_warc(spark, str(tmp_path / "w")).collect())) == sorted((u, h or "") for _, u, h in rows)
+
+
+def test_line_hashes_are_gone_before_texts_are_cut(spark, monkeypatch):
+    made = []
+
+    class Seen(line_dedup.Scratch):
+        def __call__(self, df):
+            made.append((self.folder.removeprefix("file:"), df.columns))
+            return super().__call__(df)
+
+    monkeypatch.setattr(line_dedup, "Scratch", Seen)
+    cut = line_dedup.deduplicate_lines(spark.createDataFrame([(1, "a line of text\nb"), (2, "A line of text \nc")], "doc_id long, text string"))
+    assert "pos" in made[0][1] and not os.path.exists(made[0][0])
+    assert sorted(map(tuple, cut.collect())) == [(1, "a line of text\nb"), (2, "c")]
