@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: What Java's \\s stands for, and the no-break space.
+_SPACES = " \t\n\x0b\x0c\r\u00a0"
+
+
 def normalized_space(c: Column | str) -> Column:
     """Trimmed, runs of white space (no-break spaces too) as one space."""
-    return F.btrim(F.regexp_replace(col(c), "[\\s ]+", " "))
+    some = reduce(Column.__or__, (F.contains(col(c), F.lit(x)) for x in _SPACES))  # most words have none and need no pattern
+    return F.when(some, F.btrim(F.regexp_replace(col(c), "[\\s\u00a0]+", " "))).otherwise(col(c))
 
 
 def normalized_variant(c: Column | str) -> Column:

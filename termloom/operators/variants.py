@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.exprs import normalized_variant
 
 
+def words_of_texts(docs: DataFrame, concept: Column, doc: Column, text: Column, pattern: str) -> DataFrame:
+    """Rows of counted_variants: a writing variant for each part of each text between matches of pattern. Texts are dealt by
+    document before they are cut, so that what belongs to a document meets in one task and only texts are shuffled for it."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number: few parts hold too many words each
+    texts = docs.select(concept.alias("concept"), doc.alias("doc"), text.alias("text")).repartition(parts, "doc")
+    words = texts.select("concept", "doc", F.explode(F.split("text", pattern)).alias("name")).where("name <> ''")
+    return words.select(F.lit("writing_variant").alias("kind"), "*", F.lit(1).alias("count"), F.lit(0).alias("ord"))
+
+
 def counted_variants(rows: DataFrame) -> DataFrame:
     """(kind, concept, norm, name, doc, count) from rows (kind, concept, doc, name, count, ord): what is equal after
-    normalisation adds up within a document and keeps its first surface form."""
-    # names of a document first: sums and places are kept by hash, and each distinct name is normalised once
-    names = rows.groupBy("kind", "concept", "doc", "name").agg(F.sum("count").alias("count"), F.min("ord").alias("ord"))
-    r = names.withColumn("norm", normalized_variant("name"))
-    merged = r.groupBy("kind", "concept", "norm", "doc").agg(
+    normalisation adds up within a document and keeps its first surface form. Rows that are dealt by doc stay where they are."""
+    r = rows.withColumn("norm", normalized_variant("name"))
+    # norm first: most rows differ there, so they are sorted by it without a look at the rest
+    merged = r.groupBy("norm", "concept", "doc", "kind").agg(
         F.min_by("name", F.struct("ord", "name")).alias("name"), F.sum("count").cast("long").alias("count"),
     )
     return merged.select("kind", "concept", "norm", "name", "doc", "count")

@@ -388,14 +388,12 @@ def concept_facet_map(g):
     r"SELECT concept, lower(w) AS norm, arg_min(w, (doc_id, w)) AS name, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS total FROM (SELECT lang AS concept, doc_id, unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2",
 )
 def variant_counts(g):
-    words = g.table("documents").select(
-        F.lit("writing_variant").alias("kind"), F.col("lang").alias("concept"), F.col("doc_id").alias("doc"),
-        F.explode(F.split("text", "[ \\t\\n\\r\\f\\x0B]+")).alias("name"),
-    ).where("name <> ''")
-    v = V.counted_variants(words.select("*", F.lit(1).alias("count"), F.lit(0).alias("ord")))
-    return v.groupBy("concept", "norm").agg(
+    docs = g.table("documents")
+    v = V.counted_variants(V.words_of_texts(docs, F.col("lang"), F.col("doc_id"), F.col("text"), "[ \\t\\n\\r\\f\\x0B]+"))
+    counts = v.groupBy("norm", "concept").agg(
         F.min_by("name", F.struct("doc", "name")).alias("name"), F.count("*").alias("n_docs"), F.sum("count").alias("total"),
     )
+    return counts.select("concept", "norm", "name", "n_docs", "total")
 
 
 @query(

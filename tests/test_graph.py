@@ -206,3 +206,15 @@ def test_lookup_joins_once(spark):
     assert list(map(tuple, found.collect())) == [(1, "a")] and found.columns == ["node", "name"] and plan_of(found).count("Join") == 1
     with pytest.raises(Exception, match="more than one node for b"):
         Q.lookup(nodes, "name", nodes.select(F.col("name").alias("k")), "k").collect()
+
+
+def test_words_of_texts_are_counted_where_their_document_is(spark):
+    texts = [(1, "en", "The the THE\u00a0 a\u00a0b  A\u00a0\u00a0B \u00a0"), (1, "en", "the x"), (2, "en", "Then THE"), (2, None, "The"), (3, "en", None), (4, "en", "  ")]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    v = V.counted_variants(V.words_of_texts(docs, F.col("lang"), F.col("doc_id"), F.col("text"), "[ \\t\\n]+"))
+    got = sorted((str(r.concept), r.doc, r.norm, r.name, r["count"]) for r in v.collect())
+    assert got == [
+        ("None", 2, "the", "The", 1), ("en", 1, "", "\u00a0", 1), ("en", 1, "a b", "A\u00a0\u00a0B", 2), ("en", 1, "the", "THE\u00a0", 4),
+        ("en", 1, "x", "x", 1), ("en", 2, "the", "THE", 1), ("en", 2, "then", "Then", 1),
+    ]
+    assert v._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
