@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SCHEMA = "token string, doc string, positions array<int>, bucket int"
 #: Postings are dealt to so many folders by token, so that a query reads those of its words alone.
 BUCKETS = 64
+#: Documents in a part that is indexed by one task.
+PART = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -21,18 +23,25 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text), dealt by document to a part for each PART of them, at most as many as shuffles have."""
+    parts = min(docs.count() // PART + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).repartition(parts, "doc")
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, doc, positions, bucket): where each token stands in each document, from 0. Positions are gathered by task before
-    they are shuffled. Texts without tokens, null ones included, have none; ids are given as text."""
-    at = docs.select(F.col(id_col).cast("string").alias("doc"), F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
+    """(token, doc, positions, bucket): where each token stands in each document, from 0. Texts are dealt by document before they are
+    cut, so that positions are gathered where they are. Texts without tokens, null ones included, have none; ids are given as text."""
+    at = _dealt(docs, id_col, text_col).select("doc", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
     own = at.groupBy("token", "doc").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return own.withColumn("bucket", _bucket(F.col("token")))
 
 
 def write_index(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """Writes the postings, a folder for each bucket, sorted by token; a folder that is there already raises an error."""
-    made = postings(docs, id_col, text_col).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(16)))
-    made.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+    """Writes the postings, a folder for each bucket with a file, sorted by token, for each part of the documents; a folder that is
+    there already raises an error. Only texts are shuffled, no postings."""
+    made = postings(docs, id_col, text_col).sortWithinPartitions("bucket", "token")
+    made.write.partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from termloom.operators import exports as E
 from termloom.operators import mappings as M
 from termloom.operators import paths as P
 from termloom.operators import query as Q
+from termloom.operators import text_index as I
 from termloom.operators import variants as V
 from termloom.operators.facets import ensure_no_facet, insert_facets, resolve_facet
 from termloom.operators.graph import Graph
@@ -218,3 +219,14 @@ def test_words_of_texts_are_counted_where_their_document_is(spark):
         ("en", 1, "x", "x", 1), ("en", 2, "the", "THE", 1), ("en", 2, "then", "Then", 1),
     ]
     assert v._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_index_shuffles_texts_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "PART", 1)
+    docs = spark.createDataFrame([(1, "a B, a"), (2, "b-a"), (3, None), (4, " ")], "doc_id long, text string")
+    made = I.postings(docs, "doc_id", "text")
+    assert sorted((r.token, r.doc, r.positions) for r in made.collect()) == [("a", "1", [0, 2]), ("a", "2", [1]), ("b", "1", [1]), ("b", "2", [0])]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    I.write_index(docs, "doc_id", "text", f"{tmp_path}/index")
+    index = I.read_index(spark, f"{tmp_path}/index")
+    assert sorted(map(tuple, I.find_phrase(index, "b A").collect())) == [("1", 1), ("2", 0)] and index.count() == 4
