@@ -83,23 +83,19 @@ def unite_batch(rows: DataFrame, unite_unique: bool = True) -> DataFrame:
         key("o", "original_id", "original_source"), key("s", "source_id", "source"),
         *([F.when(F.coalesce("unique_source_id", F.lit(False)), key("u", "source_id"))] if unite_unique else []),
     )
-    k = keep(rows.select("ord", "original_id", "original_source", F.explode_outer(F.array_compact(keys)).alias("key")))
-    first = k.where("key IS NOT NULL").groupBy("key").agg(F.min("ord").alias("b"))
-    edges = k.join(first, "key").select(F.col("ord").alias("a"), "b")
-    of = connected_components(edges, keep)
-    grouped = k.select("ord", "original_id", "original_source").distinct().join(of, F.col("ord") == of["node"], "left").select(
-        "ord", F.coalesce("label", "ord").alias("group"), "original_id", "original_source",
-    )
     pair = F.when(F.concat("original_id", "original_source").isNotNull(), F.concat_ws("\x1f", "original_id", "original_source"))
-    bad = grouped.groupBy("group").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi"))
-    checked = bad.select(
-        "group",
-        F.when(
-            F.col("lo") != F.col("hi"),
-            F.raise_error(F.concat(F.lit("inconsistent data: two original ids in "), F.col("group").cast("string"))).cast("boolean"),
-        ).otherwise(F.lit(True)).alias("ok"),
-    )
-    return grouped.join(checked, "group").where("ok").select("ord", "group")
+    k = keep(rows.select("ord", pair.alias("pair"), F.explode_outer(F.array_compact(keys)).alias("key")))
+    first = k.where("key IS NOT NULL").groupBy("key").agg(F.min("ord").alias("b"))
+    # each key stands for its first row, so only rows with several keys link anything
+    own = keep(k.join(first, "key", "left").groupBy("ord").agg(F.first("pair").alias("pair"), F.coalesce(F.min("b"), "ord").alias("low"), F.array_distinct(F.collect_list("b")).alias("b")))
+    links = keep(own.where(F.size("b") > 1).select(F.col("low").alias("a"), F.explode("b").alias("b")).where("a <> b").distinct())
+    grouped = own.select("ord", "pair", F.col("low").alias("group"))
+    if not links.isEmpty():
+        of = connected_components(links, keep)
+        grouped = keep(own.join(of, own["low"] == of["node"], "left").select("ord", "pair", F.coalesce("label", "low").alias("group")))
+    bad = grouped.where("pair IS NOT NULL").groupBy("group").agg(F.min("pair").alias("lo"), F.max("pair").alias("hi")).where("lo <> hi")
+    bad.select(F.raise_error(F.concat(F.lit("inconsistent data: two original ids in "), F.col("group").cast("string")))).first()
+    return grouped.select("ord", "group")
 
 
 def merged_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -261,3 +261,17 @@ def test_paths_by_any_property(spark):
 
     with pytest.raises(ValueError, match="no concept with originalId"):
         S.get_paths_to_facetroots(Graph.empty(spark), ["x"], id_property="originalId")
+
+
+def test_only_rows_with_several_keys_need_components(spark, monkeypatch):
+    from termloom.operators import resolve
+
+    schema = "ord long, original_id string, original_source string, source_id string, source string, unique_source_id boolean"
+    rows = [(1, None, None, "a", "s", False), (2, None, None, "b", "s", False), (3, None, None, "a", "s", False), (4, None, None, None, None, None), (5, "o", "x", None, None, None)]
+    linked = [(6, "o", "x", "b", "s", True), (7, None, None, "b", "t", True), (8, "o", "x", "b", "s", True)]
+    got = resolve.unite_batch(spark.createDataFrame(rows + linked, schema))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 2), (6, 2), (7, 2), (8, 2)]
+    with pytest.raises(Exception, match="two original ids in 2"):
+        resolve.unite_batch(spark.createDataFrame([*rows, *linked, (9, "p", "x", "b", "t", False)], schema)).collect()
+    monkeypatch.setattr(resolve, "connected_components", None)
+    assert sorted(map(tuple, resolve.unite_batch(spark.createDataFrame(rows, schema)).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
