@@ -101,9 +101,10 @@ class DerivedGraph:
 
     @cached_property
     def order_relations(self) -> DataFrame:
-        """doc, type, args, count, entry: the distinct parts of an order's lines with one return flag."""
-        li = self.table("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set(_id("P", "l_partkey"))).alias("args"))
-        return li.select(
-            F.col("l_orderkey").cast("string").alias("doc"), F.col("l_returnflag").alias("type"), "args", F.lit(1).alias("count"),
-            F.lit(0).alias("entry"),
-        )
+        """doc, type, args, count, entry: the distinct parts of an order's lines with one return flag, dealt by document and type."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # as a number: pairs are many more than lines
+        li = self.table("lineitem").select(
+            F.col("l_orderkey").cast("string").alias("doc"), F.col("l_returnflag").alias("type"), _id("P", "l_partkey").alias("arg"),
+        ).repartition(parts, "doc", "type")
+        args = li.groupBy("doc", "type").agg(F.array_sort(F.collect_set("arg")).alias("args"))
+        return args.select("doc", "type", "args", F.lit(1).alias("count"), F.lit(0).alias("entry"))

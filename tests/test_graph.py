@@ -230,3 +230,8 @@ def test_index_shuffles_texts_alone(spark, tmp_path, monkeypatch):
     I.write_index(docs, "doc_id", "text", f"{tmp_path}/index")
     index = I.read_index(spark, f"{tmp_path}/index")
     assert sorted(map(tuple, I.find_phrase(index, "b A").collect())) == [("1", 1), ("2", 0)] and index.count() == 4
+
+
+def test_pairs_are_counted_where_their_document_is(spark):
+    pairs = contract.QUERIES["relation_pairs"](spark, "/root/testdata/sf0.001")
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # lines by document, totals by pair
