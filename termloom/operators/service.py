@@ -246,7 +246,7 @@ def delete_aggregates(graph: Graph, aggregated_labels: list[str]) -> tuple[Graph
 
 def copy_aggregate_properties(graph: Graph, skip_existing_properties: bool = False, aggregated_labels: tuple[str, ...] = (A.AGGREGATE,)) -> Graph:
     """The graph of copied_aggregate_properties, without the counts."""
-    return copied_aggregate_properties(graph, skip_existing_properties, aggregated_labels)[0]
+    return _copied(graph, skip_existing_properties, aggregated_labels, count=False)[0]
 
 
 def copied_aggregate_properties(
@@ -259,6 +259,11 @@ def copied_aggregate_properties(
     frequent wins; the others go to props as <property>_divergentProperty, a JSON array, and divergent preferred names
     to the synonyms too. counts: numAggregates, numElements and numProperties.
     """
+    return _copied(graph, skip_existing_properties, aggregated_labels, count=True)
+
+
+def _copied(graph: Graph, skip_existing_properties: bool, aggregated_labels: tuple[str, ...], count: bool) -> tuple[Graph, dict[str, int]]:
+    """copied_aggregate_properties; counts are empty if they aren't asked for."""
     c, elements, div = graph.concepts, keep(graph.elements), "_divergentProperty"
     aggregates = c.where(F.array_contains("labels", A.AGGREGATE)).select("node", "labels", "copy_properties")
     chosen = aggregates.where(F.arrays_overlap("labels", F.array(*map(F.lit, aggregated_labels)))).select(F.lit(0).alias("origin"), "node")
@@ -275,7 +280,7 @@ def copied_aggregate_properties(
     for p, column in LISTS.items():
         x = c.select("node", F.lit(p).alias("property"), F.posexplode(column).alias("ord", "value"))
         arrays = x if arrays is None else arrays.unionByName(x)
-    scalars, arrays = keep(scalars.where("value IS NOT NULL")), keep(arrays)
+    scalars = scalars.where("value IS NOT NULL")
     has = lambda: scalars.select("node", "property").union(arrays.select("node", "property")).distinct()
     todo = keep(listed.join(has().withColumnRenamed("node", "aggregate"), ["aggregate", "property"], "left_anti")) if skip_existing_properties else listed
     cleared = todo.withColumnRenamed("aggregate", "node")
@@ -283,13 +288,14 @@ def copied_aggregate_properties(
     scalars, arrays = (keep(x.join(cleared, ["node", "property"], "left_anti")) for x in (scalars, arrays))
 
     level = keep(heights(elements.select(F.col("aggregate").alias("parent"), F.col("element").alias("child"))))
-    n_properties, won, united = 0, None, None
-    for h in range(1, (level.agg(F.max("height")).first()[0] or 0) + 1):
+    n_properties, won, united, top = 0, None, None, level.agg(F.max("height")).first()[0] or 0
+    for h in range(1, top + 1):
         now = keep(todo.join(level.where(F.col("height") == h).select(F.col("node").alias("aggregate")), "aggregate", "left_semi"))
         if now.isEmpty():
             continue
         own = elements.join(now.select("aggregate").distinct(), "aggregate", "left_semi")
-        n_properties += elements.join(now, "aggregate").join(has().withColumnRenamed("node", "element"), ["element", "property"], "left_semi").count()
+        if count:
+            n_properties += elements.join(now, "aggregate").join(has().withColumnRenamed("node", "element"), ["element", "property"], "left_semi").count()
         s = keep(A.rolled_up(own, scalars).join(now, ["aggregate", "property"], "left_semi"))
         a = A.unioned(own, arrays).join(now, ["aggregate", "property"], "left_semi")
         names = s.where("property = 'preferredName' AND size(divergent) > 0").select("aggregate", "divergent")
@@ -302,11 +308,13 @@ def copied_aggregate_properties(
         )
         a = keep(a.where("property <> 'synonyms'").unionByName(synonyms))
         won, united = (s if won is None else won.unionByName(s)), (a if united is None else united.unionByName(a))
+        if h == top:
+            break  # nothing above takes their values
         made = a.select(F.col("aggregate").alias("node"), "property", F.posexplode("values").alias("ord", "value"))
         scalars = keep(scalars.unionByName(s.select(F.col("aggregate").alias("node"), "property", "value")))
         arrays = keep(arrays.join(made.select("node", "property").distinct(), ["node", "property"], "left_anti").unionByName(made))
 
-    counts = {
+    counts = {} if not count else {
         "numAggregates": reached.count(),
         "numElements": elements.join(listed.select("aggregate").distinct(), "aggregate", "left_semi").count(), "numProperties": n_properties,
     }

@@ -173,3 +173,12 @@ def test_saved_tables_are_joined_without_a_shuffle_of_edges(spark, graph):
     assert got(S.export_hypernyms(back)) == got(S.export_hypernyms(graph))
     for table in SCHEMAS:
         spark.sql(f"DROP TABLE {name}_{table}")
+
+
+def test_copied_properties_write_few_tables(spark, graph, monkeypatch):
+    g = S.build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SAME"], ["preferredName", "synonyms"])
+    tables, plain = [], S.keep
+    monkeypatch.setattr(S, "keep", lambda df: tables.append(df) or plain(df))
+    monkeypatch.setattr(type(g.concepts), "count", None)  # nothing is counted that isn't asked for
+    filled = S.copy_aggregate_properties(g, aggregated_labels=("SAME",))
+    assert len(tables) == 9 and filled.concepts.where(F.array_contains("labels", "SAME")).first()["pref_name"]
