@@ -101,23 +101,36 @@ def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataF
     return ranged.withColumn("__k", place).join(F.broadcast(offset), "__p").withColumn(out, F.lit(start - 1) + F.col("__o") + F.col("__k")).drop("__p", "__k", "__o")
 
 
-def _numbers(graph: Graph, name: str) -> DataFrame:
-    """(name, next) of a sequence by what its table holds, and by the mark of what it has ever given; null if neither."""
-    table, column, prefix = SEQUENCES[name]
-    text = F.col(column).cast("string")
-    own = F.when(text.rlike(f"^{prefix}[0-9]+$"), F.substring(text, F.lit(len(prefix) + 1), F.lit(30)).cast("long"))
-    held = getattr(graph, table).agg((F.max(own) + 1).alias("next")).select(F.lit(name).alias("name"), "next")
-    return held.unionByName(graph.sequences.where(F.col("name") == name))
+def _numbers(graph: Graph, names: list[str]) -> DataFrame:
+    """(name, next) of sequences by what their tables hold, each read once, and by the marks of what they have ever given; next is
+    null if there is neither."""
+    parts = [graph.sequences.where(F.col("name").isin(names))]
+    for table in dict.fromkeys(SEQUENCES[name][0] for name in names):
+        own = []
+        for name in names:
+            if SEQUENCES[name][0] == table:
+                _, column, prefix = SEQUENCES[name]
+                text = F.col(column).cast("string")
+                number = F.when(text.rlike(f"^{prefix}[0-9]+$"), F.substring(text, F.lit(len(prefix) + 1), F.lit(30)).cast("long"))
+                own.append(F.struct(F.lit(name).alias("name"), (F.max(number) + 1).alias("next")))
+        parts.append(getattr(graph, table).agg(F.array(*own).alias("s")).select(F.inline("s")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def next_numbers(graph: Graph, names: list[str]) -> list[int]:
+    """The next number of each sequence: above all that it has given, also to what is gone since."""
+    found = dict(_numbers(graph, names).groupBy("name").agg(F.max("next")).collect())
+    return [found.get(name) or 0 for name in names]
 
 
 def next_number(graph: Graph, name: str) -> int:
-    """The next number of a sequence: above all that it has given, also to what is gone since."""
-    return _numbers(graph, name).agg(F.coalesce(F.max("next"), F.lit(0)).alias("n")).first()["n"]
+    """next_numbers of one sequence."""
+    return next_numbers(graph, [name])[0]
 
 
 def with_marks(graph: Graph) -> Graph:
     """graph whose sequences stand where its tables are now, or higher. What takes rows away keeps the marks with this."""
-    every = reduce(DataFrame.unionByName, [_numbers(graph, name) for name in SEQUENCES])
+    every = _numbers(graph, list(SEQUENCES))
     return graph.with_(sequences=keep(every.where("next IS NOT NULL").groupBy("name").agg(F.max("next").alias("next"))))
 
 

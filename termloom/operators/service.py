@@ -18,7 +18,7 @@ from . import query as Q
 from . import relations as R
 from . import traversal as T
 from . import variants as V
-from .graph import Graph, next_number, numbered, without_nodes
+from .graph import Graph, next_number, next_numbers, numbered, without_nodes
 
 NAME = {
     "preferredName": "pref_name", "id": "id", "originalId": "original_id", "originalSource": "original_source", "synonyms": "synonyms",
@@ -184,16 +184,19 @@ def add_concept_terms(graph: Graph, rows: DataFrame) -> Graph:
     return graph.with_(variants=keep(V.upsert_variants(graph.variants, V.counted_variants(rows), known)))
 
 
-def _with_aggregates(graph: Graph, elements: DataFrame, labels: list[str], copy_properties: list[str], mapping_types: list[str]) -> Graph:
-    """elements (aggregate: any name, element: node) as new aggregates with ids of their own."""
-    elements = keep(elements.select(F.col("aggregate").cast("string").alias("key"), "element"))
-    start, first_id = next_number(graph, "node"), next_number(graph, "atid")
+def _with_aggregates(
+    graph: Graph, elements: DataFrame, labels: list[str], copy_properties: list[str], mapping_types: list[str], concepts: DataFrame | None = None,
+) -> Graph:
+    """elements (aggregate: any name, element: node), a kept table, as new aggregates with ids of their own, after concepts, by
+    default the graph's."""
+    elements = elements.select(F.col("aggregate").cast("string").alias("key"), "element")
+    start, first_id = next_numbers(graph, ["node", "atid"])
     keys = numbered(elements.select("key").distinct(), ["key"], "n")
     made = A.new_aggregates(keys.select(F.col("n").alias("aggregate")), labels, copy_properties, mapping_types).select(
         (F.col("node") + start).alias("node"), F.concat(F.lit("atid"), (F.col("node") + first_id).cast("string")).alias("id"), "labels",
         "copy_properties", "mapping_type",
     )
-    concepts = graph.concepts.unionByName(made, allowMissingColumns=True)
+    concepts = (graph.concepts if concepts is None else concepts).unionByName(made, allowMissingColumns=True)
     linked = elements.join(keys, "key").select((F.col("n") + start).alias("aggregate"), "element")
     return graph.with_(concepts=keep(concepts), elements=keep(graph.elements.unionByName(linked)))
 
@@ -213,7 +216,7 @@ def n_built(before: Graph, after: Graph) -> int:
 def build_aggregates_by_preferred_name(
     graph: Graph, labels: list[str], aggregated_labels: list[str], copy_properties: list[str], name_property: str = "preferredName",
 ) -> Graph:
-    elements = A.equal_name_elements(graph.concepts, labels, NAME[name_property])
+    elements = keep(A.equal_name_elements(graph.concepts, labels, NAME[name_property]))
     return _with_aggregates(graph, elements, aggregated_labels, copy_properties, [A.EQUAL_NAMES])
 
 
@@ -232,7 +235,7 @@ def build_aggregates_by_mappings(
     marked = graph.concepts.join(alone, "node", "left").withColumn(
         "labels", F.when(F.col("alone"), F.array_union("labels", F.array(F.lit(aggregated_label)))).otherwise(F.col("labels")),
     ).drop("alone")
-    return _with_aggregates(graph.with_(concepts=keep(marked)), elements, [aggregated_label], list(copy_properties), allowed_mapping_types)
+    return _with_aggregates(graph, elements, [aggregated_label], list(copy_properties), allowed_mapping_types, marked)
 
 
 def delete_aggregates(graph: Graph, aggregated_labels: list[str]) -> tuple[Graph, DataFrame]:

@@ -235,3 +235,15 @@ def test_index_shuffles_texts_alone(spark, tmp_path, monkeypatch):
 def test_pairs_are_counted_where_their_document_is(spark):
     pairs = contract.QUERIES["relation_pairs"](spark, "/root/testdata/sf0.001")
     assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # lines by document, totals by pair
+
+
+def test_long_chains_take_few_tables(spark):
+    tables = []
+
+    def counting(df):
+        tables.append(df)
+        return keep(df)
+
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = connected_components(chain, counting, max_rounds=1)  # a chain is one node after one round, however long it is
+    assert found.count() == 301 and found.where("label <> 0").isEmpty() and len(tables) <= 8

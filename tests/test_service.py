@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_ingest import FACET, concept, coords, rows
 
 from termloom.operators import service as S
-from termloom.operators.graph import NODE_COLUMNS, SCHEMAS, Graph, next_number
+from termloom.operators.graph import NODE_COLUMNS, SCHEMAS, Graph, _numbers, next_number, next_numbers
 from termloom.operators.ingest import insert_concepts
 from termloom.sources import documents as D
 
@@ -175,6 +175,12 @@ def test_saved_tables_are_joined_without_a_shuffle_of_edges(spark, graph):
         spark.sql(f"DROP TABLE {name}_{table}")
 
 
+def test_numbers_read_each_table_once(spark, graph):
+    plan = _numbers(graph, ["node", "tid", "atid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_max") == 3 and plan.count("Exchange") == 1
+    assert next_numbers(graph, ["node", "atid"]) == [next_number(graph, "node"), next_number(graph, "atid")]
+
+
 def test_copied_properties_write_few_tables(spark, graph, monkeypatch):
     g = S.build_aggregates_by_preferred_name(graph, ["CONCEPT"], ["SAME"], ["preferredName", "synonyms"])
     tables, plain = [], S.keep
